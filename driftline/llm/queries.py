@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from driftline.llm import quality_rules
+from driftline.llm import language_id, quality_rules, topk_search, toxicity
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
-for module in (quality_rules,):
+for module in (language_id, topk_search, quality_rules, toxicity):
     QUERIES |= module.QUERIES
     ORACLE |= getattr(module, "ORACLE", {})
