@@ -70,6 +70,8 @@ class ToxicityModel:
         self.among = frozenset(s for s, _ in vocabulary)
 
     def score(self, text: str | None, known: dict[str, list[str]]) -> float:
+        if self.bias == -np.inf:
+            return 0.0
         v, w = self.vocabulary, self.weights
         z = self.bias + sum(w[v[f]] for f in features(stem_counts(text, known, self.among)) if f in v)
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
