@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from driftline.llm import language_id, minhash_dedup, packing, quality_rules, secret_scan, suffix_dedup, topk_search, toxicity
+from driftline.llm import language_id, minhash_dedup, packing, piece_codec, quality_rules, secret_scan, suffix_dedup, token_file, topk_search, toxicity
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
-for module in (minhash_dedup, language_id, suffix_dedup, secret_scan, packing, topk_search, quality_rules, toxicity):
+for module in (minhash_dedup, language_id, suffix_dedup, secret_scan, packing, piece_codec, token_file, topk_search, quality_rules, toxicity):
     QUERIES |= module.QUERIES
     ORACLE |= getattr(module, "ORACLE", {})
