@@ -116,8 +116,8 @@ def from_azimuthal(x: Column, y: Column, lat0: Column, lon0: Column) -> Column:
 
 
 def event_score(magnitude: Column, distance_km: Column) -> Column:
-    """Positive where an event of this magnitude moves a station at this distance."""
-    return SCORE_A * magnitude - F.log10(distance_km) + SCORE_B
+    """Positive where an event of this magnitude moves a station at this distance (at least a metre)."""
+    return SCORE_A * magnitude - F.log10(F.greatest(distance_km, F.lit(1e-3))) + SCORE_B
 
 
 def after_score(magnitude: Column, distance_km: Column) -> Column:

@@ -172,3 +172,24 @@ def orbit_choice(listing: DataFrame) -> DataFrame:
     """Of the products of a day the one of best precedence, then highest version, then largest interval."""
     order = Window.partitionBy("gps_week", "gps_day").orderBy("precedence", F.desc("version"), F.desc("interval"))
     return listing.withColumn("driftline_rank", F.row_number().over(order)).filter("driftline_rank = 1").drop("driftline_rank")
+
+
+RAW_FILTERS = {"Interval", "Completion", "Filename", "ReceiverType", "AntennaType", "ReceiverSerial", "AntennaSerial"}
+
+
+def records(files: DataFrame, **equal) -> DataFrame:
+    """Catalogue rows of a filter: of all files if it names a property of files, else of each day's best file."""
+    from driftline.operators.selection import matching
+
+    return matching(files if RAW_FILTERS & equal.keys() else best_files(files), **equal)
+
+
+def path_levels(structure: DataFrame, keys: DataFrame) -> list[str]:
+    """The level names of the path template in order; both tables are small and fixed."""
+    rows = structure.join(F.broadcast(keys), "KeyCode", "left").orderBy("Level").select(F.coalesce("rinex_col_in", "KeyCode")).collect()
+    return [r[0] for r in rows]
+
+
+def files_per_day(files: DataFrame) -> DataFrame:
+    """How many files and stations each day has."""
+    return files.groupBy("ObservationYear", "ObservationDOY").agg(F.count("*").alias("n_files"), F.count_distinct(*KEY).alias("n_stations"))
