@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 def local_session(name: str = "driftline", cores: str = "8") -> SparkSession:
     """A local session for tests and benches; a cluster brings its own."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    os.environ["PYTHONPATH"] = os.pathsep.join(dict.fromkeys([root, *filter(None, [os.environ.get("PYTHONPATH")])]))
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(name)
