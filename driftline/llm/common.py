@@ -50,3 +50,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def let(value: Column, body) -> Column:
     """body(value) with value computed once for each row."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def hashed_below(share: Column | float) -> Column:
+    """Whether a document's id hashes into the lowest share of all hashes."""
+    return F.xxhash64("doc_id").cast("double") < (F.lit(share) if not isinstance(share, Column) else share) * F.lit(2.0**64) - F.lit(2.0**63)
+
+
+def smallest_hashes(rows: DataFrame, most: int, n: int) -> DataFrame:
+    """The most rows of least hash of doc_id; n is the number of rows.
+
+    Only about twice as many rows get to the sort, however many tasks there are."""
+    near = rows if n <= 4 * most else rows.filter(hashed_below(2.0 * most / n))
+    return near.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)

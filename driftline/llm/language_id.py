@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from driftline.llm.common import table
+from driftline.llm.common import hashed_below, table
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
@@ -149,11 +149,15 @@ FEATURE_SCALE = 30.0
 
 def sample(training: DataFrame) -> list[tuple[int, str, str]]:
     """At most PER_LANGUAGE rows (doc_id, text, lang) for each of at most MAX_LANGUAGES languages."""
+    counts = training.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    if not counts:
+        return []
+    # about twice the wanted rows of a language pass, however many tasks there are, before the least hashes are ranked
+    share = F.create_map(*[F.lit(x) for lang, n in counts for x in (lang, min(2.0, 2.0 * PER_LANGUAGE / n))])
+    near = training.filter(hashed_below(F.coalesce(share[F.col("lang")], F.lit(0.0))))
     spread = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    few = training.withColumn("r", spread).filter(F.col("r") <= PER_LANGUAGE)
-    most = [r[0] for r in training.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
-    rows = few.filter(F.col("lang").isin(most)).select("doc_id", "text", "lang").toLocalIterator() if most else []
-    return [(r[0], r[1], r[2]) for r in rows]
+    few = near.withColumn("r", spread).filter(F.col("r") <= PER_LANGUAGE)
+    return [(r[0], r[1], r[2]) for r in few.select("doc_id", "text", "lang").toLocalIterator()]
 
 
 def train(training: DataFrame, seed: int = 7) -> LanguageModel:

@@ -33,6 +33,8 @@ from driftline.llm.common import stored, table, texts
 
 WINDOW = 50
 HALF = WINDOW // 2
+#: Length of an anchor: shorter ones are rarer (two of WINDOW - ANCHOR + 2 positions) but less often unique.
+ANCHOR = 20
 #: Bytes whose names are computed at once, and bytes whose segments are compared within a task.
 CHUNK, STRIP = 1 << 18, 1 << 23
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -48,10 +50,10 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def names(data: np.ndarray) -> np.ndarray:
-    """The name of the HALF bytes at each position, by doubling."""
+def names(data: np.ndarray, length: int = HALF) -> np.ndarray:
+    """The name of the bytes of a length at each position, by doubling."""
     size, name = 1, LETTER[data]
-    parts, left = [], HALF
+    parts, left = [], length
     while left:
         if left & size:
             parts.append((size, name))
@@ -59,10 +61,10 @@ def names(data: np.ndarray) -> np.ndarray:
         if left:
             name = name[:-size] * power(size) + name[size:]
             size *= 2
-    n, at, out = max(0, len(data) - HALF + 1), 0, np.uint64(0)
+    n, at, out = max(0, len(data) - length + 1), 0, np.uint64(0)
     for size, name in reversed(parts):
         at += size
-        out = out + name[at - size : at - size + n] * power(HALF - at)
+        out = out + name[at - size : at - size + n] * power(length - at)
     return out
 
 
@@ -74,9 +76,9 @@ def segments(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     n = len(data) - WINDOW + 1
     if n <= 0:
         return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
-    name = names(data)
-    low = (mixed(name) & ~np.uint64(0xFFFFFF)) | np.arange(len(name), dtype=np.uint64)
-    width, step = WINDOW - HALF + 1, 1
+    name, short = names(data), names(data, ANCHOR)
+    low = (mixed(short) & ~np.uint64(0xFFFFFF)) | np.arange(len(short), dtype=np.uint64)
+    width, step = WINDOW - ANCHOR + 1, 1
     while step * 2 <= width:
         low = np.minimum(low[:-step], low[step:])
         step *= 2
@@ -92,7 +94,7 @@ def segments(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     stop = np.nonzero(whole[:n] & (np.concatenate([new[1:], [True]]) | ~whole[1:]))[0]
     p, count = anchor[start], stop - start + 1
     segment = mixed(mixed(mixed(name[start]) + name[start + HALF]) + name[stop + HALF]) + (count.astype(np.uint64) << np.uint64(32)) + (p - start).astype(np.uint64)
-    return start, count, p, mixed(name[p] + BASE), mixed(segment)
+    return start, count, p, mixed(short[p] + BASE), mixed(segment)
 
 
 def pieces(begin: np.ndarray) -> Iterator[tuple[int, int, int, int]]:

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm.common import table
+from driftline.llm.common import smallest_hashes, table
 
 VOCABULARY = 1200
 POSITIVES = 2500
@@ -35,7 +35,7 @@ LEAST = 4
 #: Words whose features a task remembers.
 REMEMBERED = 200_000
 #: Labels are sent to every task up to so many rows (16 bytes each); beyond, the join shuffles.
-SENT_LABELS = 2_000_000
+SENT_LABELS = 500_000
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -113,15 +113,14 @@ def fit_nnpu(p: np.ndarray, u: np.ndarray, prior: float, rounds: int = 300, l2:
 
 def train(training: DataFrame) -> ToxicityModel:
     """training: doc_id, text, toxic (1: confirmed, else unlabelled), labelled (whether the row has a label)."""
-    n_pos, n_labelled = training.agg(F.sum("toxic"), F.sum(F.col("labelled").cast("long"))).first()
+    n_pos, n_labelled, n_all = training.agg(F.sum("toxic"), F.sum(F.col("labelled").cast("long")), F.count("*")).first()
     if not n_pos:
         return ToxicityModel({}, np.zeros(0, np.float32), -np.inf)
 
-    def sample(rows: DataFrame, most: int) -> list[str]:
-        few = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("text").toLocalIterator()
-        return [r[0] or "" for r in few]
+    def sample(rows: DataFrame, most: int, n: int) -> list[str]:
+        return [r[0] or "" for r in smallest_hashes(rows, most, n).select("text").toLocalIterator()]
 
-    positive, unlabelled = sample(training.filter(F.col("toxic") == 1), POSITIVES), sample(training, UNLABELLED)
+    positive, unlabelled = sample(training.filter(F.col("toxic") == 1), POSITIVES, n_pos), sample(training, UNLABELLED, n_all)
     vocabulary = choose_vocabulary(positive, unlabelled)
 
     def matrix(texts: list[str]) -> np.ndarray:
