@@ -5,9 +5,12 @@ empty model and carries its number of ids, of bytes, and a CRC-32, so that it ca
 The blocks of a chunk are coded together, one numpy lane each.
 
 The next id's distribution is a mixture  l2 [id = guess2] + l1 [id = guess1] + l0 P0(id).  guess2 and guess1 are the
-ids last seen after the hashed last two ids and last id; P0 is the adaptive frequency of id classes (single
-ids below SINGLE, WIDTH ids beyond), renewed every RENEW ids. The weights come from adaptive hit rates under the
-confidence of both guesses. A carryless 64-bit range coder takes the mixture's choice and then P0's interval.
+ids last seen after the hashed last two ids and last id, with the number of times they have held since (3 at most);
+P0 is the frequency of id classes (single ids below SINGLE, WIDTH ids beyond) among the ids that neither guess gave,
+renewed every RENEW ids; it starts from a prior that falls with the id, as merges are numbered by frequency. The
+weights l are the rates of the three outcomes under the state of both guesses, renewed every REWEIGH ids. A range
+coder of 64 bits, with carries into 32-bit words, takes the mixture's choice and then P0's interval: both
+together take at most 32 bits, so that one word at most moves after each id.
 
 Chunks are rows of a Parquet dataset: part, chunk, doc_ids, doc_sizes and blocks, ordered by doc_id over parts.
 """
@@ -28,197 +31,222 @@ from driftline.llm.common import CLEANUP, shared_folder, table, texts
 from driftline.llm.packing import tokenizer_file
 from driftline.llm.token_ids import encoder
 
-BLOCK = 4096
+BLOCK = 2048
 #: Ids after which a chunk ends at the next document.
 CHUNK = 1 << 22
-SINGLE, WIDTH_BITS = 512, 6
+SINGLE, WIDTH_BITS = 256, 8
 WIDTH = 1 << WIDTH_BITS
 CLASSES = SINGLE + ((1 << 16) - SINGLE) // WIDTH
-RENEW = 1024
+RENEW, REWEIGH = 512, 64
 HASH_BITS = 11
-MIX_BITS, FREQUENCY_BITS = 15, 14
-LEAST_RANGE = np.uint64(1 << 40)
+MIX_BITS, FREQUENCY_BITS = 12, 12
+SLOT_BITS = FREQUENCY_BITS + WIDTH_BITS
+#: How many ids the prior of P0 counts for.
+PRIOR = 200
 END = 1
-MAGIC = b"DLT1"
+MAGIC = b"DLT2"
 
 U = np.uint64
-CLASS_OF = np.where(np.arange(1 << 16) < SINGLE, np.arange(1 << 16), SINGLE + (np.arange(1 << 16) - SINGLE) // WIDTH)
+WORD, SHORT = U(32), U(1 << 32)
+ID = np.arange(1 << 16)
+CLASS_OF = np.where(ID < SINGLE, ID, SINGLE + (ID - SINGLE) // WIDTH)
 FIRST_OF = np.concatenate([np.arange(SINGLE), SINGLE + WIDTH * np.arange(CLASSES - SINGLE)])
+#: log2 of the ids for which a share of P0 stands, by class: a single id takes all of its class's interval.
+SIZE_BITS = np.where(np.arange(CLASSES) < SINGLE, WIDTH_BITS, 0).astype(U)
+FALLING = np.log1p(np.where(np.arange(CLASSES) < SINGLE, 1, WIDTH) / (FIRST_OF + 512.0))
+FALLING = FALLING / FALLING.sum()
+#: States of the guesses: confidence of both (4 times 4), and whether they are the same id.
+STATES = 32
+CHOICES = 1 << MIX_BITS
+
+
+def fresh_outcomes() -> np.ndarray:
+    """What the outcomes (guess2, guess1, neither) of each state count at the start of a block."""
+    state = np.arange(STATES)
+    return np.stack([1 + 2 * (state >> 2 & 3), 1 + (state & 3), np.full(STATES, 4)], axis=1)
 
 
 class Lanes:
     """The model of n blocks; coder and decoder make the same calls in the same order."""
 
-    def __init__(self, n: int):
-        self.n = n
-        self.row1, self.row2 = (np.arange(n) << b for b in (HASH_BITS, HASH_BITS + 1))
+    def __init__(self, n: int, with_slots: bool):
+        self.n, self.with_slots = n, with_slots
+        lane = np.arange(n)
+        self.row1, self.row2 = lane << HASH_BITS, lane << HASH_BITS + 1
         self.guess1, self.guess2 = np.zeros(n << HASH_BITS, np.int32), np.zeros(n << HASH_BITS + 1, np.int32)
-        self.context = np.arange(n) * 16
-        self.rate1, self.rate2 = np.full(n * 16, 1 << 12, np.int32), np.full(n * 16, 1 << 13, np.int32)
-        self.count = np.zeros((n, CLASSES), np.int32)
-        self.count_row = np.arange(n) * CLASSES
-        self.sum_row = np.arange(n) * (CLASSES + 1)
-        self.last, self.before = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        self.state_row, self.sum_row, self.slot_row = lane * (4 * STATES), lane * (CLASSES + 1), lane << FREQUENCY_BITS
+        self.outcomes = np.zeros((n, STATES, 4), np.int32)
+        self.outcomes[:, :, :3] = fresh_outcomes()
+        self.flat_outcomes = self.outcomes.reshape(-1)
+        self.edges = np.zeros((n, STATES, 4), U)
+        self.edges[:, :, 3] = CHOICES
+        self.flat_edges = self.edges.reshape(-1)
+        self.count = np.zeros((n, CLASSES + 1), np.int32)
+        self.flat_count = self.count.reshape(-1)
         self.seen = 0
 
-    def renew(self, with_slots: bool) -> None:
-        total = 1 << FREQUENCY_BITS
-        share = (total - CLASSES) // max(self.seen, 1)
-        f = 1 + (self.count * share if self.seen else 0) + np.zeros((self.n, CLASSES), np.int32)
-        f[:, 0] += total - f.sum(axis=1)
-        self.sums = np.zeros((self.n, CLASSES + 1), np.int32)
-        np.cumsum(f, axis=1, out=self.sums[:, 1:])
-        self.flat_sums = self.sums.reshape(-1)
-        if with_slots:
-            self.slots = np.repeat(np.tile(np.arange(CLASSES, dtype=np.uint16), self.n), f.reshape(-1))
-            self.slot_row = np.arange(self.n) << FREQUENCY_BITS
-
-    def guess(self) -> None:
-        """The guesses, and the mixture's first two intervals."""
-        self.at1 = self.row1 + (self.last * 40503 >> 3 & (1 << HASH_BITS) - 1)
-        self.at2 = self.row2 + ((self.last * 40503 + self.before * 30011) >> 3 & (2 << HASH_BITS) - 1)
-        self.packed1, self.packed2 = self.guess1[self.at1], self.guess2[self.at2]
-        self.id1, self.id2 = self.packed1 >> 2, self.packed2 >> 2
-        self.at = self.context + ((self.packed2 & 3) * 4 + (self.packed1 & 3))
-        self.p2, self.p1 = self.rate2[self.at], self.rate1[self.at]
-        self.width2 = (self.p2 >> 1) + 1
-        left = (1 << MIX_BITS) - self.width2
-        self.width1 = np.where(self.id1 == self.id2, 1, (left * self.p1 >> 16) + 1)
-        self.edge = self.width2 + self.width1
-
-    def learn(self, ids: np.ndarray) -> None:
-        hit2, hit1 = self.id2 == ids, self.id1 == ids
-        for hit, packed, tab, at in ((hit1, self.packed1, self.guess1, self.at1), (hit2, self.packed2, self.guess2, self.at2)):
-            sure = packed & 3
-            tab[at] = np.where(hit, packed - sure + np.minimum(sure + 1, 3), np.where(sure > 0, packed - 1, ids << 2))
-        self.rate2[self.at] = self.p2 + ((hit2 * 60000 + 2000 - self.p2) >> 4)
-        miss = ~hit2
-        self.rate1[self.at] = self.p1 + (miss * (hit1 * 60000 + 2000 - self.p1) >> 4)
-        self.count.reshape(-1)[self.count_row + CLASS_OF[ids]] += 1
-        self.before, self.last = self.last, ids
+    def before(self) -> None:
+        """Renews the tables that are due before the next id."""
+        if self.seen % REWEIGH == 0:
+            c = self.outcomes
+            scale = np.float32(CHOICES - 3) / c.sum(axis=2, dtype=np.int32).astype(np.float32)
+            first = 1 + (c[:, :, 0] * scale).astype(np.int32)
+            self.edges[:, :, 1] = first
+            self.edges[:, :, 2] = first + 1 + (c[:, :, 1] * scale).astype(np.int32)
+        if self.seen % RENEW == 0:
+            own = self.count[:, :CLASSES]
+            spare = np.float64((1 << FREQUENCY_BITS) - CLASSES)
+            f = 1 + ((own + FALLING * PRIOR) * (spare / (own.sum(axis=1, keepdims=True) + PRIOR))).astype(np.int32)
+            f[:, CLASSES - 1] += (1 << FREQUENCY_BITS) - f.sum(axis=1, dtype=np.int32)
+            sums = np.zeros((self.n, CLASSES + 1), np.uint32)
+            np.cumsum(f, axis=1, out=sums[:, 1:])
+            self.sums = sums.reshape(-1)
+            if self.with_slots:
+                self.slots = np.repeat(np.tile(np.arange(CLASSES, dtype=np.uint16), self.n), f.reshape(-1))
         self.seen += 1
 
+    def guess(self, hash1: np.ndarray, hash2: np.ndarray) -> None:
+        """The packed guesses, and where the edges of their state's outcomes are."""
+        self.at1, self.at2 = self.row1 + hash1, self.row2 + hash2
+        self.packed1, self.packed2 = self.guess1.take(self.at1), self.guess2.take(self.at2)
+        state = (self.packed2 & 3) << 4
+        state += (self.packed1 & 3) << 2
+        state += ((self.packed1 ^ self.packed2) < 4) * np.int32(64)
+        self.state = self.state_row + state
+
+    def learn(self, packed_id: np.ndarray, hit1: np.ndarray, hit2: np.ndarray, outcome_at: np.ndarray, class_at: np.ndarray) -> None:
+        """packed_id: 4 times the id; outcome_at, class_at: places of what the mixture and P0 took."""
+        most = packed_id + 3
+        self.guess1[self.at1] = np.where(hit1, np.minimum(self.packed1 + 1, most), packed_id)
+        self.guess2[self.at2] = np.where(hit2, np.minimum(self.packed2 + 1, most), packed_id)
+        self.flat_outcomes[outcome_at] += 1
+        self.flat_count[class_at] += 1
 
-def settle(low: np.ndarray, width: np.ndarray) -> Iterator[np.ndarray]:
-    """Yields the lanes that give or take a 16-bit word, after which their range is shifted, until all are wide."""
-    while (at := np.nonzero(width < LEAST_RANGE)[0]).size:
-        a, w = low[at], width[at]
-        split = (a ^ (a + w - U(1))) >> U(48) != 0
-        w = np.where(split, U(1 << 48) - (a & U((1 << 48) - 1)), w)
-        yield at
-        low[at], width[at] = a << U(16), w << U(16)
+
+def hashes(last: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the last id's and of the last two ids' guesses."""
+    one = last * 40503
+    return one >> 3 & (1 << HASH_BITS) - 1, one + before * 30011 >> 3 & (2 << HASH_BITS) - 1
 
 
 def encode_blocks(ids: np.ndarray) -> bytes:
     """All ids in blocks, each with its header."""
-    n = max(1, -(-len(ids) // BLOCK))
-    rows = np.zeros((n, BLOCK), np.int32)
+    n, steps = max(1, -(-len(ids) // BLOCK)), min(BLOCK, len(ids))
+    rows = np.zeros((n, BLOCK), np.int64)
     rows.reshape(-1)[: len(ids)] = ids
-    steps = min(BLOCK, len(ids))
     columns = np.ascontiguousarray(rows.T)
-    model = Lanes(n)
+    del rows
+    model, none = Lanes(n, False), np.zeros(n, np.int64)
     low, width = np.zeros(n, U), np.full(n, (1 << 64) - 1, U)
-    cap = steps * 36 // 16 + 16
-    out, used, row = np.zeros(n * cap, np.uint16), np.zeros(n, np.int64), np.arange(n) * cap
+    out, used = np.zeros(n * (steps + 4), np.uint32), np.arange(n) * (steps + 4)
+    begin = used.copy()
     for t in range(steps):
-        if t % RENEW == 0:
-            model.renew(False)
         own = columns[t]
-        model.guess()
-        is2 = own == model.id2
-        is1 = (own == model.id1) & ~is2
-        start = np.where(is2, 0, np.where(is1, model.width2, model.edge))
-        size = np.where(is2, model.width2, np.where(is1, model.width1, (1 << MIX_BITS) - model.edge))
-        r = width >> U(MIX_BITS)
-        low += r * start.astype(U)
-        width = r * size.astype(U)
-        c = CLASS_OF[own]
-        at = model.sum_row + c
-        a, f = model.flat_sums[at], model.flat_sums[at + 1]
-        f -= a
-        single = c < SINGLE
-        plain = ~(is2 | is1)
-        start = (a << WIDTH_BITS) + np.where(single, 0, (own - FIRST_OF[c]) * f)
-        size = np.where(single, f << WIDTH_BITS, f)
-        r = np.where(plain, width >> U(FREQUENCY_BITS + WIDTH_BITS), U(0))
-        low += r * start.astype(U)
-        width = np.where(plain, r * size.astype(U), width)
-        for lanes in settle(low, width):
-            out[row[lanes] + used[lanes]] = (low[lanes] >> U(48)).astype(np.uint16)
-            used[lanes] += 1
-        model.learn(own)
-    for _ in range(4):
-        out[row + used] = (low >> U(48)).astype(np.uint16)
-        low <<= U(16)
+        packed = (own << 2).astype(np.int32)
+        model.before()
+        model.guess(*hashes(columns[t - 1] if t else none, columns[t - 2] if t > 1 else none))
+        hit1, hit2 = (model.packed1 ^ packed) < 4, (model.packed2 ^ packed) < 4
+        outcome = np.where(hit2, 0, 2 - hit1.view(np.int8))
+        outcome_at = model.state + outcome
+        edge = model.flat_edges.take(outcome_at)
+        part = width >> U(MIX_BITS)
+        add = part * edge
+        width = part * (model.flat_edges.take(outcome_at + 1) - edge)
+        plain = np.nonzero(outcome == 2)[0]
+        mine = own.take(plain)
+        c = CLASS_OF.take(mine)
+        class_at = model.sum_row.take(plain) + c
+        a = model.sums.take(class_at).astype(U)
+        f = model.sums.take(class_at + 1).astype(U) - a
+        part = width.take(plain) >> U(SLOT_BITS)
+        add[plain] += part * ((a << U(WIDTH_BITS)) + (mine - FIRST_OF.take(c)).astype(U) * f)
+        width[plain] = part * (f << SIZE_BITS.take(c))
+        low += add
+        carried = used.take(np.nonzero(low < add)[0]) - 1
+        while carried.size:
+            out[carried] += 1
+            carried = carried[out[carried] == 0] - 1
+        full = np.nonzero(width < SHORT)[0]
+        at, top = used.take(full), low.take(full)
+        out[at] = top >> WORD
+        used[full] = at + 1
+        low[full] = top << WORD
+        width[full] = width.take(full) << WORD
+        model.learn(packed, hit1, hit2, outcome_at, class_at)
+    for _ in range(2):
+        out[used] = low >> WORD
+        low <<= WORD
         used += 1
     parts = []
-    for i in range(n):
-        own = ids[i * BLOCK : (i + 1) * BLOCK].astype("<u2").tobytes()
-        body = out[i * cap : i * cap + used[i]].astype("<u2").tobytes()
+    for i, (a, b) in enumerate(zip(begin.tolist(), used.tolist())):
+        own, body = ids[i * BLOCK : (i + 1) * BLOCK].astype("<u2").tobytes(), out[a:b].astype("<u4").tobytes()
         parts += [MAGIC, np.array([len(own) // 2, len(body), zlib.crc32(own), zlib.crc32(body)], "<u4").tobytes(), body]
     return b"".join(parts)
 
 
-def decode_blocks(data: bytes) -> np.ndarray:
-    """The ids of all blocks; raises ValueError where a checksum does not hold."""
+def opened(data: bytes) -> tuple[list[np.ndarray], list[int], list[int]]:
+    """The words, number of ids and their checksum of each block; raises ValueError where a block is damaged."""
     bodies, sizes, sums, at = [], [], [], 0
     while at < len(data):
         size, length, crc, body_crc = np.frombuffer(data, "<u4", 4, at + 4).tolist()
         body = data[at + 20 : at + 20 + length]
         if data[at : at + 4] != MAGIC or zlib.crc32(body) != body_crc:
             raise ValueError(f"damaged block at byte {at}")
-        bodies.append(np.frombuffer(body, "<u2"))
+        bodies.append(np.frombuffer(body, "<u4"))
         sizes.append(size)
         sums.append(crc)
         at += 20 + length
+    return bodies, sizes, sums
+
+
+def decode_blocks(data: bytes) -> np.ndarray:
+    """The ids of all blocks that were coded together; raises ValueError where a checksum does not hold."""
+    bodies, sizes, sums = opened(data)
     n, steps = len(bodies), max(sizes, default=0)
     if not n:
         return np.zeros(0, np.uint16)
-    cap = max(map(len, bodies)) + 4
-    words = np.zeros((n, cap), np.uint16)
+    cap = max(map(len, bodies)) + 2
+    words = np.zeros((n, cap), np.uint32)
     for i, b in enumerate(bodies):
         words[i, : len(b)] = b
-    words, row, used = words.reshape(-1), np.arange(n) * cap, np.full(n, 4)
-    code = np.zeros(n, U)
-    for j in range(4):
-        code = code << U(16) | words[row + j].astype(U)
-    model = Lanes(n)
-    low, width = np.zeros(n, U), np.full(n, (1 << 64) - 1, U)
-    out = np.zeros((max(steps, 1), n), np.int32)
-    last_word = row + cap - 1
+    words, used = words.reshape(-1), np.arange(n) * cap + 2
+    code = words[used - 2].astype(U) << WORD | words[used - 1].astype(U)
+    model, width = Lanes(n, True), np.full(n, (1 << 64) - 1, U)
+    last, before = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    out = np.zeros((max(steps, 1), n), np.uint16)
     for t in range(steps):
-        if t % RENEW == 0:
-            model.renew(True)
-        model.guess()
-        r = width >> U(MIX_BITS)
-        slot = np.minimum((code - low) // r, U((1 << MIX_BITS) - 1)).astype(np.int64)
-        is2 = slot < model.width2
-        is1 = (slot < model.edge) & ~is2
-        start = np.where(is2, 0, np.where(is1, model.width2, model.edge))
-        size = np.where(is2, model.width2, np.where(is1, model.width1, (1 << MIX_BITS) - model.edge))
-        low += r * start.astype(U)
-        width = r * size.astype(U)
-        plain = ~(is2 | is1)
-        r = np.where(plain, width >> U(FREQUENCY_BITS + WIDTH_BITS), U(1))
-        slot = np.minimum((code - low) // r, U((1 << FREQUENCY_BITS + WIDTH_BITS) - 1)).astype(np.int64)
-        c = model.slots[model.slot_row + (slot >> WIDTH_BITS)].astype(np.int64)
-        at = model.sum_row + c
-        a, f = model.flat_sums[at], model.flat_sums[at + 1]
-        f -= a
-        single = c < SINGLE
-        inside = np.where(single, 0, (slot - (a << WIDTH_BITS)) // f)
-        own = np.where(is2, model.id2, np.where(is1, model.id1, FIRST_OF[c] + inside)).astype(np.int32)
-        start = (a << WIDTH_BITS) + inside * f
-        size = np.where(single, f << WIDTH_BITS, f)
-        low += np.where(plain, r * start.astype(U), U(0))
-        width = np.where(plain, r * size.astype(U), width)
-        for lanes in settle(low, width):
-            code[lanes] = code[lanes] << U(16) | words[np.minimum(row[lanes] + used[lanes], last_word[lanes])].astype(U)
-            used[lanes] += 1
-        own = np.minimum(own, (1 << 16) - 1)
+        model.before()
+        model.guess(*hashes(last, before))
+        part = width >> U(MIX_BITS)
+        slot = code // part
+        missed1 = slot >= model.flat_edges.take(model.state + 2)
+        outcome_at = model.state + (slot >= model.flat_edges.take(model.state + 1))
+        outcome_at += missed1
+        edge = model.flat_edges.take(outcome_at)
+        code -= part * edge
+        width = part * (model.flat_edges.take(outcome_at + 1) - edge)
+        own = np.where(outcome_at == model.state, model.packed2, model.packed1) >> 2
+        plain = np.nonzero(missed1)[0]
+        part, mine = width.take(plain) >> U(SLOT_BITS), code.take(plain)
+        slot = (mine // part).astype(np.int64)
+        c = model.slots.take(model.slot_row.take(plain) + (slot >> WIDTH_BITS)).astype(np.int64)
+        class_at = model.sum_row.take(plain) + c
+        a = model.sums.take(class_at).astype(np.int64)
+        f = model.sums.take(class_at + 1) - a
+        inside = np.where(c < SINGLE, 0, (slot - (a << WIDTH_BITS)) // f)
+        own[plain] = FIRST_OF.take(c) + inside
+        code[plain] = mine - part * ((a << WIDTH_BITS) + inside * f).astype(U)
+        width[plain] = part * (f.astype(U) << SIZE_BITS.take(c))
+        short = np.nonzero(width < SHORT)[0]
+        at = used.take(short)
+        code[short] = code.take(short) << WORD | words.take(at)
+        used[short] = at + 1
+        width[short] = width.take(short) << WORD
+        packed = own << 2
+        model.learn(packed, (model.packed1 ^ packed) < 4, (model.packed2 ^ packed) < 4, outcome_at, class_at)
         out[t] = own
-        model.learn(own)
-    found = [out[:size, i].astype("<u2") for i, size in enumerate(sizes)]
+        before, last = last, own.astype(np.int64)
+    found = [own[:size].astype("<u2") for own, size in zip(np.ascontiguousarray(out.T), sizes)]
     for own, crc in zip(found, sums):
         if zlib.crc32(own.tobytes()) != crc:
             raise ValueError("a block's ids do not match its checksum")
