@@ -7,10 +7,13 @@ length, are thrown, and the earliest of each coordinate is kept; two texts agree
 probability of their (weighted) Jaccard similarity. Coordinates without a dart double the bound. BANDS bands of
 ROWS coordinates are joining keys: a pair of similarity 0.8 shares one with probability 1 - (1 - 0.8^4)^20, 0.99997.
 
-Exact copies are one representative each. Within a band's bucket no pairs are spelled out: members are
-compared with the bucket's HUBS most popular members (those whose buckets are largest, which is where the original
-of a group of edited copies stands). A first round verifies each text's best hub, the next ones only pairs
-that are not yet in one class, with hubs further down as long as rounds merge classes. Verification is exact, on
+Exact copies are one representative each. No bucket's pairs are spelled out. First its members are compared with
+its HUBS most popular members (those whose buckets are largest, which is where the original of a group of
+edited copies stands): each text with its best hub, then the pairs not yet in one class. Buckets that
+still hold several classes are then searched whole: hashed into blocks of about CELL members, one cell for each two
+blocks, whose signatures are compared as matrices within a task. Members with a likely partner of another class bring
+their shingle sets to the cell, which verifies such pairs and returns the links that join classes, fewer than it has
+members. So every pair that shares a band is in one class or has been compared. Verification is exact, on
 the shingle sets. Classes are connected components, found by label propagation with pointer jumping.
 
 Defined results: texts of fewer than SHINGLE words are one shingle; texts without words are alone in their class.
@@ -35,8 +38,8 @@ from driftline.llm.common import stored, table, texts
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 4
 K = BANDS * ROWS
-#: Hubs of a bucket in the first rounds and how many more each further round takes.
-HUBS, MORE_HUBS, ROUNDS = 3, 4, 3
+#: Hubs of a bucket, and members of a block where a bucket is searched whole.
+HUBS, CELL = 3, 512
 #: Share of equal coordinates below which a pair is not verified; 0.8 lies four deviations above.
 LIKELY = 0.6
 #: Texts and characters handled at once.
@@ -155,10 +158,10 @@ def bucket_rows(representatives: DataFrame) -> DataFrame:
     return stored(several.join(popular, "doc_id").select("bucket", "doc_id", "popularity"), "members")
 
 
-def hub_pairs(members: DataFrame, first: int, last: int) -> DataFrame:
-    """a, b, place: each member with the hubs of its buckets at places first to last; place 1 is the best."""
+def hub_pairs(members: DataFrame) -> DataFrame:
+    """a, b, member, hub_popularity: each member with the hubs of its buckets."""
     order = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("popularity"), "doc_id"))
-    hubs = members.withColumn("place", order).filter(F.col("place") <= last).filter(F.col("place") >= first)
+    hubs = members.withColumn("place", order).filter(F.col("place") <= HUBS)
     hubs = hubs.select("bucket", F.col("doc_id").alias("hub"), F.col("popularity").alias("hub_popularity"))
     both = members.join(hubs, "bucket").filter("doc_id <> hub")
     pairs = both.groupBy(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b"))
@@ -178,6 +181,14 @@ def likely(pairs: DataFrame, representatives: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").filter(agreement("short_a", "short_b") >= LIKELY).drop("short_a", "short_b")
 
 
+def alike(p: bytes, q: bytes) -> bool:
+    """Whether two sorted sets of 32-bit hashes have the similarity."""
+    p, q = np.frombuffer(p, np.uint32), np.frombuffer(q, np.uint32)
+    small, large = min(len(p), len(q)), max(len(p), len(q))
+    common = len(np.intersect1d(p, q, assume_unique=True)) if small >= SIMILARITY * large else 0
+    return common >= SIMILARITY * (small + large - common) and common > 0
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """a, b of the pairs whose shingle sets have the similarity. sets: doc_id, own (sorted hashes)."""
     one = sets.select(F.col("doc_id").alias("a"), F.col("own").alias("own_a"))
@@ -185,13 +196,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     @F.pandas_udf("boolean")
     def similar(x: pd.Series, y: pd.Series) -> pd.Series:
-        out = []
-        for p, q in zip(x, y):
-            p, q = np.frombuffer(p, np.uint32), np.frombuffer(q, np.uint32)
-            small, large = min(len(p), len(q)), max(len(p), len(q))
-            common = len(np.intersect1d(p, q, assume_unique=True)) if small >= SIMILARITY * large else 0
-            out.append(common >= SIMILARITY * (small + large - common) and common > 0)
-        return pd.Series(out, dtype=bool)
+        return pd.Series([alike(p, q) for p, q in zip(x, y)], dtype=bool)
 
     return pairs.select("a", "b").join(one, "a").join(two, "b").filter(similar("own_a", "own_b")).select("a", "b")
 
@@ -233,6 +238,86 @@ def apart(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.filter("class_a <> class_b").drop("class_a", "class_b")
 
 
+def likely_apart(cell: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
+    """Places of a cell's rows, each with the places behind it of likely partners in another class.
+
+    In a cell of two blocks only pairs across them count; those within one have a cell of their own."""
+    own, block = cell["class_id"].to_numpy(), cell["block"].to_numpy()
+    if (own == own[0]).all():
+        return
+    short = np.frombuffer(b"".join(cell["short"]), np.uint8).reshape(-1, K)
+    across = cell["low"].iat[0] != cell["high"].iat[0]
+    for i in range(len(own) - 1):
+        equal = np.count_nonzero(short[i + 1 :] == short[i], axis=1)
+        at = (equal >= LIKELY * K) & (own[i + 1 :] != own[i])
+        at = np.nonzero(at & (block[i + 1 :] != block[i]) if across else at)[0]
+        if at.size:
+            yield i, at + i + 1
+
+
+def with_partners(cell: pd.DataFrame) -> pd.DataFrame:
+    """The rows that have a likely partner."""
+    found = np.zeros(len(cell), bool)
+    for i, at in likely_apart(cell):
+        found[i] = found[at] = True
+    return cell[found]
+
+
+def joining_links(cell: pd.DataFrame) -> pd.DataFrame:
+    """a, b: verified pairs, each of which joins two classes that those before it left apart."""
+    own, ids, sets = cell["class_id"].to_numpy().copy(), cell["doc_id"].to_numpy(), cell["own"].to_numpy()
+    links = []
+    for i, at in likely_apart(cell):
+        for j in at:
+            if own[i] != own[j] and alike(sets[i], sets[j]):
+                links.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+                own[own == own[j]] = own[i]
+    return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+
+def by_cell(rows: DataFrame, judge, schema: str) -> DataFrame:
+    """judge's rows for each cell; cells are small and many, so that a task goes through its sorted rows."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for b in batches:
+            if not len(b):
+                continue
+            key = b[["bucket", "low", "high"]].to_numpy()
+            starts = [0, *(np.nonzero((key[1:] != key[:-1]).any(axis=1))[0] + 1), len(b)]
+            if held and (held[0][["bucket", "low", "high"]].iloc[0].to_numpy() != key[0]).any():
+                yield judge(pd.concat(held, ignore_index=True))
+                held = []
+            for x, y in zip(starts, starts[1:]):
+                held.append(b.iloc[x:y])
+                if y < len(b):
+                    yield judge(pd.concat(held, ignore_index=True))
+                    held = []
+        if held:
+            yield judge(pd.concat(held, ignore_index=True))
+
+    return rows.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "doc_id").mapInPandas(run, schema)
+
+
+def links_within(members: DataFrame, classes: DataFrame, representatives: DataFrame, known: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b: the links that are missing between classes, of the buckets that hold members of several.
+
+    Buckets of HUBS + 1 members are left out: one of each pair is a hub."""
+    own = members.select("bucket", "doc_id").join(classes, "doc_id", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
+    several = own.groupBy("bucket").agg(F.min("class_id").alias("lo"), F.max("class_id").alias("hi"), F.count("*").alias("n")).filter(F.col("n") > HUBS + 1).filter("lo <> hi")
+    blocks = several.select("bucket", F.ceil(F.col("n") / CELL).alias("blocks"))
+    rows = own.join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks"))
+    rows = rows.join(representatives.select("doc_id", "short"), "doc_id")
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    rows = rows.withColumn("other", other).select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "doc_id", "class_id", "short")
+    schema = "bucket long, low long, high long, block long, doc_id long, class_id long, short binary"
+    found = stored(by_cell(rows, with_partners, schema), "partners")
+    new = found.select("doc_id").distinct().join(sets, "doc_id", "left_anti")
+    if new.limit(1).count():
+        sets = sets.union(stored(shingle_sets(known, new), "sets"))
+    return stored(by_cell(found.join(sets, "doc_id"), joining_links, "a long, b long").distinct(), "links")
+
+
 def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     """doc_id, representative (least id of its exact copies) and class_id (least id of its class) for each doc_id."""
     plain = texts(docs)
@@ -242,28 +327,17 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     representatives = stored(signed.filter(F.col("bands").isNotNull()).groupBy("copy").agg(least).select("copy", "x.*"), "representatives")
     members = bucket_rows(representatives)
 
-    candidates = stored(likely(hub_pairs(members, 1, HUBS), representatives), "candidates")
+    candidates = stored(likely(hub_pairs(members), representatives), "candidates")
     ends = candidates.select(F.col("a").alias("doc_id")).union(candidates.select("b")).distinct()
     sets = stored(shingle_sets(known, ends), "sets")
     best = candidates.groupBy("member").agg(F.max(F.struct("hub_popularity", "a", "b")).alias("x")).select("x.a", "x.b").distinct()
     edges = stored(verified(best, sets), "links")
     classes = components(edges)
-    rest = apart(candidates, classes)
-    for turn in range(ROUNDS):
-        found = stored(verified(rest, sets), "links")
-        if not found.limit(1).count() and turn:
-            break
-        edges = edges.select("a", "b").union(found)
-        classes = components(edges)
-        if turn + 1 < ROUNDS:
-            split = members.join(classes, "doc_id", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
-            open_ = split.groupBy("bucket").agg(F.min("class_id").alias("lo"), F.max("class_id").alias("hi")).filter("lo <> hi").select("bucket")
-            further = hub_pairs(members.join(open_, "bucket"), HUBS + 1 + turn * MORE_HUBS, HUBS + (turn + 1) * MORE_HUBS)
-            rest = stored(apart(likely(further, representatives), classes), "candidates")
-            ends = rest.select(F.col("a").alias("doc_id")).union(rest.select("b")).distinct()
-            new = ends.join(sets, "doc_id", "left_anti")
-            if new.limit(1).count():
-                sets = stored(sets.union(shingle_sets(known, new)), "sets")
+    edges = edges.union(stored(verified(apart(candidates, classes), sets), "links"))
+    classes = components(edges)
+    further = links_within(members, classes, representatives, known, sets)
+    if further.limit(1).count():
+        classes = components(edges.union(further))
 
     own = representatives.select("copy", F.col("doc_id").alias("representative"))
     own = own.join(classes.withColumnRenamed("doc_id", "representative"), "representative", "left")

@@ -135,6 +135,29 @@ def test_star_of_edited_copies_stays_whole(spark):
     assert {x["class_id"] for x in got} == {0}
 
 
+def test_no_link_is_lost_beyond_the_hubs(spark, monkeypatch):
+    """Families whose members drift apart, so that links between members that are no hub alone hold classes together."""
+    monkeypatch.setattr(minhash_dedup, "HUBS", 1)
+    monkeypatch.setattr(minhash_dedup, "CELL", 4)
+    r = np.random.default_rng(8)
+    rows, sets = [], {}
+    for family in range(4):
+        words = [f"f{family}w{i}" for i in range(300)]
+        for step in range(25):
+            rows.append((family * 100 + int(step * 7 % 25), " ".join(words)))
+            for at in r.choice(60, 2 if step % 9 else 30, replace=False):
+                words[at * 5] = f"f{family}s{step}x{at}"
+    sets = {d: shingle_set(t) for d, t in rows}
+    label = {d: d for d in sets}
+    for _ in sets:
+        for a, b in itertools.combinations(sets, 2):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                label[a] = label[b] = min(label[a], label[b])
+    got = minhash_dedup.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x["doc_id"]: x["class_id"] for x in got} == label
+    assert len(set(label.values())) > 4
+
+
 def brute_spans(text):
     text = text or ""
     assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
