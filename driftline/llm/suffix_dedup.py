@@ -13,7 +13,7 @@ which is the threshold, and a window is removed where an earlier document has th
 Within a task, segments that an earlier document of the same strip of text holds are decided before any shuffle, so
 that a frequent passage costs one row for each strip, not for each document.
 
-Names are 64-bit, pairs 128-bit fingerprints. Defined results: a null or empty text has no bytes and the SHA-256
+Names are 64-bit, pairs 96-bit fingerprints (of the second name 32 bits go into the pair). Defined results: a null or empty text has no bytes and the SHA-256
 of nothing. Rows without an id neither remove nor lose anything. Rows that repeat a doc_id must
 repeat its text; they get equal results. An empty table gives no rows; other columns are not looked at.
 """
@@ -155,7 +155,7 @@ def anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x[back]) for x in columns], schema=ROW)
 
 
-PAIR = pa.schema([("left", pa.int64()), ("right", pa.int64()), ("doc_id", pa.int64()), ("first", pa.int32())])
+PAIR = pa.schema([("left", pa.int64()), ("right", pa.int32()), ("doc_id", pa.int64()), ("first", pa.int32())])
 
 
 def pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,11 +170,11 @@ def pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 own = at[(at >= lo) & (at < lo + CHUNK)]
                 if len(own):
                     name = names(data[lo : lo + CHUNK + WINDOW])
-                    for column, x in zip(out, (name[own - lo], name[own - lo + HALF], np.full(len(own), doc.as_py()), own)):
+                    for column, x in zip(out, (name[own - lo], (mixed(name[own - lo + HALF]) >> np.uint64(32)).astype(np.uint32), np.full(len(own), doc.as_py()), own)):
                         column.append(x)
         if out[0]:
             left, right, doc, first = (np.concatenate(x) for x in out)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (left.view(np.int64), right.view(np.int64), doc, first.astype(np.int32))], schema=PAIR)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (left.view(np.int64), right.view(np.int32), doc, first.astype(np.int32))], schema=PAIR)
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -195,7 +195,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     whole = judged.filter("repeated").select("doc_id", "first", (F.col("first") + F.col("windows") + F.lit(WINDOW - 1)).alias("last"))
     still = judged.filter("not repeated").groupBy("doc_id").agg(F.collect_list("first").alias("firsts"), F.collect_list("windows").alias("counts"))
     pairs = docs.join(still.hint("shuffle_hash"), "doc_id").select("text", "doc_id", "firsts", "counts")
-    pairs = pairs.mapInArrow(pair_rows, "left long, right long, doc_id long, first int")
+    pairs = pairs.mapInArrow(pair_rows, "left long, right int, doc_id long, first int")
     earliest = F.min("doc_id").over(Window.partitionBy("left", "right"))
     windows = pairs.withColumn("owner", earliest).filter("doc_id > owner").select("doc_id", "first", (F.col("first") + WINDOW).alias("last"))
     return whole.unionByName(windows)
