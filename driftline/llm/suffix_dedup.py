@@ -129,7 +129,8 @@ def strips(begin: np.ndarray) -> Iterator[tuple[int, int]]:
         i = j
 
 
-ROW = pa.schema([("rank", pa.int64()), ("segment", pa.int64()), ("doc_id", pa.int64()), ("first", pa.int32()), ("windows", pa.int32()), ("settled", pa.bool_())])
+#: place: first window (24 bits and more), number of windows (7 bits), settled (1 bit), as one number for a smaller shuffle.
+ROW = pa.schema([("rank", pa.int64()), ("segment", pa.int64()), ("doc_id", pa.int64()), ("place", pa.int64())])
 
 
 def anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +152,7 @@ def anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             settled = doc > doc[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
             rank = np.where(settled, mixed(segment + doc.astype(np.uint64) * BASE + first.astype(np.uint64)), rank)
             back = np.argsort(order, kind="stable")
-            columns = [rank.view(np.int64), segment.view(np.int64), doc, first.astype(np.int32), count.astype(np.int32), settled]
+            columns = [rank.view(np.int64), segment.view(np.int64), doc, first.astype(np.int64) << 8 | count << 1 | settled]
             yield pa.RecordBatch.from_arrays([pa.array(x[back]) for x in columns], schema=ROW)
 
 
@@ -179,7 +180,7 @@ def pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeats(docs: DataFrame) -> DataFrame:
     """doc_id, first, last: bytes to remove, as intervals that may overlap. docs: doc_id, text, none null."""
-    row = "rank long, segment long, doc_id long, first int, windows int, settled boolean"
+    row = "rank long, segment long, doc_id long, place long"
     by_rank, by_segment = Window.partitionBy("rank"), Window.partitionBy("rank", "segment")
     judged = (
         docs.mapInArrow(anchor_rows, row)
@@ -188,7 +189,10 @@ def repeats(docs: DataFrame) -> DataFrame:
         .withColumn("several", F.min("doc_id").over(by_rank) != F.max("doc_id").over(by_rank))
         .withColumn("mixed", F.min("segment").over(by_rank) != F.max("segment").over(by_rank))
         .withColumn("owner", F.min("doc_id").over(by_segment))
+        .withColumn("settled", F.col("place").bitwiseAND(1) == 1)
         .filter("settled or several and (doc_id > owner or mixed)")
+        .withColumn("first", F.shiftright("place", 8).cast("int"))
+        .withColumn("windows", F.shiftright("place", 1).bitwiseAND(127).cast("int"))
         .select("doc_id", "first", "windows", (F.col("settled") | (F.col("doc_id") > F.col("owner"))).alias("repeated"))
     )
     judged = stored(judged, "segments")
