@@ -3,7 +3,7 @@
 A position's rank is the 64-bit name of the string that starts there. Names are doubled inside each task: from
 1 byte to 2, 4, 8, 16 and then HALF bytes, as name(i, 2k) = name(i, k) * B^k + name(i + k, k). Ranking every
 position by Spark would shuffle many times the input, so that only anchors are ranked there: in each
-window of WINDOW bytes the HALF-byte string with the least mixed name (the leftmost on ties). Equal windows have
+window of WINDOW bytes the ANCHOR-byte string with the least mixed name (the leftmost on ties). Equal windows have
 their anchor at the same place, so that no repeat is lost. Windows that share an anchor make one segment.
 
 Round 1: Spark sorts (anchor rank, segment rank, document); anchors of one document are unique and drop out. A
@@ -93,7 +93,9 @@ def segments(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     start = np.nonzero(new)[0]
     stop = np.nonzero(whole[:n] & (np.concatenate([new[1:], [True]]) | ~whole[1:]))[0]
     p, count = anchor[start], stop - start + 1
-    segment = mixed(mixed(mixed(name[start]) + name[start + HALF]) + name[stop + HALF]) + (count.astype(np.uint64) << np.uint64(32)) + (p - start).astype(np.uint64)
+    # a segment has up to 2 * WINDOW - ANCHOR bytes: four names of HALF bytes leave none out
+    between, last = name[start + HALF + np.minimum(count - 1, HALF)], name[stop + HALF]
+    segment = mixed(mixed(mixed(mixed(name[start]) + name[start + HALF]) + between) + last) + (count.astype(np.uint64) << np.uint64(32)) + (p - start).astype(np.uint64)
     return start, count, p, mixed(short[p] + BASE), mixed(segment)
 
 

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import random
 import re
 import zlib
 
@@ -76,6 +77,42 @@ def test_suffix_removal(odd, odd_rows, empty, chunk, monkeypatch):
     assert suffix_dedup.removal_table(empty).count() == 0
 
 
+def substituted(seed):
+    """Documents that share a passage but for one to five bytes of the same length, at every place of it."""
+    r = random.Random(seed)
+    draw = lambda n: "".join(r.choice("abcdefghij klmnop") for _ in range(n))
+    passage = draw(170)
+    rows = [(0, draw(30) + passage + draw(30))]
+    for n in range(1, 6):
+        for at in range(len(passage) - n + 1):
+            rows.append((len(rows), draw(12) + passage[:at] + "".join(r.choice("0123456789") for _ in range(n)) + passage[at + n :] + draw(12)))
+    return rows
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_suffix_removal_sees_every_byte_of_a_passage(spark, parts):
+    rows = substituted(22)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    assert by_row(suffix_dedup.removal_table(df).collect()) == brute_removal(rows)
+
+
+def test_segment_rank_covers_every_byte():
+    width, seen = suffix_dedup.WINDOW, 0
+    for seed in range(6):
+        data = np.random.default_rng(seed).integers(97, 123, 400).astype(np.uint8)
+        start, count, _, rank, segment = suffix_dedup.segments(data, np.array([len(data)]))
+        held = dict(zip(zip(start, count), zip(rank, segment)))
+        for a, n in [(a, n) for a, n in zip(start, count) if n > 26]:
+            for at in range(a, a + n + width - 1):
+                other = data.copy()
+                other[at] = 48
+                again = suffix_dedup.segments(other, np.array([len(data)]))
+                new = dict(zip(zip(again[0], again[1]), zip(again[3], again[4])))
+                assert new.get((a, n)) != held[(a, n)]
+                seen += 1
+    assert seen > 500
+
+
 def test_suffix_names_agree_with_their_strings():
     data = np.frombuffer(b"abcabcabdabcabcabcabdabc" * 9, np.uint8)
     names = suffix_dedup.names(data)
