@@ -92,16 +92,17 @@ def within_km(left: DataFrame, right: DataFrame, km: float, lat: str = "lat", lo
     return joined.drop("driftline_row", "driftline_column")
 
 
-def nearest(points: DataFrame, places: DataFrame, keys: list[str], start_km: float = 50.0, lat: str = "lat", lon: str = "lon") -> DataFrame:
-    """Each point with its nearest place. The radius doubles for the points still without one."""
+def nearest(points: DataFrame, places: DataFrame, keys: list[str], start_km: float = 50.0, lat: str = "lat", lon: str = "lon", only: Column | None = None) -> DataFrame:
+    """Each point with its nearest place, of the pairs that only holds for. The radius grows for the points still without one."""
     todo, found, km = points, None, start_km
+    only = F.lit(True) if only is None else only
     while True:
         if km > 5000:  # half the globe: what is left meets every place, in a broadcast of the few left
             r = places.select(*[F.col(c).alias(f"r_{c}") for c in places.columns])
             d = geodesy.haversine_km(F.col(lon), F.col(lat), F.col(f"r_{lon}"), F.col(f"r_{lat}"))
-            best = closest(todo.join(r, F.lit(True)).withColumn("distance_km", d), keys)
+            best = closest(todo.join(r, only).withColumn("distance_km", d), keys)
             return best if found is None else found.unionByName(best)
-        best = closest(within_km(todo, places, km, lat, lon), keys)
+        best = closest(within_km(todo, places, km, lat, lon).filter(only), keys)
         found = best if found is None else found.unionByName(best)
         todo = todo.join(best.select(*keys), keys, "left_anti")
         if todo.limit(1).count() == 0:

@@ -258,10 +258,20 @@ select id, round(min(d), 4) distance_km from d group by 1"""
 )
 def nearest_place(spark, sf):
     p = places(spark, sf)
-    found = joins.nearest(p.filter("id % 7 = 1 and id % 3 <> 0"), p.filter("id % 3 = 0"), ["id"])
-    both = p.filter("id % 7 = 1 and id % 3 = 0")
-    other = joins.within_km(both, p.filter("id % 3 = 0"), 5000).filter("id <> r_id").groupBy("id").agg(F.min("distance_km").alias("distance_km"))
-    return found.select("id", "distance_km").union(other).select("id", F.round("distance_km", 4).alias("distance_km"))
+    found = joins.nearest(p.filter("id % 7 = 1"), p.filter("id % 3 = 0"), ["id"], only=F.col("id") != F.col("r_id"))
+    return found.select("id", F.round("distance_km", 4).alias("distance_km"))
+
+
+def sites(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    return table(spark, sf, "supplier").select(k.alias("event_id"), ((k * 53 % 1200) / 10.0 - 60).alias("lat"), ((k * 71 % 3599) / 10.0 - 179.9).alias("lon"))
+
+
+@query()
+def nearest_site(spark, sf):
+    """J13 over whole tables: each customer with the distance of its nearest supplier."""
+    found = joins.nearest(places(spark, sf), sites(spark, sf), ["id"])
+    return found.select("id", F.round("distance_km", 4).alias("distance_km"))
 
 
 @query(
@@ -277,6 +287,16 @@ def haversine_score(spark, sf):
     return hit.filter("id <> event_id and after_score > 0.00001").select("id", "event_id", F.round("score", 5).alias("score"))
 
 
+@query()
+def site_score(spark, sf):
+    """J15 over whole tables: each supplier is an event, each customer a station."""
+    from driftline.operators import seismic
+
+    quakes = sites(spark, sf).withColumn("mag", 5 + F.col("event_id") % 40 / 10.0)
+    hit = seismic.affected(places(spark, sf), quakes)
+    return hit.filter("after_score > 0.00001").select("id", "event_id", F.round("score", 5).alias("score"))
+
+
 @query(
     """with p as (select c_custkey id, (c_custkey * 37 % 1200) / 10.0 - 60 lat, (c_custkey * 91 % 3599) / 10.0 - 179.9 lon, c_custkey % 3000 * 1.0 h from customer),
 v as (select *, 1 - (1 - 1 / 298.257223563) * (1 - 1 / 298.257223563) e2 from p), w as (select *, 6378137.0 / sqrt(1 - e2 * sin(radians(lat)) * sin(radians(lat))) v from v),

@@ -63,3 +63,28 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def great_circle(lat, lon, other_lat, other_lon):
+    a, o, b, q = (np.radians(x) for x in (lat, lon, other_lat, other_lon))
+    h = np.sin((b - a) / 2) ** 2 + np.cos(a) * np.cos(b) * np.sin((q - o) / 2) ** 2
+    return 2 * 6371.0 * np.arcsin(np.sqrt(np.minimum(1.0, h)))
+
+
+def test_whole_tables_in_spatial_roles(spark, duck):
+    stations = duck.sql("select c_custkey k, (c_custkey * 37 % 1200) / 10.0 - 60 lat, (c_custkey * 91 % 3599) / 10.0 - 179.9 lon from customer").fetchall()
+    sites = duck.sql("select s_suppkey k, (s_suppkey * 53 % 1200) / 10.0 - 60 lat, (s_suppkey * 71 % 3599) / 10.0 - 179.9 lon from supplier").fetchall()
+    d = {(i, j): float(great_circle(float(a), float(o), float(b), float(q))) for i, a, o in stations for j, b, q in sites}
+    near = {r["id"]: r["distance_km"] for r in catalogue.QUERIES["nearest_site"](spark, SF).collect()}
+    assert near == pytest.approx({i: min(d[i, j] for j, *_ in sites) for i, *_ in stations}, abs=2e-4)
+    scores = {(i, j): 0.5261 * (5 + j % 40 / 10.0) - np.log10(max(x, 1e-3)) - 1.1478 for (i, j), x in d.items()}
+    got = {(r["id"], r["event_id"]): r["score"] for r in catalogue.QUERIES["site_score"](spark, SF).collect()}
+    assert got == pytest.approx({k: s for k, s in scores.items() if s + np.log10(1.5) > 0.00001}, abs=2e-5)
+
+
+def test_nearest_other_place_beyond_5000_km(spark):
+    from driftline.operators import joins
+
+    p = spark.createDataFrame([(1, 0.0, 0.0), (2, 0.0, 100.0)], "id long, lat double, lon double")
+    far = joins.nearest(p, p, ["id"], only=p["id"] != catalogue.F.col("r_id")).collect()
+    assert {r["id"]: r["r_id"] for r in far} == {1: 2, 2: 1} and far[0]["distance_km"] > 11000
