@@ -8,11 +8,17 @@ The next id's distribution is a mixture  l2 [id = guess2] + l1 [id = guess1] + l
 ids last seen after the hashed last two ids and last id, with the number of times they have held since (3 at most);
 P0 is the frequency of id classes (single ids below SINGLE, WIDTH ids beyond) among the ids that neither guess gave,
 renewed every RENEW ids; it starts from a prior that falls with the id, as merges are numbered by frequency. The
-weights l are the rates of the three outcomes under the state of both guesses, renewed every REWEIGH ids. A range
-coder of 64 bits, with carries into 32-bit words, takes the mixture's choice and then P0's interval: both
-together take at most 32 bits, so that one word at most moves after each id.
+weights l are the rates of the three outcomes under the state of both guesses. The model learns ROUND ids of every block at
+once: the coder, which knows them, prepares a round with a few passes lane by lane, whose tables stay in the cache, and only
+the range coder itself goes id by id. It has 64 bits, with carries into 32-bit words, and takes the mixture's choice and
+then P0's interval: both together take at most 32 bits, so that one word at most moves after each id.
 
 Chunks are rows of a Parquet dataset: part, chunk, doc_ids, doc_sizes and blocks, ordered by doc_id over parts.
+
+Defined results: a null or empty text is the end id alone. Rows without an id come first. Rows that repeat an id are
+ordered by a hash of their text, then their text, so that starts do not change between runs. An empty table gives no rows;
+other columns are not looked at. A document is never split between chunks, so that one of n ids takes about 40 n bytes of
+a task's memory.
 """
 
 from __future__ import annotations
@@ -33,31 +39,32 @@ from driftline.llm.token_ids import encoder
 
 BLOCK = 2048
 #: Ids after which a chunk ends at the next document.
-CHUNK = 1 << 22
+CHUNK = 1 << 23
 SINGLE, WIDTH_BITS = 256, 8
 WIDTH = 1 << WIDTH_BITS
 CLASSES = SINGLE + ((1 << 16) - SINGLE) // WIDTH
-RENEW, REWEIGH = 512, 64
-HASH_BITS = 11
+#: Ids after which the model learns what it has coded, and P0 is renewed; lanes that learn together.
+ROUND, RENEW, GROUP = 128, 512, 256
+HASH_BITS = 10
 MIX_BITS, FREQUENCY_BITS = 12, 12
 SLOT_BITS = FREQUENCY_BITS + WIDTH_BITS
 #: How many ids the prior of P0 counts for.
 PRIOR = 200
 END = 1
-MAGIC = b"DLT2"
+MAGIC = b"DLT3"
 
 U = np.uint64
 WORD, SHORT = U(32), U(1 << 32)
-ID = np.arange(1 << 16)
-CLASS_OF = np.where(ID < SINGLE, ID, SINGLE + (ID - SINGLE) // WIDTH)
-FIRST_OF = np.concatenate([np.arange(SINGLE), SINGLE + WIDTH * np.arange(CLASSES - SINGLE)])
-#: log2 of the ids for which a share of P0 stands, by class: a single id takes all of its class's interval.
-SIZE_BITS = np.where(np.arange(CLASSES) < SINGLE, WIDTH_BITS, 0).astype(U)
+#: Classes are the ids themselves below SINGLE, then runs of WIDTH ids; SINGLE is a multiple of WIDTH.
+CLASS_SHIFT = SINGLE - SINGLE // WIDTH
+FIRST_OF = np.concatenate([np.arange(SINGLE), SINGLE + WIDTH * np.arange(CLASSES - SINGLE)]).astype(np.int32)
 FALLING = np.log1p(np.where(np.arange(CLASSES) < SINGLE, 1, WIDTH) / (FIRST_OF + 512.0))
-FALLING = FALLING / FALLING.sum()
-#: States of the guesses: confidence of both (4 times 4), and whether they are the same id.
+FALLING = (FALLING / FALLING.sum()).astype(np.float32)
+#: States of the guesses: whether they are the same id, and confidence of both (4 times 4).
 STATES = 32
 CHOICES = 1 << MIX_BITS
+#: A share of P0 is kept as start << SIZE_AT | size.
+SIZE_AT, SIZE_MASK = FREQUENCY_BITS + 1, (2 << FREQUENCY_BITS) - 1
 
 
 def fresh_outcomes() -> np.ndarray:
@@ -67,112 +74,132 @@ def fresh_outcomes() -> np.ndarray:
 
 
 class Lanes:
-    """The model of n blocks; coder and decoder make the same calls in the same order."""
+    """The model of n blocks. It learns ROUND ids of every block at once; in between it is only read."""
 
     def __init__(self, n: int, with_slots: bool):
         self.n, self.with_slots = n, with_slots
         lane = np.arange(n)
         self.row1, self.row2 = lane << HASH_BITS, lane << HASH_BITS + 1
         self.guess1, self.guess2 = np.zeros(n << HASH_BITS, np.int32), np.zeros(n << HASH_BITS + 1, np.int32)
-        self.state_row, self.sum_row, self.slot_row = lane * (4 * STATES), lane * (CLASSES + 1), lane << FREQUENCY_BITS
+        self.state_row, self.class_row, self.slot_row = lane * (4 * STATES), lane * CLASSES, lane << FREQUENCY_BITS
         self.outcomes = np.zeros((n, STATES, 4), np.int32)
         self.outcomes[:, :, :3] = fresh_outcomes()
-        self.flat_outcomes = self.outcomes.reshape(-1)
-        self.edges = np.zeros((n, STATES, 4), U)
+        self.edges = np.zeros((n, STATES, 4), np.uint16)
         self.edges[:, :, 3] = CHOICES
         self.flat_edges = self.edges.reshape(-1)
-        self.count = np.zeros((n, CLASSES + 1), np.int32)
-        self.flat_count = self.count.reshape(-1)
-        self.seen = 0
-
-    def before(self) -> None:
-        """Renews the tables that are due before the next id."""
-        if self.seen % REWEIGH == 0:
-            c = self.outcomes
-            scale = np.float32(CHOICES - 3) / c.sum(axis=2, dtype=np.int32).astype(np.float32)
-            first = 1 + (c[:, :, 0] * scale).astype(np.int32)
-            self.edges[:, :, 1] = first
-            self.edges[:, :, 2] = first + 1 + (c[:, :, 1] * scale).astype(np.int32)
-        if self.seen % RENEW == 0:
-            own = self.count[:, :CLASSES]
-            spare = np.float64((1 << FREQUENCY_BITS) - CLASSES)
-            f = 1 + ((own + FALLING * PRIOR) * (spare / (own.sum(axis=1, keepdims=True) + PRIOR))).astype(np.int32)
+        self.count = np.zeros((n, CLASSES), np.int32)
+        self.spans = np.zeros(n * CLASSES, np.int32)
+        self.slots = np.zeros((n, 1 << FREQUENCY_BITS) if with_slots else (0, 0), np.uint16)
+        self.flat_slots = self.slots.reshape(-1)
+        # the last id and the one before it, of each lane
+        self.last = np.zeros((n, 2), np.int32)
+
+    def groups(self) -> Iterator[slice]:
+        return (slice(a, min(a + GROUP, self.n)) for a in range(0, self.n, GROUP))
+
+    def renew(self, own: slice, seen: int) -> None:
+        """Renews the tables that are due after seen ids."""
+        c = self.outcomes[own]
+        scale = np.float32(CHOICES - 3) / c.sum(axis=2, dtype=np.int32).astype(np.float32)
+        first = 1 + (c[:, :, 0] * scale).astype(np.int32)
+        self.edges[own, :, 1] = first
+        self.edges[own, :, 2] = first + 1 + (c[:, :, 1] * scale).astype(np.int32)
+        if seen % RENEW == 0:
+            count = self.count[own]
+            share = np.float32((1 << FREQUENCY_BITS) - CLASSES - 1) / (count.sum(axis=1, keepdims=True, dtype=np.int32) + PRIOR).astype(np.float32)
+            f = ((count + FALLING * np.float32(PRIOR)) * share).astype(np.int32)
+            f += 1
             f[:, CLASSES - 1] += (1 << FREQUENCY_BITS) - f.sum(axis=1, dtype=np.int32)
-            sums = np.zeros((self.n, CLASSES + 1), np.uint32)
-            np.cumsum(f, axis=1, out=sums[:, 1:])
-            self.sums = sums.reshape(-1)
+            start = np.cumsum(f, axis=1, dtype=np.int32)
+            start -= f
+            self.spans.reshape(self.n, CLASSES)[own] = start << SIZE_AT | f
             if self.with_slots:
-                self.slots = np.repeat(np.tile(np.arange(CLASSES, dtype=np.uint16), self.n), f.reshape(-1))
-        self.seen += 1
-
-    def guess(self, hash1: np.ndarray, hash2: np.ndarray) -> None:
-        """The packed guesses, and where the edges of their state's outcomes are."""
-        self.at1, self.at2 = self.row1 + hash1, self.row2 + hash2
-        self.packed1, self.packed2 = self.guess1.take(self.at1), self.guess2.take(self.at2)
-        state = (self.packed2 & 3) << 4
-        state += (self.packed1 & 3) << 2
-        state += ((self.packed1 ^ self.packed2) < 4) * np.int32(64)
-        self.state = self.state_row + state
-
-    def learn(self, packed_id: np.ndarray, hit1: np.ndarray, hit2: np.ndarray, outcome_at: np.ndarray, class_at: np.ndarray) -> None:
-        """packed_id: 4 times the id; outcome_at, class_at: places of what the mixture and P0 took."""
-        most = packed_id + 3
-        self.guess1[self.at1] = np.where(hit1, np.minimum(self.packed1 + 1, most), packed_id)
-        self.guess2[self.at2] = np.where(hit2, np.minimum(self.packed2 + 1, most), packed_id)
-        self.flat_outcomes[outcome_at] += 1
-        self.flat_count[class_at] += 1
-
-
-def hashes(last: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The places of the last id's and of the last two ids' guesses."""
-    one = last * 40503
-    return one >> 3 & (1 << HASH_BITS) - 1, one + before * 30011 >> 3 & (2 << HASH_BITS) - 1
+                self.slots[own] = np.repeat(np.tile(np.arange(CLASSES, dtype=np.uint16), len(f)), f.reshape(-1)).reshape(len(f), -1)
+
+    def guess(self, last: np.ndarray, before: np.ndarray, rows: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+        """Places of the guesses, the guesses (4 times the id, and confidence), and where the edges of their state are."""
+        row1, row2, state_row = rows
+        one = last * 40503
+        at1 = row1 + (one >> 3 & (1 << HASH_BITS) - 1)
+        one += before * 30011
+        at2 = row2 + (one >> 3 & (2 << HASH_BITS) - 1)
+        packed1, packed2 = self.guess1.take(at1), self.guess2.take(at2)
+        state = (packed2 & 3) << 4
+        state += (packed1 & 3) << 2
+        state += ((packed1 ^ packed2) < 4).view(np.int8) * np.int8(64)
+        return at1, at2, packed1, packed2, state_row + state
+
+    def rows(self) -> tuple[np.ndarray, ...]:
+        return self.row1, self.row2, self.state_row
+
+    def learn(self, own: slice, ids: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Learns a round of the lanes of own; returns where its outcomes and classes are, whether no guess held, and single ids."""
+        known = np.concatenate([self.last[own], ids], axis=1)
+        self.last[own] = known[:, -2:]
+        at1, at2, packed1, packed2, state = self.guess(known[:, 1:-1], known[:, :-2], tuple(x[own, None] for x in self.rows()))
+        packed = ids << 2
+        hit1, hit2 = (packed1 ^ packed) < 4, (packed2 ^ packed) < 4
+        outcome = (np.int8(2) - hit1.view(np.int8)) * (~hit2).view(np.int8)
+        missed = outcome == 2
+        for table, at, old, hit in ((self.guess1, at1, packed1, hit1), (self.guess2, at2, packed2, hit2)):
+            sure = old & 3
+            sure += sure < 3
+            sure *= hit
+            sure += packed
+            table[at] = sure  # of equal places the last one stays
+        outcome_at = state + outcome
+        single = ids < SINGLE
+        class_at = self.class_row[own, None] + np.where(single, ids, (ids >> WIDTH_BITS) + CLASS_SHIFT)
+        low, n = own.start, len(ids)
+        self.outcomes[own] += np.bincount((outcome_at - low * 4 * STATES).reshape(-1), minlength=n * 4 * STATES).reshape(n, STATES, 4)
+        self.count[own] += np.bincount((class_at - low * CLASSES)[missed], minlength=n * CLASSES).reshape(n, CLASSES)
+        return outcome_at, class_at, missed, single
 
 
 def encode_blocks(ids: np.ndarray) -> bytes:
     """All ids in blocks, each with its header."""
     n, steps = max(1, -(-len(ids) // BLOCK)), min(BLOCK, len(ids))
-    rows = np.zeros((n, BLOCK), np.int64)
+    rows = np.zeros((n, BLOCK), np.int32)
     rows.reshape(-1)[: len(ids)] = ids
-    columns = np.ascontiguousarray(rows.T)
-    del rows
-    model, none = Lanes(n, False), np.zeros(n, np.int64)
+    model = Lanes(n, False)
     low, width = np.zeros(n, U), np.full(n, (1 << 64) - 1, U)
     out, used = np.zeros(n * (steps + 4), np.uint32), np.arange(n) * (steps + 4)
     begin = used.copy()
-    for t in range(steps):
-        own = columns[t]
-        packed = (own << 2).astype(np.int32)
-        model.before()
-        model.guess(*hashes(columns[t - 1] if t else none, columns[t - 2] if t > 1 else none))
-        hit1, hit2 = (model.packed1 ^ packed) < 4, (model.packed2 ^ packed) < 4
-        outcome = np.where(hit2, 0, 2 - hit1.view(np.int8))
-        outcome_at = model.state + outcome
-        edge = model.flat_edges.take(outcome_at)
-        part = width >> U(MIX_BITS)
-        add = part * edge
-        width = part * (model.flat_edges.take(outcome_at + 1) - edge)
-        plain = np.nonzero(outcome == 2)[0]
-        mine = own.take(plain)
-        c = CLASS_OF.take(mine)
-        class_at = model.sum_row.take(plain) + c
-        a = model.sums.take(class_at).astype(U)
-        f = model.sums.take(class_at + 1).astype(U) - a
-        part = width.take(plain) >> U(SLOT_BITS)
-        add[plain] += part * ((a << U(WIDTH_BITS)) + (mine - FIRST_OF.take(c)).astype(U) * f)
-        width[plain] = part * (f << SIZE_BITS.take(c))
-        low += add
-        carried = used.take(np.nonzero(low < add)[0]) - 1
-        while carried.size:
-            out[carried] += 1
-            carried = carried[out[carried] == 0] - 1
-        full = np.nonzero(width < SHORT)[0]
-        at, top = used.take(full), low.take(full)
-        out[at] = top >> WORD
-        used[full] = at + 1
-        low[full] = top << WORD
-        width[full] = width.take(full) << WORD
-        model.learn(packed, hit1, hit2, outcome_at, class_at)
+    for t in range(0, steps, ROUND):
+        k = min(ROUND, steps - t)
+        edge, choice, start, size = (np.zeros((k, n), d) for d in (np.uint16, np.uint16, np.uint32, np.uint32))
+        for own in model.groups():
+            model.renew(own, t)
+            mine = rows[own, t : t + k]
+            outcome_at, class_at, missed, single = model.learn(own, mine)
+            e = model.flat_edges.take(outcome_at)
+            edge[:, own], choice[:, own] = e.T, (model.flat_edges.take(outcome_at + 1) - e).T
+            span = model.spans.take(class_at)
+            f, a = span & SIZE_MASK, span >> SIZE_AT << WIDTH_BITS
+            a += (mine & WIDTH - 1) * ~single * f
+            # where a guess holds, P0's interval is the whole one
+            start[:, own] = (a * missed).T
+            size[:, own] = np.where(missed, f << single.view(np.int8) * np.int32(WIDTH_BITS), 1 << SLOT_BITS).T
+        for i in range(k):
+            width >>= U(MIX_BITS)
+            add = width * edge[i]
+            width *= choice[i]
+            width >>= U(SLOT_BITS)
+            add += width * start[i]
+            width *= size[i]
+            low += add
+            carried = np.nonzero(low < add)[0]
+            if carried.size:
+                carried = used.take(carried) - 1
+                while carried.size:
+                    out[carried] += 1
+                    carried = carried[out[carried] == 0] - 1
+            full = width < SHORT
+            out[used] = low >> WORD
+            used += full
+            shift = full.astype(U) << U(5)
+            low <<= shift
+            width <<= shift
     for _ in range(2):
         out[used] = low >> WORD
         low <<= WORD
@@ -205,47 +232,54 @@ def decode_blocks(data: bytes) -> np.ndarray:
     n, steps = len(bodies), max(sizes, default=0)
     if not n:
         return np.zeros(0, np.uint16)
-    cap = max(map(len, bodies)) + 2
+    cap = max(map(len, bodies)) + 3  # a lane that is through reads on, without use
     words = np.zeros((n, cap), np.uint32)
     for i, b in enumerate(bodies):
         words[i, : len(b)] = b
     words, used = words.reshape(-1), np.arange(n) * cap + 2
     code = words[used - 2].astype(U) << WORD | words[used - 1].astype(U)
     model, width = Lanes(n, True), np.full(n, (1 << 64) - 1, U)
-    last, before = np.zeros(n, np.int64), np.zeros(n, np.int64)
     out = np.zeros((max(steps, 1), n), np.uint16)
+    last, before = np.zeros(n, np.int64), np.zeros(n, np.int64)
     for t in range(steps):
-        model.before()
-        model.guess(*hashes(last, before))
-        part = width >> U(MIX_BITS)
-        slot = code // part
-        missed1 = slot >= model.flat_edges.take(model.state + 2)
-        outcome_at = model.state + (slot >= model.flat_edges.take(model.state + 1))
-        outcome_at += missed1
+        if t % ROUND == 0:
+            for own in model.groups():
+                if t:
+                    model.learn(own, np.ascontiguousarray(out[t - ROUND : t, own].T).astype(np.int32))
+                model.renew(own, t)
+        _, _, packed1, packed2, state = model.guess(last, before, model.rows())
+        width >>= U(MIX_BITS)
+        slot = code // width
+        outcome_at = state + 1
+        missed = slot >= model.flat_edges.take(outcome_at + 1)
+        outcome_at -= slot < model.flat_edges.take(outcome_at)
+        outcome_at += missed
         edge = model.flat_edges.take(outcome_at)
-        code -= part * edge
-        width = part * (model.flat_edges.take(outcome_at + 1) - edge)
-        own = np.where(outcome_at == model.state, model.packed2, model.packed1) >> 2
-        plain = np.nonzero(missed1)[0]
-        part, mine = width.take(plain) >> U(SLOT_BITS), code.take(plain)
-        slot = (mine // part).astype(np.int64)
-        c = model.slots.take(model.slot_row.take(plain) + (slot >> WIDTH_BITS)).astype(np.int64)
-        class_at = model.sum_row.take(plain) + c
-        a = model.sums.take(class_at).astype(np.int64)
-        f = model.sums.take(class_at + 1) - a
-        inside = np.where(c < SINGLE, 0, (slot - (a << WIDTH_BITS)) // f)
-        own[plain] = FIRST_OF.take(c) + inside
-        code[plain] = mine - part * ((a << WIDTH_BITS) + inside * f).astype(U)
-        width[plain] = part * (f.astype(U) << SIZE_BITS.take(c))
-        short = np.nonzero(width < SHORT)[0]
-        at = used.take(short)
-        code[short] = code.take(short) << WORD | words.take(at)
-        used[short] = at + 1
-        width[short] = width.take(short) << WORD
-        packed = own << 2
-        model.learn(packed, (model.packed1 ^ packed) < 4, (model.packed2 ^ packed) < 4, outcome_at, class_at)
-        out[t] = own
-        before, last = last, own.astype(np.int64)
+        code -= width * edge
+        width *= model.flat_edges.take(outcome_at + 1) - edge
+        width >>= U(SLOT_BITS)
+        mine = np.where(outcome_at == state, packed2, packed1) >> 2
+        # where a guess holds, the slot may be past P0's last one; it is not used
+        slot = np.minimum(code // width, U((1 << SLOT_BITS) - 1)).astype(np.int64)
+        found = model.flat_slots.take(model.slot_row + (slot >> WIDTH_BITS)).astype(np.int32)
+        span = model.spans.take(model.class_row + found)
+        f, a = span & SIZE_MASK, span >> SIZE_AT << WIDTH_BITS
+        single = found < SINGLE
+        inside = ((slot - a).astype(np.float32) / f).astype(np.int32)
+        inside *= ~single
+        np.copyto(mine, FIRST_OF.take(found) + inside, where=missed)
+        a += inside * f
+        a *= missed
+        code -= width * a.astype(U)
+        width *= np.where(missed, f << single.view(np.int8) * np.int32(WIDTH_BITS), 1 << SLOT_BITS).astype(U)
+        short = width < SHORT
+        shift = short.astype(U) << U(5)
+        code <<= shift
+        code |= words.take(used) * short
+        used += short
+        width <<= shift
+        out[t] = mine
+        before, last = last, mine.astype(np.int64)
     found = [own[:size].astype("<u2") for own, size in zip(np.ascontiguousarray(out.T), sizes)]
     for own, crc in zip(found, sums):
         if zlib.crc32(own.tobytes()) != crc:
@@ -279,7 +313,8 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end: int
         if own:
             yield row()
 
-    ordered = texts(docs).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
+    keyed = texts(docs).withColumn("tie", F.xxhash64("text"))
+    ordered = keyed.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").drop("tie")
     ordered = ordered.withColumn("part", F.spark_partition_id())
     rows = ordered.mapInPandas(run, "part int, chunk int, doc_ids array<long>, doc_sizes array<long>, blocks binary")
     before = spark.conf.get(CLEANUP, "false")

@@ -1,11 +1,14 @@
 """Token ids of whole texts by the tokenizers library, with the ids of words remembered within a task.
 
 No token of the vocabularies used here spans a space, so that a text's ids are its space-separated words' ids
-in turn. A word of Latin letters that ends in a comma or full stop is cut before it, for the same reason.
+in turn. Signs behind a Latin letter at a word's end are cut off, for the same reason. Where the tokenizer lower-cases,
+ASCII capitals are lowered before words are looked up, so that fewer differ; texts with combining marks are left as they
+are, as composing comes before lowering and some letters compose in one case only.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -21,7 +24,7 @@ REMEMBERED = 1_000_000
 STRIP = 1 << 23
 
 LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
-ENDED = r"([A-Za-zÀ-ÖØ-öø-ÿ])([.,])([ \n]|$)"
+ENDED = r"([A-Za-zÀ-ÖØ-öø-ÿ])([.,;:!?#$%&*]+)([ \n]|$)"
 
 
 class WordEncoder:
@@ -35,6 +38,7 @@ class WordEncoder:
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
+        self.lowers = "Lowercase" in json.dumps(json.loads(self.tokenizer.to_str()).get("normalizer"))
         self.forget()
 
     def forget(self) -> None:
@@ -84,7 +88,10 @@ class WordEncoder:
         """All ids of the texts in turn, and the number of ids of each text."""
         if len(self.place) > REMEMBERED:
             self.forget()
-        spaced = pc.replace_substring_regex(pa.array(texts, pa.string()), ENDED, r"\1 \2\3")
+        plain = pa.array(texts, pa.string())
+        if self.lowers and not pc.any(pc.match_substring_regex(plain, r"\pM")).as_py():
+            plain = pc.ascii_lower(plain)
+        spaced = pc.replace_substring_regex(plain, ENDED, r"\1 \2\3")
         lists = pc.split_pattern(pc.replace_substring(spaced, "\n", " "), " ")
         words = lists.flatten().dictionary_encode()
         distinct = words.dictionary.to_pylist()
