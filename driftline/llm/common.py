@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Shuffle files of a finished write go at once; what it wrote replaces them.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+FOLDER = "spark.checkpoint.dir"
+WRITING, LOCK = {"now": 0, "before": "false"}, threading.Lock()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,29 +30,59 @@ def texts(docs: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a local one only where that is unset, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/driftline-checkpoints"
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows of df, written to the shared folder: lineage is cut and lost executors cost nothing."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
+    """The folder the cluster names in spark.checkpoint.dir. Where that is unset a local master, as in tests, gets a
+    temporary folder, which goes with the process; elsewhere a local folder would be out of other executors' reach."""
+    folder = spark.conf.get(FOLDER, None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {FOLDER} to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="driftline-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        spark.conf.set(FOLDER, folder)
+    return folder
+
+
+@contextmanager
+def without_shuffle_files(spark: SparkSession) -> Iterator[None]:
+    """The shuffle files of writes inside go when they are done. Threads that write at the same time share the setting."""
+    with LOCK:
+        if not WRITING["now"]:
+            WRITING["before"] = spark.conf.get(CLEANUP, "false")
+            spark.conf.set(CLEANUP, "true")
+        WRITING["now"] += 1
+    try:
+        yield
+    finally:
+        with LOCK:
+            WRITING["now"] -= 1
+            if not WRITING["now"]:
+                spark.conf.set(CLEANUP, WRITING["before"])
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read back; compressed, so smaller than a checkpoint."""
+    """df written as Parquet in the shared folder and read back: lineage is cut, lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with without_shuffle_files(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.driftline_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes what stored() wrote, once nothing reads it any more."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.driftline_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name like name that docs does not have."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def let(value: Column, body) -> Column:

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm.common import stored, table, texts
+from driftline.llm.common import fresh, stored, table, texts
 from driftline.llm.token_ids import encoder
 
 WINDOW = 4096
@@ -88,7 +88,7 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int = WINDOW) -> tuple[np
 
 
 def pack(pieces: DataFrame, window: int = WINDOW, shard: int = SHARD) -> DataFrame:
-    """pieces (doc_id, start, length and any others; read twice) with sequence_id and offset."""
+    """pieces (doc_id, start, length and any others; stored, as they are read twice) with sequence_id and offset."""
     shards = max(1, -(-pieces.count() // shard))
     columns = [*pieces.columns, "sequence_id", "offset"]
     schema = ", ".join([*(f"`{c}` {t}" for c, t in pieces.dtypes), "sequence_id long", "offset long"])
@@ -98,8 +98,10 @@ def pack(pieces: DataFrame, window: int = WINDOW, shard: int = SHARD) -> DataFra
         at, offset = best_fit_decreasing(rows["length"].to_numpy(dtype=np.int64), window)
         return rows.assign(sequence_id=(int(key[0]) << 40) + at, offset=offset)[columns]
 
-    dealt = F.pmod(F.xxhash64("doc_id", "start", "length"), F.lit(shards)).alias("shard")
-    return pieces.groupBy(dealt).applyInPandas(run, schema)
+    # a row's number salts the hash: repeated rows and rows without an id are dealt evenly too
+    shard = fresh(pieces, "shard")
+    dealt = F.pmod(F.xxhash64("doc_id", "start", "length", F.monotonically_increasing_id()), F.lit(shards))
+    return pieces.withColumn(shard, dealt).groupBy(shard).applyInPandas(run, schema)
 
 
 def token_pieces(docs: DataFrame, path: str, window: int = WINDOW, end: int = END, with_ids: bool = False) -> DataFrame:

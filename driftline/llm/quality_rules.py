@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm.common import let, table, texts
+from driftline.llm.common import fresh, let, table, texts
 
 SPACE = r"[\x20\x09-\x0D]"
 WORD_CHAR = r"[^\x20\x09-\x0D]"
@@ -114,7 +114,7 @@ def quality_table(docs: DataFrame, rules: list[tuple] = RULES) -> DataFrame:
 
 def keep_good(docs: DataFrame, rules: list[tuple] = RULES) -> DataFrame:
     """The rows of docs that the rules keep, with the columns of docs; no shuffle."""
-    name = "driftline_measures"
+    name = fresh(docs, "measures")
     held = docs.withColumn(name, measures(F.coalesce(F.col("text"), F.lit(""))))
     flat = held.select(*docs.columns, F.struct(F.col(f"{name}.w.*"), F.col(f"{name}.l.*"), F.col(f"{name}.n_symbols")).alias(name))
     nested = [(n, " / ".join(f"{name}.{c}" for c in ratio.split(" / ")), a, b) for n, ratio, a, b in rules]

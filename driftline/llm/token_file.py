@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from driftline.llm.common import CLEANUP, shared_folder, table, texts
+from driftline.llm.common import shared_folder, table, texts, without_shuffle_files
 from driftline.llm.packing import tokenizer_file
 from driftline.llm.token_ids import encoder
 
@@ -317,12 +317,8 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end: int
     ordered = keyed.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").drop("tie")
     ordered = ordered.withColumn("part", F.spark_partition_id())
     rows = ordered.mapInPandas(run, "part int, chunk int, doc_ids array<long>, doc_sizes array<long>, blocks binary")
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with without_shuffle_files(spark):
         rows.write.option("compression", "none").parquet(folder)
-    finally:
-        spark.conf.set(CLEANUP, before)
 
 
 def read_tokens(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFrame:

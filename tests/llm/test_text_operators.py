@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from driftline.llm import language_id, minhash_dedup, packing, piece_codec, quality_rules, secret_scan, suffix_dedup, token_file, toxicity
 
@@ -127,8 +128,19 @@ def shingle_set(text):
     return frozenset(" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
 
 
+def weight(text):
+    w = (text or "").split()
+    return collections.Counter(" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else collections.Counter()
+
+
+def weighted_similarity(a, b):
+    return sum((a & b).values()) / max(1, sum((a | b).values()))
+
+
 def test_near_duplicate_classes(odd, odd_rows, empty):
-    got = {r["doc_id"]: r["class_id"] for r in minhash_dedup.near_duplicate_classes(odd).collect()}
+    rows = minhash_dedup.near_duplicate_classes(odd).collect()
+    assert len(rows) == len(odd_rows)
+    got = {r["doc_id"]: r["class_id"] for r in rows}
     sets = {r[0]: shingle_set(r[1]) for r in odd_rows if r[0] is not None}
     parent = {d: d for d in sets}
 
@@ -143,8 +155,26 @@ def test_near_duplicate_classes(odd, odd_rows, empty):
     assert got == {d: find(d) for d in sets} | {None: None}
     kept = minhash_dedup.keep_first(odd)
     assert kept.columns == odd.columns
-    assert {r["doc_id"] for r in kept.collect()} == {d for d in sets if find(d) == d} | {None}
-    assert minhash_dedup.near_duplicate_classes(empty).count() == 0
+    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted([d for d in sets if find(d) == d] + [None], key=str)
+    assert minhash_dedup.near_duplicate_classes(empty).count() == 0 and minhash_dedup.keep_first(empty).count() == 0
+
+
+def test_rows_of_one_id_are_judged_by_their_text(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a, 1), (2, a, 2), (2, b, 3), (3, b, 4), (3, b, 5), (4, c, 6), (4, c, 7), (5, a + " b", 8), (5, c.upper(), 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, driftline_id int").withColumn("copy", F.lit(1)).withColumn("class_key", F.lit("x"))
+    kept = sorted((r["doc_id"], r["text"]) for r in minhash_dedup.keep_first(docs).collect())
+    assert kept == sorted([(1, a), (2, b), (4, c), (5, c.upper())])
+    assert minhash_dedup.keep_first(docs).columns == docs.columns
+
+
+def test_shingles_weigh_as_often_as_they_occur(spark):
+    """Two texts of the same set of shingles, one of which repeats a part over and over, are no near-duplicates."""
+    part, rest = " ".join(f"p{i}" for i in range(20)), " ".join(f"r{i}" for i in range(100))
+    texts = [f"{part} {rest}", " ".join([part] * 30) + " " + rest, " ".join([part] * 29) + " " + rest]
+    assert weighted_similarity(weight(texts[0]), weight(texts[1])) < 0.5 < 0.8 < weighted_similarity(weight(texts[1]), weight(texts[2]))
+    got = minhash_dedup.near_duplicate_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == {0: 0, 1: 1, 2: 1}
 
 
 def test_dart_signatures_estimate_similarity():
@@ -154,7 +184,8 @@ def test_dart_signatures_estimate_similarity():
     sig = minhash_dedup.signatures(np.concatenate([a, b]), np.array([1000, 1000]), k=2000)
     assert abs((sig[0] == sig[1]).mean() - 800 / 1200) < 0.05
     w = np.array([3] * 10 + [1] * 10)
-    sig = minhash_dedup.signatures(np.concatenate([a[:20], a[:20]]), np.array([20, 20]), k=2000, weights=np.concatenate([w, w[::-1]]))
+    both = minhash_dedup.unit_columns(np.concatenate([np.repeat(a[:20], w), np.repeat(a[:20], w[::-1])]), np.array([40, 40]))
+    sig = minhash_dedup.signatures(both, np.array([40, 40]), k=2000)
     assert abs((sig[0] == sig[1]).mean() - 20 / 60) < 0.05
     assert (minhash_dedup.signatures(a[:1], np.array([1]), k=64) != 0).all()
 
