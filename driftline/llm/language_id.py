@@ -3,7 +3,8 @@
 N-grams of one to three characters of the lower-cased text are hashed into BUCKETS. Document frequencies come
 from all training documents (each task returns one count for each bucket it saw, Spark sums them). The model is
 trained by follow-the-regularised-leader (FTRL-proximal) with elastic-net penalties on at most
-PER_LANGUAGE documents of each language, the ones with the smallest hash of their id; a temperature fitted on a
+PER_LANGUAGE documents of each language (SAMPLE of all), the ones with the smallest hash of their id, of which the driver
+gets n-gram counts alone; a temperature fitted on a
 fifth of them that training leaves out calibrates the probabilities. Every whole text is scored.
 
 Defined results: a null text, or one without a letter, is `und` with score 0. Repeated rows each get a row.
@@ -25,9 +26,8 @@ from driftline.llm.common import hashed_below, table
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
-#: The bound of the training sample, and of the languages learned (the most frequent ones).
-PER_LANGUAGE = 1000
-MAX_LANGUAGES = 200
+#: The bounds of the training sample: rows of a language, and of all; every language has its share of the second.
+PER_LANGUAGE, SAMPLE = 1000, 20_000
 #: Characters handled at once; longer texts are scored piece by piece.
 PIECE = 1 << 20
 EPOCHS = 3
@@ -147,17 +147,27 @@ class LanguageModel:
 FEATURE_SCALE = 30.0
 
 
-def sample(training: DataFrame) -> list[tuple[int, str, str]]:
-    """At most PER_LANGUAGE rows (doc_id, text, lang) for each of at most MAX_LANGUAGES languages."""
-    counts = training.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    if not counts:
-        return []
+def sample(training: DataFrame) -> DataFrame:
+    """doc_id, text and lang of at most PER_LANGUAGE rows of each language, SAMPLE of all."""
+    counts = training.groupBy("lang").agg(F.count("*").alias("n"))
+    each = max(1, min(PER_LANGUAGE, SAMPLE // max(1, counts.count())))
     # about twice the wanted rows of a language pass, however many tasks there are, before the least hashes are ranked
-    share = F.create_map(*[F.lit(x) for lang, n in counts for x in (lang, min(2.0, 2.0 * PER_LANGUAGE / n))])
-    near = training.filter(hashed_below(F.coalesce(share[F.col("lang")], F.lit(0.0))))
+    near = training.join(counts, "lang").filter(hashed_below(F.lit(2.0 * each) / F.col("n")))
     spread = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    few = near.withColumn("r", spread).filter(F.col("r") <= PER_LANGUAGE)
-    return [(r[0], r[1], r[2]) for r in few.select("doc_id", "text", "lang").toLocalIterator()]
+    return near.withColumn("r", spread).filter(F.col("r") <= each).select("doc_id", "text", "lang")
+
+
+def counted(rows: DataFrame) -> Iterator[tuple[int, str, np.ndarray, np.ndarray]]:
+    """doc_id, lang, buckets and counts of each row with a letter."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            b = b[np.array([any(map(str.isalpha, t)) for t in b["text"]], bool)]
+            found = [term_counts(t) for t in b["text"]]
+            yield b[["doc_id", "lang"]].assign(at=[x.astype(np.uint16).tobytes() for x, _ in found], n=[n.astype(np.uint32).tobytes() for _, n in found])
+
+    for r in rows.mapInPandas(run, "doc_id long, lang string, at binary, n binary").toLocalIterator():
+        yield r[0], r[1], np.frombuffer(r[2], np.uint16).astype(np.int64), np.frombuffer(r[3], np.uint32)
 
 
 def train(training: DataFrame, seed: int = 7) -> LanguageModel:
@@ -165,12 +175,10 @@ def train(training: DataFrame, seed: int = 7) -> LanguageModel:
     df = document_frequencies(training)
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 0.1
     found, labels, held = [], [], []
-    for doc_id, text, lang in sample(training):
-        if any(map(str.isalpha, text)):
-            at, n = term_counts(text)
-            found.append((at, FEATURE_SCALE * n / n.sum() * idf[at]))
-            labels.append(lang)
-            held.append(doc_id % 5 == 4)
+    for doc_id, lang, at, n in sorted(counted(sample(training)), key=lambda x: x[:2]):
+        found.append((at, FEATURE_SCALE * n / n.sum() * idf[at]))
+        labels.append(lang)
+        held.append(doc_id % 5 == 4)
     languages = sorted(set(labels))
     if not languages:
         return LanguageModel([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0)

@@ -6,10 +6,12 @@ BINS bins between two edges; the bin that holds the k-th best score becomes the
 scores lie above its lower edge or the bin is one score wide. A last pass keeps the scores from that edge
 upwards, and ranks them by score, ties to the smaller id.
 
+Rows count, not ids: each gets a number of its own when the vectors are written to the shared folder.
+
 Defined results: vectors that are null, empty or hold null or non-finite components take no part, nor do rows
-without an id; vectors of different length are never compared; a repeated id counts once, with its smallest
-vector; fewer than k candidates are all returned; an empty table gives no rows. Components are expected to be
-below 2^26 in size, so that scores fit a long.
+without an id; vectors of different length are never compared; rows that repeat an id are queries and candidates each;
+fewer than k candidates are all returned; an empty table gives no rows. Scores are exact, whatever the size of the
+components; beyond LIMIT in size they count as LIMIT, which fits a long.
 """
 
 from __future__ import annotations
@@ -30,93 +32,108 @@ CANDIDATE_PART = 8192
 #: Queries multiplied at once within a cell.
 STRIP = 128
 SCALE = 1024
+LIMIT = (1 << 62) - 1
+#: Whole numbers up to here are exact as double, sums and products included.
+EXACT = 2.0**53
 
 
 def whole_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """vec_id and v, the floor of SCALE times each component as long."""
-    x = F.transform(F.col(vector_col), lambda c: F.lit(float(SCALE)) * c.cast("double"))
+    """row, vec_id and v, the floor of SCALE times each component, a whole number as double."""
+    x = F.transform(F.col(vector_col), lambda c: c.cast("double"))
     finite = F.forall(x, lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) < float("inf")), F.lit(False)))
-    return (
-        vectors.select(F.col(id_col).cast("long").alias("vec_id"), x.alias("x"))
-        .filter(F.col("vec_id").isNotNull() & (F.size("x") > 0) & finite)
-        .select("vec_id", F.transform("x", lambda c: F.floor(c)).alias("v"))
-        .groupBy("vec_id")
-        .agg(F.min("v").alias("v"))
-    )
+    most = float(np.finfo(np.float64).max)
+    # beyond the range of a double the largest one stands for the product; the score is at its limit then
+    whole = F.transform("x", lambda c: F.when(F.abs(c) < 2.0**50, F.floor(c * SCALE).cast("double")).otherwise(F.greatest(F.least(c * SCALE, F.lit(most)), F.lit(-most))))
+    kept = vectors.select(F.col(id_col).cast("long").alias("vec_id"), x.alias("x")).filter(F.col("vec_id").isNotNull() & (F.size("x") > 0) & finite)
+    return stored(kept.select(F.monotonically_increasing_id().alias("row"), "vec_id", whole.alias("v")), "vectors")
+
+
+def exact_scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The inner products of the rows of a and b, LIMIT at most in size. Products that a double may round are added as whole numbers."""
+    wide = np.abs(a).max(axis=1)[:, None] * np.abs(b).max(axis=1)[None, :] * a.shape[1]
+    if wide.max() < EXACT:
+        return (a @ b.T).astype(np.int64)
+    out = np.zeros(wide.shape, np.int64)
+    plain = wide < EXACT
+    out[plain] = (a @ b.T)[plain]
+    for i, j in zip(*np.nonzero(~plain)):
+        out[i, j] = max(-LIMIT, min(LIMIT, sum(int(x) * int(y) for x, y in zip(a[i], b[j]))))
+    return out
 
 
 def strips(q: pd.DataFrame, c: pd.DataFrame) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
-    """Rows of q, their scores against c (own id: the smallest long) and c's ids."""
-    a, b = np.stack(q["query"].to_numpy()).astype(np.int64), np.stack(c["v"].to_numpy()).astype(np.int64)
-    ids, own = c["vec_id"].to_numpy(), q["query_id"].to_numpy()
-    exact = float(np.abs(a).max()) * float(np.abs(b).max()) * a.shape[1] < 2.0**53
-    if exact:
-        a, b = a.astype(np.float64), b.astype(np.float64)
+    """Rows of q, their scores against c, and which candidates are the query's own row."""
+    a, b = np.stack(q["query"].to_numpy()), np.stack(c["v"].to_numpy())
+    rows, own = c["row"].to_numpy(), q["query_row"].to_numpy()
     for i in range(0, len(a), STRIP):
-        rows = slice(i, i + STRIP)
-        scores = (a[rows] @ b.T).astype(np.int64)
-        scores[own[rows, None] == ids[None, :]] = np.iinfo(np.int64).min
-        yield rows, scores, ids
+        part = slice(i, i + STRIP)
+        with np.errstate(over="ignore", invalid="ignore"):
+            scores = exact_scores(a[part], b)
+        yield part, scores, own[part, None] == rows[None, :]
 
 
 def counted(key: tuple, q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
     """For each query, the counts of its scores by bin; BINS counts those above the range."""
     out = []
     if len(q) and len(c):
-        lo, width, ids = q["lo"].to_numpy(), q["width"].to_numpy(), q["query_id"].to_numpy()
-        for rows, scores, _ in strips(q, c):
+        lo, width, ids = q["lo"].to_numpy(), q["width"].to_numpy(), q["query_row"].to_numpy()
+        for rows, scores, own in strips(q, c):
             low = lo[rows, None]
-            bins = np.where(scores < low, -1, np.minimum((np.maximum(scores, low) - low) // width[rows, None], BINS))
+            bins = np.where(own | (scores < low), -1, np.minimum((np.maximum(scores, low) - low) // width[rows, None], BINS))
             n = len(bins)
             counts = np.bincount((np.arange(n)[:, None] * (BINS + 2) + bins + 1).ravel(), minlength=n * (BINS + 2)).reshape(n, BINS + 2)[:, 1:]
             i, j = np.nonzero(counts)
-            out.append(pd.DataFrame({"vec_id": ids[rows][i], "bin": j, "n": counts[i, j]}))
-    return pd.concat(out) if out else pd.DataFrame({"vec_id": [], "bin": [], "n": []}).astype("int64")
+            out.append(pd.DataFrame({"row": ids[rows][i], "bin": j, "n": counts[i, j]}))
+    return pd.concat(out) if out else pd.DataFrame({"row": [], "bin": [], "n": []}).astype("int64")
 
 
 def chosen(k: int):
     def best(key: tuple, q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         """The cell's k best from each query's lower edge upwards; what is behind them can't be among the k best."""
-        out = []
+        out = [np.zeros((4, 0), np.int64)]
         if len(q) and len(c):
-            lo, qid = q["lo"].to_numpy(), q["query_id"].to_numpy()
-            for rows, scores, ids in strips(q, c):
-                for r, (own, edge) in enumerate(zip(qid[rows], lo[rows])):
-                    at = np.nonzero((scores[r] >= edge) & (ids != own))[0]
-                    at = at[np.lexsort((ids[at], -scores[r][at]))[:k]]
-                    out.append(pd.DataFrame({"query_id": own, "vec_id": ids[at], "score": scores[r][at]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
+            lo, row, ids, vec = (x.to_numpy() for x in (q["lo"], q["query_row"], q["query_id"], c["vec_id"]))
+            for rows, scores, own in strips(q, c):
+                i, j = np.nonzero(~own & (scores >= lo[rows, None]))
+                order = np.lexsort((vec[j], -scores[i, j], i))
+                i, j = i[order], j[order]
+                place = np.arange(len(i)) - np.searchsorted(i, i)
+                i, j = i[place < k], j[place < k]
+                out.append(np.stack([row[rows][i], ids[rows][i], vec[j], scores[i, j]]))
+        return pd.DataFrame(np.concatenate(out, axis=1).T, columns=["query_row", "query_id", "vec_id", "score"])
 
     return best
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """query_id, rank, vec_id and score: the k best of vectors for each row of queries (both: vec_id, v)."""
+    """query_id, rank, vec_id and score: the k best of vectors for each row of queries (both: row, vec_id, v)."""
     spark = vectors.sparkSession
-    size = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    size = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
     n_q, norm_q = queries.agg(F.count("*"), F.max(F.sqrt(size))).first()
     n_c, norm_c = vectors.agg(F.count("*"), F.max(F.sqrt(size))).first()
     if not n_q or not n_c:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     blocks, parts = -(-n_q // QUERY_BLOCK), -(-n_c // CANDIDATE_PART)
-    bound = int(norm_q * norm_c) + 1
-    part, block = F.pmod(F.xxhash64("vec_id"), F.lit(parts)), F.pmod(F.xxhash64("vec_id"), F.lit(blocks))
-    candidates = vectors.select("vec_id", "v", F.size("v").alias("dim"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), part.cast("long").alias("part"))
-    ranges = queries.select("vec_id", F.lit(-bound).cast("long").alias("lo"), F.lit(2 * bound // BINS + 1).cast("long").alias("width"))
+    most = norm_q * norm_c * (1 + 1e-9)
+    bound = int(most) + 1 if most < LIMIT - 1 else LIMIT
+    part, block = F.pmod(F.xxhash64("row"), F.lit(parts)), F.pmod(F.xxhash64("row"), F.lit(blocks))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    candidates = vectors.select("row", "vec_id", "v", F.size("v").alias("dim"), every(blocks).alias("block"), part.cast("long").alias("part"))
+    width = 2 * bound // BINS + 1
+    ranges = queries.select("row", F.lit(-bound).cast("long").alias("lo"), F.lit(width).cast("long").alias("width"))
 
     def cells(ranges: DataFrame):
-        q = queries.join(ranges, "vec_id").select(F.col("vec_id").alias("query_id"), F.col("v").alias("query"), "lo", "width", F.size("v").alias("dim"), block.cast("long").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"))
+        q = queries.join(ranges, "row").select(F.col("row").alias("query_row"), F.col("vec_id").alias("query_id"), F.col("v").alias("query"), "lo", "width", F.size("v").alias("dim"), block.cast("long").alias("block"), every(parts).alias("part"))
         return q.groupBy("dim", "block", "part").cogroup(candidates.groupBy("dim", "block", "part"))
 
-    down = Window.partitionBy("vec_id").orderBy(F.desc("bin"))
-    width = 2 * bound // BINS + 1
+    down = Window.partitionBy("row").orderBy(F.desc("bin"))
     while width > 1:
-        bins = cells(ranges).applyInPandas(counted, "vec_id long, bin long, n long").groupBy("vec_id", "bin").agg(F.sum("n").alias("n"))
+        bins = cells(ranges).applyInPandas(counted, "row long, bin long, n long").groupBy("row", "bin").agg(F.sum("n").alias("n"))
         reached = bins.withColumn("above", F.sum("n").over(down)).filter(F.col("above") >= k)
-        edge = reached.groupBy("vec_id").agg(F.max("bin").alias("bin"), F.min("above").alias("above"))
+        edge = reached.groupBy("row").agg(F.max("bin").alias("bin"), F.min("above").alias("above"))
         wide = F.col("width")
-        found = ranges.join(edge, "vec_id", "left").select(
-            "vec_id",
+        found = ranges.join(edge, "row", "left").select(
+            "row",
             (F.col("lo") + wide * F.coalesce("bin", F.lit(0))).alias("lo"),
             F.when(F.col("bin").isNull() | (F.col("bin") == BINS), 1).otherwise(F.ceil(wide / BINS)).cast("long").alias("width"),
             F.coalesce("above", F.lit(0)).cast("long").alias("above"),
@@ -126,8 +143,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         ranges = found.drop("above")
         if most <= 4 * k:
             break
-    rows = cells(ranges).applyInPandas(chosen(k), "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    rows = cells(ranges).applyInPandas(chosen(k), "query_row long, query_id long, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id"))
     return rows.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -138,11 +155,11 @@ def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op8_topk_search": op8_topk_search}
 ORACLE = {
-    "op8_topk_search": """with v as (
-    select vec_id, min(list_transform(embedding, lambda x: floor(1024 * x::double))) v from embeddings
-    where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 group by vec_id),
-s as (select q.vec_id query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint score
-    from v q join v c on q.vec_id % 100 = 0 and q.vec_id <> c.vec_id and len(q.v) = len(c.v)),
-r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::integer rank from s)
+    "op8_topk_search": """with n as (select row_number() over () r, * from embeddings),
+v as (select r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) v from n
+    where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.r q, q.vec_id query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint score
+    from v q join v c on q.vec_id % 100 = 0 and q.r <> c.r and len(q.v) = len(c.v)),
+r as (select *, row_number() over (partition by q order by score desc, vec_id)::integer rank from s)
 select query_id, rank, vec_id, score from r where rank <= 10"""
 }

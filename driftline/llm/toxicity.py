@@ -2,11 +2,12 @@
 
 Features are words and word beginnings of PREFIXES characters, each at several counts (LEVELS). The classifier
 is logistic; its vocabulary is the features whose document frequency differs most between confirmed toxic
-documents and unlabelled ones. The weights minimise the non-negative risk estimator
+documents and all training documents, counted over every one of them. The weights minimise the non-negative risk estimator
     prior * R_p(+1) + max(0, R_u(-1) - prior * R_p(-1))
 over confirmed toxic documents and unlabelled ones; when the second part falls below zero, its gradient is
 reversed. The class prior is the toxic share of all labelled training rows. The fit uses at most POSITIVES
-confirmed and UNLABELLED documents of any kind, those with the smallest hash of their id; scores cover all rows.
+confirmed and UNLABELLED documents of any kind, those with the smallest hash of their id, of which the driver gets the
+vocabulary's places alone; scores cover all rows.
 
 Defined results: a null or empty text has no words and gets the score of the bias. Without a confirmed toxic
 training document every score is 0. Repeated rows each get a row; an empty table gives no rows.
@@ -30,8 +31,11 @@ POSITIVES = 2500
 UNLABELLED = 6000
 PREFIXES = (4, 5, 6, 7)
 LEVELS = (1, 2, 4, 8)
-#: Features rarer than this among confirmed toxic documents are not candidates for the vocabulary.
-LEAST = 4
+#: Features that fewer confirmed toxic documents hold, as number or share, are not candidates for the vocabulary. The share
+#: bounds the candidates by the features a document has, whatever the number of documents.
+LEAST, LEAST_SHARE = 4, 0.002
+#: Counts a task holds before it hands them on.
+HELD = 300_000
 #: Words whose features a task remembers.
 REMEMBERED = 200_000
 #: Labels are sent to every task up to so many rows (16 bytes each); beyond, the join shuffles.
@@ -77,23 +81,58 @@ class ToxicityModel:
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
-def choose_vocabulary(positive: list[str], unlabelled: list[str]) -> dict[tuple[str, int], int]:
-    """The features whose document frequency differs most between the two samples."""
-    pos, every, known = Counter(), Counter(), {}
-    for text in positive:
-        pos.update(features(stem_counts(text, known)))
-    pos = Counter({f: n for f, n in pos.items() if n >= LEAST})
-    among, known = frozenset(s for s, _ in pos), {}
-    for text in unlabelled:
-        every.update(f for f in features(stem_counts(text, known, among)) if f in pos)
+def document_frequencies(texts: DataFrame, among: frozenset | None = None) -> DataFrame:
+    """stem, level and n: how many texts hold each feature (of the stems in among). Tasks count, Spark sums."""
+    held = texts.sparkSession.sparkContext.broadcast(among)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found, known = Counter(), {}
+
+        def rows() -> pd.DataFrame:
+            return pd.DataFrame([(stem, level, n) for (stem, level), n in found.items()], columns=["stem", "level", "n"])
+
+        for b in batches:
+            for text in b["text"]:
+                found.update(features(stem_counts(text, known, held.value)))
+                if len(found) > HELD:
+                    yield rows()
+                    found.clear()
+        yield rows()
+
+    return texts.select("text").mapInPandas(count, "stem string, level int, n long").groupBy("stem", "level").agg(F.sum("n").alias("n"))
+
+
+def choose_vocabulary(training: DataFrame, n_pos: int, n_all: int) -> dict[tuple[str, int], int]:
+    """The features whose document frequency differs most between confirmed rows and all rows."""
+    often = document_frequencies(training.filter(F.col("toxic") == 1)).filter(F.col("n") >= max(LEAST, LEAST_SHARE * n_pos))
+    pos = {(r["stem"], r["level"]): r["n"] for r in often.collect()}
+    every = {(r["stem"], r["level"]): r["n"] for r in document_frequencies(training, frozenset(s for s, _ in pos)).collect()}
 
     def gain(f: tuple[str, int]) -> float:
-        p, q = (pos[f] + 0.5) / (len(positive) + 1), (every[f] + 0.5) / (len(unlabelled) + 1)
+        p, q = (pos[f] + 0.5) / (n_pos + 1), (every.get(f, 0) + 0.5) / (n_all + 1)
         return abs(p**0.5 - q**0.5) * (p + q) ** 0.5
 
     return {f: i for i, f in enumerate(sorted(pos, key=lambda f: (-gain(f), f))[:VOCABULARY])}
 
 
+def feature_places(docs: DataFrame, vocabulary: dict[tuple[str, int], int]) -> np.ndarray:
+    """One row of marks for each row of docs."""
+    held = docs.sparkSession.sparkContext.broadcast((vocabulary, frozenset(s for s, _ in vocabulary)))
+
+    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        vocabulary, among = held.value
+        known: dict[str, list[str]] = {}
+        for b in batches:
+            found = [[vocabulary[f] for f in features(stem_counts(t, known, among)) if f in vocabulary] for t in b["text"]]
+            yield pd.DataFrame({"at": [np.array(x, np.uint16).tobytes() for x in found]})
+
+    rows = [np.frombuffer(r[0], np.uint16) for r in docs.select("text").mapInPandas(places, "at binary").toLocalIterator()]
+    x = np.zeros((len(rows), len(vocabulary)), np.float32)
+    for i, at in enumerate(rows):
+        x[i, at] = 1
+    return x
+
+
 def fit_nnpu(p: np.ndarray, u: np.ndarray, prior: float, rounds: int = 300, l2: float = 1e-3, rate: float = 0.05) -> tuple[np.ndarray, float]:
     """Weights and bias by Adam on the non-negative risk; p, u: feature rows of positives and unlabelled."""
     p, u = (np.hstack([x, np.ones((len(x), 1), np.float32)]) for x in (p, u))
@@ -117,20 +156,11 @@ def train(training: DataFrame) -> ToxicityModel:
     if not n_pos:
         return ToxicityModel({}, np.zeros(0, np.float32), -np.inf)
 
-    def sample(rows: DataFrame, most: int, n: int) -> list[str]:
-        return [r[0] or "" for r in smallest_hashes(rows, most, n).select("text").toLocalIterator()]
-
-    positive, unlabelled = sample(training.filter(F.col("toxic") == 1), POSITIVES, n_pos), sample(training, UNLABELLED, n_all)
-    vocabulary = choose_vocabulary(positive, unlabelled)
-
-    def matrix(texts: list[str]) -> np.ndarray:
-        x, among, known = np.zeros((len(texts), len(vocabulary)), np.float32), frozenset(s for s, _ in vocabulary), {}
-        for i, text in enumerate(texts):
-            x[i, [vocabulary[f] for f in features(stem_counts(text, known, among)) if f in vocabulary]] = 1
-        return x
-
+    vocabulary = choose_vocabulary(training, n_pos, n_all)
+    positive = feature_places(smallest_hashes(training.filter(F.col("toxic") == 1), POSITIVES, n_pos), vocabulary)
+    unlabelled = feature_places(smallest_hashes(training, UNLABELLED, n_all), vocabulary)
     prior = min(max(n_pos / max(n_labelled, n_pos), 1e-3), 0.5)
-    return ToxicityModel(vocabulary, *fit_nnpu(matrix(positive), matrix(unlabelled), prior))
+    return ToxicityModel(vocabulary, *fit_nnpu(positive, unlabelled, prior))
 
 
 def predict(docs: DataFrame, model: ToxicityModel) -> DataFrame:

@@ -5,15 +5,15 @@ from driftline.llm import packing, topk_search
 
 
 def brute(rows, k):
-    own = {}
+    own = []
     for i, v in rows:
         if i is not None and v and all(x is not None and np.isfinite(x) for x in v):
-            q = [int(np.floor(1024 * float(np.float32(x)))) for x in v]
-            own[i] = min(own.get(i, q), q)
+            own.append((i, [int(np.floor(1024 * float(np.float32(x)))) for x in v]))
+    clip = lambda x: max(-topk_search.LIMIT, min(topk_search.LIMIT, x))
     out = []
-    for i, q in own.items():
+    for n, (i, q) in enumerate(own):
         if i % 20 == 0:
-            scores = sorted((-sum(a * b for a, b in zip(q, c)), j) for j, c in own.items() if j != i and len(c) == len(q))[:k]
+            scores = sorted((-clip(sum(a * b for a, b in zip(q, c))), j) for m, (j, c) in enumerate(own) if m != n and len(c) == len(q))[:k]
             out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(scores)]
     return sorted(out)
 
@@ -26,6 +26,7 @@ def test_top_k(spark, k, monkeypatch):
     rows = [(i, r.normal(size=6).tolist()) for i in range(160)]
     rows += [(200 + i, rows[7][1]) for i in range(60)]  # ties
     rows += [(300, None), (301, []), (302, [1.0, None] + [0.0] * 4), (303, [float("nan")] * 6), (None, [1.0] * 6), (320, [1.0, 2.0]), (20, rows[20][1]), (340, [0.0] * 6)]
+    rows += [(1, [9.0] * 6), (1, [8.0] * 6), (360, [1e30] * 6), (361, [-1e30] * 6), (362, [3e6, 1e12, 0.5, 1.0, 2.0, -7e11]), (380, [2e9] * 6)]
     df = spark.createDataFrame([(i, v, 1, 1.0) for i, v in rows], "vec_id long, embedding array<float>, rank int, score double")
     vectors = topk_search.whole_vectors(df)
     got = topk_search.top_k(vectors, vectors.filter("vec_id % 20 = 0"), k).collect()
