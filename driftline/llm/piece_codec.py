@@ -1,13 +1,17 @@
-"""SentencePiece encoding and decoding in batched numpy.
+"""SentencePiece encoding and decoding by batched numpy Viterbi.
 
 Texts are cut before runs of the space mark, which no piece crosses; distinct words are encoded once and
-remembered within a task. Words of equal length are rows of one matrix and advance together.
-
-* unigram models: Viterbi. For each end and each piece length, substring hashes probe the sorted piece keys; the
-  vectorised maximum over lengths stores score and backpointer.
-* BPE models: the highest-scored adjacent pair of each row (leftmost on ties) merges, found by a vectorised
-  maximum over pair scores; pair keys probe a sorted table. A Viterbi path over merge scores is not what BPE
-  means (on the model used here it differs from the library's ids), so BPE files take this way.
+remembered within a task. Words of equal length are rows of one matrix and advance together: substring hashes, each grown
+from the one that is a character shorter, probe the sorted piece keys; at each end, the vectorised maximum over piece
+lengths stores score and backpointer.
+
+* unigram models: the score of a path is the sum of its pieces' scores.
+* BPE models: a path of greatest sum is not what merging gives (for the model used here about half of the corpus's words
+  differ). But merging never looks across a boundary that it leaves in the end, so that a sequence of pieces is its result
+  just if each two neighbours are its result on their own. So a step counts only where the piece fits the one that the
+  backpointer in front of it names; one step for each end does. Whether two pieces fit is found by undoing the merges at
+  their common boundary, the latest first, and asking whether the symbols there would have merged before. Runs of marks, whose
+  pieces share the lowest score, merge last and on their own, by a heap.
 
 Characters without a piece become byte pieces. Decoding gathers the pieces' bytes.
 
@@ -36,19 +40,31 @@ from driftline.llm.token_ids import WordEncoder, strips
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 LETTER = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]")
-#: Rows of longer words are not made; such words merge by a heap.
-LONGEST = 48
+#: Rows of longer words are not made; such words, one at a time, merge by a heap.
+LONGEST = 4096
+#: Characters of the rows that advance together.
+ROWS = 200_000
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 NEVER = -(2.0**60)
 
 
-def substring_hash(codes: np.ndarray) -> np.ndarray:
-    """The hash of each row of code points."""
-    h = np.zeros(codes.shape[0], np.uint64)
-    for j in range(codes.shape[1]):
-        h = (h ^ codes[:, j].astype(np.uint64)) * GOLD
-        h ^= h >> np.uint64(29)
-    return h
+def longer_hash(h: np.ndarray | np.uint64, codes: np.ndarray) -> np.ndarray:
+    """The hashes of strings that go on with codes behind those hashed to h."""
+    h = (h ^ codes.astype(np.uint64)) * GOLD
+    return h ^ (h >> np.uint64(29))
+
+
+def string_hashes(strings: list[str]) -> np.ndarray:
+    """The hash of each string."""
+    out, size = np.zeros(len(strings), np.uint64), np.array([len(x) for x in strings])
+    for n in np.unique(size):
+        at = np.nonzero(size == n)[0]
+        codes = np.frombuffer("".join(strings[i] for i in at).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(at), n)
+        h = np.uint64(0)
+        for j in range(n):
+            h = longer_hash(h, codes[:, j])
+        out[at] = h
+    return out
 
 
 class PieceModel:
@@ -68,23 +84,65 @@ class PieceModel:
         self.byte_size = np.array([len(b) for b in bytes_by_id])
         self.byte_first = np.cumsum(self.byte_size) - self.byte_size
         self.byte_flat = np.frombuffer(b"".join(bytes_by_id), np.uint8)
-        if kind == "unigram":
-            self.width = max(map(len, usable))
-            rows = sorted((int(substring_hash(self.codes(p)[None])[0]), i) for p, i in usable.items())
-            self.keys, self.ids = np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows])
-            self.unknown = min(self.score[i] for i in usable.values()) - 10
-        else:
-            self.symbols = dict(usable)
+        self.width = max(map(len, usable), default=1)
+        # characters inside pieces are symbols too, if none of the pieces
+        self.symbols = dict(usable)
+        if kind == "bpe":
             for p in usable:
                 for c in p:
                     self.symbols.setdefault(c, len(pieces) + len(self.symbols))
-            pairs = sorted((self.symbols[p[:j]] << 32 | self.symbols[p[j:]], i) for p, i in usable.items() for j in range(1, len(p)) if p[:j] in self.symbols and p[j:] in self.symbols)
-            self.keys, self.ids = np.array([x[0] for x in pairs] or [0], np.int64), np.array([x[1] for x in pairs] or [0])
-            self.has_pairs = bool(pairs)
-            self.first_symbol = -1 - np.arange(0x110000)
-            for c, i in self.symbols.items():
-                if len(c) == 1:
-                    self.first_symbol[ord(c)] = i
+        own = [p for p in self.symbols if kind != "bpe" or p == MARK or p.strip(MARK)]
+        hashes = string_hashes(own)
+        order = np.argsort(hashes)
+        self.keys, self.ids, self.lengths = hashes[order], np.array([self.symbols[p] for p in own])[order], np.array([len(p) for p in own])[order]
+        self.unknown = min((self.score[i] for i in usable.values()), default=0.0) - 10
+        most = max(self.symbols.values(), default=0) + 1
+        self.symbol_score = np.append(np.full(most, self.unknown), self.unknown)
+        self.symbol_score[list(usable.values())] = self.score[list(usable.values())]
+        if kind == "bpe":
+            self.read_merges(most)
+
+    def read_merges(self, most: int) -> None:
+        """For each symbol the two it is last merged from, and when; for each pair the piece it merges to."""
+        pairs = sorted((self.symbols[p[:j]] << 32 | self.symbols[p[j:]], i) for p, i in self.usable.items() for j in range(1, len(p)) if p[:j] in self.symbols and p[j:] in self.symbols)
+        self.pair_keys, self.pair_ids = np.array([x[0] for x in pairs] or [-1], np.int64), np.array([x[1] for x in pairs] or [0])
+        self.left, self.right, self.order = np.full(most, -1), np.full(most, -1), np.full(most, -1.0)
+        self.mark_runs: dict[int, list[int]] = {}
+        for p, i in self.usable.items():
+            if len(p) > 1 and p.strip(MARK):
+                parts, last = list(p), None
+                while len(parts) > 1:
+                    k = max((j for j in range(len(parts) - 1) if parts[j] + parts[j + 1] in self.usable), key=lambda j: (self.score[self.usable[parts[j] + parts[j + 1]]], -j), default=None)
+                    if k is None:
+                        break
+                    last = parts[k], parts[k + 1]
+                    parts[k : k + 2] = [parts[k] + parts[k + 1]]
+                later = last and max(self.order_of(last[0]), self.order_of(last[1])) < -self.score[i]
+                if len(parts) > 1 or not later:
+                    raise ValueError(f"piece {i} is no result of merges by falling score")
+                self.left[i], self.right[i], self.order[i] = self.symbols[last[0]], self.symbols[last[1]], -self.score[i]
+
+    def order_of(self, symbol: str) -> float:
+        return -self.score[self.usable[symbol]] if len(symbol) > 1 else -1.0
+
+    def fit(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Whether merging leaves the symbols x and y, side by side, as they are; characters below 0 never merge."""
+        ok = np.ones(len(x), bool)
+        at = np.nonzero((x >= 0) & (y >= 0))[0]
+        a, b, limit = x[at], y[at], np.full(len(at), np.inf)
+        while at.size:
+            key = a << 32 | b
+            place = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+            merges = (self.pair_keys[place] == key) & (self.order[self.pair_ids[place]] < limit)
+            ok[at[merges]] = False
+            on = np.nonzero(~merges & ((self.left[a] >= 0) | (self.left[b] >= 0)))[0]
+            at, a, b = at[on], a[on], b[on]
+            # undo the later one; of equal merges the left one came first, and a merge across comes before an equal one to its right
+            older, newer = self.order[a], self.order[b]
+            first = older > newer
+            limit = np.where(first, older, newer + 0.5)
+            a, b = np.where(first, self.right[a], a), np.where(first, b, self.left[b])
+        return ok
 
     @staticmethod
     def codes(word: str) -> np.ndarray:
@@ -108,49 +166,68 @@ class PieceModel:
     def byte_pieces(self, char: str) -> list[int]:
         return [int(self.byte_ids[b]) for b in char.encode("utf-8", "surrogatepass")]
 
-    def probe(self, keys: np.ndarray) -> np.ndarray:
-        """The id behind each key, or -1."""
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.ids[at], -1)
+    def probe(self, hashes: np.ndarray, length: int) -> np.ndarray:
+        """The symbol of the length behind each hash, or -1."""
+        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        return np.where((self.keys[at] == hashes) & (self.lengths[at] == length), self.ids[at], -1)
 
     def segment(self, words: list[str]) -> list[list[int]]:
         """The ids of each word."""
         by_length: dict[int, list[int]] = {}
         out: list[list[int]] = [[]] * len(words)
+        marks = [(i, len(w) - len(w.lstrip(MARK))) for i, w in enumerate(words) if self.kind == "bpe" and w.startswith(MARK * 2)]
+        words = list(words)
+        for i, k in marks:
+            words[i] = words[i][k - 1 :]
         for i, w in enumerate(words):
             by_length.setdefault(len(w), []).append(i)
         for n, group in by_length.items():
-            for a in range(0, len(group), 1 + 200_000 // max(n, 1)):
-                part = group[a : a + 1 + 200_000 // max(n, 1)]
+            step = 1 + ROWS // max(n, 1)
+            for a in range(0, len(group), step):
+                part = group[a : a + step]
                 own = [words[i] for i in part]
-                rows = self.viterbi(own, n) if self.kind == "unigram" else self.merge(own, n) if n <= LONGEST else map(self.merge_long, own)
+                rows = map(self.merge_long, own) if self.kind == "bpe" and n > LONGEST else self.viterbi(own, n)
                 for i, ids in zip(part, rows):
                     out[i] = ids
+        for i, k in marks:
+            alone = out[i][0] == self.symbols.get(MARK)
+            run = k if alone else k - 1
+            if run not in self.mark_runs:
+                self.mark_runs[run] = self.merge_long(MARK * run)
+            out[i] = self.mark_runs[run] + out[i][alone:]
         return out
 
     def viterbi(self, words: list[str], n: int) -> list[list[int]]:
-        codes = np.stack([self.codes(w) for w in words])
-        best, back = np.full((len(words), n + 1), NEVER), np.zeros((len(words), n + 1, 2), np.int64)
+        """The best path of each word of n characters."""
+        row = np.arange(len(words))
+        codes = self.codes("".join(words)).reshape(len(words), n)
+        h, found = np.uint64(0), []
+        for size in range(1, min(self.width, n) + 1):
+            h = longer_hash(h if size == 1 else h[:, :-1], codes[:, size - 1 :])
+            found.append(self.probe(h, size))
+        best, tail, back = np.full((len(words), n + 1), NEVER), np.full((len(words), n + 1), -1), np.zeros((len(words), n + 1), np.int64)
         best[:, 0] = 0
         for end in range(1, n + 1):
-            options, pieces = [], []
-            for size in range(1, min(self.width, end) + 1):
-                ids = self.probe(substring_hash(codes[:, end - size : end]))
-                score = np.where(ids >= 0, self.score[ids], self.unknown if size == 1 else NEVER)
-                options.append(best[:, end - size] + score)
-                pieces.append(ids)
-            choice = np.argmax(options, axis=0)
-            best[:, end] = np.max(options, axis=0)
-            back[:, end, 0], back[:, end, 1] = choice + 1, np.array(pieces)[choice, np.arange(len(words))]
-        out = []
-        for r, word in enumerate(words):
-            ids, end = [], n
-            while end:
-                size, piece = back[r, end]
-                ids[:0] = [int(piece)] if piece >= 0 else self.byte_pieces(word[end - 1])
-                end -= size
-            out.append(ids)
-        return out
+            sizes = np.arange(1, min(self.width, end) + 1)
+            piece = np.stack([found[size - 1][:, end - size] for size in sizes])
+            usable = piece >= 0
+            usable[0] = True
+            if self.kind == "bpe" and end > 1:
+                size, r = np.nonzero(usable[: end - 1])
+                usable[size, r] = self.fit(tail[r, end - 1 - size], piece[size, r])
+            score = np.where(usable, best[:, end - sizes].T + self.symbol_score[piece], NEVER)
+            choice = score.argmax(axis=0)
+            best[:, end], tail[:, end], back[:, end] = score[choice, row], piece[choice, row], choice + 1
+        path, size, at, used = np.zeros((len(words), n), np.int64), np.zeros((len(words), n), np.int64), np.full(len(words), n), n
+        while (at > 0).any():
+            used -= 1
+            path[:, used], size[:, used] = tail[row, at], back[row, at] * (at > 0)
+            at = at - size[:, used]
+        size, path = size[:, used:], path[:, used:]
+        plain = ((path >= 0) & (path < len(self.pieces)) | (size == 0)).all(axis=1).tolist()
+        skip = (size == 0).sum(axis=1).tolist()
+        begin = np.cumsum(size, axis=1) - size
+        return [p[k:] if ok else self.finish(p[k:], w, b[k:]) for p, k, w, b, ok in zip(path.tolist(), skip, words, begin, plain)]
 
     def start(self, word: str) -> list[int]:
         """Symbols of the characters; those in no piece are below 0."""
@@ -162,42 +239,6 @@ class PieceModel:
             out += [int(s)] if 0 <= s < len(self.pieces) else self.byte_pieces(word[b])
         return out
 
-    def merge(self, words: list[str], n: int) -> list[list[int]]:
-        s = self.first_symbol[self.codes("".join(words)).reshape(len(words), n)]
-        begin = np.broadcast_to(np.arange(n), s.shape).copy()
-        size = np.full(len(words), n)
-        if n > 1 and self.has_pairs:
-            key = lambda x, y: np.where((x < 0) | (y < 0), -1, x << 32 | y)
-            merged = self.probe(key(s[:, :-1], s[:, 1:]))
-            score = np.where(merged >= 0, self.score[merged], NEVER)
-            active = np.arange(len(words))
-            column = np.arange(n)
-            while len(active):
-                j = score[active].argmax(axis=1)
-                alive = score[active, j] > NEVER
-                active, j = active[alive], j[alive]
-                if not len(active):
-                    break
-                shift = np.minimum(column[None, :] + (column[None, :] > j[:, None]), n - 1)
-                new = merged[active, j]
-                for m in (s, begin):
-                    m[active] = np.take_along_axis(m[active], shift, axis=1)
-                s[active, j] = new
-                size[active] -= 1
-                pair = np.minimum(column[None, : n - 1] + (column[None, : n - 1] > j[:, None]), n - 2)
-                for m in (merged, score):
-                    m[active] = np.take_along_axis(m[active], pair, axis=1)
-                for at in (j - 1, j):
-                    inside = (at >= 0) & (at < size[active] - 1)
-                    rows, cols = active[inside], at[inside]
-                    ids = self.probe(key(s[rows, cols], s[rows, cols + 1]))
-                    merged[rows, cols], score[rows, cols] = ids, np.where(ids >= 0, self.score[ids], NEVER)
-                behind = size[active] - 1
-                score[active[:, None], np.minimum(behind, n - 2)[:, None]] = NEVER
-        plain = (((s >= 0) & (s < len(self.pieces))) | (np.arange(n) >= size[:, None])).all(axis=1).tolist()
-        rows = zip(s.tolist(), size.tolist(), words, begin, plain)
-        return [row[:k] if ok else self.finish(row[:k], w, b[:k]) for row, k, w, b, ok in rows]
-
     def merge_long(self, word: str) -> list[int]:
         """One long word, by a heap of pairs."""
         s, n = self.start(word), len(word)

@@ -373,6 +373,17 @@ def test_viterbi_against_brute_force():
     assert model.segment(["▁aé"]) == [[pieces.index(("▁a", -2.2)), 1 + 0xC3, 1 + 0xA9]]
 
 
+def test_viterbi_of_merges_equals_the_library():
+    """Random texts of few letters, where merges compete, long words, runs of spaces, and characters without a piece."""
+    import sentencepiece
+
+    path = piece_codec.model_file()
+    sp, r = sentencepiece.SentencePieceProcessor(model_file=path), random.Random(3)
+    texts = ["".join(r.choice("aabbcdeé漢字 \n.,ab!0019xX▁ßthe in on er") for _ in range(r.randint(0, 90))) for _ in range(1500)]
+    texts += ["x" * 3000, "ab" * 2500, "a" * 5000, "漢字" * 300, "\U0001F600 x", " " * 70 + "a   b "]
+    assert [list(x) for x in piece_codec.encoder(path).each(texts)] == sp.encode(texts)
+
+
 def test_language_on_odd_rows(spark, odd, empty):
     training = odd.filter("doc_id is not null and text is not null and lang is not null").select("doc_id", "text", "lang")
     model = language_id.train(training)
