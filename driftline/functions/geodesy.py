@@ -25,10 +25,11 @@ FAULT = {
 
 
 def haversine_km(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
-    """M1: great-circle distance on the mean sphere."""
+    """M1: great-circle distance on the mean sphere; null where a coordinate is."""
     p1, p2 = F.radians(lat1), F.radians(lat2)
     h = F.pow(F.sin((p2 - p1) / 2), 2) + F.cos(p1) * F.cos(p2) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return 2 * RADIUS_KM * F.asin(F.sqrt(F.least(h, F.lit(1.0))))
+    # least() skips nulls: without the guard a missing coordinate would be half a circumference away
+    return F.when(h.isNotNull(), 2 * RADIUS_KM * F.asin(F.sqrt(F.least(h, F.lit(1.0)))))
 
 
 def bearing(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from driftline.operators.selection import KEY
+from driftline.storage import written
 
 FILE_DAY = [*KEY, "ObservationYear", "ObservationDOY"]
 
@@ -98,13 +99,21 @@ def even_sample(rows: DataFrame, keys: list[str], order: list[str], n: int = 10)
 
 
 def numbered(rows: DataFrame, order: list[str], column: str = "row") -> DataFrame:
-    """Rows numbered in an order. Each range of the order is numbered apart, behind the counts of the ones before."""
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("driftline_part", F.spark_partition_id())
-    own = F.row_number().over(Window.partitionBy("driftline_part").orderBy(*order))
-    counts = ranged.groupBy("driftline_part").agg(F.count("*").alias("driftline_n"))
+    """Rows numbered from 1 in an order; rows equal in it follow by a hash of all their columns.
+
+    Ranges of the order are sorted apart and written once, each row with its range and its place there, so that the counts
+    of the ranges before and the rows are of one evaluation. The hash splits an order value that many rows share."""
+    at, tie = "driftline_at", "driftline_tie"
+    hashed = rows.withColumn(tie, F.xxhash64(*[F.col(f"`{c}`") for c, t in rows.dtypes if "map<" not in t]))
+    ranged = hashed.repartitionByRange(*order, tie).sortWithinPartitions(*order, tie).drop(tie)
+    placed = written(ranged.withColumn(at, F.monotonically_increasing_id()), "numbered")
+    # the id holds the range in its upper 31 bits and the place there in the lower 33
+    part = F.shiftright(at, 33)
+    counts = placed.groupBy(part.alias("driftline_part")).agg(F.count("*").alias("driftline_n"))
     before = F.sum("driftline_n").over(Window.orderBy("driftline_part")) - F.col("driftline_n")
     offsets = F.broadcast(counts.select("driftline_part", before.alias("driftline_before")))
-    return ranged.withColumn(column, own).join(offsets, "driftline_part").withColumn(column, F.col(column) + F.col("driftline_before")).drop("driftline_part", "driftline_before")
+    number = F.col(at).bitwiseAND((1 << 33) - 1) + 1 + F.col("driftline_before")
+    return placed.withColumn("driftline_part", part).join(offsets, "driftline_part").withColumn(column, number).drop(at, "driftline_part", "driftline_before")
 
 
 def scan(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:

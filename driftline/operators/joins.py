@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from driftline.functions import geodesy
 from driftline.operators.selection import KEY
+from driftline.storage import written
 
 FAR = "9999-12-31 23:59:59"
 CELL_DEGREES_KM = 111.0
@@ -27,29 +28,32 @@ def valid_at(points: DataFrame, intervals: DataFrame, keys: list[str], at: str,
     other = [c for c in intervals.columns if c not in keys]
     lo, hi = (F.unix_seconds(x.cast("timestamp")) for x in (F.col(start), F.coalesce(F.col(end), F.lit(FAR).cast("timestamp_ntz"))))
     t = F.unix_seconds(F.col(at).cast("timestamp"))
-    row = "driftline_row"
-    joined = points.withColumn(row, F.struct(*points.columns)).select(*keys, row, F.col(at)).join(intervals, keys)
+    row, copies = "driftline_row", "driftline_copies"
+    # equal points are looked up once and come back as often as they were
+    counted = points.groupBy(F.struct(*points.columns).alias(row)).agg(F.count("*").alias(copies))
+    joined = counted.select(*[F.col(f"{row}.{k}").alias(k) for k in dict.fromkeys([*keys, at])], row, copies).join(intervals, keys)
     inside = joined.filter((t >= lo - tolerance_s) & (t <= hi + tolerance_s))
-    best = inside.groupBy(row).agg(F.min_by(F.struct(*other), F.col(start)).alias("found"))
-    return best.select(f"{row}.*", "found.*")
+    best = inside.groupBy(row).agg(F.min_by(F.struct(*other), F.col(start)).alias("found"), F.first(copies).alias(copies))
+    return best.withColumn(copies, F.explode(F.sequence(F.lit(1).cast("long"), copies))).select(f"{row}.*", "found.*")
 
 
-def overlaps(intervals: DataFrame, keys: list[str], start: str = "DateStart", end: str = "DateEnd") -> DataFrame:
+def overlaps(intervals: DataFrame, keys: list[str], start: str = "DateStart", end: str = "DateEnd", carry: tuple[str, ...] = ()) -> DataFrame:
     """Pairs of intervals of a key that share more than an instant, each once, and the shared seconds.
 
+    Of both intervals come the start and the columns to carry, with _a and _b; a is the one that begins first.
+
     After sorting by start, only a later interval that begins before the greatest end so far can overlap an earlier one;
     intervals that overlap nothing leave before the join."""
     stop = F.coalesce(F.col(end), F.lit(FAR).cast(dict(intervals.dtypes)[end]))
     w = Window.partitionBy(*keys).orderBy(start, "driftline_stop")
-    s = intervals.select(*keys, F.col(start).alias("s"), F.col(end).alias("e"), stop.alias("driftline_stop"))
-    s = s.withColumnRenamed("s", start)
+    s = intervals.select(*keys, start, stop.alias("driftline_stop"), *carry)
     s = s.withColumn("n", F.row_number().over(w)).withColumn("before", F.max("driftline_stop").over(w.rowsBetween(Window.unboundedPreceding, -1)))
     s = s.withColumn("after", F.lead(start).over(w)).filter((F.col(start) < F.col("before")) | (F.col("after") < F.col("driftline_stop")))
-    a, b = (s.select(*keys, *[F.col(c).alias(f"{c}_{x}") for c in (start, "driftline_stop", "n")]) for x in "ab")
+    a, b = (s.select(*keys, *[F.col(c).alias(f"{c}_{x}") for c in (start, "driftline_stop", "n", *carry)]) for x in "ab")
     both = a.join(b, keys).filter(F.col("n_a") < F.col("n_b"))
     lo, hi = F.greatest(f"{start}_a", f"{start}_b"), F.least("driftline_stop_a", "driftline_stop_b")
     seconds = F.unix_seconds(hi.cast("timestamp")) - F.unix_seconds(lo.cast("timestamp"))
-    return both.withColumn("shared_s", seconds).filter("shared_s > 0").select(*keys, f"{start}_a", f"{start}_b", "shared_s")
+    return both.withColumn("shared_s", seconds).filter("shared_s > 0").select(*keys, *[f"{c}_{x}" for c in (start, *carry) for x in "ab"], "shared_s")
 
 
 def files_in_gaps(gaps: DataFrame, files: DataFrame, keys: list[str]) -> DataFrame:
@@ -92,22 +96,47 @@ def within_km(left: DataFrame, right: DataFrame, km: float, lat: str = "lat", lo
     return joined.drop("driftline_row", "driftline_column")
 
 
+#: Within the largest radius of a growing search, in km; what is left then is searched by whole degrees.
+FAR_KM = 5000.0
+#: No point of a cell of one degree is farther from its middle.
+HALF_CELL_KM = 79.0
+
+
 def nearest(points: DataFrame, places: DataFrame, keys: list[str], start_km: float = 50.0, lat: str = "lat", lon: str = "lon", only: Column | None = None) -> DataFrame:
-    """Each point with its nearest place, of the pairs that only holds for. The radius grows for the points still without one."""
-    todo, found, km = points, None, start_km
+    """Each point with its nearest place, of the pairs that `only` holds for (such as other than itself).
+
+    The radius grows for the points still without a place. Points or places without coordinates take no part."""
+    known = F.col(lat).isNotNull() & F.col(lon).isNotNull()
+    todo, places, found, km, searched = points.filter(known), places.filter(known), None, start_km, 0.0
     only = F.lit(True) if only is None else only
     while True:
-        if km > 5000:  # half the globe: what is left meets every place, in a broadcast of the few left
-            r = places.select(*[F.col(c).alias(f"r_{c}") for c in places.columns])
-            d = geodesy.haversine_km(F.col(lon), F.col(lat), F.col(f"r_{lon}"), F.col(f"r_{lat}"))
-            best = closest(todo.join(r, only).withColumn("distance_km", d), keys)
-            return best if found is None else found.unionByName(best)
-        best = closest(within_km(todo, places, km, lat, lon).filter(only), keys)
+        near = within_km(todo, places, km, lat, lon) if km <= FAR_KM else beyond(todo, places, searched, lat, lon)
+        best = written(closest(near.filter(only), keys), "nearest")
         found = best if found is None else found.unionByName(best)
-        todo = todo.join(best.select(*keys), keys, "left_anti")
+        if km > FAR_KM:
+            return found
+        todo = written(todo.join(best.select(*keys), keys, "left_anti"), "left")
         if todo.limit(1).count() == 0:
             return found
-        km *= 4
+        searched, km = km, km * 4
+
+
+def beyond(points: DataFrame, places: DataFrame, km: float, lat: str, lon: str) -> DataFrame:
+    """Pairs of points with the places that may be nearest among those over km away.
+
+    Both sides are reduced to the cells of one degree that they fill, of which the globe has 64,800, so that only these two
+    small tables are compared with each other; places and points then meet by cell."""
+    degree = lambda d, x: F.struct(F.floor(F.col(f"{x}{lat}")).alias("i"), F.floor(F.pmod(F.col(f"{x}{lon}"), F.lit(360.0))).alias("j"))
+    p = points.withColumn("driftline_p", degree(points, ""))
+    q = places.select(*[F.col(c).alias(f"r_{c}") for c in places.columns]).withColumn("driftline_q", degree(places, "r_"))
+    middle = lambda c: (F.col(f"{c}.j") + 0.5, F.col(f"{c}.i") + 0.5)
+    cells = p.select("driftline_p").distinct().crossJoin(F.broadcast(q.select("driftline_q").distinct()))
+    cells = cells.withColumn("d", geodesy.haversine_km(*middle("driftline_p"), *middle("driftline_q"))).filter(F.col("d") > km - 2 * HALF_CELL_KM)
+    least = cells.groupBy("driftline_p").agg(F.min("d").alias("least"))
+    cells = cells.join(least, "driftline_p").filter(F.col("d") <= F.col("least") + 4 * HALF_CELL_KM).select("driftline_p", "driftline_q")
+    pairs = p.join(cells, "driftline_p").join(q, "driftline_q").drop("driftline_p", "driftline_q")
+    d = geodesy.haversine_km(F.col(lon), F.col(lat), F.col(f"r_{lon}"), F.col(f"r_{lat}"))
+    return pairs.withColumn("distance_km", d).filter(F.col("distance_km") > km)
 
 
 def closest(pairs: DataFrame, keys: list[str]) -> DataFrame:

@@ -247,9 +247,12 @@ def active_stations(table: DataFrame, files: DataFrame, days: DataFrame) -> Data
 
 def missing_station_days(active: DataFrame, days: DataFrame) -> DataFrame:
     """For each station the days of the period between its own first and last without a file."""
-    span = active.groupBy(*KEY).agg(F.min(F.struct("Year", "DOY")).alias("lo"), F.max(F.struct("Year", "DOY")).alias("hi"))
-    d = days.select("Year", "DOY").distinct().withColumn("day", F.struct("Year", "DOY"))
-    pairs = span.join(F.broadcast(d), (F.col("day") >= F.col("lo")) & (F.col("day") <= F.col("hi")))
+    date = lambda y, d: F.date_add(F.make_date(y, F.lit(1), F.lit(1)), (d - 1).cast("int"))
+    own = date(F.col("Year"), F.col("DOY"))
+    span = active.groupBy(*KEY).agg(F.min(own).alias("lo"), F.max(own).alias("hi"))
+    every = span.select(*KEY, F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 1 DAY"))).alias("day"))
+    wanted = days.select("Year", "DOY").distinct().withColumn("day", own)
+    pairs = every.join(wanted, "day")
     return pairs.select(*KEY, "Year", "DOY").join(active.select(*KEY, "Year", "DOY"), [*KEY, "Year", "DOY"], "left_anti")
 
 

@@ -108,14 +108,19 @@ def processable(files: DataFrame) -> DataFrame:
     return files.filter((F.col("Completion") >= 0.5) & (F.col("Interval") <= 120))
 
 
+MOST_FRAMES = 1000
+
+
 def frame_of_day(rows: DataFrame, frames: DataFrame, day: str = "date") -> DataFrame:
-    """F16: the first frame whose span holds the day; rows of no frame keep null. frames is a small fixed list."""
-    f = F.broadcast(frames.select("frame", F.col("start").alias("frame_start"), F.col("end").alias("frame_end")))
-    hit = (F.col(day) >= F.col("frame_start")) & (F.col("frame_end").isNull() | (F.col(day) <= F.col("frame_end")))
-    key = "driftline_row"
-    numbered = rows.withColumn(key, F.struct(*rows.columns))
-    found = numbered.join(f, hit, "left").groupBy(key).agg(F.min_by("frame", "frame_start").alias("frame"), F.count("*").alias("n"))
-    return found.select(f"{key}.*", "frame")
+    """F16: the first frame whose span holds the day; rows of no frame keep null.
+
+    frames is a short list by nature (its length is checked) and becomes one expression: no join, and equal rows stay."""
+    listed = frames.select("frame", "start", "end").orderBy("start", "frame").limit(MOST_FRAMES + 1).collect()
+    if len(listed) > MOST_FRAMES:
+        raise ValueError(f"over {MOST_FRAMES} reference frames")
+    d = F.col(day)
+    hits = [F.when((d >= F.lit(r["start"])) & (F.lit(True) if r["end"] is None else d <= F.lit(r["end"])), F.lit(r["frame"])) for r in listed]
+    return rows.withColumn("frame", F.coalesce(*hits, F.lit(None).cast("string")))
 
 
 def integer_set(spec: str, most: int) -> list[int]:

@@ -74,12 +74,12 @@ def robust_trend(series: DataFrame, keys: list[str], t: str, v: str) -> DataFram
 
 
 def periods_allowed(t: np.ndarray, periods=PERIODS_DAYS) -> list[float]:
-    """The periods that the largest wrapped gap in the data leaves resolvable: half of each, sampled twice."""
+    """The periods that the largest wrapped gap in the data leaves resolvable: a quarter of each at most."""
     part = np.unique(np.round(t - np.floor(t), 6))
     if len(part) < 2:
         return []
     gap = max(np.diff(part).max(), 1 - part[-1] + part[0])
-    return [p for p in periods if gap <= p / DAYS_IN_YEAR / 2 / 2 * 2]
+    return [p for p in periods if gap <= p / DAYS_IN_YEAR / 4]
 
 
 def columns(t: np.ndarray, t_ref: float, degree: int, periods, jumps) -> list[tuple[str, float, float, np.ndarray]]:

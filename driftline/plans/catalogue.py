@@ -99,8 +99,9 @@ def union_days(spark, sf):
 
 @query("select c_custkey as k from customer intersect select o_custkey from orders where o_totalprice > 100000")
 def common_keys(spark, sf):
-    a = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"))
-    return a.intersect(table(spark, sf, "orders").filter("o_totalprice > 100000").select(F.col("o_custkey").alias("k")))
+    key = lambda c: (F.lit("n").alias("NetworkCode"), F.col(c).alias("StationCode"))
+    orders = table(spark, sf, "orders").filter("o_totalprice > 100000").select(*key("o_custkey"))
+    return selection.common_stations(table(spark, sf, "customer").select(*key("c_custkey")), orders).select(F.col("StationCode").alias("k"))
 
 
 @query(
@@ -156,6 +157,13 @@ def global_row_number(spark, sf):
     return archive.numbered(table(spark, sf, "orders").select("o_orderdate", "o_orderkey"), ["o_orderdate", "o_orderkey"]).select("o_orderkey", F.col("row").cast("long"))
 
 
+@query("select doc_id, row_number() over (order by n_chars, doc_id) as row, length(text) n from documents")
+def numbered_documents(spark, sf):
+    """W3 with a wide payload, whose ranges differ in size."""
+    d = archive.numbered(table(spark, sf, "documents").select("doc_id", "n_chars", "text", "lang", "source"), ["n_chars", "doc_id"])
+    return d.select("doc_id", F.col("row").cast("long"), F.length("text").cast("long").alias("n"))
+
+
 @query(
     f"""with {DAILY} select user_id, t, round(v - lag(v) over w, 6) d_v, t - lag(t) over w d_t from daily window w as (partition by user_id order by t)"""
 )
@@ -229,12 +237,11 @@ def interval_overlap(spark, sf):
     o = table(spark, sf, "orders")
     s = o.select(F.col("o_custkey").alias("k"), F.struct(F.col("o_orderdate").alias("s"), F.col("o_orderkey").alias("id")).alias("x"), (F.col("o_orderdate") + F.expr("INTERVAL 20 DAYS")).alias("e"))
     flat = s.select("k", F.col("x.s").alias("DateStart"), F.col("e").alias("DateEnd"), F.col("x.id").alias("id"))
-    both = joins.overlaps(flat, ["k"])
-    ids = flat.select("k", "DateStart", "id")
-    a, b = (ids.select("k", F.col("DateStart").alias(f"DateStart_{x}"), F.col("id").alias(f"id_{x}")) for x in "ab")
-    out = both.join(a, ["k", "DateStart_a"]).join(b, ["k", "DateStart_b"])
-    same = F.col("DateStart_a") == F.col("DateStart_b")
-    return out.filter(~same | (F.col("id_a") < F.col("id_b"))).select("k", "id_a", "id_b", "shared_s").distinct()
+    both = joins.overlaps(flat, ["k"], carry=("id",))
+    # orders of one day last equally long: the smaller id is the first
+    swap = (F.col("DateStart_a") == F.col("DateStart_b")) & (F.col("id_a") > F.col("id_b"))
+    first, second = F.when(swap, F.col("id_b")).otherwise(F.col("id_a")), F.when(swap, F.col("id_a")).otherwise(F.col("id_b"))
+    return both.select("k", first.alias("id_a"), second.alias("id_b"), "shared_s")
 
 
 PLACES = "select c_custkey id, (c_custkey * 37 % 1200) / 10.0 - 60 lat, (c_custkey * 91 % 3599) / 10.0 - 179.9 lon from customer"
@@ -253,12 +260,13 @@ def radius_match(spark, sf):
 
 
 @query(
-    f"""with p as ({PLACES}), d as (select a.id, {HAVERSINE} d from p a join p b on a.id <> b.id and b.id % 3 = 0 where a.id % 7 = 1)
+    f"""with p as ({PLACES}), d as (select a.id, {HAVERSINE} d from p a join p b on a.id <> b.id)
 select id, round(min(d), 4) distance_km from d group by 1"""
 )
 def nearest_place(spark, sf):
+    """J13 over the whole table in both roles: each customer with the distance of the nearest other one."""
     p = places(spark, sf)
-    found = joins.nearest(p.filter("id % 7 = 1"), p.filter("id % 3 = 0"), ["id"], only=F.col("id") != F.col("r_id"))
+    found = joins.nearest(p, p, ["id"], only=F.col("id") != F.col("r_id"))
     return found.select("id", F.round("distance_km", 4).alias("distance_km"))
 
 
@@ -267,7 +275,10 @@ def sites(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "supplier").select(k.alias("event_id"), ((k * 53 % 1200) / 10.0 - 60).alias("lat"), ((k * 71 % 3599) / 10.0 - 179.9).alias("lon"))
 
 
-@query()
+SITES = "select s_suppkey event_id, (s_suppkey * 53 % 1200) / 10.0 - 60 lat, (s_suppkey * 71 % 3599) / 10.0 - 179.9 lon from supplier"
+
+
+@query(f"with p as ({PLACES}), s as ({SITES}) select id, round(min({HAVERSINE}), 4) distance_km from p a join s b on true group by 1")
 def nearest_site(spark, sf):
     """J13 over whole tables: each customer with the distance of its nearest supplier."""
     found = joins.nearest(places(spark, sf), sites(spark, sf), ["id"])
@@ -275,19 +286,24 @@ def nearest_site(spark, sf):
 
 
 @query(
-    f"""with p as ({PLACES}), s as (select a.id, b.id event_id, {HAVERSINE} d, 5 + b.id % 40 / 10.0 mag from p a join p b on b.id % 97 = 0 and a.id <> b.id)
-select id, event_id, round(0.5261 * mag - log10(d) - 1.1478, 5) score from s where 0.5261 * mag - log10(d) - 1.1478 + log10(1.5) > 0.00001"""
+    f"""with p as ({PLACES}), q as (select n_nationkey event_id, (n_nationkey * 53 % 1200) / 10.0 - 60 lat, (n_nationkey * 71 % 3599) / 10.0 - 179.9 lon, 6 + n_nationkey % 40 / 10.0 mag from nation),
+s as (select a.id, b.event_id, {HAVERSINE} d, mag from p a join q b on true)
+select id, event_id, round(0.5261 * mag - log10(greatest(d, 1e-3)) - 1.1478, 5) score from s where 0.5261 * mag - log10(greatest(d, 1e-3)) - 1.1478 + log10(1.5) > 0.00001"""
 )
 def haversine_score(spark, sf):
-    p = places(spark, sf)
-    quakes = p.filter("id % 97 = 0").withColumn("mag", 5 + F.col("id") % 40 / 10.0)
+    """J15 over whole tables: each nation is an event, up to magnitude 8.4, each customer a station."""
     from driftline.operators import seismic
 
-    hit = seismic.affected(p, quakes.withColumnRenamed("id", "event_id"))
-    return hit.filter("id <> event_id and after_score > 0.00001").select("id", "event_id", F.round("score", 5).alias("score"))
+    k = F.col("n_nationkey")
+    quakes = table(spark, sf, "nation").select(k.alias("event_id"), ((k * 53 % 1200) / 10.0 - 60).alias("lat"), ((k * 71 % 3599) / 10.0 - 179.9).alias("lon"), (6 + k % 40 / 10.0).alias("mag"))
+    hit = seismic.affected(places(spark, sf), quakes)
+    return hit.filter("after_score > 0.00001").select("id", "event_id", F.round("score", 5).alias("score"))
 
 
-@query()
+@query(
+    f"""with p as ({PLACES}), q as (select *, 5 + event_id % 40 / 10.0 mag from ({SITES})), s as (select a.id, b.event_id, {HAVERSINE} d, mag from p a join q b on true)
+select id, event_id, round(0.5261 * mag - log10(greatest(d, 1e-3)) - 1.1478, 5) score from s where 0.5261 * mag - log10(greatest(d, 1e-3)) - 1.1478 + log10(1.5) > 0.00001"""
+)
 def site_score(spark, sf):
     """J15 over whole tables: each supplier is an event, each customer a station."""
     from driftline.operators import seismic
@@ -356,14 +372,14 @@ def outlier_flag(spark, sf):
 
 @query("select l_suppkey, round(quantile_cont(l_extendedprice, 0.75) - quantile_cont(l_extendedprice, 0.25), 4) iqr from lineitem group by 1")
 def iqr_by_key(spark, sf):
-    p = "l_extendedprice"
-    iqr = F.percentile(p, F.lit(0.75)) - F.percentile(p, F.lit(0.25))
-    return table(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.round(iqr, 4).alias("iqr"))
+    stats, _ = archive.residual_statistics(table(spark, sf, "lineitem").withColumn("s", F.lit(1.0)), ["l_suppkey"], "l_extendedprice", "s")
+    return stats.select("l_suppkey", F.round("iqr", 4).alias("iqr"))
 
 
 @query("select l_suppkey, round(corr(l_quantity, l_extendedprice), 6) r, round(covar_samp(l_quantity, l_discount), 6) c from lineitem group by 1")
 def corr_by_key(spark, sf):
-    return table(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.round(F.corr("l_quantity", "l_extendedprice"), 6).alias("r"), F.round(F.covar_samp("l_quantity", "l_discount"), 6).alias("c"))
+    c = archive.residual_covariance(table(spark, sf, "lineitem"), ["l_suppkey"], "l_quantity", "l_extendedprice", "l_discount")
+    return c.select("l_suppkey", F.round("corr_l_quantityl_extendedprice", 6).alias("r"), F.round("cov_l_quantityl_discount", 6).alias("c"))
 
 
 @query("select vec_id, i::integer i, round(embedding[i + 1]::double, 6) a, round(embedding[i + 33]::double, 6) b from (select *, unnest(range(0, 32)) i from embeddings)")

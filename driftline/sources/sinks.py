@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from driftline.operators.archive import numbered
 from driftline.operators.selection import KEY
 
 
@@ -76,9 +76,9 @@ def sigma_lines(stations: DataFrame) -> DataFrame:
 
 def loading_requests(stations: DataFrame, size: int = 99) -> DataFrame:
     """K9: request lines numbered into files of at most `size` stations."""
-    n = F.row_number().over(Window.orderBy(*KEY))
     line = F.format_string("%-24s %16.4f%16.4f%16.4f", F.concat_ws("_", *KEY), "auto_x", "auto_y", "auto_z")
-    return stations.withColumn("file", F.floor((n - 1) / size).cast("int")).select("file", line.alias("value"))
+    rows = numbered(stations.select(*KEY, line.alias("value")), KEY, "n")
+    return rows.select(F.floor((F.col("n") - 1) / size).cast("int").alias("file"), "value")
 
 
 def motion_lines(rows: DataFrame) -> DataFrame:
