@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import threading
 import uuid
 from collections.abc import Iterator
@@ -13,10 +10,10 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftline.storage import shared_folder
 
 #: Shuffle files of a finished write go at once; what it wrote replaces them.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-FOLDER = "spark.checkpoint.dir"
 WRITING, LOCK = {"now": 0, "before": "false"}, threading.Lock()
 
 
@@ -29,19 +26,6 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir. Where that is unset a local master, as in tests, gets a
-    temporary folder, which goes with the process; elsewhere a local folder would be out of other executors' reach."""
-    folder = spark.conf.get(FOLDER, None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"set {FOLDER} to a folder that driver and executors share")
-        folder = tempfile.mkdtemp(prefix="driftline-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        spark.conf.set(FOLDER, folder)
-    return folder
-
-
 @contextmanager
 def without_shuffle_files(spark: SparkSession) -> Iterator[None]:
     """The shuffle files of writes inside go when they are done. Threads that write at the same time share the setting."""

@@ -33,9 +33,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from driftline.llm.common import shared_folder, table, texts, without_shuffle_files
+from driftline.llm.common import table, texts, without_shuffle_files
 from driftline.llm.packing import tokenizer_file
 from driftline.llm.token_ids import encoder
+from driftline.storage import shared_folder
 
 BLOCK = 2048
 #: Ids after which a chunk ends at the next document.
