@@ -14,8 +14,9 @@ Within a task, segments that an earlier document of the same strip of text holds
 that a frequent passage costs one row for each strip, not for each document.
 
 Names are 64-bit, pairs 96-bit fingerprints (of the second name 32 bits go into the pair). Defined results: a null or empty text has no bytes and the SHA-256
-of nothing. Rows without an id neither remove nor lose anything. Rows that repeat a doc_id must
-repeat its text; they get equal results. An empty table gives no rows; other columns are not looked at.
+of nothing. Rows without an id neither remove nor lose anything. Rows that repeat a doc_id neither
+remove bytes of each other; where their texts differ, rows get numbers of their own, by which positions are told apart. An
+empty table gives no rows; other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from driftline.llm.common import stored, table, texts
+from driftline.llm.common import fresh, stored, table, texts
 
 WINDOW = 50
 HALF = WINDOW // 2
@@ -133,6 +134,8 @@ def strips(begin: np.ndarray) -> Iterator[tuple[int, int]]:
 
 #: place: first window (24 bits and more), number of windows (7 bits), settled (1 bit), as one number for a smaller shuffle.
 ROW = pa.schema([("rank", pa.int64()), ("segment", pa.int64()), ("doc_id", pa.int64()), ("place", pa.int64())])
+#: The number of a row, where doc_id does not tell rows apart.
+NUMBER = pa.field("row", pa.int64())
 
 
 def anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,22 +143,24 @@ def anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, begin = text_bytes(batch.column("text"))
         ids = batch.column("doc_id").to_numpy()
+        numbers = batch.column("row").to_numpy() if "row" in batch.schema.names else None
         for a, b in strips(begin):
             parts = []
             for i, j, lo, hi in pieces(begin[a : b + 1]):
                 start, count, _, rank, segment = segments(data[lo:hi], begin[a + i + 1 : a + j + 2] - lo)
                 text = a + np.searchsorted(begin[a : b + 1], start + lo, "right") - 1
-                parts.append((rank, segment, ids[text], start + lo - begin[text], count))
-            rank, segment, doc, first, count = (np.concatenate(x) for x in zip(*parts))
+                parts.append((rank, segment, ids[text], start + lo - begin[text], count, text))
+            rank, segment, doc, first, count, text = (np.concatenate(x) for x in zip(*parts))
             order = np.lexsort((doc, segment, rank))
-            rank, segment, doc, first, count = (x[order] for x in (rank, segment, doc, first, count))
+            rank, segment, doc, first, count, text = (x[order] for x in (rank, segment, doc, first, count, text))
             new = np.ones(len(rank), bool)
             new[1:] = (rank[1:] != rank[:-1]) | (segment[1:] != segment[:-1])
             settled = doc > doc[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
             rank = np.where(settled, mixed(segment + doc.astype(np.uint64) * BASE + first.astype(np.uint64)), rank)
             back = np.argsort(order, kind="stable")
             columns = [rank.view(np.int64), segment.view(np.int64), doc, first.astype(np.int64) << 8 | count << 1 | settled]
-            yield pa.RecordBatch.from_arrays([pa.array(x[back]) for x in columns], schema=ROW)
+            columns += [] if numbers is None else [numbers[text]]
+            yield pa.RecordBatch.from_arrays([pa.array(x[back]) for x in columns], schema=ROW if numbers is None else ROW.append(NUMBER))
 
 
 PAIR = pa.schema([("left", pa.int64()), ("right", pa.int32()), ("doc_id", pa.int64()), ("first", pa.int32())])
@@ -164,25 +169,30 @@ PAIR = pa.schema([("left", pa.int64()), ("right", pa.int32()), ("doc_id", pa.int
 def pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rank pair of each window of the open segments of each text."""
     for batch in batches:
-        out: list[list] = [[], [], [], []]
-        for text, doc, first, count in zip(*(batch.column(c) for c in ("text", "doc_id", "firsts", "counts"))):
+        numbered = "row" in batch.schema.names
+        out: list[list] = [[], [], [], [], []]
+        for i, (text, doc, first, count) in enumerate(zip(*(batch.column(c) for c in ("text", "doc_id", "firsts", "counts")))):
             data = np.frombuffer(text.as_py().encode(), np.uint8)
             first, count = first.values.to_numpy().astype(np.int64), count.values.to_numpy().astype(np.int64)
             at = np.unique(np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum()))
+            row = batch.column("row")[i].as_py() if numbered else 0
             for lo in range(0, len(data), CHUNK):
                 own = at[(at >= lo) & (at < lo + CHUNK)]
                 if len(own):
                     name = names(data[lo : lo + CHUNK + WINDOW])
-                    for column, x in zip(out, (name[own - lo], (mixed(name[own - lo + HALF]) >> np.uint64(32)).astype(np.uint32), np.full(len(own), doc.as_py()), own)):
+                    for column, x in zip(out, (name[own - lo], (mixed(name[own - lo + HALF]) >> np.uint64(32)).astype(np.uint32), np.full(len(own), doc.as_py()), own, np.full(len(own), row))):
                         column.append(x)
         if out[0]:
-            left, right, doc, first = (np.concatenate(x) for x in out)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (left.view(np.int64), right.view(np.int32), doc, first.astype(np.int32))], schema=PAIR)
+            left, right, doc, first, row = (np.concatenate(x) for x in out)
+            columns = [left.view(np.int64), right.view(np.int32), doc, first.astype(np.int32), *([row] if numbered else [])]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], schema=PAIR.append(NUMBER) if numbered else PAIR)
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, first, last: bytes to remove, as intervals that may overlap. docs: doc_id, text, none null."""
-    row = "rank long, segment long, doc_id long, place long"
+    """Bytes to remove, as intervals first, last that may overlap, of each row. docs: doc_id and text, none null, and `row`
+    where doc_id alone does not tell rows apart; so do the intervals."""
+    key, more = ("row", ", row long") if "row" in docs.columns else ("doc_id", "")
+    row = "rank long, segment long, doc_id long, place long" + more
     by_rank, by_segment = Window.partitionBy("rank"), Window.partitionBy("rank", "segment")
     judged = (
         docs.mapInArrow(anchor_rows, row)
@@ -195,15 +205,15 @@ def repeats(docs: DataFrame) -> DataFrame:
         .filter("settled or several and (doc_id > owner or mixed)")
         .withColumn("first", F.shiftright("place", 8).cast("int"))
         .withColumn("windows", F.shiftright("place", 1).bitwiseAND(127).cast("int"))
-        .select("doc_id", "first", "windows", (F.col("settled") | (F.col("doc_id") > F.col("owner"))).alias("repeated"))
+        .select(key, "first", "windows", (F.col("settled") | (F.col("doc_id") > F.col("owner"))).alias("repeated"))
     )
     judged = stored(judged, "segments")
-    whole = judged.filter("repeated").select("doc_id", "first", (F.col("first") + F.col("windows") + F.lit(WINDOW - 1)).alias("last"))
-    still = judged.filter("not repeated").groupBy("doc_id").agg(F.collect_list("first").alias("firsts"), F.collect_list("windows").alias("counts"))
-    pairs = docs.join(still.hint("shuffle_hash"), "doc_id").select("text", "doc_id", "firsts", "counts")
-    pairs = pairs.mapInArrow(pair_rows, "left long, right int, doc_id long, first int")
+    whole = judged.filter("repeated").select(key, "first", (F.col("first") + F.col("windows") + F.lit(WINDOW - 1)).alias("last"))
+    still = judged.filter("not repeated").groupBy(key).agg(F.collect_list("first").alias("firsts"), F.collect_list("windows").alias("counts"))
+    pairs = docs.join(still.hint("shuffle_hash"), key).select("text", *dict.fromkeys(["doc_id", key]), "firsts", "counts")
+    pairs = pairs.mapInArrow(pair_rows, "left long, right int, doc_id long, first int" + more)
     earliest = F.min("doc_id").over(Window.partitionBy("left", "right"))
-    windows = pairs.withColumn("owner", earliest).filter("doc_id > owner").select("doc_id", "first", (F.col("first") + WINDOW).alias("last"))
+    windows = pairs.withColumn("owner", earliest).filter("doc_id > owner").select(key, "first", (F.col("first") + WINDOW).alias("last"))
     return whole.unionByName(windows)
 
 
@@ -219,13 +229,21 @@ def cut(text: str, firsts, lasts) -> tuple[bytes, int, int]:
     return np.frombuffer(data, np.uint8)[~gone].tobytes(), int(gone.sum()), int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
 
 
-def with_repeats(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text and others) with firsts and lasts, the intervals to remove (null: none)."""
+def with_repeats(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """docs with two more columns, the begins and ends of the intervals to remove (null: none), and their names."""
     plain = texts(docs).filter(F.col("doc_id").isNotNull())
+    key, firsts, lasts = (fresh(docs, c) for c in ("repeats_key", "firsts", "lasts"))
+    h = F.xxhash64("text")
+    if plain.groupBy("doc_id").agg(F.min(h).alias("lo"), F.max(h).alias("hi")).filter("lo <> hi").limit(1).count():
+        docs = stored(docs.withColumn(key, F.monotonically_increasing_id()), "rows")  # a number once written stays
+        own = F.coalesce(F.col("text"), F.lit(""))
+        plain = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), own.alias("text"), F.col(key).alias("row"))
+    else:
+        docs = docs.withColumn(key, F.col("doc_id").cast("long"))
     found = stored(repeats(plain), "repeats")
-    gathered = found.groupBy("doc_id").agg(F.collect_list("first").alias("firsts"), F.collect_list("last").alias("lasts"))
-    gathered = gathered.withColumnRenamed("doc_id", "driftline_id")
-    return docs.join(gathered.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col("driftline_id"), "left")
+    by = "row" if "row" in plain.columns else "doc_id"
+    gathered = found.groupBy(F.col(by).alias(key)).agg(F.collect_list("first").alias(firsts), F.collect_list("last").alias(lasts))
+    return docs.join(gathered.hint("shuffle_hash"), key, "left"), firsts, lasts
 
 
 def removal_table(docs: DataFrame) -> DataFrame:
@@ -237,7 +255,7 @@ def removal_table(docs: DataFrame) -> DataFrame:
             b = b[["doc_id"]].assign(n_bytes=[len(t.encode()) for t in b["text"]], n_removed=[r[1] for r in rows], n_spans=[r[2] for r in rows])
             yield b.assign(kept_sha256=[hashlib.sha256(r[0]).hexdigest() for r in rows])
 
-    joined = with_repeats(texts(docs)).select("doc_id", "text", "firsts", "lasts")
+    joined = with_repeats(texts(docs))[0].select("doc_id", "text", "firsts", "lasts")
     return joined.mapInPandas(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -248,10 +266,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     def kept(text, firsts, lasts):
         return text.combine(firsts, lambda t, f: (t, f)).combine(lasts, lambda x, z: None if x[0] is None else cut(x[0], x[1], z)[0].decode("utf-8", "ignore"))
 
-    held = with_repeats(docs)
-    changed = held.withColumn("text", F.when(F.col("firsts").isNull(), F.col("text")).otherwise(kept("text", "firsts", "lasts")))
+    held, firsts, lasts = with_repeats(docs)
+    whole = F.col(firsts).isNull()
+    changed = held.withColumn("text", F.when(whole, F.col("text")).otherwise(kept("text", firsts, lasts)))
     if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.when(F.col("firsts").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(dict(docs.dtypes)["n_chars"]))
+        changed = changed.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text")).cast(dict(docs.dtypes)["n_chars"]))
     return changed.select(*docs.columns)
 
 

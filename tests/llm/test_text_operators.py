@@ -78,6 +78,23 @@ def test_suffix_removal(odd, odd_rows, empty, chunk, monkeypatch):
     assert suffix_dedup.removal_table(empty).count() == 0
 
 
+def test_suffix_removal_of_rows_that_share_an_id(spark):
+    """Rows of one id with different texts, and extra columns named as the operator's own."""
+    r = random.Random(9)
+    a, b, c = ("".join(r.choice("abcdefgh ") for _ in range(150)) for _ in range(3))
+    rows = [(1, a), (2, b), (2, c + a), (2, c), (3, b[:90] + c[40:]), (3, "x" + a), (None, a), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert by_row(suffix_dedup.removal_table(docs).collect()) == brute_removal(rows)
+    clash = docs.withColumns({n: F.lit(7) for n in ("firsts", "lasts", "row", "repeats_key", "first", "driftline_id", "rank")})
+    stay = suffix_dedup.remove_repeats(clash)
+    assert stay.columns == clash.columns
+    kept = {hashlib.sha256((x["text"] or "").encode()).hexdigest() for x in stay.collect()}
+    assert kept == {x[4] for x in brute_removal(rows)} and {x["row"] for x in stay.collect()} == {7}
+    secrets = docs.withColumns({n: F.lit(7) for n in ("spans", "measures", "shard", "score")})
+    for stage in (quality_rules.keep_good, minhash_dedup.keep_first):
+        assert stage(secrets).columns == secrets.columns
+
+
 def substituted(seed):
     """Documents that share a passage but for one to five bytes of the same length, at every place of it."""
     r = random.Random(seed)
