@@ -151,8 +151,8 @@ def sample(training: DataFrame) -> DataFrame:
     """doc_id, text and lang of at most PER_LANGUAGE rows of each language, SAMPLE of all."""
     counts = training.groupBy("lang").agg(F.count("*").alias("n"))
     each = max(1, min(PER_LANGUAGE, SAMPLE // max(1, counts.count())))
-    # about twice the wanted rows of a language pass, however many tasks there are, before the least hashes are ranked
-    near = training.join(counts, "lang").filter(hashed_below(F.lit(2.0 * each) / F.col("n")))
+    # twice the wanted rows of a language and some more pass, however many tasks there are, before the least hashes are ranked
+    near = training.join(counts, "lang").filter(hashed_below(F.lit(2.0 * each + 50) / F.col("n")))
     spread = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     return near.withColumn("r", spread).filter(F.col("r") <= each).select("doc_id", "text", "lang")
 
