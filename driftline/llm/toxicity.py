@@ -33,7 +33,7 @@ PREFIXES = (4, 5, 6, 7)
 LEVELS = (1, 2, 4, 8)
 #: Features that fewer confirmed toxic documents hold, as number or share, are not candidates for the vocabulary. The share
 #: bounds the candidates by the features a document has, whatever the number of documents.
-LEAST, LEAST_SHARE = 4, 0.002
+LEAST, LEAST_SHARE = 4, 0.005
 #: Counts a task holds before it hands them on.
 HELD = 300_000
 #: Words whose features a task remembers.
