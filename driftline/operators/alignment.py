@@ -10,10 +10,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from driftline.functions.lsq import robust_fit
+from driftline.operators.archive import numbered
 from driftline.operators.selection import KEY
+from driftline.storage import written
 
 DAY = ["Year", "DOY"]
 #: Rotations are in units of 1e-9 rad.
@@ -92,11 +93,11 @@ def trend_targets(days: DataFrame) -> DataFrame:
 
 
 def align_stack(days: DataFrame, passes: int = 4, targets=trend_targets, cut=None) -> DataFrame:
-    """Days aligned to the stations' motions, some passes. cut(df) writes a pass's rows out, so that lineage stays
-    short and lost executors cost one pass; without it plans are chained."""
+    """Days aligned to the stations' motions, some passes. A pass reads its input several times, so each one is
+    written out: to the shared folder, or by cut(df) where that is given."""
     for _ in range(passes):
         days = transformed(days, helmert(days, targets(days)))
-        days = cut(days) if cut else days
+        days = cut(days) if cut else written(days, "aligned")
     return days
 
 
@@ -142,34 +143,50 @@ def periodic_constraints(fits: DataFrame) -> DataFrame:
     return fits.groupBy(*KEY, "period", "component").agg(F.avg("value").alias("value"), F.count("*").alias("n"))
 
 
-def chain(days: DataFrame, collect_limit: int = 40_000) -> DataFrame:
-    """Each day aligned to the already aligned day before. Transformations compose: pairs of neighbouring days are
-    fitted in parallel, and only their running product is sequential, over one row a day.
+#: Days of a stretch of a chain, whose running product is one task's work.
+STRETCH = 1000
 
-    The number of days (not of rows) is checked, as the product is made on the driver."""
+
+def chain(days: DataFrame) -> DataFrame:
+    """Each day aligned to the already aligned day before.
+
+    Transformations compose: neighbouring days are fitted in parallel, and only their running product is sequential. Tasks
+    make it within stretches of STRETCH days; the driver multiplies one product a stretch, for what lies before each.
+    A day that shares no station with the one before takes that one's transformation."""
     spark = days.sparkSession
-    order = days.select(*DAY).distinct()
-    numbered = order.withColumn("k", F.row_number().over(Window.orderBy(*DAY)))
-    if numbered.count() > collect_limit:
-        raise ValueError("more days than a chain may hold")
-    d = days.join(F.broadcast(numbered), DAY)
-    before = d.select(*KEY, (F.col("k") + 1).alias("k"), *[F.col(c).alias(f"t{c}") for c in "XYZ"])
-    target = d.join(before, [*KEY, "k"]).select(*KEY, *DAY, *[F.col(f"t{c}").alias(c) for c in "XYZ"])
-    steps = {(r["Year"], r["DOY"]): r for r in helmert(days, target).collect()}
-    total, shift, rows = np.eye(3), np.zeros(3), []
-    for r in sorted(order.collect()):
-        s = steps.get((r["Year"], r["DOY"]))
-        if s is not None:
-            rx, ry, rz = (s[p] * UNIT for p in PARAMETERS[:3])
-            own = np.array([[1, rz, -ry], [-rz, 1, rx], [ry, -rx, 1]])
-            move = np.array([s["tx"], s["ty"], s["tz"]])
-            total, shift = total @ own, total @ move + shift
-        rows.append((int(r["Year"]), int(r["DOY"]), *total.ravel().tolist(), *shift.tolist()))
-    schema = "Year int, DOY int, " + ", ".join(f"m{i} double" for i in range(9)) + ", s0 double, s1 double, s2 double"
-    j = days.join(F.broadcast(spark.createDataFrame(rows, schema)), DAY)
-    x = [F.col(c) for c in "XYZ"]
-    moved = {c: sum(F.col(f"m{3 * i + k}") * x[k] for k in range(3)) + F.col(f"s{i}") for i, c in enumerate("XYZ")}
-    return j.withColumns(moved).select(*days.columns)
+    order = numbered(days.select(*DAY).distinct(), DAY, "driftline_k")
+    d = days.join(order, DAY)
+    before = d.select(*KEY, (F.col("driftline_k") + 1).alias("driftline_k"), *[F.col(c).alias(f"t{c}") for c in "XYZ"])
+    target = d.join(before, [*KEY, "driftline_k"]).select(*KEY, *DAY, *[F.col(f"t{c}").alias(c) for c in "XYZ"])
+    stretch = F.floor((F.col("driftline_k") - 1) / STRETCH).alias("driftline_stretch")
+    steps = order.join(helmert(days, target), DAY, "left").select(*DAY, "driftline_k", stretch, *PARAMETERS[:6])
+
+    def products(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("driftline_k")
+        turn, shift, own = np.eye(3), np.zeros(3), []
+        for rx, ry, rz, *move in rows[list(PARAMETERS[:6])].fillna(0.0).to_numpy(dtype=float):
+            step = np.eye(3) + UNIT * np.array([[0, rz, -ry], [-rz, 0, rx], [ry, -rx, 0]])
+            turn, shift = turn @ step, turn @ np.array(move) + shift
+            own.append([*turn.ravel(), *shift])
+        return rows[[*DAY, "driftline_k", "driftline_stretch"]].assign(driftline_own=own)
+
+    within = steps.groupBy("driftline_stretch").applyInPandas(products, "Year int, DOY int, driftline_k long, driftline_stretch long, driftline_own array<double>")
+    within = written(within, "chain")
+    ends = within.groupBy("driftline_stretch").agg(F.max_by("driftline_own", "driftline_k").alias("p")).orderBy("driftline_stretch").collect()
+    turn, shift, earlier = np.eye(3), np.zeros(3), []
+    for r in ends:
+        earlier.append((r["driftline_stretch"], [*turn.ravel().tolist(), *shift.tolist()]))
+        p = np.array(r["p"])
+        turn, shift = turn @ p[:9].reshape(3, 3), turn @ p[9:] + shift
+    first = spark.createDataFrame(earlier, "driftline_stretch long, driftline_earlier array<double>")
+    j = days.join(within.join(first, "driftline_stretch"), DAY)
+    return affine(affine(j, "driftline_own"), "driftline_earlier").select(*days.columns)
+
+
+def affine(rows: DataFrame, p: str) -> DataFrame:
+    """X, Y, Z turned and shifted by an array of nine factors, row by row, and three shifts."""
+    at = lambda i: F.get(p, F.lit(i))
+    return rows.withColumns({c: sum(at(3 * i + k) * F.col(x) for k, x in enumerate("XYZ")) + at(9 + i) for i, c in enumerate("XYZ")})
 
 
 def save_stack(rows: DataFrame, path: str, name: str) -> None:

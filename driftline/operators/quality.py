@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from driftline.operators import joins, windows
-from driftline.operators.selection import KEY, without_days
+from driftline.operators.selection import KEY, condition, without_days
 
 
 def serial_mismatches(files: DataFrame, sessions: DataFrame, item: str = "Receiver") -> DataFrame:
@@ -66,7 +66,7 @@ def renamed(tables: dict[str, DataFrame], keys: dict[str, list[str]], old: tuple
     """Q7: every table with a station's rows under its new key; of rows whose key exists there, the existing ones stay."""
     out = {}
     for name, rows in tables.items():
-        own = (F.col("NetworkCode") == old[0]) & (F.col("StationCode") == old[1])
+        own = condition(NetworkCode=old[0], StationCode=old[1])
         moved = rows.filter(own).withColumns({"NetworkCode": F.lit(new[0]), "StationCode": F.lit(new[1])})
         rest = rows.filter(~own)
         there = rest.filter((F.col("NetworkCode") == new[0]) & (F.col("StationCode") == new[1]))
@@ -103,7 +103,7 @@ def insert_sessions(current: DataFrame, new: DataFrame) -> tuple[DataFrame, Data
 
 
 def remove_file(files: DataFrame, solutions: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Q9: files without those gone, and solutions whose day no longer has a file."""
+    """Q9: the files left without those gone, and the solutions left without those whose day no longer has a file."""
     keys = [*KEY, "ObservationYear", "ObservationDOY", "Interval", "Completion"]
     left = files.join(gone.select(*keys), keys, "left_anti")
     days = left.select(*KEY, F.col("ObservationYear").alias("Year"), F.col("ObservationDOY").alias("DOY")).distinct()

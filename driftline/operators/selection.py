@@ -26,10 +26,14 @@ def lookup(rows: DataFrame, limit: int | None = None, fields: list[str] | None =
     return out.limit(limit) if limit else out
 
 
+def condition(**equal) -> Column:
+    """A conjunction of equalities that is never null; None stands for null."""
+    return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.lit(v)) for k, v in equal.items()], F.lit(True))
+
+
 def matching(rows: DataFrame, **equal) -> DataFrame:
-    """a conjunction of equalities; None stands for null."""
-    test = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.lit(v)) for k, v in equal.items()], F.lit(True))
-    return rows.filter(test)
+    """the rows of a conjunction of equalities."""
+    return rows.filter(condition(**equal))
 
 
 def stations(table: DataFrame, wanted: list[str]) -> DataFrame:

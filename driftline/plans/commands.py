@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from driftline.functions import calendar
 from driftline.operators import alignment, archive, joins, network, quality, seismic, selection, trajectory, windows
 from driftline.operators.selection import KEY
+from driftline.sources import sinks
+from driftline.sources.schema import KEYS, SCHEMAS
 from driftline.sources.store import Store
 
 COMMANDS = {}
@@ -165,3 +167,59 @@ def time_spans(store: Store) -> None:
     span = archive.time_span(store.read("rinex"))
     s = store.read("stations").drop("DateStart", "DateEnd").join(span, KEY, "left")
     store.replace("stations", s)
+
+
+@command
+def delays(store: Store, project: str) -> DataFrame:
+    """Zenith delays of a project as text lines, with the file each goes to."""
+    return sinks.delay_lines(store.read("gamit_ztd").filter(F.col("Project") == project))
+
+
+@command
+def weekly_combination(store: Store, project: str, residuals: DataFrame, limit: float) -> DataFrame:
+    """Which station days (key, Year, DOY, residual) a combination uses, under the names of the project's runs."""
+    return quality.weekly_list(store.read("gamit_subnets").filter(F.col("Project") == project), residuals, limit)
+
+
+@command
+def run_statistics(store: Store, project: str) -> DataFrame:
+    """Each day's runs, stations, mean misfit and ambiguity rates, and longest run."""
+    runs = store.read("gamit_stats").filter(F.col("Project") == project)
+    means = [F.avg(c).alias(c) for c in ("nrms", "WL", "NL")]
+    return runs.groupBy("Year", "DOY", "system").agg(F.count("*").alias("runs"), F.sum("cluster_size").alias("stations"), *means, F.max("runtime").alias("longest"))
+
+
+@command
+def add_sessions(store: Store, new: DataFrame) -> DataFrame:
+    """Merges equipment records into the table, and returns those refused."""
+    current = store.read("stationinfo")
+    kept, refused = quality.insert_sessions(current, store.conformed("stationinfo", new))
+    store.replace("stationinfo", kept)
+    return refused
+
+
+@command
+def exclude(store: Store, days: DataFrame) -> None:
+    """Adds station days to the exclusions, and removes their solutions."""
+    listed, left = quality.excluded(store.read("ppp_soln"), store.read("ppp_soln_excl"), days)
+    store.replace("ppp_soln_excl", listed)
+    store.replace("ppp_soln", left)
+
+
+@command
+def drop_files(store: Store, gone: DataFrame) -> DataFrame:
+    """Removes files, and the solutions of days that are left without one, which it returns."""
+    solutions = store.read("ppp_soln")
+    files, kept = quality.remove_file(store.read("rinex"), solutions, gone)
+    store.replace("rinex", files)
+    store.replace("ppp_soln", kept)
+    return solutions.join(kept.select(*KEY, "Year", "DOY").distinct(), [*KEY, "Year", "DOY"], "left_anti")
+
+
+@command
+def rename_station(store: Store, old: tuple[str, str], new: tuple[str, str]) -> None:
+    """Moves a station's rows to another key in every table that holds any; rows of that key stay as they are."""
+    for name in SCHEMAS:
+        rows = store.read(name)
+        if set(KEY) <= set(rows.columns) and not selection.matching(rows, NetworkCode=old[0], StationCode=old[1]).isEmpty():
+            store.replace(name, quality.renamed({name: rows}, KEYS, old, new)[name])

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.operators.selection import lookup, matching
+from driftline.operators.selection import condition, lookup
 from driftline.sources.schema import KEYS, SCHEMAS
 
 
@@ -16,34 +16,41 @@ class DuplicateKey(ValueError):
 
 
 class Store:
-    """Tables as versioned Parquet folders. A rewrite writes a new version and then appends one row to the version table,
-    so that readers see the old rows or the new ones (S5), on any file system Spark can reach."""
+    """Tables as lists of Parquet folders. A change writes its rows to a new folder and then appends one row, the folders
+    of the new version, to the version table, so that readers see all of a change or nothing (S5), on any file system
+    Spark can reach. Inserts add a folder, updates and deletes rewrite the table. A table has one writer at a time."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
-    def path(self, name: str) -> str | None:
+    def paths(self, name: str) -> list[str]:
+        """The folders of a table's last version."""
         try:
-            log = self.spark.read.schema("name string, path string, version long").parquet(f"{self.folder}/_versions")
-            row = log.filter(F.col("name") == name).groupBy().agg(F.max_by("path", "version").alias("p")).first()
+            log = self.spark.read.schema("name string, paths array<string>, version long").parquet(f"{self.folder}/_versions")
+            row = log.filter(F.col("name") == name).groupBy().agg(F.max_by("paths", "version").alias("p")).first()
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-            return None
-        return row["p"] if row else None
+            return []
+        return list(row["p"] or []) if row else []
 
     def read(self, name: str) -> DataFrame:
-        schema, path = SCHEMAS[name], self.path(name)
-        return self.spark.createDataFrame([], schema) if path is None else self.spark.read.schema(schema).parquet(path)
+        schema, paths = SCHEMAS[name], self.paths(name)
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def replace(self, name: str, rows: DataFrame) -> None:
+        self.publish(name, [self.staged(name, rows)])
+
+    def staged(self, name: str, rows: DataFrame) -> str:
+        """rows in a new folder, which no version names yet."""
         path = f"{self.folder}/{name}/{uuid.uuid4().hex}"
         self.conformed(name, rows).write.parquet(path)
-        self.publish(name, path)
+        return path
 
-    def publish(self, name: str, path: str) -> None:
+    def publish(self, name: str, paths: list[str]) -> None:
         version = F.unix_micros(F.current_timestamp())
-        self.spark.range(1).select(F.lit(name).alias("name"), F.lit(path).alias("path"), version.alias("version")).coalesce(1).write.mode("append").parquet(f"{self.folder}/_versions")
+        row = self.spark.range(1).select(F.lit(name).alias("name"), F.array(*map(F.lit, paths)).alias("paths"), version.alias("version"))
+        row.coalesce(1).write.mode("append").parquet(f"{self.folder}/_versions")
 
     def columns(self, name: str) -> list[str]:
         """S6."""
@@ -61,34 +68,24 @@ class Store:
     def insert(self, name: str, rows: DataFrame, skip_known: bool = False) -> None:
         """S3, K1: appends rows; known or repeated keys raise, or are skipped."""
         new, keys = self.conformed(name, rows), KEYS[name]
-        known = self.read(name)
-        fresh = new.dropDuplicates(keys).join(known.select(*keys), keys, "left_anti")
+        paths, known = self.paths(name), self.read(name).select(*keys)
+        fresh = new.dropDuplicates(keys).join(known, keys, "left_anti").select(*new.columns)
         if not skip_known and fresh.count() != new.count():
             raise DuplicateKey(name)
-        path = self.path(name)
-        if path is None:
-            self.replace(name, fresh)
-        else:
-            fresh.select(*known.columns).write.mode("append").parquet(path)
+        self.publish(name, [*paths, self.staged(name, fresh)])
 
     def update(self, name: str, values: dict, **equal) -> None:
         """Sets values in the rows of a condition."""
         if not equal:
             raise ValueError("an update needs a condition")
-        rows = self.read(name)
-        test = F.lit(True)
-        for k, v in equal.items():
-            test = test & F.col(k).eqNullSafe(F.lit(v))
-        self.replace(name, rows.withColumns({c: F.when(test, F.lit(v)).otherwise(F.col(c)) for c, v in values.items()}))
+        test = condition(**equal)
+        self.replace(name, self.read(name).withColumns({c: F.when(test, F.lit(v)).otherwise(F.col(c)) for c, v in values.items()}))
 
     def delete(self, name: str, **equal) -> None:
         """Removes the rows of a condition, which must not be empty."""
         if not equal:
             raise ValueError("a delete needs a condition")
-        rows = self.read(name)
-        gone = matching(rows, **equal)
-        keys = KEYS[name]
-        self.replace(name, rows.join(gone.select(*keys), keys, "left_anti").select(*rows.columns))
+        self.replace(name, self.read(name).filter(~condition(**equal)))
 
     def sql(self, text: str, *names: str) -> DataFrame:
         """SQL text over the named tables."""

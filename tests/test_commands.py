@@ -84,3 +84,37 @@ def test_small_additions(spark, filled):
     v = spark.createDataFrame([(0.0, 0.0, 1.0), (0.0, 1.0, 3.0)], "lat double, lon double, v double")
     assert seismic.interpolated(p, v, ["id"], ["v"]).first()["v"] == pytest.approx(2.0)
     assert set(commands.COMMANDS) >= {"fit", "stack", "plan", "integrity", "downloads"}
+
+
+def test_changes_of_stations_days_and_files(spark, tmp_path):
+    st = Store(spark, str(tmp_path / "db"))
+    day = f"{KEY}, Year int, DOY int"
+    st.insert("ppp_soln", spark.createDataFrame([("n", k, 2020, d, "igs") for k in ("a", "b") for d in (1, 2, 3)], f"{day}, ReferenceFrame string"))
+    files = f"{KEY}, ObservationYear int, ObservationDOY int, Interval double, Completion double"
+    st.insert("rinex", spark.createDataFrame([("n", k, 2020, d, 30.0, 1.0) for k in ("a", "b") for d in (1, 2)], files))
+    commands.exclude(st, spark.createDataFrame([("n", "a", 2020, 3)], day))
+    assert st.read("ppp_soln").count() == 5 and st.read("ppp_soln_excl").count() == 1
+    gone = commands.drop_files(st, spark.createDataFrame([("n", "a", 2020, 1, 30.0, 1.0)], files))
+    left = {(r["StationCode"], r["DOY"]) for r in st.read("ppp_soln").collect()}
+    assert st.read("rinex").count() == 3 and ("a", 1) not in left and ("a", 2) in left
+    assert ("a", 1) in {(r["StationCode"], r["DOY"]) for r in gone.collect()}
+    commands.rename_station(st, ("n", "a"), ("m", "a"))
+    for name in ("ppp_soln", "rinex", "ppp_soln_excl"):
+        assert {r["NetworkCode"] for r in st.read(name).filter("StationCode = 'a'").collect()} == {"m"}, name
+    info = f"{KEY}, DateStart timestamp_ntz, DateEnd timestamp_ntz, AntennaCode string"
+    first, clash = ("n", "b", dt.datetime(2017, 1, 1), dt.datetime(2019, 1, 1), "a1"), ("n", "b", dt.datetime(2018, 1, 1), None, "a2")
+    assert commands.add_sessions(st, spark.createDataFrame([first], info)).count() == 0
+    assert commands.add_sessions(st, spark.createDataFrame([clash], info)).count() == 1 and st.read("stationinfo").count() == 1
+
+
+def test_texts_and_statistics_of_a_project(spark, tmp_path):
+    st = Store(spark, str(tmp_path / "db"))
+    runs = "Project string, subnet int, Year int, DOY int, system string, cluster_size int, nrms double, WL double, NL double, runtime int"
+    st.insert("gamit_stats", spark.createDataFrame([("p", i, 2020, 1, "G", 20 + i, 0.2, 90.0 + i, 80.0, 10 * i) for i in (1, 2)], runs))
+    r = commands.run_statistics(st, "p").first()
+    assert (r["runs"], r["stations"], r["WL"], r["longest"]) == (2, 43, 91.5, 20)
+    st.insert("gamit_ztd", spark.createDataFrame([("n", "abcd", dt.datetime(2020, 1, 1), "p", 2020, 1, 0.001, 2.3)], f"{KEY}, Date timestamp_ntz, Project string, Year int, DOY int, sigma double, ZTD double"))
+    assert commands.delays(st, "p").first()["file"] == "abcd" and commands.delays(st, "q").count() == 0
+    st.insert("gamit_subnets", spark.createDataFrame([("p", 0, 2020, 1, ["n.abcd"], ["x001"])], "Project string, subnet int, Year int, DOY int, stations array<string>, alias array<string>"))
+    residuals = spark.createDataFrame([("n", "abcd", 2020, 1, 0.01)], f"{KEY}, Year int, DOY int, residual double")
+    assert [x["use"] for x in commands.weekly_combination(st, "p", residuals, 0.05).collect()] == [True]

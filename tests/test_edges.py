@@ -3,9 +3,11 @@
 import datetime
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from driftline.operators import archive, joins, selection, trajectory
+from driftline.operators import alignment, archive, joins, selection, trajectory
+from driftline.sources.store import Store
 
 KEY = selection.KEY
 
@@ -82,3 +84,43 @@ def test_overlaps_of_one_start_and_different_ends(spark):
     s = spark.createDataFrame(rows, "k string, DateStart timestamp_ntz, DateEnd timestamp_ntz, id string")
     got = {(r["id_a"], r["id_b"]): r["shared_s"] // 86400 for r in joins.overlaps(s, ["k"], carry=("id",)).collect()}
     assert got == {("a", "b"): 4, ("a", "c"): 1, ("b", "c"): 2}
+
+
+def test_chain_is_the_running_product_of_all_stretches(spark, monkeypatch):
+    monkeypatch.setattr(alignment, "STRETCH", 2)
+    r = np.random.default_rng(3)
+    x = r.normal(size=(8, 3))
+    x = 6371e3 * x / np.linalg.norm(x, axis=1)[:, None]
+    days = [(2019, 365), (2020, 1), (2020, 3), (2020, 4), (2020, 9), (2021, 2), (2021, 3)]
+    rows = [("n", f"s{i}", y, d, *map(float, p)) for y, d in days for i, p in enumerate(x + r.normal(0, 1, 3)) if (y, d) != (2020, 9)]
+    rows += [("n", "alone", 2020, 9, *map(float, x[0]))]  # a day without a station in common
+    df = spark.createDataFrame(rows, "NetworkCode string, StationCode string, Year int, DOY int, X double, Y double, Z double")
+    got = {(a["StationCode"], a["Year"], a["DOY"]): (a["X"], a["Y"], a["Z"]) for a in alignment.chain(df).collect()}
+    assert len(got) == len(rows)
+    for i in range(8):
+        for day in days[1:4]:  # aligned to the first day
+            assert got[f"s{i}", *day] == pytest.approx(got[f"s{i}", 2019, 365], abs=0.02)
+        assert got[f"s{i}", 2021, 2] == pytest.approx(got[f"s{i}", 2021, 3], abs=0.02)
+    # day by day, in one loop
+    target = spark.createDataFrame([(*a[:2], *b, *a[4:]) for a in rows for z, b in zip(days, days[1:]) if a[2:4] == z], df.schema)
+    steps = {(h["Year"], h["DOY"]): h for h in alignment.helmert(df, target).collect()}
+    turn, shift = np.eye(3), np.zeros(3)
+    for day in days:
+        if h := steps.get(day):
+            a, b, c = (h[k] * 1e-9 for k in ("rx", "ry", "rz"))
+            turn, shift = turn @ np.array([[1, c, -b], [-c, 1, a], [b, -a, 1]]), turn @ np.array([h["tx"], h["ty"], h["tz"]]) + shift
+        for row in rows:
+            if row[2:4] == day:
+                assert got[row[1], *day] == pytest.approx(tuple(turn @ np.array(row[4:]) + shift), abs=1e-4)
+
+
+def test_store_rows_with_null_keys_and_readers_of_one_version(spark, tmp_path):
+    st = Store(spark, str(tmp_path / "db"))
+    st.insert("networks", spark.createDataFrame([("a", "A"), (None, "B")], "NetworkCode string, NetworkName string"))
+    before = st.read("networks")
+    st.insert("networks", spark.createDataFrame([("c", "C")], "NetworkCode string, NetworkName string"))
+    assert before.count() == 2 and st.read("networks").count() == 3
+    st.delete("networks", NetworkName="B")
+    assert sorted(a["NetworkCode"] for a in st.read("networks").collect()) == ["a", "c"]
+    st.delete("networks", NetworkCode=None)
+    assert st.read("networks").count() == 2
