@@ -147,10 +147,17 @@ class LanguageModel:
 FEATURE_SCALE = 30.0
 
 
+#: Counts of so many languages are sent to every task.
+SENT_LANGUAGES = 100_000
+
+
 def sample(training: DataFrame) -> DataFrame:
     """doc_id, text and lang of at most PER_LANGUAGE rows of each language, SAMPLE of all."""
     counts = training.groupBy("lang").agg(F.count("*").alias("n"))
-    each = max(1, min(PER_LANGUAGE, SAMPLE // max(1, counts.count())))
+    languages = counts.count()
+    each = max(1, min(PER_LANGUAGE, SAMPLE // max(1, languages)))
+    # unasked, the planner deals all texts by language for this join, and most of them to one task
+    counts = F.broadcast(counts) if languages <= SENT_LANGUAGES else counts
     # twice the wanted rows of a language and some more pass, however many tasks there are, before the least hashes are ranked
     near = training.join(counts, "lang").filter(hashed_below(F.lit(2.0 * each + 50) / F.col("n")))
     spread = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
