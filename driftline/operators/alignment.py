@@ -1,8 +1,8 @@
 """Stacks of daily networks and their alignment (N1 to N7) and plate motion.
 
 A day's network is a group of rows (station key, Year, DOY, X, Y, Z); Helmert parameters of a day come from a grouped
-map of the day's stations with their targets, and are applied as columns. Common modes and spaces are one least-squares
-problem with few unknowns: Spark sums the normal equations, the driver solves a 7 x 7 system."""
+map of the day's stations with their targets, and are applied as columns. Common modes and spaces are one robust
+least-squares problem with few unknowns: Spark sums the normal equations of each pass, the driver solves a 7 x 7 system."""
 
 from __future__ import annotations
 
@@ -11,8 +11,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.functions.lsq import robust_fit
+from driftline.functions import geodesy
+from driftline.functions.lsq import LIMIT, robust_fit
 from driftline.operators.archive import numbered
+from driftline.operators.robust import Equation, Solution, fitted, residual
 from driftline.operators.selection import KEY
 from driftline.storage import written
 
@@ -92,8 +94,25 @@ def trend_targets(days: DataFrame) -> DataFrame:
     return j.withColumns(at).select(*days.columns)
 
 
-def align_stack(days: DataFrame, passes: int = 4, targets=trend_targets, cut=None) -> DataFrame:
-    """Days aligned to the stations' motions, some passes. A pass reads its input several times, so each one is
+def trajectory_targets(days: DataFrame, jumps: DataFrame | None = None) -> DataFrame:
+    """Targets of a pass: each station's trajectory (trend, seasonal terms, steps and decays of jumps), robustly fitted to its
+    days and evaluated on them. Stations too short for a model are no targets."""
+    from driftline.functions.calendar import fractional_year
+    from driftline.operators import trajectory
+
+    ref = mean_positions(days).select(*KEY, *[F.col(c).alias(f"m{c}") for c in "XYZ"])
+    ref = ref.withColumn("g", geodesy.geodetic(*[F.col(f"m{c}") for c in "XYZ"]))
+    place = days.join(ref, KEY).withColumn("t", fractional_year(F.col("Year"), F.col("DOY")))
+    neu = geodesy.to_neu(*[F.col(c) - F.col(f"m{c}") for c in "XYZ"], F.col("g.lat"), F.col("g.lon"))
+    series = place.withColumn("neu", neu).select(*KEY, "t", "neu.n", "neu.e", "neu.u")
+    model = trajectory.evaluate(trajectory.fit_trajectories(series, jumps), series.select(*KEY, "t").distinct())
+    back = geodesy.from_neu(*[F.col(c) for c in "neu"], F.col("g.lat"), F.col("g.lon"))
+    at = place.select(*KEY, *DAY, "t", "g", *[f"m{c}" for c in "XYZ"]).join(model, [*KEY, "t"]).withColumn("back", back)
+    return at.select(*KEY, *DAY, *[(F.col(f"m{c}") + F.col(f"back.d{c.lower()}")).alias(c) for c in "XYZ"])
+
+
+def align_stack(days: DataFrame, passes: int = 4, targets=trajectory_targets, cut=None) -> DataFrame:
+    """Days aligned to the stations' trajectories, some passes. A pass reads its input several times, so each one is
     written out: to the shared folder, or by cut(df) where that is given."""
     for _ in range(passes):
         days = transformed(days, helmert(days, targets(days)))
@@ -104,31 +123,54 @@ def align_stack(days: DataFrame, passes: int = 4, targets=trend_targets, cut=Non
 NORMAL = 7
 
 
-def normal_equations(rows: DataFrame, observed: list[str], scale: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """A'A and A'l of the Helmert design over all rows (auto_x, auto_y, auto_z and three observed differences).
-
-    Every entry is one sum; 35 numbers reach the driver whatever the number of stations."""
+def helmert_equations(observed: list[str], scale: bool = True) -> list[Equation]:
+    """N6 as columns: the three rows of a station (auto_x, auto_y, auto_z) for three observed differences."""
     x, y, z = F.col("auto_x") * UNIT, F.col("auto_y") * UNIT, F.col("auto_z") * UNIT
     o, i = F.lit(0.0), F.lit(1.0)
-    a = [[o, -z, y, i, o, o, x], [z, o, -x, o, i, o, y], [-y, x, o, o, o, i, z]]
-    k = NORMAL if scale else NORMAL - 1
-    sums = [F.sum(sum(a[c][m] * a[c][n] for c in range(3))).alias(f"n{m}_{n}") for m in range(k) for n in range(m, k)]
-    sums += [F.sum(sum(a[c][m] * F.col(observed[c]) for c in range(3))).alias(f"l{m}") for m in range(k)]
-    r = rows.agg(*sums).first()
-    n = np.array([[r[f"n{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)])
-    return n, np.array([r[f"l{m}"] or 0.0 for m in range(k)])
+    rows = [[o, -z, y, i, o, o, x], [z, o, -x, o, i, o, y], [-y, x, o, o, o, i, z]]
+    return [(terms if scale else terms[:-1], F.col(c)) for terms, c in zip(rows, observed)]
+
+
+def common_mode(stations: DataFrame, observed: list[str], scale: bool = True) -> Solution:
+    """The Helmert parameters that best explain one difference of all stations, such as a periodic or velocity
+    term, or its difference from a constraint; robust, by sums over the stations."""
+    return fitted(stations, helmert_equations(observed, scale))
+
+
+def mode_outliers(stations: DataFrame, observed: list[str], mode: Solution) -> DataFrame:
+    """Stations with a component that the fit has weighed down, and which: one boolean column each."""
+    scale = len(mode.coefficients) == NORMAL
+    flags = {f"down_{c}": F.abs(residual(e, mode.coefficients)) > LIMIT * mode.sigma for c, e in zip(observed, helmert_equations(observed, scale))}
+    return stations.withColumns(flags).filter(" or ".join(flags))
 
 
-def common_mode(stations: DataFrame, observed: list[str]) -> np.ndarray:
-    """The Helmert parameters that best explain one difference of all stations, such as a periodic or velocity
-    term against constraints."""
-    n, l = normal_equations(stations, observed)  # noqa: E741
-    return np.linalg.lstsq(n, l, rcond=None)[0]
+def periodic_modes(terms: DataFrame, scale: bool = True) -> dict[tuple[float, str], Solution]:
+    """The common mode of each period and phase (sin, cos). terms: auto_x, auto_y, auto_z, period, phase, x, y, z (metres).
 
+    There are as many modes as periods in use, two for each of a few; each is a handful of sums."""
+    found = {}
+    for r in sorted(terms.select("period", "phase").distinct().collect()):
+        own = terms.filter((F.col("period") == r["period"]) & (F.col("phase") == r["phase"]))
+        found[r["period"], r["phase"]] = common_mode(own, ["x", "y", "z"], scale)
+    return found
 
-def remove_mode(rows: DataFrame, values: list[str], parameters: np.ndarray) -> DataFrame:
-    """Values less what the parameters explain, as columns."""
-    p = [float(v) for v in parameters] + [0.0] * (NORMAL - len(parameters))
+
+def without_periodic_modes(days: DataFrame, modes: dict[tuple[float, str], Solution]) -> DataFrame:
+    """Positions (X, Y, Z) of days less what the modes explain there on that date."""
+    angle = {period: 2 * np.pi * (F.col("Year") + F.col("DOY") / 366.0) * 365.25 / period for period, _ in modes}
+    x, y, z = F.col("X") * UNIT, F.col("Y") * UNIT, F.col("Z") * UNIT
+    less = {c: F.lit(0.0) for c in "XYZ"}
+    for (period, phase), mode in modes.items():
+        p = [float(v) for v in mode.coefficients] + [0.0] * (NORMAL - len(mode.coefficients))
+        wave = F.sin(angle[period]) if phase == "sin" else F.cos(angle[period])
+        own = {"X": -z * p[1] + y * p[2] + p[3] + x * p[6], "Y": z * p[0] - x * p[2] + p[4] + y * p[6], "Z": -y * p[0] + x * p[1] + p[5] + z * p[6]}
+        less = {c: less[c] + wave * own[c] for c in "XYZ"}
+    return days.withColumns({c: F.col(c) - less[c] for c in "XYZ"})
+
+
+def remove_mode(rows: DataFrame, values: list[str], mode: Solution) -> DataFrame:
+    """Values less what the mode explains, as columns."""
+    p = [float(v) for v in mode.coefficients] + [0.0] * (NORMAL - len(mode.coefficients))
     x, y, z = F.col("auto_x") * UNIT, F.col("auto_y") * UNIT, F.col("auto_z") * UNIT
     explained = [
         -z * p[1] + y * p[2] + p[3] + x * p[6],
@@ -200,37 +242,42 @@ def save_stack(rows: DataFrame, path: str, name: str) -> None:
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
 
 
-def euler_pole(stations: DataFrame) -> dict[str, float]:
-    """The rotation (rad/yr) that best explains velocities vx, vy, vz at auto_x, auto_y, auto_z, with its pole,
-    rate (degrees per million years), covariance in those and RMS. Spark sums the 3 x 3 normal equations."""
+def euler_pole(stations: DataFrame, vertical: DataFrame | None = None, radius: float | None = geodesy.SEMI_MAJOR) -> dict[str, float]:
+    """The rotation (rad/yr) that best explains the horizontal velocities vx, vy, vz at auto_x, auto_y, auto_z, with its pole,
+    rate (degrees per million years), their deviations, and what an observation of full weight deviates by. Robust.
+
+    vertical: stations with v_u, their vertical velocity less the wanted one; then a drift tx, ty, tz of the frame is
+    fitted with the rotation, to both the horizontal velocities and these. radius: of the sphere (None: each station's own)."""
     x, y, z = (F.col(f"auto_{c}") for c in "xyz")
+    flat = F.sqrt(x * x + y * y)
+    size = F.sqrt(x * x + y * y + z * z)
+    sl, cl, so, co = z / size, flat / size, y / flat, x / flat
+    own = (size if radius is None else F.lit(radius)) * UNIT
     vx, vy, vz = F.col("vx"), F.col("vy"), F.col("vz")
-    sums = {
-        "xx": F.sum(y * y + z * z), "yy": F.sum(x * x + z * z), "zz": F.sum(x * x + y * y), "xy": F.sum(-x * y), "xz": F.sum(-x * z), "yz": F.sum(-y * z),
-        "lx": F.sum(y * vz - z * vy), "ly": F.sum(z * vx - x * vz), "lz": F.sum(x * vy - y * vx), "vv": F.sum(vx * vx + vy * vy + vz * vz), "n": F.count("*"),
-    }
-    r = stations.agg(*[v.alias(k) for k, v in sums.items()]).first()
-    n = np.array([[r["xx"], r["xy"], r["xz"]], [r["xy"], r["yy"], r["yz"]], [r["xz"], r["yz"], r["zz"]]])
-    l = np.array([r["lx"], r["ly"], r["lz"]])  # noqa: E741
-    w = np.linalg.solve(n, l)
-    left = max(float(r["vv"] - w @ l), 0.0)
-    rms = (left / max(3 * r["n"] - 3, 1)) ** 0.5
-    cov = rms * rms * np.linalg.inv(n)
-    size, flat = float(np.linalg.norm(w)), float(np.hypot(w[0], w[1]))
-    jac = np.array([[-w[0] * w[2] / (flat * size**2), -w[1] * w[2] / (flat * size**2), flat / size**2], [-w[1] / flat**2, w[0] / flat**2, 0.0], w / size])
-    own = jac @ cov @ jac.T
-    degrees = np.degrees(1.0)
+    none = F.lit(None).cast("double")
+    across = {"north": -sl * co * vx - sl * so * vy + cl * vz, "east": -so * vx + co * vy, "up": none}
+    place = [sl.alias("sl"), cl.alias("cl"), so.alias("so"), co.alias("co"), own.alias("own")]
+    rows = stations.select(*place, *[v.alias(k) for k, v in across.items()])
+    if vertical is not None:
+        rows = rows.unionByName(vertical.select(*place, none.alias("north"), none.alias("east"), F.col("v_u").cast("double").alias("up")))
+    sl, cl, so, co, own = (F.col(c) for c in ("sl", "cl", "so", "co", "own"))
+    o = F.lit(0.0)
+    north, east, up = [own * so, -own * co, o], [-own * sl * co, -own * sl * so, own * cl], [o, o, o]
+    drift = ([-sl * co, -sl * so, cl], [-so, co, o], [cl * co, cl * so, sl])
+    terms = [a + b if vertical is not None else a for a, b in zip((north, east, up), drift)]
+    fit = fitted(rows, [(t, F.col(c)) for t, c in zip(terms, across)])
+    w, cov = fit.coefficients[:3] * UNIT, fit.covariance[:3, :3] * UNIT**2
+    length, level = float(np.linalg.norm(w)), float(np.hypot(w[0], w[1]))
+    jac = np.array([[-w[0] * w[2] / (level * length**2), -w[1] * w[2] / (level * length**2), level / length**2], [-w[1] / level**2, w[0] / level**2, 0.0], w / length])
+    deviation = np.degrees(np.sqrt(np.abs(np.diag(jac @ cov @ jac.T))))
+    shift = fit.coefficients[3:] if vertical is not None else np.zeros(3)
     return {
-        "wx": w[0], "wy": w[1], "wz": w[2], "lat": degrees * np.arctan2(w[2], flat), "lon": degrees * np.arctan2(w[1], w[0]), "rate": degrees * size * 1e6,
-        "rms": rms, "s_lat": degrees * own[0, 0] ** 0.5, "s_lon": degrees * own[1, 1] ** 0.5, "s_rate": degrees * own[2, 2] ** 0.5 * 1e6, "n": int(r["n"]),
+        "wx": w[0], "wy": w[1], "wz": w[2], "lat": np.degrees(np.arctan2(w[2], level)), "lon": np.degrees(np.arctan2(w[1], w[0])), "rate": np.degrees(length) * 1e6,
+        "rms": fit.sigma, "s_lat": deviation[0], "s_lon": deviation[1], "s_rate": deviation[2] * 1e6, "n": stations.count(), "passes": fit.passes,
+        "tx": shift[0], "ty": shift[1], "tz": shift[2],
     }
 
 
-def vertical_reference(stations: DataFrame) -> float:
-    """The mean vertical velocity of the stations chosen as its reference."""
-    return float(stations.agg(F.avg("v_u")).first()[0] or 0.0)
-
-
 def plate_candidates(table: DataFrame, affected: DataFrame, lat: tuple[float, float], lon: tuple[float, float], years: float = 2.5) -> DataFrame:
     """Stations of a box with a long record that no event has moved."""
     from driftline.operators.selection import in_box

@@ -5,6 +5,8 @@ spatial joins pair grid cells, so that only neighbours meet."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,7 +16,6 @@ from driftline.operators.selection import KEY
 from driftline.storage import written
 
 FAR = "9999-12-31 23:59:59"
-CELL_DEGREES_KM = 111.0
 
 
 def without_solution(files: DataFrame, solutions: DataFrame, keys: list[str], only: Column | None = None) -> DataFrame:
@@ -63,80 +64,137 @@ def files_in_gaps(gaps: DataFrame, files: DataFrame, keys: list[str]) -> DataFra
     return gaps.join(hit.groupBy(*keys, "gap_start").agg(F.count("*").alias("n_files")), [*keys, "gap_start"], "left").fillna(0, ["n_files"])
 
 
-def cell(lat: Column, lon: Column, km: float) -> tuple[Column, Column]:
-    """Row and column of the grid cell of a place; columns narrow with latitude rows so that a cell stays km wide."""
-    size = km / CELL_DEGREES_KM
+#: No degree of a great circle is shorter; lengths in degrees err to the long side.
+DEGREE_KM = 111.0
+
+
+def cell(lat: Column, lon: Column, size: float) -> tuple[Column, Column]:
+    """Row and column of the grid cell of a place; rows are size degrees high, columns widen with latitude."""
     row = F.floor(lat / size).cast("long")
     return row, F.floor(F.pmod(lon, F.lit(360.0)) / width(row, size)).cast("long")
 
 
+def edge(row: Column, size: float) -> Column:
+    """The latitude of a row's side towards the pole."""
+    return F.least(F.greatest(F.abs(row), F.abs(row + 1)) * size, F.lit(90.0))
+
+
 def width(row: Column, size: float) -> Column:
     """Degrees of longitude of the cells of a row, a whole part of the circle."""
-    edge = F.least(F.greatest(F.abs(row), F.abs(row + 1)) * size, F.lit(89.9))
-    return 360.0 / F.greatest(F.floor(360.0 * F.cos(F.radians(edge)) / size), F.lit(1))
+    return 360.0 / F.greatest(F.floor(360.0 * F.cos(F.radians(edge(row, size))) / size), F.lit(1))
+
+
+def reached(points: DataFrame, km: Column, size: float, lat: str, lon: str, row: str, column: str) -> DataFrame:
+    """points once for each cell that may hold a place within km of them.
+
+    The longitudes within km follow from the haversine formula at the point's latitude and the row's side towards the pole."""
+    known = points.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull())
+    far, top = km / DEGREE_KM, int(90.0 / size)
+    clipped = lambda x: F.least(F.greatest(F.floor(x / size), F.lit(-top - 1)), F.lit(top)).cast("long")
+    out = known.withColumn(row, F.explode(F.sequence(clipped(F.col(lat) - far), clipped(F.col(lat) + far))))
+    narrow = F.sqrt(F.cos(F.radians(lat)) * F.cos(F.radians(edge(F.col(row), size))))
+    share = F.sin(F.radians(F.least(far, F.lit(180.0)) / 2)) / F.greatest(narrow, F.lit(1e-12))
+    reach = F.when(share < 1, 2 * F.degrees(F.asin(F.least(share, F.lit(1.0)))) + 1e-9).otherwise(180.0)
+    wide = width(F.col(row), size)
+    count = F.round(360.0 / wide).cast("long")
+    at = F.pmod(F.col(lon), F.lit(360.0))
+    first = F.floor((at - reach) / wide).cast("long")
+    last = F.least(F.floor((at + reach) / wide).cast("long"), first + count - 1)
+    return out.withColumn(column, F.explode(F.transform(F.sequence(first, last), lambda x: F.pmod(x, count))))
+
+
+ROW, COLUMN = "driftline_row", "driftline_column"
 
 
 def within_km(left: DataFrame, right: DataFrame, km: float, lat: str = "lat", lon: str = "lon") -> DataFrame:
     """All pairs of places at most km apart; left's columns, then right's with r_, then distance_km.
 
-    Left places go to the nine cells around them, right ones to their own: an equality join, not a cross join."""
-    size = km / CELL_DEGREES_KM
-    r = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns])
-    row, column = cell(F.col(f"r_{lat}"), F.col(f"r_{lon}"), km)
-    r = r.withColumn("driftline_row", row).withColumn("driftline_column", column).filter(f"r_{lat} is not null and r_{lon} is not null")
-    own = F.floor(F.col(lat) / size).cast("long")
-    l = left.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull()).withColumn("driftline_row", F.explode(F.sequence(own - 1, own + 1)))  # noqa: E741
-    wide = width(F.col("driftline_row"), size)
-    count = F.round(360.0 / wide).cast("long")
-    at = F.floor(F.pmod(F.col(lon), F.lit(360.0)) / wide).cast("long")
-    around = F.array_distinct(F.transform(F.array(at - 1, at, at + 1), lambda x: F.pmod(x, count)))
-    l = l.withColumn("driftline_column", F.explode(around))  # noqa: E741
-    d = geodesy.haversine_km(F.col(lon), F.col(lat), F.col(f"r_{lon}"), F.col(f"r_{lat}"))
-    joined = l.join(r, ["driftline_row", "driftline_column"]).withColumn("distance_km", d).filter(F.col("distance_km") <= km)
-    return joined.drop("driftline_row", "driftline_column")
+    Left places go to the cells that km around them touches, right ones to their own: an equality join, not a cross join."""
+    size = min(km / DEGREE_KM, 90.0)
+    r = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns]).filter(F.col(f"r_{lat}").isNotNull() & F.col(f"r_{lon}").isNotNull())
+    row, column = cell(F.col(f"r_{lat}"), F.col(f"r_{lon}"), size)
+    joined = reached(left, F.lit(km), size, lat, lon, ROW, COLUMN).join(r.withColumn(ROW, row).withColumn(COLUMN, column), [ROW, COLUMN])
+    return joined.drop(ROW, COLUMN).withColumn("distance_km", apart_km(lat, lon)).filter(F.col("distance_km") <= km)
+
+
+def apart_km(lat: str, lon: str) -> Column:
+    return geodesy.haversine_km(F.col(lon), F.col(lat), F.col(f"r_{lon}"), F.col(f"r_{lat}"))
+
 
+#: The largest radius of a growing search, in km; what is left then is searched over the whole globe.
+FAR_KM = 3200.0
+#: Degrees of the cells of that search, and of those within them.
+GLOBE = (15.0, 3.0, 0.6)
+WHOLE_KM = 20_100.0
 
-#: Within the largest radius of a growing search, in km; what is left then is searched by whole degrees.
-FAR_KM = 5000.0
-#: No point of a cell of one degree is farther from its middle.
-HALF_CELL_KM = 79.0
 
+def nearest(points: DataFrame, places: DataFrame, keys: list[str], start_km: float = 50.0, lat: str = "lat", lon: str = "lon", only: str | Callable | None = None, same: tuple[str, ...] = ()) -> DataFrame:
+    """Each point with its nearest place, of those that `only` permits; a point with none has no row.
 
-def nearest(points: DataFrame, places: DataFrame, keys: list[str], start_km: float = 50.0, lat: str = "lat", lon: str = "lon", only: Column | None = None) -> DataFrame:
-    """Each point with its nearest place, of the pairs that `only` holds for (such as other than itself).
+    only: SQL text over the point's columns and the place's (with r_), or a function of two functions that give the column of
+    a name, of the point and of the place. same: columns in which point and place must be equal, which then join them.
 
-    The radius grows for the points still without a place. Points or places without coordinates take no part."""
+    The radius grows fourfold for points still without a place, then spans the globe. At each radius points first meet one
+    place of each cell; the nearest of those permitted bounds the distance, and only cells that may hold a nearer place are opened.
+    Where a cell's one place is refused, the cell stays open. Points or places without coordinates take no part."""
+    if isinstance(only, Column):
+        raise TypeError("`only` is SQL text or a function of (point, place): a column may be bound to one table")
+    permitted = F.lit(True)
+    if only is not None:
+        permitted = F.expr(only) if isinstance(only, str) else only(F.col, lambda c: F.col(f"r_{c}"))
     known = F.col(lat).isNotNull() & F.col(lon).isNotNull()
-    todo, places, found, km, searched = points.filter(known), places.filter(known), None, start_km, 0.0
-    only = F.lit(True) if only is None else only
+    todo, q, found, km = points.filter(known), with_prefix(places.filter(known)), None, start_km
     while True:
-        near = within_km(todo, places, km, lat, lon) if km <= FAR_KM else beyond(todo, places, searched, lat, lon)
-        best = written(closest(near.filter(only), keys), "nearest")
+        whole = km > FAR_KM
+        best = written(closest(searched(todo, q, keys, WHOLE_KM if whole else km, GLOBE if whole else (km / 2 / DEGREE_KM,), lat, lon, permitted, same), keys), "nearest")
         found = best if found is None else found.unionByName(best)
-        if km > FAR_KM:
+        if whole:
             return found
         todo = written(todo.join(best.select(*keys), keys, "left_anti"), "left")
         if todo.limit(1).count() == 0:
             return found
-        searched, km = km, km * 4
-
-
-def beyond(points: DataFrame, places: DataFrame, km: float, lat: str, lon: str) -> DataFrame:
-    """Pairs of points with the places that may be nearest among those over km away.
-
-    Both sides are reduced to the cells of one degree that they fill, of which the globe has 64,800, so that only these two
-    small tables are compared with each other; places and points then meet by cell."""
-    degree = lambda d, x: F.struct(F.floor(F.col(f"{x}{lat}")).alias("i"), F.floor(F.pmod(F.col(f"{x}{lon}"), F.lit(360.0))).alias("j"))
-    p = points.withColumn("driftline_p", degree(points, ""))
-    q = places.select(*[F.col(c).alias(f"r_{c}") for c in places.columns]).withColumn("driftline_q", degree(places, "r_"))
-    middle = lambda c: (F.col(f"{c}.j") + 0.5, F.col(f"{c}.i") + 0.5)
-    cells = p.select("driftline_p").distinct().crossJoin(F.broadcast(q.select("driftline_q").distinct()))
-    cells = cells.withColumn("d", geodesy.haversine_km(*middle("driftline_p"), *middle("driftline_q"))).filter(F.col("d") > km - 2 * HALF_CELL_KM)
-    least = cells.groupBy("driftline_p").agg(F.min("d").alias("least"))
-    cells = cells.join(least, "driftline_p").filter(F.col("d") <= F.col("least") + 4 * HALF_CELL_KM).select("driftline_p", "driftline_q")
-    pairs = p.join(cells, "driftline_p").join(q, "driftline_q").drop("driftline_p", "driftline_q")
-    d = geodesy.haversine_km(F.col(lon), F.col(lat), F.col(f"r_{lon}"), F.col(f"r_{lat}"))
-    return pairs.withColumn("distance_km", d).filter(F.col("distance_km") > km)
+        km *= 4
+
+
+def with_prefix(places: DataFrame) -> DataFrame:
+    return places.select(*[F.col(c).alias(f"r_{c}") for c in places.columns])
+
+
+def searched(points: DataFrame, places: DataFrame, keys: list[str], km: float, sizes: tuple[float, ...], lat: str, lon: str, permitted: Column, same: tuple[str, ...]) -> DataFrame:
+    """The pairs of points and places (with r_) within km that may be nearest; sizes: of cells and of the cells within them."""
+    names = [(f"{ROW}{i}", f"{COLUMN}{i}") for i in range(len(sizes))]
+    for own, size in zip(names, sizes):
+        places = places.withColumns(dict(zip(own, cell(F.col(f"r_{lat}"), F.col(f"r_{lon}"), size))))
+    places = places.withColumns({s: F.col(f"r_{s}") for s in same})
+    pairs, at, cells = reached(points, F.lit(km), sizes[0], lat, lon, *names[0]), [*same, *names[0]], list(names[0])
+    for k, own in enumerate(names):
+        met, at, cells = at, [*at, *own] if k else at, [*cells, *own] if k else cells
+        pairs = opened(pairs.join(one_each(places, at, lat, lon), met), keys, [*points.columns, *cells], km, lat, lon, permitted)
+    at_end = pairs.join(places, at).withColumn("distance_km", apart_km(lat, lon)).filter(F.col("distance_km") <= km).filter(permitted)
+    return at_end.select(*points.columns, *[c for c in places.columns if c.startswith("r_")], "distance_km")
+
+
+def one_each(places: DataFrame, at: list[str], lat: str, lon: str) -> DataFrame:
+    """One place of each cell, whichever hashes least, and radius_km, within which the cell's others lie around it."""
+    own = [c for c in places.columns if c.startswith("r_")]
+    y, x = F.col(f"r_{lat}"), F.col(f"r_{lon}")
+    box = [f(c).alias(f"{n}_{k}") for f, n in ((F.min, "least"), (F.max, "most")) for c, k in ((y, "y"), (x, "x"))]
+    cells = places.groupBy(*at).agg(F.min_by(F.struct(*own), F.xxhash64(y, x)).alias("one"), *box)
+    # no farther than the box's sides would lie apart at its latitude nearest the equator
+    up = F.greatest(F.col("most_y") - F.col(f"one.r_{lat}"), F.col(f"one.r_{lat}") - F.col("least_y"))
+    side = F.greatest(F.col("most_x") - F.col(f"one.r_{lon}"), F.col(f"one.r_{lon}") - F.col("least_x"))
+    flat = F.when(F.signum("least_y") * F.signum("most_y") <= 0, 0.0).otherwise(F.least(F.abs("least_y"), F.abs("most_y")))
+    half = F.pow(F.sin(F.radians(up) / 2), 2) + F.pow(F.cos(F.radians(flat)), 2) * F.pow(F.sin(F.radians(F.least(side, F.lit(180.0))) / 2), 2)
+    radius = 2 * geodesy.RADIUS_KM * F.asin(F.sqrt(F.least(half, F.lit(1.0)))) + 1e-6
+    return cells.select(*at, "one.*", radius.alias("radius_km"))
+
+
+def opened(pairs: DataFrame, keys: list[str], columns: list[str], km: float, lat: str, lon: str, permitted: Column) -> DataFrame:
+    """The pairs of points and cells where a place nearer than the nearest permitted one seen may be."""
+    d = pairs.withColumn("driftline_d", apart_km(lat, lon))
+    sure = F.min(F.when(permitted, F.col("driftline_d"))).over(Window.partitionBy(*keys))
+    near = F.col("driftline_d") - F.col("radius_km") <= F.least(F.col("driftline_sure"), F.lit(km))
+    return d.withColumn("driftline_sure", sure).filter(near).select(*columns)
 
 
 def closest(pairs: DataFrame, keys: list[str]) -> DataFrame:

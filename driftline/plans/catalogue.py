@@ -266,10 +266,33 @@ select id, round(min(d), 4) distance_km from d group by 1"""
 def nearest_place(spark, sf):
     """J13 over the whole table in both roles: each customer with the distance of the nearest other one."""
     p = places(spark, sf)
-    found = joins.nearest(p, p, ["id"], only=F.col("id") != F.col("r_id"))
+    found = joins.nearest(p, p, ["id"], only="id <> r_id")
     return found.select("id", F.round("distance_km", 4).alias("distance_km"))
 
 
+@query(
+    f"""with p as ({PLACES.replace(' from customer', ', c_nationkey net from customer')}),
+d as (select a.id, b.id r_id, {HAVERSINE} d from p a join p b on a.net = b.net and a.id <> b.id)
+select id, round(min(d), 4) distance_km from d group by 1"""
+)
+def nearest_of_network(spark, sf):
+    """Each customer with the distance of the nearest other one of its nation."""
+    p = places(spark, sf).join(table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("net")), "id")
+    found = joins.nearest(p, p, ["id"], only=lambda point, place: point("id") != place("id"), same=("net",))
+    return found.select("id", F.round("distance_km", 4).alias("distance_km"))
+
+
+@query(
+    f"""with p as ({PLACES.replace(' from customer', ', c_mktsegment kind from customer')}),
+d as (select a.id, {HAVERSINE} d from p a join p b on a.kind < b.kind)
+select id, round(min(d), 4) distance_km from d group by 1"""
+)
+def nearest_of_later_kind(spark, sf):
+    """Each customer with the distance of the nearest one whose segment comes later in the alphabet; the last has none."""
+    p = places(spark, sf).join(table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("kind")), "id")
+    return joins.nearest(p, p, ["id"], only="kind < r_kind").select("id", F.round("distance_km", 4).alias("distance_km"))
+
+
 def sites(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("s_suppkey")
     return table(spark, sf, "supplier").select(k.alias("event_id"), ((k * 53 % 1200) / 10.0 - 60).alias("lat"), ((k * 71 % 3599) / 10.0 - 179.9).alias("lon"))
@@ -479,6 +502,7 @@ def gap_totals(d: DataFrame) -> DataFrame:
 
 @query()
 def gap_trend_flagship(spark, sf):
-    """Gaps and robust trend of each user's daily series; tests check it against a plain fit."""
+    """Gaps and robust trend of each user's daily series; its oracle is with the other robust fits' (fit_catalogue)."""
     d = daily(spark, sf)
-    return gap_totals(d).join(trajectory.robust_trend(d, ["user_id"], "t", "v"), "user_id")
+    trend = trajectory.robust_trend(d, ["user_id"], "t", "v").withColumns({c: F.round(c, 6) for c in ("slope", "intercept", "wrms")})
+    return gap_totals(d).join(trend, "user_id")

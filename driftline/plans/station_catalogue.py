@@ -709,7 +709,7 @@ def plate_rotation(spark, sf):
     x, y, z = (F.col(f"auto_{c}") for c in "xyz")
     w = (3e-9, 2e-9, 1e-9)
     v = {"vx": w[1] * z - w[2] * y, "vy": w[2] * x - w[0] * z, "vz": w[0] * y - w[1] * x}
-    pole = alignment.euler_pole(rows(spark, sf, "stations").withColumns(v))
+    pole = alignment.euler_pole(rows(spark, sf, "stations").withColumns(v), radius=None)
     return spark.createDataFrame([(*[round(float(pole[k]) * 1e9, 4) for k in ("wx", "wy", "wz")], pole["n"])], "wx double, wy double, wz double, n long")
 
 

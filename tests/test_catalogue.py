@@ -86,5 +86,37 @@ def test_nearest_other_place_beyond_5000_km(spark):
     from driftline.operators import joins
 
     p = spark.createDataFrame([(1, 0.0, 0.0), (2, 0.0, 100.0)], "id long, lat double, lon double")
-    far = joins.nearest(p, p, ["id"], only=p["id"] != catalogue.F.col("r_id")).collect()
+    far = joins.nearest(p, p, ["id"], only=lambda point, place: point("id") != place("id")).collect()
     assert {r["id"]: r["r_id"] for r in far} == {1: 2, 2: 1} and far[0]["distance_km"] > 11000
+
+
+def test_nearest_permitted_place_lies_behind_refused_ones(spark):
+    from driftline.operators import joins
+
+    point = spark.createDataFrame([(1, 0.0, 0.0, "n1")], "id long, lat double, lon double, net string")
+    places = spark.createDataFrame([(2, 0.0, 50.0, "n2"), (3, 0.0, 120.0, "n1"), (4, 0.0, 0.1, "n2"), (5, 0.1, -170.0, "n1")], "id long, lat double, lon double, net string")
+    for how in ({"only": "net = r_net"}, {"same": ("net",)}):
+        (row,) = joins.nearest(point, places, ["id"], **how).collect()
+        assert row["r_id"] == 3 and row["distance_km"] == pytest.approx(np.radians(120) * 6371)
+    assert joins.nearest(point, places, ["id"], only="r_net = 'n3'").count() == 0
+    with pytest.raises(TypeError):
+        joins.nearest(point, places, ["id"], only=point["net"] == catalogue.F.col("r_net"))
+
+
+def test_nearest_and_within_on_the_whole_globe(spark):
+    """Poles, the date line and refused places, against all pairs."""
+    from driftline.operators import joins
+
+    r = np.random.default_rng(6)
+    at = lambda n: [(i, float(lat), float(lon), int(r.integers(3))) for i, (lat, lon) in enumerate(zip(np.degrees(np.arcsin(r.uniform(-1, 1, n))), r.uniform(-180, 180, n)))]
+    points, places = at(150) + [(500, 90.0, 0.0, 0), (501, -90.0, 77.0, 1), (502, 88.3, 179.9, 0), (503, 0.0, -180.0, 1)], at(200) + [(700, 88.25, -120.0, 1), (701, 89.0, 10.0, 1), (702, 0.0, 180.0, 2)]
+    schema = "id long, lat double, lon double, kind int"
+    p, q = spark.createDataFrame(points, schema), spark.createDataFrame(places, schema)
+    d = np.array([[great_circle(a[1], a[2], b[1], b[2]) for b in places] for a in points])
+    refused = np.array([[a[3] >= b[3] for b in places] for a in points])
+    want = {a[0]: row.min() for a, row in zip(points, np.where(refused, np.inf, d)) if np.isfinite(row.min())}
+    got = {x["id"]: x["distance_km"] for x in joins.nearest(p, q, ["id"], only="kind < r_kind").collect()}
+    assert got == pytest.approx(want, abs=1e-5)
+    for km in (210.0, 1500.0, 9000.0):
+        pairs = {(x["id"], x["r_id"]) for x in joins.within_km(p, q, km).collect()}
+        assert pairs == {(a[0], b[0]) for a, row in zip(points, d) for b, x in zip(places, row) if x <= km}

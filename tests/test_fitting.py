@@ -129,39 +129,23 @@ def test_common_mode_and_pole(spark):
     d = (alignment.design(*x.T, scale=True) @ p).reshape(3, -1).T
     df = spark.createDataFrame([tuple(map(float, [*a, *b])) for a, b in zip(x, d)], "auto_x double, auto_y double, auto_z double, dx double, dy double, dz double")
     got = alignment.common_mode(df, ["dx", "dy", "dz"])
-    assert got == pytest.approx(p, abs=1e-3)
+    assert got.coefficients == pytest.approx(p, abs=1e-3)
     assert all(abs(v) < 1e-6 for r in alignment.remove_mode(df, ["dx", "dy", "dz"], got).select("dx", "dy", "dz").collect() for v in r)
     w = np.array([-1.2e-9, 0.5e-9, 2.1e-9])
     v = np.cross(w, x)
     df = spark.createDataFrame([tuple(map(float, [*a, *b])) for a, b in zip(x, v)], "auto_x double, auto_y double, auto_z double, vx double, vy double, vz double")
-    pole = alignment.euler_pole(df)
+    pole = alignment.euler_pole(df, radius=None)
     assert (pole["wx"], pole["wy"], pole["wz"]) == pytest.approx(tuple(w), rel=1e-6) and pole["rate"] == pytest.approx(np.degrees(np.linalg.norm(w)) * 1e6)
     day = df.select(F.lit("n").alias("NetworkCode"), F.lit("s").alias("StationCode"), F.lit(2021).alias("Year"), F.lit(0).alias("DOY"), (F.col("auto_x") + F.col("vx")).alias("X"), (F.col("auto_y") + F.col("vy")).alias("Y"), (F.col("auto_z") + F.col("vz")).alias("Z"))
     fixed = np.array(sorted((r["X"], r["Y"], r["Z"]) for r in alignment.plate_fixed(day, pole, 2020.0).collect()))
     assert np.abs(fixed - np.array(sorted(map(tuple, x)))).max() < 1e-6
 
 
-def test_okada_limits():
-    x = np.linspace(-50e3, 50e3, 21)
-    u = seismic.okada_surface(x, np.full(21, 1000.0), 10e3, 20e3, 10e3, 90.0, 1.0, 0.0)
-    v = seismic.okada_surface(x, np.full(21, -1000.0), 10e3, 20e3, 10e3, 90.0, 1.0, 0.0)
-    assert np.allclose(u[0], -v[0], atol=1e-9)  # strike slip on a vertical fault is odd across it
-    # published check value, case 2 of Okada (1985): x=2, y=3, depth 4, dip 70, length 3, width 2, origin at the lower edge's start
-    d = np.radians(70)
-    got = seismic.okada_surface(np.array([2 - 1.5]), np.array([3 - 1.0 * np.cos(d)]), 4 - 1.0 * np.sin(d), 3, 2, 70, 1, 0)
-    assert [float(g[0]) for g in got] == pytest.approx([-8.689e-3, -4.298e-3, -2.747e-3], abs=2e-6)
-    got = seismic.okada_surface(np.array([2 - 1.5]), np.array([3 - 1.0 * np.cos(d)]), 4 - 1.0 * np.sin(d), 3, 2, 70, 0, 1)
-    assert [float(g[0]) for g in got] == pytest.approx([-4.682e-3, -3.527e-2, -3.564e-2], abs=1e-5)
-
-
 def test_events_reach(spark):
     st = spark.createDataFrame([("n", f"s{i}", 0.0, float(lon)) for i, lon in enumerate((0.45, 2.7, 13.5, 54.0))], f"{S}, lat double, lon double")
     ev = spark.createDataFrame([("q", 0.0, 0.0, 8.8, 20.0)], "id string, lat double, lon double, mag double, depth double")
     got = {r["StationCode"]: (r["score"] > 0, r["after_score"] > 0) for r in seismic.affected(st, ev).collect()}
     assert got["s0"] == (True, True) and got["s1"] == (True, True) and "s3" not in got
-    pairs = spark.createDataFrame([("a", 50.0, 20.0, 8.8, 20.0, 10.0, 20.0, 90.0, float("nan"), float("nan"), float("nan")), ("b", 20000.0, 0.0, 8.8, 20.0, 10.0, 20.0, 90.0, float("nan"), float("nan"), float("nan"))], "k string, x_km double, y_km double, mag double, depth double, strike1 double, dip1 double, rake1 double, strike2 double, dip2 double, rake2 double")
-    out = {r["k"]: r for r in seismic.displacements(pairs).collect()}
-    assert out["a"]["level2"] and not out["b"]["level2"]
     assert seismic.new_events(ev, ev.union(ev.withColumn("id", F.lit("r")))).count() == 1
 
 
