@@ -37,6 +37,8 @@ SHINGLE, SEED = 3, 42
 BUDGET, SEGMENTS, BITS = 3, 8, 8
 #: Fingerprints of one key that a task compares; keys that may be broadcast.
 CELL, BROADCAST = 8192, 100_000
+#: Prints of most rows whose components are sent to every task (24 bytes each).
+HOTTEST = 10_000
 #: Shingles whose bits are counted at once.
 COUNTED = 1 << 16
 
@@ -207,18 +209,28 @@ def links(prints: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
+def with_component(own: DataFrame, named: DataFrame) -> DataFrame:
+    """own's rows with the component_id of their print. named: print, component_id and n, the rows that hold the print.
+
+    The HOTTEST prints are sent to every task and their rows stay where they are; no other print has more than a
+    HOTTEST-th of all rows, and those are shuffled."""
+    hot = F.broadcast(stored(named.filter("n > 1").orderBy(F.desc("n"), "print").limit(HOTTEST), "hot"))
+    rest = own.join(hot.select("print"), "print", "left_anti").join(named, "print")
+    return own.join(hot, "print").unionByName(rest).drop("n")
+
+
 def near_components(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint and component_id of each row of docs."""
     own = stored(signed(docs), "prints")
-    distinct = stored(own.groupBy("print").agg(F.min("doc_id").alias("least")), "distinct")
+    distinct = stored(own.groupBy("print").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct")
     found = stored(links(distinct.select("print")), "links")
     classes = stored(components(found), "classes")
     several = classes.join(distinct, classes["node"] == distinct["print"])
     least = several.groupBy("class_id").agg(F.min("least").alias("component_id"))
     named = classes.join(least, "class_id").select(F.col("node").alias("print"), "component_id")
-    named = distinct.join(named, "print", "left").select("print", F.coalesce("component_id", "least").alias("component_id"))
+    named = distinct.join(named, "print", "left").select("print", "n", F.coalesce("component_id", "least").alias("component_id"))
     hexed = F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint")
-    return own.join(named, "print").select("doc_id", hexed, "component_id")
+    return with_component(own, named).select("doc_id", hexed, "component_id")
 
 
 def op13_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
