@@ -10,17 +10,18 @@ confirmed and UNLABELLED documents of any kind, those with the smallest hash of
 vocabulary's places alone; scores cover all rows.
 
 Defined results: a null or empty text has no words and gets the score of the bias. Without a confirmed toxic
-training document every score is 0. Repeated rows each get a row; an empty table gives no rows.
+training document every score is 0. A text longer than a strip is counted alone. Repeated rows each get a row; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,11 +34,11 @@ PREFIXES = (4, 5, 6, 7)
 LEVELS = (1, 2, 4, 8)
 #: Features that fewer confirmed toxic documents hold, as number or share, are not candidates for the vocabulary. The share
 #: bounds the candidates by the features a document has, whatever the number of documents.
-LEAST, LEAST_SHARE = 4, 0.005
+LEAST, LEAST_SHARE = 4, 0.002
 #: Counts a task holds before it hands them on.
 HELD = 300_000
-#: Words whose features a task remembers.
-REMEMBERED = 200_000
+#: Characters of text whose words are counted together.
+STRIP = 1 << 22
 #: Labels are sent to every task up to so many rows (16 bytes each); beyond, the join shuffles.
 SENT_LABELS = 500_000
 WORD = re.compile(r"[^\W\d_]+")
@@ -48,37 +49,80 @@ def stems(word: str) -> list[str]:
     return [word, *(word[:n] + "-" for n in PREFIXES if len(word) > n)]
 
 
-def stem_counts(text: str | None, known: dict[str, list[str]], among=None) -> Counter:
-    """How often each stem (of those in among) occurs; known remembers the stems of words across texts."""
-    found: Counter = Counter()
-    for word, n in Counter(WORD.findall(text.lower()) if text else ()).items():
-        own = known.get(word)
-        if own is None:
-            if len(known) >= REMEMBERED:
-                known.clear()
-            own = known[word] = [s for s in stems(word) if among is None or s in among]
-        for s in own:
-            found[s] += n
-    return found
+class StemCounts:
+    """How often each stem occurs in each text, for many texts at once: rows of text, stem (its number) and n.
+
+    among: the numbers of the stems that count; None numbers all stems as they come, in names."""
 
+    def __init__(self, among: dict[str, int] | None):
+        self.names: dict[str, int] = {} if among is None else among
+        self.every = among is None
+        self.known: dict[str, list[int]] = {}
 
-def features(counts: Counter) -> list[tuple[str, int]]:
-    return [(s, level) for s, n in counts.items() for level in LEVELS if n >= level]
+    def of_word(self, word: str) -> list[int]:
+        own = self.known.get(word)
+        if own is None:
+            found = stems(word)
+            own = [self.names.setdefault(s, len(self.names)) for s in found] if self.every else [self.names[s] for s in found if s in self.names]
+            self.known[word] = own
+        return own
+
+    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        flat, n = [], []
+        for text in texts:
+            own = WORD.findall(text.lower()) if text else []
+            flat += own
+            n.append(len(own))
+        coded = pa.array(flat, pa.large_string()).dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        if len(self.known) + len(words) > HELD:
+            self.known.clear()
+        pair, times = np.unique(np.repeat(np.arange(len(texts)), n) * max(len(words), 1) + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+        text, word = np.divmod(pair, max(len(words), 1))
+        lists = [self.of_word(w) for w in words]
+        size = np.fromiter(map(len, lists), np.int64, len(lists))
+        every, first = np.fromiter(itertools.chain.from_iterable(lists), np.int64, size.sum()), np.cumsum(size) - size
+        own = size[word]
+        at = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own) + np.repeat(first[word], own)
+        key, row = np.unique(np.repeat(text, own) * max(len(self.names), 1) + every[at], return_inverse=True)
+        counts = np.bincount(row, np.repeat(times, own), len(key)).astype(np.int64)
+        return *np.divmod(key, max(len(self.names), 1)), counts
+
+
+def strips(texts: list[str | None]) -> Iterator[slice]:
+    """Slices of about STRIP characters; a longer text is alone."""
+    a = size = 0
+    for i, t in enumerate(texts):
+        if i > a and size + len(t or "") > STRIP:
+            yield slice(a, i)
+            a, size = i, 0
+        size += len(t or "")
+    if len(texts) > a:
+        yield slice(a, len(texts))
+
+
+def numbered(vocabulary: Iterable[tuple[str, int]]) -> dict[str, int]:
+    return {s: i for i, s in enumerate(sorted({s for s, _ in vocabulary}))}
 
 
 class ToxicityModel:
-    """vocabulary: the place of each (stem, level) in weights."""
+    """weights of the vocabulary's (stem, level) features; a stem that occurs n times has those of all levels up to n."""
 
     def __init__(self, vocabulary: dict[tuple[str, int], int], weights: np.ndarray, bias: float):
         self.vocabulary, self.weights, self.bias = vocabulary, weights, bias
-        self.among = frozenset(s for s, _ in vocabulary)
-
-    def score(self, text: str | None, known: dict[str, list[str]]) -> float:
+        self.among = numbered(vocabulary)
+        self.sums = np.zeros((len(self.among), len(LEVELS) + 1))
+        for (stem, level), i in vocabulary.items():
+            self.sums[self.among[stem], LEVELS.index(level) + 1] = weights[i]
+        self.sums = self.sums.cumsum(axis=1)
+
+    def scores(self, texts: list[str | None], counts: StemCounts) -> np.ndarray:
+        """One score for each text; counts: of this model's stems."""
         if self.bias == -np.inf:
-            return 0.0
-        v, w = self.vocabulary, self.weights
-        z = self.bias + sum(w[v[f]] for f in features(stem_counts(text, known, self.among)) if f in v)
-        return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
+            return np.zeros(len(texts))
+        text, stem, n = counts(texts)
+        z = self.bias + np.bincount(text, self.sums[stem, np.searchsorted(LEVELS, n, "right")], len(texts))
+        return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
 def document_frequencies(texts: DataFrame, among: frozenset | None = None) -> DataFrame:
@@ -86,17 +130,24 @@ def document_frequencies(texts: DataFrame, among: frozenset | None = None) -> Da
     held = texts.sparkSession.sparkContext.broadcast(among)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found, known = Counter(), {}
+        start = lambda: StemCounts(None if held.value is None else {s: i for i, s in enumerate(sorted(held.value))})
+        counts, found = start(), np.zeros((0, len(LEVELS)), np.int64)
 
         def rows() -> pd.DataFrame:
-            return pd.DataFrame([(stem, level, n) for (stem, level), n in found.items()], columns=["stem", "level", "n"])
+            i, j = np.nonzero(found)
+            names = np.array([*counts.names, ""], object)
+            return pd.DataFrame({"stem": names[i], "level": np.array(LEVELS, np.int32)[j], "n": found[i, j]})
 
         for b in batches:
-            for text in b["text"]:
-                found.update(features(stem_counts(text, known, held.value)))
-                if len(found) > HELD:
+            own = list(b["text"])
+            for s in strips(own):
+                _, stem, n = counts(own[s])
+                new = np.stack([np.bincount(stem[n >= level], minlength=len(counts.names)) for level in LEVELS], axis=1)
+                new[: len(found)] += found
+                found = new
+                if held.value is None and len(found) > HELD:
                     yield rows()
-                    found.clear()
+                    counts, found = start(), found[:0]
         yield rows()
 
     return texts.select("text").mapInPandas(count, "stem string, level int, n long").groupBy("stem", "level").agg(F.sum("n").alias("n"))
@@ -117,14 +168,20 @@ def choose_vocabulary(training: DataFrame, n_pos: int, n_all: int) -> dict[tuple
 
 def feature_places(docs: DataFrame, vocabulary: dict[tuple[str, int], int]) -> np.ndarray:
     """One row of marks for each row of docs."""
-    held = docs.sparkSession.sparkContext.broadcast((vocabulary, frozenset(s for s, _ in vocabulary)))
+    held = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vocabulary, among = held.value
-        known: dict[str, list[str]] = {}
+        counts = StemCounts(numbered(held.value))
+        place = np.full((len(counts.names), len(LEVELS)), -1)
+        for (stem, level), i in held.value.items():
+            place[counts.names[stem], LEVELS.index(level)] = i
         for b in batches:
-            found = [[vocabulary[f] for f in features(stem_counts(t, known, among)) if f in vocabulary] for t in b["text"]]
-            yield pd.DataFrame({"at": [np.array(x, np.uint16).tobytes() for x in found]})
+            own = list(b["text"])
+            for s in strips(own):
+                text, stem, n = counts(own[s])
+                at = np.where(n[:, None] >= np.array(LEVELS), place[stem], -1)
+                lists = np.split(at, np.searchsorted(text, np.arange(1, len(own[s]))))
+                yield pd.DataFrame({"at": [x[x >= 0].astype(np.uint16).tobytes() for x in lists]})
 
     rows = [np.frombuffer(r[0], np.uint16) for r in docs.select("text").mapInPandas(places, "at binary").toLocalIterator()]
     x = np.zeros((len(rows), len(vocabulary)), np.float32)
@@ -168,9 +225,10 @@ def predict(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, list[str]] = {}
+        counts = StemCounts(held.value.among)
         for b in batches:
-            scores = np.array([held.value.score(t, known) for t in b["text"]], dtype=float)
+            own = list(b["text"])
+            scores = np.concatenate([np.zeros(0), *(held.value.scores(own[s], counts) for s in strips(own))])
             yield pd.DataFrame({"doc_id": b["doc_id"], "score": scores, "predicted": (scores >= 0.5).astype("int32")})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, score double, predicted int")
