@@ -10,8 +10,8 @@ Rows count, not ids: each gets a number of its own when the vectors are written
 
 Defined results: vectors that are null, empty or hold null or non-finite components take no part, nor do rows
 without an id; vectors of different length are never compared; rows that repeat an id are queries and candidates each;
-fewer than k candidates are all returned; an empty table gives no rows. Scores are exact, whatever the size of the
-components; beyond LIMIT in size they count as LIMIT, which fits a long.
+fewer than k candidates are all returned; an empty table gives no rows. Scores are exact over the whole range of a long,
+whatever the size of the components; a sum beyond it counts as the end of the range that it lies behind.
 """
 
 from __future__ import annotations
@@ -32,9 +32,13 @@ CANDIDATE_PART = 8192
 #: Queries multiplied at once within a cell.
 STRIP = 128
 SCALE = 1024
-LIMIT = (1 << 62) - 1
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
 #: Whole numbers up to here are exact as double, sums and products included.
 EXACT = 2.0**53
+#: Larger components are taken apart into digits of so many bits, up to DIGITS of them.
+BITS, DIGITS = 16, 4
+#: An edge is a long, but what it is moved by may not be.
+EDGE = "decimal(20,0)"
 
 
 def whole_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -48,16 +52,39 @@ def whole_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str =
     return stored(kept.select(F.monotonically_increasing_id().alias("row"), "vec_id", whole.alias("v")), "vectors")
 
 
+def digits(v: np.ndarray) -> list[np.ndarray]:
+    """The signed digits of whole numbers below 2^(BITS * DIGITS) in size, least first."""
+    size, sign = np.abs(v).astype(np.uint64), np.sign(v)
+    return [sign * ((size >> np.uint64(BITS * k)) & np.uint64((1 << BITS) - 1)).astype(np.float64) for k in range(DIGITS)]
+
+
+def summed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The inner products of the rows of a and b as Python numbers: digits are multiplied as matrices, which is exact, and added up."""
+    total = np.zeros((len(a), len(b)), object)
+    for i, x in enumerate(digits(a)):
+        if x.any():
+            for j, y in enumerate(digits(b)):
+                if y.any():
+                    total += (x @ y.T).astype(np.int64).astype(object) << BITS * (i + j)
+    return total
+
+
 def exact_scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The inner products of the rows of a and b, LIMIT at most in size. Products that a double may round are added as whole numbers."""
-    wide = np.abs(a).max(axis=1)[:, None] * np.abs(b).max(axis=1)[None, :] * a.shape[1]
+    """The inner products of the rows of a and b as longs. Those that a double may round are added as whole numbers."""
+    top_a, top_b = np.abs(a).max(axis=1), np.abs(b).max(axis=1)
+    wide = top_a[:, None] * top_b[None, :] * a.shape[1]
     if wide.max() < EXACT:
         return (a @ b.T).astype(np.int64)
     out = np.zeros(wide.shape, np.int64)
     plain = wide < EXACT
     out[plain] = (a @ b.T)[plain]
-    for i, j in zip(*np.nonzero(~plain)):
-        out[i, j] = max(-LIMIT, min(LIMIT, sum(int(x) * int(y) for x, y in zip(a[i], b[j]))))
+    within = 2.0 ** (BITS * DIGITS - 1)
+    i, j = np.nonzero(~plain.all(axis=1) & (top_a < within))[0], np.nonzero(~plain.all(axis=0) & (top_b < within))[0]
+    if len(i) and len(j):
+        out[np.ix_(i, j)] = np.clip(summed(a[i], b[j]), LEAST, MOST).astype(np.int64)
+    # beyond the digits, as where the other side is zero, pair by pair
+    for i, j in zip(*np.nonzero(~plain & ((top_a >= within)[:, None] | (top_b >= within)[None, :]))):
+        out[i, j] = max(LEAST, min(MOST, sum(int(x) * int(y) for x, y in zip(a[i], b[j]))))
     return out
 
 
@@ -79,7 +106,9 @@ def counted(key: tuple, q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         lo, width, ids = q["lo"].to_numpy(), q["width"].to_numpy(), q["query_row"].to_numpy()
         for rows, scores, own in strips(q, c):
             low = lo[rows, None]
-            bins = np.where(own | (scores < low), -1, np.minimum((np.maximum(scores, low) - low) // width[rows, None], BINS))
+            # the distance from the lower edge may be beyond a long, but not beyond 64 bits
+            up = np.maximum(scores, low).view(np.uint64) - low.view(np.uint64)
+            bins = np.where(own | (scores < low), -1, np.minimum(up // width[rows, None].view(np.uint64), np.uint64(BINS)).astype(np.int64))
             n = len(bins)
             counts = np.bincount((np.arange(n)[:, None] * (BINS + 2) + bins + 1).ravel(), minlength=n * (BINS + 2)).reshape(n, BINS + 2)[:, 1:]
             i, j = np.nonzero(counts)
@@ -115,7 +144,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     blocks, parts = -(-n_q // QUERY_BLOCK), -(-n_c // CANDIDATE_PART)
     most = norm_q * norm_c * (1 + 1e-9)
-    bound = int(most) + 1 if most < LIMIT - 1 else LIMIT
+    bound = int(most) + 1 if most < 2.0**62 else 1 << 63
     part, block = F.pmod(F.xxhash64("row"), F.lit(parts)), F.pmod(F.xxhash64("row"), F.lit(blocks))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     candidates = vectors.select("row", "vec_id", "v", F.size("v").alias("dim"), every(blocks).alias("block"), part.cast("long").alias("part"))
@@ -134,7 +163,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         wide = F.col("width")
         found = ranges.join(edge, "row", "left").select(
             "row",
-            (F.col("lo") + wide * F.coalesce("bin", F.lit(0))).alias("lo"),
+            (F.col("lo").cast(EDGE) + wide.cast(EDGE) * F.coalesce("bin", F.lit(0)).cast("decimal(18,0)")).cast("decimal(38,0)").cast("long").alias("lo"),
             F.when(F.col("bin").isNull() | (F.col("bin") == BINS), 1).otherwise(F.ceil(wide / BINS)).cast("long").alias("width"),
             F.coalesce("above", F.lit(0)).cast("long").alias("above"),
         )

@@ -9,7 +9,7 @@ def brute(rows, k):
     for i, v in rows:
         if i is not None and v and all(x is not None and np.isfinite(x) for x in v):
             own.append((i, [int(np.floor(1024 * float(np.float32(x)))) for x in v]))
-    clip = lambda x: max(-topk_search.LIMIT, min(topk_search.LIMIT, x))
+    clip = lambda x: max(-(1 << 63), min((1 << 63) - 1, x))
     out = []
     for n, (i, q) in enumerate(own):
         if i % 20 == 0:
@@ -35,6 +35,30 @@ def test_top_k(spark, k, monkeypatch):
     assert topk_search.top_k(none, none, k).count() == 0
 
 
+def test_top_k_over_the_whole_range_of_a_long(spark):
+    """Scores of 2^62 and more, either sign, are told apart; what no long holds counts as its end."""
+    rows = [(0, 3.0e6), (1, 1.9e6), (2, 1.8e6), (3, 1.7e6), (4, -1.9e6), (5, 2.9e6), (6, 2.93e6), (7, 1e300), (8, -1e300), (9, 0.0), (20, -2.5e6), (40, 2.0**-10), (60, 0.0)]
+    df = spark.createDataFrame([(i, [v]) for i, v in rows], "vec_id long, embedding array<double>")
+    vectors = topk_search.whole_vectors(df)
+    got = sorted(tuple(x) for x in topk_search.top_k(vectors, vectors.filter("vec_id % 20 = 0"), 4).collect())
+    whole = {i: int(np.floor(1024 * v)) if abs(v) < 1e200 else int(1024 * v) for i, v in rows}
+    want = []
+    for q in (0, 20, 40, 60):
+        scores = sorted((-max(-(1 << 63), min((1 << 63) - 1, whole[q] * whole[i])), i) for i in whole if i != q)[:4]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores)]
+    assert got == sorted(want)
+    assert [x for x in got if x[0] == 0][3][3] == 5976883200000000000
+
+
+def test_digits_multiply_exactly():
+    r = np.random.default_rng(3)
+    a, b = (np.floor(r.normal(size=(n, 40)) * 10.0 ** r.integers(0, 18, (n, 40))) for n in (6, 9))
+    want = [[sum(int(x) * int(y) for x, y in zip(p, q)) for q in b] for p in a]
+    assert topk_search.summed(a, b).tolist() == want
+    clipped = [[max(-(1 << 63), min((1 << 63) - 1, v)) for v in row] for row in want]
+    assert topk_search.exact_scores(a, b).tolist() == clipped
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 
