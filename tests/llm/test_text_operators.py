@@ -270,7 +270,7 @@ def test_secret_base_spans(spark, odd, odd_rows, empty):
 class Everything:
     """A network that takes each candidate for a secret."""
 
-    threshold = 0.5
+    thresholds = np.full(len(secret_scan.SHAPES), 0.5)
 
     def score(self, x, mark):
         return np.ones(len(x))
@@ -295,6 +295,49 @@ def test_secret_keys_of_letters_and_remains_of_keys(spark, odd):
     assert rest not in secret_scan.redact(df, net).first()["text"]
 
 
+@pytest.fixture(scope="module")
+def trained_on_half(spark):
+    """A network that has seen half of some documents, and the texts of the other half."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").filter("text is not null")
+    net = secret_scan.train(docs.filter("doc_id % 2 = 0"))
+    return net, [r["text"] for r in docs.filter("doc_id % 2 = 1").collect()]
+
+
+def test_secret_network_adds_no_word_of_the_corpus(trained_on_half):
+    net, unseen = trained_on_half
+    shouted = [t.upper() for t in unseen] + [t.lower() for t in unseen]
+    for text, own in zip(unseen + shouted, secret_scan.find(unseen + shouted, net)):
+        added = [text[a:b] for a, k, b in own if k == 3]
+        assert not any(x.isalpha() for x in added), added
+
+
+def test_secret_network_finds_planted_keys(trained_on_half):
+    """Keys of each kind between two words of unseen documents; what is added elsewhere counts against precision."""
+    net, unseen = trained_on_half
+    r = random.Random(12)
+    upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    draw = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
+    kinds = {
+        "github": lambda: "ghp_" + draw(upper + lower + digits, 36), "base64": lambda: draw(upper + lower + digits + "+/", 40), "url": lambda: draw(upper + lower + digits + "-_", 43),
+        "short": lambda: draw(upper + lower + digits, 20), "letters": lambda: draw(upper + lower, 24),
+    }
+    hit, right, wrong = dict.fromkeys(kinds, 0), 0, 0
+    long = [t for t in unseen if t.count(" ") > 20]
+    for kind, make in kinds.items():
+        for i in range(100):
+            words = r.choice(long).split(" ")
+            at, key = r.randrange(1, len(words)), make()
+            text = " ".join(words[:at] + [key] + words[at:])
+            start = len(" ".join(words[:at])) + 1
+            (own,) = secret_scan.find([text], net)
+            net_spans = [(a, b) for a, k, b in own if k == 3]
+            inside = [(a, b) for a, b in net_spans if a < start + len(key) and b > start]
+            hit[kind] += bool(inside)
+            right, wrong = right + len(inside), wrong + len(net_spans) - len(inside)
+    assert all(n >= 95 for n in hit.values()), hit
+    assert right / (right + wrong) > 0.98, (right, wrong)
+
+
 def tokenizer():
     from tokenizers import Tokenizer
 
