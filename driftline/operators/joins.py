@@ -25,17 +25,23 @@ def without_solution(files: DataFrame, solutions: DataFrame, keys: list[str], on
 
 
 def valid_at(points: DataFrame, intervals: DataFrame, keys: list[str], at: str, tolerance_s: int = 0, start: str = "DateStart", end: str = "DateEnd") -> DataFrame:
-    """Each point with the earliest interval that holds it; points of none are gone. A null end is open."""
+    """Each point with the earliest interval that holds it; points of none are gone. A null end is open.
+
+    By start, the first interval that holds a point is the first up to which the greatest end so far reaches the point: it is that end
+    itself. So only intervals that raise the greatest end count, and a point's one is the next above it in the order of these ends: one
+    sort of points and intervals together, no pairs of them."""
     other = [c for c in intervals.columns if c not in keys]
     lo, hi = (F.unix_seconds(x.cast("timestamp")) for x in (F.col(start), F.coalesce(F.col(end), F.lit(FAR).cast("timestamp_ntz"))))
-    t = F.unix_seconds(F.col(at).cast("timestamp"))
-    row, copies = "driftline_row", "driftline_copies"
-    # equal points are looked up once and come back as often as they were
-    counted = points.groupBy(F.struct(*points.columns).alias(row)).agg(F.count("*").alias(copies))
-    joined = counted.select(*[F.col(f"{row}.{k}").alias(k) for k in dict.fromkeys([*keys, at])], row, copies).join(intervals, keys)
-    inside = joined.filter((t >= lo - tolerance_s) & (t <= hi + tolerance_s))
-    best = inside.groupBy(row).agg(F.min_by(F.struct(*other), F.col(start)).alias("found"), F.first(copies).alias(copies))
-    return best.withColumn(copies, F.explode(F.sequence(F.lit(1).cast("long"), copies))).select(f"{row}.*", "found.*")
+    by_start = Window.partitionBy(*keys).orderBy("driftline_lo", start)
+    raised = intervals.select(*keys, F.struct(*other).alias("driftline_found"), lo.alias("driftline_lo"), hi.alias("driftline_v"), F.col(start)).dropna(subset=[*keys, "driftline_lo"])
+    raised = raised.withColumn("driftline_before", F.max("driftline_v").over(by_start.rowsBetween(Window.unboundedPreceding, -1)))
+    raised = raised.filter("driftline_before is null or driftline_v > driftline_before").select(*keys, "driftline_v", F.struct("driftline_lo", "driftline_found").alias("driftline_next"))
+    own = points.select(*keys, F.struct(*points.columns).alias("driftline_point"), F.unix_seconds(F.col(at).cast("timestamp")).alias("driftline_t")).dropna(subset=[*keys, "driftline_t"])
+    own = own.withColumn("driftline_v", F.col("driftline_t") - tolerance_s)
+    down = Window.partitionBy(*keys).orderBy(F.desc("driftline_v"), F.col("driftline_point").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    both = own.unionByName(raised, allowMissingColumns=True).withColumn("driftline_next", F.last("driftline_next", ignorenulls=True).over(down))
+    held = both.filter(F.col("driftline_point").isNotNull() & (F.col("driftline_next.driftline_lo") - tolerance_s <= F.col("driftline_t")))
+    return held.select("driftline_point.*", "driftline_next.driftline_found.*")
 
 
 def overlaps(intervals: DataFrame, keys: list[str], start: str = "DateStart", end: str = "DateEnd", carry: tuple[str, ...] = ()) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from driftline.storage import written
+
 
 def lag_difference(rows: DataFrame, keys: list[str], order: str, values: list[str]) -> DataFrame:
     """`d_<value>` against the row before, and `d_<order>`."""
@@ -71,25 +72,60 @@ def header_sessions(files: DataFrame, keys: list[str], order: str, columns: list
 
 
 def strongest_in_window(events: DataFrame, keys: list[str], day: str, magnitude: str, days: float = 15.0) -> DataFrame:
-    """In each window of so many days, which begins at its first event, the strongest event.
-
-    A window begins at the first event behind the window before, so that events are folded in order, one key at
-    a time; Spark's session windows are not the same, as they reach on with each event."""
-    columns, schema = events.columns, events.schema
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([day, magnitude], ascending=[True, False])
-        kept, start, best = [], None, None
-        for i, (d, m) in enumerate(zip(rows[day], rows[magnitude])):
-            if start is None or d - start > days:
-                if best is not None:
-                    kept.append(best[1])
-                start, best = d, (m, i)
-            elif m > best[0]:
-                best = (m, i)
-        return rows.iloc[[*kept, *([best[1]] if best else [])]][columns]
-
-    return events.groupBy(*keys).applyInPandas(fold, schema)
+    """In each window of so many days, which begins at its first event, the strongest event; of equal ones the earliest.
+
+    A window begins at the first event behind the window before, so that where windows begin is a chain from the key's first
+    event (Spark's session windows are not the same, as they reach on with each event). Each event's successor comes from
+    stretches of so many days, and pointers that double find the chain in log n joins: a key that holds all
+    events is no single task's work."""
+    key, at = "driftline_key", "driftline_at"
+    known = events.filter(F.col(day).isNotNull()).withColumns({key: F.struct(*keys), at: F.col(day).cast("double")})
+    places = written(known.select(key, at).distinct(), "places")
+    starts = chained(places, written(successors(places, key, at, days), "successors"), key, at)
+    window = at_or_before(known, starts, key, at, days, "driftline_start")
+    rank = F.struct(F.col(magnitude), -F.col(at))
+    best = window.groupBy(key, "driftline_start").agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in events.columns]), rank).alias("x"))
+    return best.select("x.*")
+
+
+def successors(places: DataFrame, key: str, at: str, days: float) -> DataFrame:
+    """key, at and next: of each place the first one of its key more than so many days on, null for the last ones."""
+    stretch = F.floor(F.col("driftline_x") / days)
+    marks = places.select(key, (F.col(at) + days).alias("driftline_x"), F.col(at).alias("of"))
+    both = marks.unionByName(places.select(key, F.col(at).alias("driftline_x"), F.lit(None).cast("double").alias("of"))).withColumn("s", stretch)
+    # behind a mark in its stretch: places at the mark itself do not count
+    later = Window.partitionBy(key, "s").orderBy(F.desc("driftline_x"), F.col("of").isNull()).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = both.withColumn("next", F.min(F.when(F.col("of").isNull(), F.col("driftline_x"))).over(later)).filter("of is not null")
+    firsts = places.withColumn("s", F.floor(F.col(at) / days)).groupBy(key, "s").agg(F.min(at).alias("first"))
+    grid = firsts.select(key, "s", "first", F.lit(True).alias("real")).unionByName(ahead.select(key, "s").distinct().withColumns({"first": F.lit(None).cast("double"), "real": F.lit(False)}))
+    # stretches are as many as the time has windows
+    beyond = F.min("first").over(Window.partitionBy(key).orderBy(F.desc("s")).rangeBetween(Window.unboundedPreceding, -1))
+    behind = grid.withColumn("beyond", beyond).groupBy(key, "s").agg(F.min("beyond").alias("beyond"))
+    return ahead.join(behind, [key, "s"]).select(key, F.col("of").alias(at), F.coalesce("next", "beyond").alias("next"))
+
+
+def chained(places: DataFrame, following: DataFrame, key: str, at: str) -> DataFrame:
+    """The places that following leads to from the first of each key, by pointers that double."""
+    found = places.groupBy(key).agg(F.min(at).alias(at))
+    jump = following.filter("next is not null")
+    while jump.limit(1).count():
+        found = written(found.unionByName(found.join(jump, [key, at]).select(key, F.col("next").alias(at))).distinct(), "chain")
+        jump = written(jump.join(jump.select(key, F.col(at).alias("next"), F.col("next").alias("over")), [key, "next"]).select(key, at, F.col("over").alias("next")), "jumps")
+    return found
+
+
+def at_or_before(rows: DataFrame, starts: DataFrame, key: str, at: str, days: float, name: str) -> DataFrame:
+    """rows with the last of the starts of their key that is not behind them."""
+    s = F.floor(F.col(at) / days)
+    marked = rows.withColumns({"driftline_s": s, "driftline_mark": F.lit(None).cast("double")})
+    marks = starts.select(key, at, s.alias("driftline_s"), F.col(at).alias("driftline_mark"))
+    within = Window.partitionBy(key, "driftline_s").orderBy(at, F.col("driftline_mark").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    own = marked.unionByName(marks.withColumn("driftline_is_mark", F.lit(True)), allowMissingColumns=True).withColumn("driftline_here", F.max("driftline_mark").over(within)).filter("driftline_is_mark is null")
+    last = marks.groupBy(key, "driftline_s").agg(F.max("driftline_mark").alias("last"))
+    every = last.unionByName(own.select(key, "driftline_s").distinct(), allowMissingColumns=True).groupBy(key, "driftline_s").agg(F.max("last").alias("last"))
+    before = F.max("last").over(Window.partitionBy(key).orderBy("driftline_s").rowsBetween(Window.unboundedPreceding, -1))
+    found = own.join(every.withColumn("driftline_before", before).drop("last"), [key, "driftline_s"])
+    return found.withColumn(name, F.coalesce("driftline_here", "driftline_before")).drop("driftline_s", "driftline_mark", "driftline_is_mark", "driftline_here", "driftline_before")
 
 
 def days_to_next(jumps: DataFrame, keys: list[str], day: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from driftline.functions import geodesy
 from driftline.functions.lsq import EPS, LIMIT, PASSES, chi2_quantile
-from driftline.operators import alignment, joins, masks, quality, trajectory
+from driftline.operators import alignment, joins, masks, quality, trajectory, upkeep, windows
 from driftline.operators.selection import KEY
 from driftline.plans import catalogue
 from driftline.plans.catalogue import DAILY, HAVERSINE, query
@@ -309,3 +309,51 @@ def stack_aligned(spark, sf):
 def days_chained(spark, sf):
     """Each day aligned to the one before; tests check it against the same product of fits, one after the other."""
     return alignment.chain(network_days(spark, sf))
+
+
+# upkeep of one table by the changes of another
+
+
+def states(engine_sessions, engine_files):
+    """The same rows before and after some are gone, some new and some altered."""
+    before = engine_sessions.filter("session_id % 5 <> 0"), engine_files.filter("file_id % 3 <> 0 or k_file % 9 = 1")
+    changed = F.when(F.col("session_id") % 97 == 0, F.col("hash") + 1).otherwise(F.col("hash"))
+    return before, (engine_sessions.filter("session_id % 5 <> 0 or session_id % 35 = 0").filter("session_id % 41 <> 3").withColumn("hash", changed), engine_files.filter("file_id % 3 <> 0 or k_file % 9 = 1").filter("file_id % 53 <> 7"))
+
+
+@query(
+    f"""{with_('stations', 'sessions', 'files')}, f0 as (select *, file_id % 1000 k_file from files), fb as (select * from f0 where file_id % 3 <> 0 or k_file % 9 = 1), fa as (select * from fb where file_id % 53 <> 7),
+sb as (select * from sessions where session_id % 5 <> 0), sa as (select * replace (case when session_id % 97 = 0 then hash + 1 else hash end as hash) from sessions where (session_id % 5 <> 0 or session_id % 35 = 0) and session_id % 41 <> 3),
+cs as (select NetworkCode, StationCode from ((select * from sb except select * from sa) union all (select * from sa except select * from sb))), cf as (select NetworkCode, StationCode from ((select * from fb except select * from fa) union all (select * from fa except select * from fb)))
+select NetworkCode, StationCode, (NetworkCode, StationCode) in (select (NetworkCode, StationCode) from cs union select (NetworkCode, StationCode) from cf) has_gaps_update_needed, (NetworkCode, StationCode) in (select (NetworkCode, StationCode) from sa) has_stationinfo from stations"""
+)
+def flags_after_changes(spark, sf):
+    """Station flags kept up by the changes to equipment records and files; the oracle computes them from nothing."""
+    files = rows(spark, sf, "files").withColumn("k_file", F.col("file_id") % 1000)
+    (sb, fb), (sa, fa) = states(rows(spark, sf, "sessions"), files)
+    had = sb.select(*KEY).distinct().withColumn("had", F.lit(True))
+    meta = rows(spark, sf, "stations").select(*KEY).join(had, KEY, "left").select(*KEY, F.lit(False).alias("has_gaps_update_needed"), F.col("had").isNotNull().alias("has_stationinfo"))
+    return upkeep.kept_flags(meta, upkeep.changes(fb, fa, [*KEY, "file_id"]), upkeep.changes(sb, sa, [*KEY, "session_id"]), sa)
+
+
+@query(
+    """with gone as (select c_custkey from customer where c_custkey % 13 = 0), o as (select * from orders where o_custkey not in (select c_custkey from gone)), l as (select * from lineitem where l_orderkey in (select o_orderkey from o) or l_orderkey not in (select o_orderkey from orders))
+select 'customer' name, count(*) n, sum(c_custkey)::bigint total from customer where c_custkey % 13 <> 0 union all select 'orders', count(*), sum(o_orderkey)::bigint from o union all select 'lineitem', count(*), sum(l_orderkey)::bigint from l"""
+)
+def rows_left_by_cascade(spark, sf):
+    """Deleting customers takes their orders along, and the lines of these."""
+    tables = {n: table(spark, sf, n) for n in ("customer", "orders", "lineitem")}
+    links = [upkeep.Link("orders", ("o_custkey",), "customer", ("c_custkey",)), upkeep.Link("lineitem", ("l_orderkey",), "orders", ("o_orderkey",))]
+    left = upkeep.cascade(tables, "customer", tables["customer"].filter("c_custkey % 13 = 0"), links)
+    one = lambda n, c: left[n].agg(F.lit(n).alias("name"), F.count("*").alias("n"), F.sum(c).cast("long").alias("total"))
+    return one("customer", "c_custkey").union(one("orders", "o_orderkey")).union(one("lineitem", "l_orderkey"))
+
+
+@query(
+    """with recursive e as (select event_id, epoch(ts) * 60 d, value from events), w as (select min(d) s from e union all select (select min(d) from e where d > w.s + 15 * 86400) from w where s is not null),
+n as (select s, lead(s) over (order by s) nxt from w where s is not null) select arg_max(event_id, (value, -d, -event_id)) event_id from n join e on d >= s and (nxt is null or d < nxt) group by s"""
+)
+def strongest_of_all(spark, sf):
+    """W10 where one key holds all events; minutes stand for seconds, so that there are many windows."""
+    e = table(spark, sf, "events").select(F.lit(1).alias("k"), "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 * 60).alias("d"), "value")
+    return windows.strongest_in_window(e, ["k"], "d", "value", 15 * 86400.0).select("event_id")

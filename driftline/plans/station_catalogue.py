@@ -170,10 +170,10 @@ def height_check(spark, sf):
 
 
 @query(
-    f"""{with_('solutions', 'sessions')} select solution_id from solutions a join sessions s using (NetworkCode, StationCode) where {URGENT} and date >= DateStart and (DateEnd is null or date <= DateEnd) and a.hash <> s.hash + coalesce(orbit_hash, 0)"""
+    f"""{with_('solutions', 'sessions')} select solution_id from solutions a join sessions s using (NetworkCode, StationCode) where date >= DateStart and (DateEnd is null or date <= DateEnd) and a.hash <> s.hash + coalesce(orbit_hash, 0)"""
 )
 def stale_hashes(spark, sf):
-    return selection.stale_solutions(rows(spark, sf, "solutions"), rows(spark, sf, "sessions").filter(URGENT)).select("solution_id")
+    return selection.stale_solutions(rows(spark, sf, "solutions"), rows(spark, sf, "sessions")).select("solution_id")
 
 
 @query(f"{with_('solutions')} select solution_id, price from solutions order by price limit 25")
@@ -379,12 +379,12 @@ def records_by_property(spark, sf):
 
 
 @query(
-    f"""{with_('sessions', 'files')}, s as (select * from sessions where {URGENT}), n as (select *, lead(DateStart) over (partition by NetworkCode, StationCode order by DateStart) nxt from s),
+    f"""{with_('sessions', 'files')}, s as (select * from sessions), n as (select *, lead(DateStart) over (partition by NetworkCode, StationCode order by DateStart) nxt from s),
 g as (select NetworkCode, StationCode, session_id, DateEnd a, nxt b from n where epoch(nxt) - epoch(DateEnd) > 1)
 select g.session_id, count(f.file_id) n_files from g left join files f on (f.NetworkCode, f.StationCode) = (g.NetworkCode, g.StationCode) and f.ObservationETime > a and f.ObservationSTime < b group by 1"""
 )
 def files_within_gaps(spark, sf):
-    g = windows.session_gaps(rows(spark, sf, "sessions").filter(URGENT), KEY)
+    g = windows.session_gaps(rows(spark, sf, "sessions"), KEY)
     g = g.select(*KEY, "session_id", F.col("DateEnd").alias("gap_start"), F.col("next_start").alias("gap_end"))
     return joins.files_in_gaps(g, rows(spark, sf, "files"), KEY).select("session_id", "n_files")
 
@@ -429,19 +429,19 @@ def names_of_aliases(spark, sf):
 
 
 @query(
-    f"""{with_('files', 'sessions')}, p as (select NetworkCode, StationCode, file_id, ReceiverSerial, make_timestamp(((epoch_us(ObservationSTime) + epoch_us(ObservationETime)) // 2)::bigint) m from files where {HIGH}),
+    f"""{with_('files', 'sessions')}, p as (select NetworkCode, StationCode, file_id, ReceiverSerial, make_timestamp(((epoch_us(ObservationSTime) + epoch_us(ObservationETime)) // 2)::bigint) m from files),
 v as (select p.file_id, m, any_value(upper(p.ReceiverSerial)) fs, arg_min(upper(s.ReceiverSerial), DateStart) rs, any_value(p.NetworkCode) NetworkCode, any_value(p.StationCode) StationCode from p join sessions s on (s.NetworkCode, s.StationCode) = (p.NetworkCode, p.StationCode) and floor(epoch(m)) >= floor(epoch(DateStart)) and (DateEnd is null or floor(epoch(m)) <= floor(epoch(DateEnd))) group by 1, 2),
 d as (select *, case when lag(fs) over w is distinct from fs or lag(rs) over w is distinct from rs then 1 else 0 end j from v window w as (partition by NetworkCode, StationCode order by m)),
 r as (select *, sum(j) over (partition by NetworkCode, StationCode order by m) g from d)
 select NetworkCode, StationCode, fs file_serial, rs record_serial, count(*) n from r where fs is distinct from rs group by NetworkCode, StationCode, g, fs, rs"""
 )
 def wrong_serials(spark, sf):
-    found = quality.serial_mismatches(rows(spark, sf, "files").filter(HIGH), rows(spark, sf, "sessions"))
+    found = quality.serial_mismatches(rows(spark, sf, "files"), rows(spark, sf, "sessions"))
     return found.select(*KEY, "file_serial", "record_serial", "n")
 
 
 @query(
-    f"""{with_('sessions', 'files')}, s as (select * from sessions where {URGENT}), n as (select *, lead(DateStart) over (partition by NetworkCode, StationCode order by DateStart) nxt from s),
+    f"""{with_('sessions', 'files')}, s as (select * from sessions), n as (select *, lead(DateStart) over (partition by NetworkCode, StationCode order by DateStart) nxt from s),
 g as (select * from n where epoch(nxt) - epoch(DateEnd) > 1), z as (select NetworkCode, StationCode, min(DateStart) lo, max(coalesce(DateEnd, timestamp '9999-12-31 23:59:59')) hi from s group by 1, 2),
 faults as (select NetworkCode, StationCode, DateStart as "at", 'open record' fault from n where DateEnd is null and nxt is not null
 union all select b.NetworkCode, b.StationCode, b.DateStart, 'overlap' from s a join s b using (NetworkCode, StationCode) where a.DateStart < b.DateStart and (a.DateEnd is null or a.DateEnd > b.DateStart)
@@ -452,7 +452,7 @@ select fault, NetworkCode, StationCode, count(*) n, min(faults.at)::varchar as f
 )
 def faults_of_equipment(spark, sf):
     antennas = spark.createDataFrame([("A0",), ("A1",), ("A2",)], "AntennaCode string")
-    found = quality.equipment_faults(rows(spark, sf, "sessions").filter(URGENT), rows(spark, sf, "files"), antennas)
+    found = quality.equipment_faults(rows(spark, sf, "sessions"), rows(spark, sf, "files"), antennas)
     return found.groupBy("fault", *KEY).agg(F.count("*").alias("n"), F.min("at").cast("string").alias("first"))
 
 
@@ -521,17 +521,18 @@ def days_of_files(spark, sf):
 
 
 @query(
-    f"""{with_('files', 'stations', 'sessions')}, d as (select distinct ObservationSTime::date as day from files where {HIGH}), b as (select min(day) lo, max(day) hi from d),
-o as (select distinct s.NetworkCode, s.StationCode, d.day from sessions s join stations using (NetworkCode, StationCode) join d on d.day >= s.DateStart::date and d.day <= coalesce(s.DateEnd::date, (select hi from b)) where s.priority = '1-URGENT' and height > 3000)
-select NetworkCode, StationCode, day::varchar as day, k % 3 server_id from o join stations using (NetworkCode, StationCode)
-where not exists (select 1 from files f where f.Completion >= 0.5 and (f.NetworkCode, f.StationCode) = (o.NetworkCode, o.StationCode) and make_date(f.ObservationYear, 1, 1) + f.ObservationDOY - 1 = o.day)"""
+    f"""{with_('files', 'stations', 'sessions')}, d as (select distinct ObservationSTime::date as day from files), b as (select min(day) lo, max(day) hi from d),
+o as (select distinct s.NetworkCode, s.StationCode, d.day from sessions s join stations using (NetworkCode, StationCode) join d on d.day >= s.DateStart::date and d.day <= coalesce(s.DateEnd::date, (select hi from b)))
+select NetworkCode, StationCode, any_value(k % 3) server_id, count(*) n, min(day)::varchar first_day, max(day)::varchar last_day from o join stations using (NetworkCode, StationCode)
+where not exists (select 1 from files f where f.Completion >= 0.5 and (f.NetworkCode, f.StationCode) = (o.NetworkCode, o.StationCode) and make_date(f.ObservationYear, 1, 1) + f.ObservationDOY - 1 = o.day) group by 1, 2"""
 )
 def downloads_wanted(spark, sf):
-    st, f = rows(spark, sf, "stations").filter("height > 3000"), rows(spark, sf, "files")
-    days = f.filter(HIGH).select(F.to_date("ObservationSTime").alias("day"))
+    st, f = rows(spark, sf, "stations"), rows(spark, sf, "files")
+    days = f.select(F.to_date("ObservationSTime").alias("day"))
     sources = st.select(*KEY, F.lit(1).alias("try_order"), (F.col("k") % 3).alias("server_id"))
-    queue = quality.download_queue(st, days, f, rows(spark, sf, "sessions").filter(URGENT), sources)
-    return queue.select(*KEY, F.col("day").cast("string"), "server_id")
+    queue = quality.download_queue(st, days, f, rows(spark, sf, "sessions"), sources)
+    day = F.col("day").cast("string")
+    return queue.groupBy(*KEY, "server_id").agg(F.count("*").alias("n"), F.min(day).alias("first_day"), F.max(day).alias("last_day"))
 
 
 # epochs
@@ -683,14 +684,14 @@ def motion_targets(spark, sf):
 
 
 @query(
-    f"""{with_('solutions')}, p as (select distinct Year, DOY, (DOY % 5)::double rx, (DOY % 3 - 1)::double ry, (Year % 4)::double rz, DOY / 1000.0::double tx, 0.5::double ty, (Year - 1995)::double tz, 2.0::double scale from solutions where price > 400000)
+    f"""{with_('solutions')}, p as (select distinct Year, DOY, (DOY % 5)::double rx, (DOY % 3 - 1)::double ry, (Year % 4)::double rz, DOY / 1000.0::double tx, 0.5::double ty, (Year - 1995)::double tz, 2.0::double scale from solutions)
 select solution_id, round(X * (1 + 2e-9) + (rz * Y - ry * Z) * 1e-9 + tx, 4) X, round(Y * (1 + 2e-9) + (rx * Z - rz * X) * 1e-9 + ty, 4) Y, round(Z * (1 + 2e-9) + (ry * X - rx * Y) * 1e-9 + tz, 4) Z from solutions join p using (Year, DOY)"""
 )
 def days_transformed(spark, sf):
     s = rows(spark, sf, "solutions")
     d, y = F.col("DOY"), F.col("Year")
     own = {"rx": d % 5, "ry": d % 3 - 1, "rz": y % 4, "tx": d / 1000.0, "ty": F.lit(0.5), "tz": y - 1995, "scale": F.lit(2.0)}
-    p = s.filter("price > 400000").select("Year", "DOY").distinct().withColumns({k: v.cast("double") for k, v in own.items()})
+    p = s.select("Year", "DOY").distinct().withColumns({k: v.cast("double") for k, v in own.items()})
     return alignment.transformed(s, p).select("solution_id", *[F.round(c, 4).alias(c) for c in "XYZ"])
 
 
@@ -745,12 +746,14 @@ def stations_active(spark, sf):
 
 @query(
     f"""{with_('solutions')}, a as (select distinct NetworkCode, StationCode, Year, DOY, date::date as day from solutions where status = 'F'), s as (select NetworkCode, StationCode, min(day) lo, max(day) hi from a group by 1, 2),
-d as (select distinct Year, DOY, date::date as day from solutions where price > 450000)
-select NetworkCode, StationCode, d.Year, d.DOY from s join d on day between lo and hi where not exists (select 1 from a where (a.NetworkCode, a.StationCode, a.Year, a.DOY) = (s.NetworkCode, s.StationCode, d.Year, d.DOY))"""
+d as (select distinct Year, DOY, date::date as day from solutions)
+select NetworkCode, StationCode, count(*) n, min(d.Year * 1000 + d.DOY) first_day, max(d.Year * 1000 + d.DOY) last_day from s join d on day between lo and hi where not exists (select 1 from a where (a.NetworkCode, a.StationCode, a.Year, a.DOY) = (s.NetworkCode, s.StationCode, d.Year, d.DOY)) group by 1, 2"""
 )
 def station_days_missing(spark, sf):
     s = rows(spark, sf, "solutions")
-    return network.missing_station_days(s.filter("status = 'F'"), s.filter("price > 450000"))
+    day = F.col("Year") * 1000 + F.col("DOY")
+    missing = network.missing_station_days(s.filter("status = 'F'"), s)
+    return missing.groupBy(*KEY).agg(F.count("*").alias("n"), F.min(day).alias("first_day"), F.max(day).alias("last_day"))
 
 
 PLAN = """now as (select distinct NetworkCode, StationCode, Year from solutions where status <> 'P'), saved as (select distinct NetworkCode, StationCode, Year, solution_id % 4 c from solutions where price > 60000 and Year <> 1995)"""
@@ -862,11 +865,11 @@ def jumps_of_frames(spark, sf):
 
 
 @query(
-    f"""{with_('solutions')}, {SERIES}, j as (select NetworkCode, StationCode, 1995 + solution_id % 4 as "at" from solutions where price > 300000), s as (select NetworkCode, StationCode, min(t) lo, max(t) hi from ser group by 1, 2)
+    f"""{with_('solutions')}, {SERIES}, j as (select NetworkCode, StationCode, 1995 + solution_id % 4 as "at" from solutions), s as (select NetworkCode, StationCode, min(t) lo, max(t) hi from ser group by 1, 2)
 select NetworkCode, StationCode, j.at::double as "at" from j join s using (NetworkCode, StationCode) where j.at - lo >= 0.5 and hi - j.at >= 1"""
 )
 def postseismic_stations(spark, sf):
-    j = rows(spark, sf, "solutions").filter("price > 300000").select(*KEY, F.lit("both").alias("kind"), (1995 + F.col("solution_id") % 4).cast("double").alias("at"))
+    j = rows(spark, sf, "solutions").select(*KEY, F.lit("both").alias("kind"), (1995 + F.col("solution_id") % 4).cast("double").alias("at"))
     return trajectory.postseismic(series(spark, sf), j).select(*KEY, "at")
 
 
