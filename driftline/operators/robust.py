@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftline.functions.lsq import EPS, LIMIT, PASSES, chi2_quantile
+from driftline.storage import written
 
 #: An observation's terms, one for each coefficient, and what was observed; a row where that is null has no part in it.
 Equation = tuple[list[Column], Column]
@@ -65,6 +66,10 @@ def fitted(rows: DataFrame, equations: list[Equation], limit: float = LIMIT, pas
     95 %. Without redundancy the exact solution stands. Coefficients that no row determines are zero.
     An unweighted pass goes ahead, as corrections to its result keep their digits."""
     k = len(equations[0][0])
+    # what the passes read is written once: neither is the table's own plan run again, nor its expressions
+    named = {f"t{e}_{i}": t for e, (terms, _) in enumerate(equations) for i, t in enumerate(terms)} | {f"l{e}": seen for e, (_, seen) in enumerate(equations)}
+    rows = written(rows.select(*[v.cast("double").alias(name) for name, v in named.items()]), "equations")
+    equations = [([F.col(f"t{e}_{i}") for i in range(k)], F.col(f"l{e}")) for e in range(len(equations))]
     n, l, _, count = sums(rows, equations, np.zeros(k), None, limit)  # noqa: E741
     at = np.linalg.lstsq(n, l, rcond=None)[0]
     dof, before, sigma, turn = count - k, 1.0, None, 0
