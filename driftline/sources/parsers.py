@@ -181,7 +181,7 @@ def ocean_loading(files: DataFrame) -> DataFrame:
     own = files.filter(F.col("text").startswith("$$"))
     block = F.regexp_extract_all("text", F.lit(r"(?m)^  (\S.*)\n((?:^\$\$.*\n)*)((?:^\s+[-.\d].*\n?){6})"), 0)
     b = own.select("path", F.explode(block).alias("b"))
-    return b.select("path", F.lower(F.trim(F.regexp_extract("b", r"^  (\S+)", 1))).alias("station"), F.trim(F.regexp_extract("b", r"(?s)((?:\s+[-.\d][^\n]*\n?){6})$", 1)).alias("coefficients"))
+    return b.select("path", F.lower(F.trim(F.regexp_extract("b", r"^  (\S+)", 1))).alias("station"), F.regexp_replace(F.regexp_extract("b", r"(?s)((?:\s+[-.\d][^\n]*\n?){6})$", 1), r"^\s+|\s+$", "").alias("coefficients"))
 
 
 CONSTRAINTS = [
