@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,18 +30,42 @@ def counts(stream: DataFrame, time: str, keys: list[str], width: str = "1 day",
     return stream.withWatermark(time, late).groupBy(F.window(time, width), *keys).agg(F.count("*").alias("n"))
 
 
-def insert_new(path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that appends rows whose key the table at path lacks; a batch that is run again adds none."""
+#: So many values of a partition column are listed one by one; beyond them their range is read.
+MOST_LISTED = 1000
+
+
+def touched(target: DataFrame, batch: DataFrame, by: str) -> DataFrame:
+    """The rows of target in the partitions of a batch, by values the planner prunes with; null is a value too."""
+    kind = batch.schema[by].dataType
+    column = F.col(by).cast(kind)
+    some = [r[0] for r in batch.select(by).distinct().limit(MOST_LISTED + 1).collect()]
+    if len(some) <= MOST_LISTED:
+        listed = [v for v in some if v is not None]
+        return target.filter(column.isin(listed) | column.isNull() if None in some else column.isin(listed))
+    low, high = batch.agg(F.min(by), F.max(by)).first()
+    return target.filter(column.between(F.lit(low), F.lit(high)) | column.isNull())
+
+
+def insert_new(path: str, keys: list[str], by: str | None = None) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that appends rows whose key the table at path lacks; a batch that is run again adds none.
+    Nulls of a key are one value.
+
+    by names a key column that the table's folders are parted by: a batch then reads the keys of its own parts only."""
+    if by is not None and by not in keys:
+        raise ValueError(f"{by} is no key: a known key might lie in another part")
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         try:
-            known = spark.read.parquet(path).select(*keys)
+            known = spark.read.parquet(path)
+            known = (touched(known, batch, by) if by else known).select(*[F.col(k).cast(batch.schema[k].dataType).alias(k) for k in keys])
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER" not in str(e):
                 raise
             known = batch.select(*keys).limit(0)
-        batch.dropDuplicates(keys).join(known, keys, "left_anti").write.mode("append").parquet(path)
+        same = [F.col(f"b.{k}").eqNullSafe(F.col(f"k.{k}")) for k in keys]
+        new = batch.dropDuplicates(keys).alias("b").join(known.alias("k"), same, "left_anti").write.mode("append")
+        (new.partitionBy(by) if by else new).parquet(path)
 
     return run
 
@@ -56,7 +81,7 @@ GAPS = "NetworkCode string, StationCode string, last_mjd long, next_mjd long, ga
 def gaps_in_flight(stream: DataFrame, least: int = 1) -> DataFrame:
     """Gaps between the days of each station as they arrive; the state is each station's last day.
 
-    Days that arrive after a later one do not close a reported gap: the batch operator does, when it runs."""
+    Days that arrive after a later one do not close a reported gap: gap_changes takes it back, with more state."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None
@@ -71,3 +96,48 @@ def gaps_in_flight(stream: DataFrame, least: int = 1) -> DataFrame:
         yield pd.DataFrame(out, columns=["NetworkCode", "StationCode", "last_mjd", "next_mjd", "gap_days"])
 
     return stream.groupBy(*KEY).applyInPandasWithState(run, GAPS, "last long", "append", "NoTimeout")
+
+
+GAP_CHANGES = "NetworkCode string, StationCode string, last_mjd long, next_mjd long, change int"
+
+
+def runs_with(first: np.ndarray, last: np.ndarray, days: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of consecutive days (their first and last days, ascending) after further days."""
+    a, b = np.concatenate([first, days]), np.concatenate([last, days])
+    order = np.argsort(a, kind="stable")
+    a, b = a[order], np.maximum.accumulate(b[order])
+    cut = np.flatnonzero(a[1:] > b[:-1] + 1)
+    return a[np.append(0, cut + 1)], b[np.append(cut, len(a) - 1)]
+
+
+def gap_changes(stream: DataFrame, least: int = 1) -> DataFrame:
+    """Gaps of at least so many days as they open and close, in whatever order a station's days (mjd) arrive.
+
+    change is 1 for a gap that is there from now on and -1 for a reported one that a late day has closed, moved or parted,
+    so that standing_gaps of all changes is what the batch operator finds in all days. Repeated days change nothing, days of
+    null are passed over. The state is the station's runs of consecutive days: it grows with its gaps, not with its days."""
+
+    def gaps_of(first: np.ndarray, last: np.ndarray) -> set[tuple[int, int]]:
+        wide = first[1:] - last[:-1] - 1 >= least
+        return set(zip(last[:-1][wide].tolist(), first[1:][wide].tolist()))
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        none = np.empty(0, np.int64)
+        first, last = (np.asarray(x, np.int64) for x in state.get) if state.exists else (none, none)
+        before = gaps_of(first, last)
+        for batch in batches:
+            days = batch["mjd"].dropna().to_numpy(np.int64)
+            if len(days):
+                first, last = runs_with(first, last, days)
+        after = gaps_of(first, last)
+        state.update((first.tolist(), last.tolist()))
+        out = [(*key, *g, -1) for g in sorted(before - after)] + [(*key, *g, 1) for g in sorted(after - before)]
+        yield pd.DataFrame(out, columns=["NetworkCode", "StationCode", "last_mjd", "next_mjd", "change"])
+
+    return stream.groupBy(*KEY).applyInPandasWithState(run, GAP_CHANGES, "first array<long>, last array<long>", "append", "NoTimeout")
+
+
+def standing_gaps(changes: DataFrame) -> DataFrame:
+    """The gaps that stand after all changes."""
+    found = changes.groupBy(*KEY, "last_mjd", "next_mjd").agg(F.sum("change").alias("n")).filter("n > 0")
+    return found.drop("n").withColumn("gap_days", F.col("next_mjd") - F.col("last_mjd") - 1)

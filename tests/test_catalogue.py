@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 
 from driftline.functions.lsq import robust_fit
-from driftline.plans import catalogue, fit_catalogue, station_catalogue, text_catalogue  # noqa: F401 (these register their queries)
+from driftline.plans import catalogue, fit_catalogue, station_catalogue, stream_catalogue, text_catalogue  # noqa: F401 (these register their queries)
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
