@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from driftline.functions import calendar
 from driftline.operators import alignment, archive, joins, network, quality, seismic, selection, trajectory, windows
 from driftline.operators.selection import KEY
-from driftline.sources import sinks
+from driftline.sources import parsers, sinks
 from driftline.sources.schema import KEYS, SCHEMAS
 from driftline.sources.store import Store
 
@@ -202,8 +202,7 @@ def add_sessions(store: Store, new: DataFrame) -> DataFrame:
 def exclude(store: Store, days: DataFrame) -> None:
     """Adds station days to the exclusions, and removes their solutions."""
     listed, left = quality.excluded(store.read("ppp_soln"), store.read("ppp_soln_excl"), days)
-    store.replace("ppp_soln_excl", listed)
-    store.replace("ppp_soln", left)
+    store.replace_all({"ppp_soln_excl": listed, "ppp_soln": left})
 
 
 @command
@@ -211,15 +210,106 @@ def drop_files(store: Store, gone: DataFrame) -> DataFrame:
     """Removes files, and the solutions of days that are left without one, which it returns."""
     solutions = store.read("ppp_soln")
     files, kept = quality.remove_file(store.read("rinex"), solutions, gone)
-    store.replace("rinex", files)
-    store.replace("ppp_soln", kept)
+    store.replace_all({"rinex": files, "ppp_soln": kept})
     return solutions.join(kept.select(*KEY, "Year", "DOY").distinct(), [*KEY, "Year", "DOY"], "left_anti")
 
 
+def holding(store: Store, key: tuple[str, str]) -> dict[str, DataFrame]:
+    """The tables that hold rows of a station."""
+    tables = {name: store.read(name) for name in SCHEMAS}
+    own = {n: t for n, t in tables.items() if set(KEY) <= set(t.columns)}
+    return {n: t for n, t in own.items() if not selection.matching(t, NetworkCode=key[0], StationCode=key[1]).isEmpty()}
+
+
+@command
+def rename_station(store: Store, old: tuple[str, str], new: tuple[str, str]) -> list[str]:
+    """Moves a station's rows to another key in every table that holds any, all in one change; rows of that key stay as
+    they are. Returns the tables' names."""
+    moved = quality.renamed(holding(store, old), KEYS, old, new)
+    store.replace_all(moved)
+    return sorted(moved)
+
+
+@command
+def remove_station(store: Store, key: tuple[str, str]) -> list[str]:
+    """Removes a station's rows from every table that holds any, all in one change; returns the tables' names."""
+    gone = selection.condition(NetworkCode=key[0], StationCode=key[1])
+    left = {n: t.filter(~F.coalesce(gone, F.lit(False))) for n, t in holding(store, key).items()}
+    store.replace_all(left)
+    return sorted(left)
+
+
+@command
+def compare(store: Store, other: Store, km: float = 0.1) -> DataFrame:
+    """Stations that the other archive holds neither at their place nor by their code."""
+    return quality.missing_elsewhere(store.read("stations"), other.read("stations").select(*KEY, "lat", "lon"), km)
+
+
+@command
+def station_map(store: Store, stations: list[str] = ("all",)) -> DataFrame:
+    """A placemark of each station with a place: its files, the share of them that is solved, and its equipment's faults."""
+    s = selection.stations(store.read("stations"), list(stations)).filter("lat is not null and lon is not null").fillna(0.0, ["height"])
+    files = store.read("rinex")
+    share = archive.completeness(files, store.read("ppp_soln"))
+    faults = quality.equipment_faults(store.read("stationinfo"), files, store.read("antennas")).groupBy(*KEY).agg(F.array_join(F.array_sort(F.collect_set("fault")), ", ").alias("faults"))
+    s = s.join(share, KEY, "left").join(faults, KEY, "left").fillna(0, ["n_files"]).fillna(0.0, ["percent"]).fillna("none", ["faults"])
+    return sinks.placemark_lines(s, F.format_string("%d files, %.1f %% solved; faults: %s", "n_files", "percent", "faults"))
+
+
+@command
+def orbits_wanted(store: Store, listing: DataFrame) -> DataFrame:
+    """Days of the archive's files whose orbit (gps_week, gps_day) is not listed."""
+    days = store.read("rinex").select(calendar.date_of(F.col("ObservationYear"), F.col("ObservationDOY")).alias("day")).distinct()
+    return quality.missing_orbits(days, listing)
+
+
+@command
+def edit_session(store: Store, key: tuple[str, str], start, **values) -> None:
+    """Sets columns of the equipment record that begins at start; an edit that would clash with another record raises."""
+    current = store.read("stationinfo")
+    own = F.coalesce(selection.condition(NetworkCode=key[0], StationCode=key[1], DateStart=start), F.lit(False))
+    edited = current.filter(own).withColumns({c: F.lit(v).cast(current.schema[c].dataType) for c, v in values.items()})
+    if edited.isEmpty():
+        raise selection.NothingFound(f"no record of {'.'.join(key)} begins at {start}")
+    far, others = F.lit(joins.FAR).cast("timestamp_ntz"), current.filter(~own)
+    taken = others.select(*KEY, F.col("DateStart").alias("s"), F.coalesce("DateEnd", far).alias("e"))
+    if not edited.join(taken, KEY).filter((F.col("s") < F.coalesce("DateEnd", far)) & (F.col("e") > F.col("DateStart")) | (F.col("s") == F.col("DateStart"))).isEmpty():
+        raise ValueError(f"the record of {'.'.join(key)} at {start} would clash with another")
+    store.replace("stationinfo", others.unionByName(edited))
+
+
+PACKED = ("stations", "stationinfo")
+
+
+@command
+def export_stations(store: Store, stations: list[str] = ("all",)) -> DataFrame:
+    """A JSON text of each station with its equipment records in order of their start."""
+    s = selection.stations(store.read("stations"), list(stations))
+    info = store.read("stationinfo")
+    records = info.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("DateStart", *[c for c in info.columns if c not in (*KEY, "DateStart")]))).alias("records"))
+    return sinks.as_json(s.join(records, KEY, "left"))
+
+
+@command
+def import_stations(store: Store, files: DataFrame) -> DataFrame:
+    """Adds the stations of exported texts (path, text) that the archive lacks, and merges equipment records whose
+    start it lacks, in one change; returns the records refused."""
+    table, info = (store.spark.createDataFrame([], SCHEMAS[n]) for n in PACKED)
+    record = info.drop(*KEY).schema.simpleString()
+    found = parsers.packages(files, f"{table.schema.simpleString()[:-1]},records:array<{record}>>").select("station.*").filter("NetworkCode is not null and StationCode is not null")
+    known = store.read("stations")
+    new = store.conformed("stations", found).dropDuplicates(list(KEY)).join(known.select(*KEY), KEY, "left_anti")
+    records = store.conformed("stationinfo", found.select(*KEY, F.explode("records").alias("r")).select(*KEY, "r.*")).distinct()
+    current = store.read("stationinfo")
+    kept, refused = quality.insert_sessions(current, records.join(current.select(*KEYS["stationinfo"]), KEYS["stationinfo"], "left_anti").select(*current.columns))
+    store.replace_all({"stations": known.unionByName(new.select(*known.columns)), "stationinfo": kept})
+    return refused
+
+
 @command
-def rename_station(store: Store, old: tuple[str, str], new: tuple[str, str]) -> None:
-    """Moves a station's rows to another key in every table that holds any; rows of that key stay as they are."""
-    for name in SCHEMAS:
-        rows = store.read(name)
-        if set(KEY) <= set(rows.columns) and not selection.matching(rows, NetworkCode=old[0], StationCode=old[1]).isEmpty():
-            store.replace(name, quality.renamed({name: rows}, KEYS, old, new)[name])
+def adopt_aliases(store: Store) -> DataFrame:
+    """Gives stations of a repeated code that have no alias theirs, and returns these."""
+    s = store.read("stations")
+    given = network.aliases(s).join(s.filter("alias is null").select(*KEY), KEY, "left_semi")
+    store.replace("stations", s.join(given.withColumnRenamed("alias", "given"), KEY, "left").withColumn("alias", F.coalesce("alias", "given")).select(*s.columns))
+    return given

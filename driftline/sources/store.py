@@ -39,7 +39,12 @@ class Store:
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def replace(self, name: str, rows: DataFrame) -> None:
-        self.publish(name, [self.staged(name, rows)])
+        self.publish_all({name: [self.staged(name, rows)]})
+
+    def replace_all(self, tables: dict[str, DataFrame]) -> None:
+        """Several tables in one change: all are staged first, then one file names every new version, so that a
+        failure on the way leaves all tables as they were."""
+        self.publish_all({name: [self.staged(name, rows)] for name, rows in tables.items()})
 
     def staged(self, name: str, rows: DataFrame) -> str:
         """rows in a new folder, which no version names yet."""
@@ -48,9 +53,15 @@ class Store:
         return path
 
     def publish(self, name: str, paths: list[str]) -> None:
-        version = F.unix_micros(F.current_timestamp())
-        row = self.spark.range(1).select(F.lit(name).alias("name"), F.array(*map(F.lit, paths)).alias("paths"), version.alias("version"))
-        row.coalesce(1).write.mode("append").parquet(f"{self.folder}/_versions")
+        self.publish_all({name: paths})
+
+    def publish_all(self, tables: dict[str, list[str]]) -> None:
+        """The folders of each table's new version, as rows of one file."""
+        if not tables:
+            return
+        listed = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.array(*map(F.lit, p)).alias("paths")) for n, p in tables.items()]))
+        rows = self.spark.range(1).select(listed.alias("t"), F.unix_micros(F.current_timestamp()).alias("version")).select("t.name", "t.paths", "version")
+        rows.coalesce(1).write.mode("append").parquet(f"{self.folder}/_versions")
 
     def columns(self, name: str) -> list[str]:
         """S6."""

@@ -118,3 +118,54 @@ def test_texts_and_statistics_of_a_project(spark, tmp_path):
     st.insert("gamit_subnets", spark.createDataFrame([("p", 0, 2020, 1, ["n.abcd"], ["x001"])], "Project string, subnet int, Year int, DOY int, stations array<string>, alias array<string>"))
     residuals = spark.createDataFrame([("n", "abcd", 2020, 1, 0.01)], f"{KEY}, Year int, DOY int, residual double")
     assert [x["use"] for x in commands.weekly_combination(st, "p", residuals, 0.05).collect()] == [True]
+
+
+def test_stations_are_packed_mapped_compared_edited_and_removed(spark, tmp_path):
+    from driftline.operators.selection import NothingFound
+
+    one, two = (Store(spark, str(tmp_path / k)) for k in ("one", "two"))
+    place = f"{KEY}, lat double, lon double, height double"
+    one.insert("stations", spark.createDataFrame([("n", "a", 1.0, 2.0, 5.0), ("m", "a", 10.0, 20.0, None), ("n", "c", None, None, None)], place))
+    info = f"{KEY}, DateStart timestamp_ntz, DateEnd timestamp_ntz, AntennaCode string"
+    one.insert("stationinfo", spark.createDataFrame([("n", "a", dt.datetime(2017, 1, 1), dt.datetime(2018, 1, 1), "a1"), ("n", "a", dt.datetime(2019, 1, 1), None, "a9")], info))
+    one.insert("antennas", spark.createDataFrame([("a1",)], "AntennaCode string"))
+    files = f"{KEY}, ObservationYear int, ObservationDOY int, Interval double, Completion double, ObservationSTime timestamp_ntz, ObservationETime timestamp_ntz"
+    one.insert("rinex", spark.createDataFrame([("n", "a", 2017, d, 30.0, 1.0, dt.datetime(2017, 1, d), dt.datetime(2017, 1, d, 23)) for d in (1, 2)], files))
+    one.insert("ppp_soln", spark.createDataFrame([("n", "a", 2017, 1, "igs")], f"{KEY}, Year int, DOY int, ReferenceFrame string"))
+
+    marks = {r["value"].split("<name>")[1].split("<")[0]: r["value"] for r in commands.station_map(one).collect()}
+    assert set(marks) == {"n.a", "m.a"} and "2 files, 50.0 % solved; faults: unknown antenna" in marks["n.a"] and "0 files, 0.0 % solved; faults: none" in marks["m.a"]
+    listed = spark.createDataFrame([(1930, 0)], "gps_week int, gps_day int")
+    assert [str(r["day"]) for r in commands.orbits_wanted(one, listed).collect()] == ["2017-01-02"]
+
+    texts = commands.export_stations(one).select(F.sha1("value").alias("path"), F.col("value").alias("text"))
+    two.insert("stations", spark.createDataFrame([("x", "a", 50.0, 50.0, 0.0)], place))
+    assert {(r["NetworkCode"], r["StationCode"]) for r in commands.compare(one, two).collect()} == {("n", "c")}
+    for _ in range(2):
+        commands.import_stations(two, texts.union(spark.createDataFrame([("bad", "no json")], texts.schema)))
+        assert two.read("stations").count() == 4
+        assert sorted(map(repr, two.read("stationinfo").collect())) == sorted(map(repr, one.read("stationinfo").collect()))
+    assert {r["NetworkCode"] for r in commands.adopt_aliases(two).collect()} == {"n", "x"}
+    assert two.read("stations").filter("alias is not null").count() == 2 and commands.adopt_aliases(two).count() == 0
+
+    commands.edit_session(one, ("n", "a"), dt.datetime(2019, 1, 1), AntennaCode="a1")
+    assert {r["AntennaCode"] for r in one.read("stationinfo").collect()} == {"a1"}
+    with pytest.raises(ValueError):
+        commands.edit_session(one, ("n", "a"), dt.datetime(2017, 1, 1), DateEnd=dt.datetime(2019, 6, 1), AntennaCode="a2")
+    with pytest.raises(NothingFound):
+        commands.edit_session(one, ("n", "a"), dt.datetime(2016, 1, 1), AntennaCode="a1")
+    assert one.read("stationinfo").count() == 2
+    assert commands.remove_station(one, ("n", "a")) == ["ppp_soln", "rinex", "stationinfo", "stations"]
+    assert one.read("rinex").count() == 0 and one.read("stations").count() == 2
+
+
+def test_a_change_of_several_tables_is_whole_or_nothing(spark, tmp_path):
+    st = Store(spark, str(tmp_path / "db"))
+    st.insert("networks", spark.createDataFrame([("a", "A")], "NetworkCode string, NetworkName string"))
+    st.insert("antennas", spark.createDataFrame([("a1",)], "AntennaCode string"))
+    bad = st.read("antennas").withColumn("AntennaCode", F.expr("raise_error('lost')"))
+    with pytest.raises(Exception, match="lost"):
+        st.replace_all({"networks": st.read("networks").limit(0), "antennas": bad})
+    assert st.read("networks").count() == 1 and st.read("antennas").count() == 1
+    st.replace_all({"networks": st.read("networks").limit(0), "antennas": st.read("antennas").limit(0)})
+    assert st.read("networks").count() == 0 and st.read("antennas").count() == 0
