@@ -165,17 +165,26 @@ def missing_elsewhere(here: DataFrame, there: DataFrame, km: float = 0.1) -> Dat
 def download_queue(table: DataFrame, days: DataFrame, files: DataFrame, sessions: DataFrame, sources: DataFrame) -> DataFrame:
     """Station days without a good file but with equipment, and their sources in order.
 
-    A station meets only the days inside its equipment records: an equality join on station behind exploded
-    records, so that the product of all stations and days is never made."""
+    A station's equipment records are merged into stretches apart from each other; its days are then made, and those without a
+    source day or with a good file taken out, as arrays inside its own row, no longer than the calendar. So what is moved between
+    tasks is records and files, never station days, which the last step makes where the station is."""
     lo, hi = days.agg(F.min("day"), F.max("day")).first()
     if lo is None:
         return sources.limit(0).select(*KEY, F.lit(None).cast("date").alias("day"), "try_order", "server_id")
     start = F.greatest(F.to_date("DateStart"), F.lit(lo))
     stop = F.least(F.coalesce(F.to_date("DateEnd"), F.lit(hi)), F.lit(hi))
-    own = sessions.join(table.select(*KEY), KEY, "left_semi").filter(start <= stop).select(*KEY, F.explode(F.sequence(start, stop, F.expr("INTERVAL 1 DAY"))).alias("day")).distinct()
-    own = own.join(days.select("day").distinct(), "day", "left_semi")
-    good = files.filter("Completion >= 0.5").select(*KEY, F.date_add(F.make_date("ObservationYear", F.lit(1), F.lit(1)), (F.col("ObservationDOY") - 1).cast("int")).alias("day")).distinct()
-    return own.join(good, [*KEY, "day"], "left_anti").join(sources.select(*KEY, "try_order", "server_id"), KEY)
+    own = sessions.filter(start <= stop).select(*KEY, start.alias("lo"), stop.alias("hi"))
+    w = Window.partitionBy(*KEY).orderBy("lo", "hi")
+    apart = F.col("lo") > F.date_add(F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1)), 1)
+    own = own.withColumn("stretch", F.sum(F.coalesce(apart, F.lit(False)).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    own = own.groupBy(*KEY, "stretch").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).groupBy(*KEY).agg(F.collect_list(F.struct("lo", "hi")).alias("stretches"))
+    good = files.filter("Completion >= 0.5").select(*KEY, F.date_add(F.make_date("ObservationYear", F.lit(1), F.lit(1)), (F.col("ObservationDOY") - 1).cast("int")).alias("day"))
+    good = good.groupBy(*KEY).agg(F.collect_set("day").alias("good"))
+    every = F.flatten(F.transform("stretches", lambda x: windows.in_period(x["lo"], x["hi"])))
+    left = F.array_except(every, F.coalesce("good", F.array().cast("array<date>")))
+    merged = own.join(table.select(*KEY).hint(joins.SPREAD), KEY, "left_semi").join(good.hint(joins.SPREAD), KEY, "left")
+    merged = merged.join(sources.select(*KEY, "try_order", "server_id").hint(joins.SPREAD), KEY).crossJoin(F.broadcast(windows.period(days, "day", "day")))
+    return merged.select(*KEY, F.explode(left).alias("day"), "try_order", "server_id")
 
 
 def next_source(queue: DataFrame, failed: DataFrame) -> DataFrame:

@@ -9,6 +9,23 @@ from pyspark.sql.window import Window
 from driftline.storage import written
 
 
+def period(days: DataFrame, day: str, value: str) -> DataFrame:
+    """One row: the first and last of the days, and `places`, for each date between them the array of its values.
+
+    It is no longer than the calendar. Rows of stations take their stretches of it by in_period, instead of a join by day."""
+    own = days.filter(F.col(day).isNotNull()).groupBy(F.col(day).alias("day")).agg(F.collect_set(value).alias("values"))
+    dates = own.agg(F.explode(F.sequence(F.min("day"), F.max("day"), F.expr("INTERVAL 1 DAY"))).alias("day")).join(own, "day", "left")
+    none = F.array().cast(own.schema["values"].dataType)
+    places = F.array_sort(F.collect_list(F.struct("day", F.coalesce("values", none).alias("values"))))
+    return dates.agg(F.min("day").alias("first"), F.max("day").alias("last"), F.transform(places, lambda x: x["values"]).alias("places")).filter("first is not null")
+
+
+def in_period(lo: Column, hi: Column) -> Column:
+    """The values of the days from lo to hi, of a row that is joined with a period."""
+    a, b = F.greatest(lo, "first"), F.least(hi, "last")
+    return F.when(lo.isNotNull() & hi.isNotNull() & (a <= b), F.flatten(F.slice("places", F.datediff(a, "first") + 1, F.datediff(b, a) + 1)))
+
+
 def lag_difference(rows: DataFrame, keys: list[str], order: str, values: list[str]) -> DataFrame:
     """`d_<value>` against the row before, and `d_<order>`."""
     w = Window.partitionBy(*keys).orderBy(order)

@@ -531,8 +531,7 @@ def downloads_wanted(spark, sf):
     days = f.select(F.to_date("ObservationSTime").alias("day"))
     sources = st.select(*KEY, F.lit(1).alias("try_order"), (F.col("k") % 3).alias("server_id"))
     queue = quality.download_queue(st, days, f, rows(spark, sf, "sessions"), sources)
-    day = F.col("day").cast("string")
-    return queue.groupBy(*KEY, "server_id").agg(F.count("*").alias("n"), F.min(day).alias("first_day"), F.max(day).alias("last_day"))
+    return queue.groupBy(*KEY, "server_id").agg(F.count("*").alias("n"), F.min("day").cast("string").alias("first_day"), F.max("day").cast("string").alias("last_day"))
 
 
 # epochs
