@@ -5,6 +5,7 @@ spatial joins pair grid cells, so that only neighbours meet."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -112,15 +113,42 @@ def reached(points: DataFrame, km: Column, size: float, lat: str, lon: str, row:
 ROW, COLUMN = "driftline_row", "driftline_column"
 
 
-def within_km(left: DataFrame, right: DataFrame, km: float, lat: str = "lat", lon: str = "lon") -> DataFrame:
+#: Joins of cells are sort-merge joins: the planner takes the rows of a small file for little, and would gather all of them, once for
+#: each cell, in the driver and join them in the few tasks that read it.
+SPREAD = "merge"
+#: By how much a cosine of an angle may err, and more.
+SLACK = 1e-12
+
+
+def on_unit_sphere(rows: DataFrame, lat: str, lon: str, name: str) -> DataFrame:
+    """rows with the place's x, y and z, called name with an x, y or z behind."""
+    p, q = F.radians(lat), F.radians(lon)
+    return rows.withColumns({f"{name}x": F.cos(p) * F.cos(q), f"{name}y": F.cos(p) * F.sin(q), f"{name}z": F.sin(p)})
+
+
+def perhaps_within(cosine: Column, a: str, b: str) -> Column:
+    """True for all places whose distance has the cosine, or less, and next to none beyond, by their x, y and z: products only,
+    before the haversine formula."""
+    return F.col(f"{a}x") * F.col(f"{b}x") + F.col(f"{a}y") * F.col(f"{b}y") + F.col(f"{a}z") * F.col(f"{b}z") >= cosine
+
+
+def least_cosine(km: Column) -> Column:
+    return F.cos(F.least(km / geodesy.RADIUS_KM, F.lit(math.pi))) - SLACK
+
+
+def within_km(left: DataFrame, right: DataFrame, km: float, lat: str = "lat", lon: str = "lon", only: str | None = None) -> DataFrame:
     """All pairs of places at most km apart; left's columns, then right's with r_, then distance_km.
 
-    Left places go to the cells that km around them touches, right ones to their own: an equality join, not a cross join."""
+    Left places go to the cells that km around them touches, right ones to their own: an equality join, not a cross join.
+    only: SQL text over left's columns and right's (with r_); it is tested before the distance."""
     size = min(km / DEGREE_KM, 90.0)
     r = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns]).filter(F.col(f"r_{lat}").isNotNull() & F.col(f"r_{lon}").isNotNull())
     row, column = cell(F.col(f"r_{lat}"), F.col(f"r_{lon}"), size)
-    joined = reached(left, F.lit(km), size, lat, lon, ROW, COLUMN).join(r.withColumn(ROW, row).withColumn(COLUMN, column), [ROW, COLUMN])
-    return joined.drop(ROW, COLUMN).withColumn("distance_km", apart_km(lat, lon)).filter(F.col("distance_km") <= km)
+    r = on_unit_sphere(r.withColumn(ROW, row).withColumn(COLUMN, column), f"r_{lat}", f"r_{lon}", "driftline_b")
+    joined = on_unit_sphere(reached(left, F.lit(km), size, lat, lon, ROW, COLUMN), lat, lon, "driftline_a").join(r.hint(SPREAD), [ROW, COLUMN])
+    joined = joined if only is None else joined.filter(only)
+    near = joined.filter(perhaps_within(least_cosine(F.lit(km)), "driftline_a", "driftline_b")).drop(ROW, COLUMN, *[f"driftline_{s}{k}" for s in "ab" for k in "xyz"])
+    return near.withColumn("distance_km", apart_km(lat, lon)).filter(F.col("distance_km") <= km)
 
 
 def apart_km(lat: str, lon: str) -> Column:
@@ -134,11 +162,12 @@ GLOBE = (15.0, 3.0, 0.6)
 WHOLE_KM = 20_100.0
 
 
-def nearest(points: DataFrame, places: DataFrame, keys: list[str], start_km: float = 50.0, lat: str = "lat", lon: str = "lon", only: str | Callable | None = None, same: tuple[str, ...] = ()) -> DataFrame:
+def nearest(points: DataFrame, places: DataFrame, keys: list[str], start_km: float = 50.0, lat: str = "lat", lon: str = "lon", only: str | Callable | None = None, same: tuple[str, ...] = (), later: str | None = None) -> DataFrame:
     """Each point with its nearest place, of those that `only` permits; a point with none has no row.
 
     only: SQL text over the point's columns and the place's (with r_), or a function of two functions that give the column of
     a name, of the point and of the place. same: columns in which point and place must be equal, which then join them.
+    later: a column of few values that must be greater at the place; places come once for each lesser value and join by it.
 
     The radius grows fourfold for points still without a place, then spans the globe. At each radius points first meet one
     place of each cell; the nearest of those permitted bounds the distance, and only cells that may hold a nearer place are opened.
@@ -149,14 +178,21 @@ def nearest(points: DataFrame, places: DataFrame, keys: list[str], start_km: flo
     if only is not None:
         permitted = F.expr(only) if isinstance(only, str) else only(F.col, lambda c: F.col(f"r_{c}"))
     known = F.col(lat).isNotNull() & F.col(lon).isNotNull()
+    if later is not None:
+        value = F.col(later).alias("driftline_before")
+        copies = places.join(F.broadcast(points.select(value).distinct()), F.col("driftline_before") < F.col(later))
+        best = nearest(points.select("*", value), copies, keys, start_km, lat, lon, only, (*same, "driftline_before"))
+        return best.drop("driftline_before", "r_driftline_before")
     todo, q, found, km = points.filter(known), with_prefix(places.filter(known)), None, start_km
+    if same:  # who has no place at all is not looked for all over the globe
+        todo = todo.join(places.filter(known).select(*same).distinct().hint(SPREAD), list(same), "left_semi").select(*points.columns)
     while True:
         whole = km > FAR_KM
         best = written(closest(searched(todo, q, keys, WHOLE_KM if whole else km, GLOBE if whole else (km / 2 / DEGREE_KM,), lat, lon, permitted, same), keys), "nearest")
         found = best if found is None else found.unionByName(best)
         if whole:
             return found
-        todo = written(todo.join(best.select(*keys), keys, "left_anti"), "left")
+        todo = written(todo.join(best.select(*keys).hint(SPREAD), keys, "left_anti").select(*todo.columns), "left")
         if todo.limit(1).count() == 0:
             return found
         km *= 4
@@ -175,8 +211,8 @@ def searched(points: DataFrame, places: DataFrame, keys: list[str], km: float, s
     pairs, at, cells = reached(points, F.lit(km), sizes[0], lat, lon, *names[0]), [*same, *names[0]], list(names[0])
     for k, own in enumerate(names):
         met, at, cells = at, [*at, *own] if k else at, [*cells, *own] if k else cells
-        pairs = opened(pairs.join(one_each(places, at, lat, lon), met), keys, [*points.columns, *cells], km, lat, lon, permitted)
-    at_end = pairs.join(places, at).withColumn("distance_km", apart_km(lat, lon)).filter(F.col("distance_km") <= km).filter(permitted)
+        pairs = opened(pairs.join(one_each(places, at, lat, lon).hint(SPREAD), met), keys, [*points.columns, *cells], km, lat, lon, permitted)
+    at_end = pairs.join(places.hint(SPREAD), at).withColumn("distance_km", apart_km(lat, lon)).filter(F.col("distance_km") <= km).filter(permitted)
     return at_end.select(*points.columns, *[c for c in places.columns if c.startswith("r_")], "distance_km")
 
 
