@@ -1,8 +1,11 @@
 """What makes queries fit large tables: what moves between tasks, and what the driver has to hold."""
 
 import datetime
+import math
 
-from driftline.operators import network, quality
+from pyspark.sql import functions as F
+
+from driftline.operators import joins, network, quality, seismic
 
 
 def plan(df):
@@ -42,3 +45,34 @@ def test_missing_days_move_no_station_days(spark):
     # day 366 of 2019 is the first of 2020, and a day of its own
     assert {(r["StationCode"], r["Year"], r["DOY"]) for r in found.collect()} == {("a", 2019, 365), ("a", 2020, 1), ("a", 2019, 366)}
     assert not moved_after(found, "Generate explode", "NetworkCode")
+
+
+def spots(spark, n, name="id"):
+    return spark.range(n).selectExpr(f"id as {name}", "id * 37 % 120 - 60D as lat", "id * 91 % 359 - 179D as lon", "cast(id % 4 as string) as kind")
+
+
+def test_cells_are_never_gathered_in_the_driver(spark):
+    """Tables far under the size that the planner broadcasts, whose rows at scale are not small."""
+    p = spots(spark, 50)
+    near = joins.within_km(p, p, 2000.0, only="id < r_id")
+    events = spots(spark, 20, "event_id").withColumn("mag", F.lit(7.0))
+    for found in (near, seismic.affected(p, events), joins.searched(p, joins.with_prefix(p), ["id"], 500.0, (3.0,), "lat", "lon", F.lit(True), ())):
+        assert not any("Broadcast" in line for line in plan(found))
+    every = {(a["id"], b["id"]) for a in p.collect() for b in p.collect() if a["id"] < b["id"] and apart(a, b) <= 2000}
+    assert {(r["id"], r["r_id"]) for r in near.collect()} == every and every
+
+
+def apart(a, b):
+    p, q, d = math.radians(a["lat"]), math.radians(b["lat"]), math.radians(b["lon"] - a["lon"])
+    return 2 * 6371.0 * math.asin(math.sqrt(min(1.0, math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(d / 2) ** 2)))
+
+
+def test_places_of_a_later_kind(spark):
+    """Points of the last kind have no place: they are not looked for over the globe."""
+    p = spots(spark, 60)
+    rows = p.collect()
+    want = {a["id"]: min(apart(a, b) for b in rows if b["kind"] > a["kind"]) for a in rows if a["kind"] < "3"}
+    found = joins.nearest(p, p, ["id"], start_km=5000.0, later="kind")
+    assert {c for c in found.columns} == {*p.columns, *[f"r_{c}" for c in p.columns], "distance_km"}
+    got = {r["id"]: r["distance_km"] for r in found.collect()}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-6 for k in want)
