@@ -291,7 +291,7 @@ select id, round(min(d), 4) distance_km from d group by 1"""
 def nearest_of_later_kind(spark, sf):
     """Each customer with the distance of the nearest one whose segment comes later in the alphabet; the last has none."""
     p = places(spark, sf, kind="c_mktsegment")
-    return joins.nearest(p, p, ["id"], only="kind < r_kind").select("id", F.round("distance_km", 4).alias("distance_km"))
+    return joins.nearest(p, p, ["id"], later="kind").select("id", F.round("distance_km", 4).alias("distance_km"))
 
 
 def sites(spark: SparkSession, sf: str) -> DataFrame:
