@@ -4,6 +4,10 @@ read() keeps a file's lines together, so that sections can be told apart by a ru
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -108,20 +112,25 @@ def merge_sites(positions: DataFrame, metres: float = 1.0) -> DataFrame:
     of that name, 1 for the next such group, and so on, in order of path."""
     schema = "path string, site string, X double, Y double, Z double, level int"
 
-    def run(rows):
-        import numpy as np
-
-        rows = rows.sort_values("path")
-        heads: list = []
-        level = []
-        for p in rows[["X", "Y", "Z"]].to_numpy():
-            hit = [i for i, h in enumerate(heads) if np.linalg.norm(h - p) <= metres]
-            if not hit:
-                heads.append(p)
-            level.append(hit[0] if hit else len(heads) - 1)
-        return rows.assign(level=np.array(level, np.int32))
-
-    return positions.select("path", "site", "X", "Y", "Z").groupBy("site").applyInPandas(run, schema)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        site, heads, least = None, [], metres * metres
+        for rows in batches:
+            level = []
+            for own, x, y, z in zip(rows["site"].tolist(), rows["X"].tolist(), rows["Y"].tolist(), rows["Z"].tolist()):
+                if own != site or not heads:
+                    site, heads = own, []
+                for i, (hx, hy, hz) in enumerate(heads):
+                    if (hx - x) * (hx - x) + (hy - y) * (hy - y) + (hz - z) * (hz - z) <= least:
+                        level.append(i)
+                        break
+                else:
+                    level.append(len(heads))
+                    heads.append((x, y, z))
+            yield rows.assign(level=np.array(level, np.int32))
+
+    # the sites of a task come one after the other, so that only one site's groups are held, and no site is a call of its own
+    placed = positions.select("path", "site", *[F.col(c).cast("double").alias(c) for c in "XYZ"])
+    return placed.repartition("site").sortWithinPartitions("site", "path").mapInPandas(run, schema)
 
 
 def site_log(files: DataFrame) -> DataFrame:
