@@ -73,12 +73,13 @@ def record_line(rows: DataFrame) -> DataFrame:
 
 
 def sections(files: DataFrame) -> DataFrame:
-    """Lines of a SINEX file with the section they stand in (null between sections)."""
-    w = Window.partitionBy("path").orderBy("number").rowsBetween(Window.unboundedPreceding, 0)
-    name = F.regexp_extract("line", r"^\+(\S+)", 1)
-    mark = F.when(F.col("line").startswith("+"), name).when(F.col("line").startswith("-") & F.col("line").rlike(r"^-[A-Z]+/"), F.lit("-"))
-    tagged = lines(files).withColumn("section", F.last(mark, ignorenulls=True).over(w))
-    return tagged.filter("section is not null and section <> '-' and not line rlike '^[+*-][A-Z/* ]'")
+    """Lines of a SINEX file with the section they stand in; lines between sections are left out.
+
+    A text is cut before its marks, so that each part knows its section by its own first line: no line leaves its file's row
+    to learn it, and parts that nobody asks for are never cut into lines."""
+    parts = F.explode(F.split("text", r"\r?\n(?=\+|-[A-Z]+/)")).alias("part")
+    part = files.select("path", parts).filter(F.col("part").startswith("+")).withColumn("section", F.regexp_extract("part", r"^\+(\S+)", 1))
+    return part.select("path", "section", F.explode(F.split("part", r"\r?\n")).alias("line")).filter("not line rlike '^[+*-][A-Z/* ]'")
 
 
 def sinex(files: DataFrame) -> dict[str, DataFrame]:

@@ -6,6 +6,10 @@ import math
 from pyspark.sql import functions as F
 
 from driftline.operators import joins, network, quality, seismic
+from driftline.plans import text_catalogue
+from driftline.sources import parsers
+
+SF = "/root/testdata/sf0.001"
 
 
 def plan(df):
@@ -76,3 +80,25 @@ def test_places_of_a_later_kind(spark):
     assert {c for c in found.columns} == {*p.columns, *[f"r_{c}" for c in p.columns], "distance_km"}
     got = {r["id"]: r["distance_km"] for r in found.collect()}
     assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+
+
+def test_lines_of_solutions_are_not_shuffled(spark):
+    """Solutions are dealt out by file before they become lines; a line knows its section without its file's other lines."""
+    s = text_catalogue.solution_files(spark, SF)
+    for read in (parsers.sinex(s)["covariance"], parsers.sinex(s)["statistics"]):
+        assert sum("Exchange hashpartitioning" in line for line in plan(read)) == 1
+
+
+def test_sections_of_odd_texts(spark):
+    text = "%=SNX\n s0\n+A/B\n*CODE\n one\r\n- 2\n two\n-A/B\n lost\n+ X\n three\n+C\n-C\n four\n-D/\n five"
+    got = [(r["section"], r["line"]) for r in parsers.sections(spark.createDataFrame([("f", text), ("g", "+Q\n"), ("h", None), ("i", "")], "path string, text string")).filter("path = 'f'").collect()]
+    assert got == [("A/B", " one"), ("A/B", " two"), ("", " three"), ("C", " four")]
+
+
+def test_sites_are_merged_without_a_call_for_each(spark):
+    rows = [(f"p{i}", f"m{k}", float(x), 0.0, 0.0) for k in range(40) for i, x in enumerate((0, 0.5, 100, 1.4, 100.2, 50))] + [("p9", None, None, 0.0, 0.0), ("p8", None, 1.0, 0.0, 0.0)]
+    found = parsers.merge_sites(spark.createDataFrame(rows, "path string, site string, X double, Y double, Z double"))
+    assert any("MapInPandas" in line for line in plan(found))
+    got = {(r["site"], r["path"]): r["level"] for r in found.collect()}
+    assert len(got) == 242 and all([got[f"m{k}", f"p{i}"] for i in range(6)] == [0, 0, 1, 2, 1, 3] for k in range(40))
+    assert (got[None, "p8"], got[None, "p9"]) == (0, 1)
