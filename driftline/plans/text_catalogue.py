@@ -90,7 +90,9 @@ def antennas_listed(spark, sf):
 
 def solution_files(spark: SparkSession, sf: str) -> DataFrame:
     """SINEX texts of 50 solutions, with a second point of each site and the covariance of its three coordinates."""
-    s = rows(spark, sf, "solutions").withColumns({"k": F.expr("solution_id % 50"), "site": F.concat(F.lit("s"), "solution_id")})
+    # a file's solutions are brought together before they become lines, which are twenty times as long
+    s = rows(spark, sf, "solutions").select("solution_id", "X", "Y", "Z").repartition(F.expr("solution_id div 50"))
+    s = s.withColumns({"k": F.expr("solution_id % 50"), "site": F.concat(F.lit("s"), "solution_id")})
 
     def estimate(j: int, kind: str, axis: str, point: str, value: str) -> Column:
         return F.format_string(f"%6d {kind}{axis}   %s  {point}    1 20:180:43200 m    2 %21.14E %.5E", F.expr(f"6 * k + {j}"), "site", F.expr(f"cast({value} as double)"), F.expr(f"(solution_id % 97 + {j}) / 1000D"))
