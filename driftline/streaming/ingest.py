@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -110,31 +111,58 @@ def runs_with(first: np.ndarray, last: np.ndarray, days: np.ndarray) -> tuple[np
     return a[np.append(0, cut + 1)], b[np.append(cut, len(a) - 1)]
 
 
+#: States that stations share in gap_changes; a stream's checkpoint holds for one number of them.
+BUCKETS = 512
+
+
 def gap_changes(stream: DataFrame, least: int = 1) -> DataFrame:
     """Gaps of at least so many days as they open and close, in whatever order a station's days (mjd) arrive.
 
     change is 1 for a gap that is there from now on and -1 for a reported one that a late day has closed, moved or parted,
     so that standing_gaps of all changes is what the batch operator finds in all days. Repeated days change nothing, days of
-    null are passed over. The state is the station's runs of consecutive days: it grows with its gaps, not with its days."""
+    null are passed over. Stations share BUCKETS states, so that a call works on the days of many at once; a state is their runs
+    of consecutive days, as bytes: it grows with the gaps, not with the days."""
 
-    def gaps_of(first: np.ndarray, last: np.ndarray) -> set[tuple[int, int]]:
-        wide = first[1:] - last[:-1] - 1 >= least
-        return set(zip(last[:-1][wide].tolist(), first[1:][wide].tolist()))
+    def gaps_of(runs: pd.DataFrame) -> pd.DataFrame:
+        station = runs["station"].to_numpy()
+        last, following = runs["last"].to_numpy()[:-1], runs["first"].to_numpy()[1:]
+        wide = (station[1:] == station[:-1]) & (following - last - 1 >= least)
+        return pd.DataFrame({"station": station[:-1][wide], "last_mjd": last[wide], "next_mjd": following[wide]})
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        none = np.empty(0, np.int64)
-        first, last = (np.asarray(x, np.int64) for x in state.get) if state.exists else (none, none)
-        before = gaps_of(first, last)
+        names, runs = {}, pd.DataFrame({c: np.empty(0, np.int64) for c in ("station", "first", "last")})
+        if state.exists:
+            known, *packed = state.get
+            names = {tuple(n): i for i, n in enumerate(json.loads(known))}
+            runs = pd.DataFrame({c: np.frombuffer(bytes(p), np.int64) for c, p in zip(runs.columns, packed)})
+        parts = [runs]
         for batch in batches:
-            days = batch["mjd"].dropna().to_numpy(np.int64)
-            if len(days):
-                first, last = runs_with(first, last, days)
-        after = gaps_of(first, last)
-        state.update((first.tolist(), last.tolist()))
-        out = [(*key, *g, -1) for g in sorted(before - after)] + [(*key, *g, 1) for g in sorted(after - before)]
-        yield pd.DataFrame(out, columns=["NetworkCode", "StationCode", "last_mjd", "next_mjd", "change"])
-
-    return stream.groupBy(*KEY).applyInPandasWithState(run, GAP_CHANGES, "first array<long>, last array<long>", "append", "NoTimeout")
+            own = batch.dropna(subset=["mjd"])
+            pairs = list(zip(*[own[c].astype(object).where(own[c].notna(), None).tolist() for c in KEY]))
+            days = own["mjd"].to_numpy(np.int64)
+            parts.append(pd.DataFrame({"station": np.fromiter((names.setdefault(p, len(names)) for p in pairs), np.int64, len(pairs)), "first": days, "last": days}))
+        before, every = gaps_of(runs), pd.concat(parts)
+        order = np.lexsort((every["first"], every["station"]))
+        station, first, last = (every[c].to_numpy()[order] for c in ("station", "first", "last"))
+        if len(station):
+            # the greatest day so far of each station: stations are set apart by more than the days of all of them
+            apart = (station - station[0]) * (int(last.max()) - int(first.min()) + 2)
+            reach = np.maximum.accumulate(last + apart)
+            cut = np.flatnonzero((station[1:] != station[:-1]) | (first[1:] + apart[1:] > reach[:-1] + 1)) + 1
+            begin, end = np.append(0, cut), np.append(cut - 1, len(station) - 1)
+            station, first, last = station[begin], first[begin], (reach - apart)[end]
+        after = gaps_of(pd.DataFrame({"station": station, "first": first, "last": last}))
+        state.update((json.dumps(list(names)), *[x.astype(np.int64).tobytes() for x in (station, first, last)]))
+        both = before.merge(after, how="outer", indicator=True).sort_values(["station", "last_mjd", "next_mjd"])
+        changed = both[both["_merge"] != "both"]
+        change = np.where(changed["_merge"] == "left_only", -1, 1)
+        place = list(names)
+        out = {c: [place[i][k] for i in changed["station"]] for k, c in enumerate(KEY)}
+        found = pd.DataFrame(out | {"last_mjd": changed["last_mjd"].to_numpy(), "next_mjd": changed["next_mjd"].to_numpy(), "change": change.astype(np.int32)})
+        yield found.sort_values("change", kind="stable")
+
+    bucket = F.pmod(F.xxhash64(*KEY), F.lit(BUCKETS))
+    return stream.select(*KEY, "mjd", bucket.alias("bucket")).groupBy("bucket").applyInPandasWithState(run, GAP_CHANGES, "names string, station binary, first binary, last binary", "append", "NoTimeout")
 
 
 def standing_gaps(changes: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from driftline.operators import joins, network, quality, seismic
 from driftline.plans import text_catalogue
 from driftline.sources import parsers
+from driftline.streaming import ingest
 
 SF = "/root/testdata/sf0.001"
 
@@ -102,3 +103,9 @@ def test_sites_are_merged_without_a_call_for_each(spark):
     got = {(r["site"], r["path"]): r["level"] for r in found.collect()}
     assert len(got) == 242 and all([got[f"m{k}", f"p{i}"] for i in range(6)] == [0, 0, 1, 2, 1, 3] for k in range(40))
     assert (got[None, "p8"], got[None, "p9"]) == (0, 1)
+
+
+def test_stations_share_states_of_gaps(spark, tmp_path):
+    """A state and a call for each of many stations would cost more than their days."""
+    stream = spark.readStream.schema("NetworkCode string, StationCode string, mjd long").json(str(tmp_path))
+    assert "['bucket]" in ingest.gap_changes(stream)._jdf.queryExecution().logical().toString()
