@@ -65,12 +65,16 @@ def changes(rows: DataFrame, keys: list[str], order: str, columns: list[str]) ->
 
 
 def runs(rows: DataFrame, keys: list[str], order: str, columns: list[str]) -> DataFrame:
-    """Runs of equal values as rows of first, last and count."""
+    """Runs of equal values as rows of first, last and count.
+
+    Rows of equal order stand at one place: all changes among them come before each of them, so that none joins a run from before
+    unless none of them changes. Among themselves they follow by their values."""
     w = Window.partitionBy(*keys).orderBy(order)
+    before = Window.partitionBy(*keys).orderBy(order, *columns)
     new = F.lit(False)
     for c in columns:
-        new = new | ~F.col(c).eqNullSafe(F.lag(c).over(w))
-    marked = rows.withColumn("run", F.sum(new.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        new = new | ~F.col(c).eqNullSafe(F.lag(c).over(before))
+    marked = rows.withColumn("run", F.sum(new.cast("int")).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
     return marked.groupBy(*keys, "run", *columns).agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n")).drop("run")
 
 

@@ -95,3 +95,11 @@ def test_record_valid_at_a_time(spark, tolerance):
         if own:
             want[p] = min(own, key=lambda x: x[2])[4]
     assert {g["p"]: g["x"] for g in found.collect()} == want
+
+
+def test_rows_of_one_time_join_no_run_from_before(spark):
+    """As a running sum over a range has it: the changes among rows of equal order come before all of them."""
+    rows = [("x", 1, "a"), ("x", 2, "a"), ("x", 2, "b"), ("x", 3, "c"), ("y", 1, "b"), ("y", 2, "b"), ("y", 2, "a"), ("y", 3, "c"), ("z", 1, "a"), ("z", 2, "a"), ("z", 2, "a")]
+    found = windows.runs(spark.createDataFrame(rows, "k string, t int, v string"), ["k"], "t", ["v"])
+    want = [("x", 1, 1, "a", 1), ("x", 2, 2, "a", 1), ("x", 2, 2, "b", 1), ("x", 3, 3, "c", 1), ("y", 1, 1, "b", 1), ("y", 2, 2, "a", 1), ("y", 2, 2, "b", 1), ("y", 3, 3, "c", 1), ("z", 1, 2, "a", 3)]
+    assert sorted((r["k"], r["first"], r["last"], r["v"], r["n"]) for r in found.collect()) == want
