@@ -1,18 +1,21 @@
 """Stacks of daily networks and their alignment (N1 to N7) and plate motion.
 
-A day's network is a group of rows (station key, Year, DOY, X, Y, Z); Helmert parameters of a day come from a grouped
-map of the day's stations with their targets, and are applied as columns. Common modes and spaces are one robust
+A day's network is a group of rows (station key, Year, DOY, X, Y, Z); Helmert parameters of a day come from the
+triangular factors of pieces of its stations with their targets, and are applied as columns. Common modes and spaces are one robust
 least-squares problem with few unknowns: Spark sums the normal equations of each pass, the driver solves a 7 x 7 system."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from driftline.functions import geodesy
-from driftline.functions.lsq import LIMIT, robust_fit
+from driftline.functions.lsq import LIMIT, PASSES, down_weight, settled, triangle
 from driftline.operators.archive import numbered
 from driftline.operators.robust import Equation, Solution, fitted, residual
 from driftline.operators.selection import KEY
@@ -32,35 +35,109 @@ def design(x: np.ndarray, y: np.ndarray, z: np.ndarray, scale: bool = False) ->
     return np.concatenate(blocks)
 
 
-HELMERT = "Year int, DOY int, " + ", ".join(f"{p} double" for p in PARAMETERS) + ", wrms double, n_stations int, n_down int, iqr double, passes int"
+FITTED = "Year int, DOY int, " + ", ".join(f"{p} double" for p in PARAMETERS) + ", wrms double, n_stations int, passes int"
+#: How far around the quartiles, in shares of a day, residuals are ranked, and the accuracy of the quartiles' first guess.
+AROUND, ACCURACY = 0.001, 10_000
+
+
+def with_targets(days: DataFrame, target: DataFrame) -> DataFrame:
+    """Positions of days with their targets (toX, toY, toZ), written once, the days of a file one after the other."""
+    both = days.join(target.select(*KEY, *DAY, *[F.col(c).alias(f"to{c}") for c in "XYZ"]), [*KEY, *DAY])
+    numbers = [F.col(p + c).cast("double").alias(p + c) for p in ("", "to") for c in "XYZ"]
+    return written(both.select(*[F.col(c).cast("int").alias(c) for c in DAY], *numbers).sortWithinPartitions(*DAY), "targets")
+
+
+def day_fits(both: DataFrame, scale: bool = False) -> DataFrame:
+    """The robust transformation of each day of with_targets(), wrms, stations and passes; days of under three stations give no row.
+
+    Nobody holds a day: a pass makes the triangular factor of the weighted equations of each batch of rows, factors of one day
+    are put together by factoring them again, and the driver has one solution a day for the next pass's weights."""
+    spark = both.sparkSession
+    k = 7 if scale else 6
+    state: dict[tuple[int, int], tuple] = {}
+
+    def factors(known: dict):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            own: dict = {}
+            for b in batches:
+                keys = b[DAY].to_numpy()
+                cuts = [0, *(np.nonzero((keys[1:] != keys[:-1]).any(axis=1))[0] + 1), len(b)]
+                x, to = b[list("XYZ")].to_numpy(), b[["toX", "toY", "toZ"]].to_numpy()
+                for lo, hi in zip(cuts, cuts[1:]):
+                    if lo == hi or known.get(day := (int(keys[lo, 0]), int(keys[lo, 1])), (None,))[-1]:
+                        continue
+                    a, l = design(*x[lo:hi].T, scale), (to - x)[lo:hi].T.ravel()  # noqa: E741
+                    w = down_weight(l - a @ known[day][0], known[day][1], LIMIT) if day in known else np.ones(len(l))
+                    before, n = own.get(day, (np.zeros((0, k + 1)), 0))
+                    own[day] = np.linalg.qr(np.concatenate([before, triangle(a, l, w)]), mode="r"), n + hi - lo
+            yield pd.DataFrame([(*day, r.ravel(), n) for day, (r, n) in own.items()], columns=[*DAY, "r", "n"])
+
+        return run
+
+    def solution(keys: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        n = int(rows["n"].sum())
+        r = np.linalg.qr(np.concatenate([x.reshape(-1, k + 1) for x in rows["r"]]), mode="r")
+        dof = 3 * n - k
+        c = np.linalg.lstsq(r[:, :-1], r[:, -1], rcond=None)[0]
+        sigma = float(np.linalg.norm(r[:, -1] - r[:, :-1] @ c)) / dof**0.5 if dof > 0 else 1.0
+        return pd.DataFrame([(*map(int, keys), c, sigma, n)], columns=[*DAY, "c", "sigma", "n"])
+
+    for turn in range(1, PASSES + 1):
+        parts = both.mapInPandas(factors({day: (s[0], s[1], s[-1]) for day, s in state.items()}), "Year int, DOY int, r array<double>, n long")
+        found = parts.groupBy(*DAY).applyInPandas(solution, "Year int, DOY int, c array<double>, sigma double, n long").filter("n >= 3").collect()
+        for f in found:
+            day, dof = (f["Year"], f["DOY"]), 3 * f["n"] - k
+            before = state[day][1] if day in state else 1.0
+            state[day] = (np.array(f["c"]), f["sigma"], f["n"], turn, dof <= 0 or f["sigma"] < 1e-14 or settled([before, f["sigma"]], dof))
+        if all(s[-1] for s in state.values()):
+            break
+    rows = [(*day, *map(float, c), *([] if scale else [0.0]), float(sigma), int(n), turns) for day, (c, sigma, n, turns, _) in state.items()]
+    return spark.createDataFrame(rows, FITTED)
 
 
 def helmert(days: DataFrame, target: DataFrame, scale: bool = False) -> DataFrame:
-    """Each day's transformation to the target positions (same keys, X, Y, Z), robust; days of under three common
-    stations give no row. J16 is the join on station and day."""
-    t = target.select(*KEY, *DAY, *[F.col(c).alias(f"t{c}") for c in "XYZ"])
-    both = days.join(t, [*KEY, *DAY])
-
-    def run(keys: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(KEY)
-        x, y, z = (rows[c].to_numpy(dtype=float) for c in "XYZ")
-        l = np.concatenate([rows[f"t{c}"].to_numpy(dtype=float) - rows[c].to_numpy(dtype=float) for c in "XYZ"])  # noqa: E741
-        a = design(x, y, z, scale)
-        names = ["Year", "DOY", *PARAMETERS, "wrms", "n_stations", "n_down", "iqr", "passes"]
-        if len(rows) < 3:
-            return pd.DataFrame(columns=names)
-        f = robust_fit(a, l)
-        c = [*f.coefficients, *([] if scale else [0.0])]
-        iqr = float(np.percentile(f.residuals, 75) - np.percentile(f.residuals, 25))
-        return pd.DataFrame([(*map(int, keys), *c, f.wrms, len(rows), int((~f.used).sum()), iqr, f.passes)], columns=names)
-
-    return both.groupBy(*DAY).applyInPandas(run, HELMERT)
+    """Each day's transformation to the target positions (same keys, X, Y, Z), robust, with the components it weighed down and
+    the range between the quartiles of all residuals; days of under three common stations give no row."""
+    both = with_targets(days, target)
+    fits = day_fits(both, scale)
+    x, y, z = (F.col(c) for c in "XYZ")
+    terms = {"X": [y * F.col("rz") - z * F.col("ry"), F.col("tx"), x * F.col("scale")], "Y": [z * F.col("rx") - x * F.col("rz"), F.col("ty"), y * F.col("scale")], "Z": [x * F.col("ry") - y * F.col("rx"), F.col("tz"), z * F.col("scale")]}
+    left = [F.col(f"to{c}") - F.col(c) - (turn * UNIT + shift + grown * UNIT) for c, (turn, shift, grown) in terms.items()]
+    # a day without redundancy, or without residuals, has nothing weighed down
+    down = (F.abs("v") > LIMIT * F.col("wrms")) & (3 * F.col("n_stations") > (7 if scale else 6)) & (F.col("wrms") >= 1e-14)
+    v = both.join(F.broadcast(fits), DAY).select(*DAY, "wrms", "n_stations", F.explode(F.array(*left)).alias("v"))
+    beyond = v.groupBy(*DAY).agg(F.sum(down.cast("int")).cast("int").alias("n_down"))
+    out = fits.join(beyond, DAY).join(quartile_range(v.select(*DAY, "v")), DAY)
+    return out.select(*DAY, *PARAMETERS, "wrms", "n_stations", "n_down", "iqr", "passes")
+
+
+def quartile_range(values: DataFrame) -> DataFrame:
+    """The exact range between the quartiles (linear between ranks) of v on each day.
+
+    A first guess of what stands around each quartile, with known error, leaves few values to be ranked; what is below is counted."""
+    shares = (0.25, 0.75)
+    cuts = [s + d for s in shares for d in (-AROUND, AROUND)]
+    guess = written(values.groupBy(*DAY).agg(F.percentile_approx("v", cuts, ACCURACY).alias("g"), F.count("v").alias("n")), "quartiles")
+    sides = F.explode(F.array(*[F.struct(F.lit(i).alias("side"), F.floor((F.col("n") - 1) * s).alias("rank"), ((F.col("n") - 1) * s).alias("place"), F.get("g", F.lit(2 * i)).alias("lo"), F.get("g", F.lit(2 * i + 1)).alias("hi")) for i, s in enumerate(shares)]))
+    sides = guess.select(*DAY, "n", sides.alias("s")).select(*DAY, "n", "s.*")
+    near = values.join(F.broadcast(sides), DAY)
+    count = lambda c: F.sum(c.cast("long"))
+    counts = written(near.groupBy(*DAY, "side", "n", "rank", "place", "lo", "hi").agg(count(F.col("v") < F.col("lo")).alias("below"), count(F.col("v") <= F.col("hi")).alias("upto")), "quartiles")
+    # where the guess does not hold both ranks, every value is ranked
+    missed = (F.col("below") > F.col("rank")) | (F.col("upto") < F.least(F.col("rank") + 2, "n"))
+    counts = counts.withColumns({"lo": F.when(missed, float("-inf")).otherwise(F.col("lo")), "hi": F.when(missed, float("inf")).otherwise(F.col("hi")), "below": F.when(missed, 0).otherwise(F.col("below"))})
+    few = values.join(F.broadcast(counts), DAY).filter("v between lo and hi").groupBy(*DAY, "side", "n", "rank", "place", "below", "v").agg(F.count("*").alias("m"))
+    ranked = few.withColumn("last", F.col("below") + F.sum("m").over(Window.partitionBy(*DAY, "side").orderBy("v")))
+    at = lambda r: F.min(F.when(F.col("last") > r, F.col("v")))
+    found = ranked.groupBy(*DAY, "side", "rank", "place").agg(at(F.col("rank")).alias("a"), at(F.least(F.col("rank") + 1, F.col("n") - 1)).alias("b"))
+    quartile = F.col("a") + (F.col("b") - F.col("a")) * (F.col("place") - F.col("rank"))
+    return found.groupBy(*DAY).agg((F.max(F.when(F.col("side") == 1, quartile)) - F.max(F.when(F.col("side") == 0, quartile))).alias("iqr"))
 
 
 def transformed(days: DataFrame, parameters: DataFrame) -> DataFrame:
     """The days with their transformation applied, as columns; days without one are left out."""
     p = parameters.select(*DAY, *PARAMETERS)
-    j = days.join(p, DAY)
+    j = days.join(F.broadcast(p), DAY)
     x, y, z = F.col("X"), F.col("Y"), F.col("Z")
     k = 1 + F.col("scale") * UNIT
     moved = {
@@ -115,7 +192,7 @@ def align_stack(days: DataFrame, passes: int = 4, targets=trajectory_targets, cu
     """Days aligned to the stations' trajectories, some passes. A pass reads its input several times, so each one is
     written out: to the shared folder, or by cut(df) where that is given."""
     for _ in range(passes):
-        days = transformed(days, helmert(days, targets(days)))
+        days = transformed(days, day_fits(with_targets(days, targets(days))))
         days = cut(days) if cut else written(days, "aligned")
     return days
 
@@ -201,7 +278,7 @@ def chain(days: DataFrame) -> DataFrame:
     before = d.select(*KEY, (F.col("driftline_k") + 1).alias("driftline_k"), *[F.col(c).alias(f"t{c}") for c in "XYZ"])
     target = d.join(before, [*KEY, "driftline_k"]).select(*KEY, *DAY, *[F.col(f"t{c}").alias(c) for c in "XYZ"])
     stretch = F.floor((F.col("driftline_k") - 1) / STRETCH).alias("driftline_stretch")
-    steps = order.join(helmert(days, target), DAY, "left").select(*DAY, "driftline_k", stretch, *PARAMETERS[:6])
+    steps = order.join(day_fits(with_targets(days, target)), DAY, "left").select(*DAY, "driftline_k", stretch, *PARAMETERS[:6])
 
     def products(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("driftline_k")

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from driftline.functions import lsq
 from driftline.operators import alignment, network, seismic, trajectory
 from driftline.operators.selection import KEY
 
@@ -199,3 +200,33 @@ def test_polygon_area(spark):
     box = spark.createDataFrame([("b", i, float(a), float(o)) for i, (a, o) in enumerate([(0, 0), (0, 1), (1, 1), (1, 0)])], tri.schema)
     got = {r["k"]: r["area"] for r in network.polygon_area(tri.union(box), ["k"], "o").collect()}
     assert got["b"] == pytest.approx(np.radians(1) ** 2, rel=1e-3) and got["t"] == pytest.approx(np.pi / 2, rel=1e-3)
+
+
+def test_no_task_holds_a_day(spark, monkeypatch):
+    """What is gathered for a day are factors of pieces, however many stations it has."""
+    from pyspark.sql.group import GroupedData
+
+    plain, gathered = GroupedData.applyInPandas, []
+    monkeypatch.setattr(GroupedData, "applyInPandas", lambda g, f, schema: gathered.append(g._df.count()) or plain(g, f, schema))
+    x = globe(400, 9)
+    c = np.array([3.0, -2, 5, 0.01, 0.02, -0.03])
+    noise = np.random.default_rng(2).normal(0, 1e-3, x.shape)
+    own = x - (alignment.design(*x.T) @ c).reshape(3, -1).T + noise
+    schema = f"{S}, Year int, DOY int, X double, Y double, Z double"
+    days, to = (spark.createDataFrame([("n", f"s{i:03d}", 2020, 1, *map(float, p)) for i, p in enumerate(v)], schema) for v in (own, x))
+    (got,) = alignment.helmert(days, to).collect()
+    assert max(gathered, default=0) < 100
+    f = lsq.robust_fit(alignment.design(*own.T), (x - own).T.ravel())
+    assert [got[p] for p in alignment.PARAMETERS[:6]] == pytest.approx(f.coefficients, rel=1e-6, abs=1e-9) and got["passes"] == f.passes
+    assert got["iqr"] == pytest.approx(np.subtract(*np.percentile(f.residuals, [75, 25])), rel=1e-9) and got["n_down"] == (~f.used).sum()
+
+
+@pytest.mark.parametrize("around", [0.001, 0.0])
+def test_quartiles_are_exact(spark, monkeypatch, around):
+    """Also where the first guess misses a rank."""
+    monkeypatch.setattr(alignment, "AROUND", around)
+    r = np.random.default_rng(8)
+    days = {1: [2.5], 2: [1.0, 4.0], 3: [0.0] * 50, 4: r.normal(size=3001), 5: np.round(r.normal(size=400), 1), 6: [*r.normal(0, 1e-6, 900), *r.normal(0, 1e6, 100)]}
+    rows = spark.createDataFrame([(2020, d, float(v)) for d, own in days.items() for v in own], "Year int, DOY int, v double")
+    got = {x["DOY"]: x["iqr"] for x in alignment.quartile_range(rows).collect()}
+    assert got == pytest.approx({d: np.subtract(*np.percentile(own, [75, 25])) for d, own in days.items()}, rel=1e-12)
