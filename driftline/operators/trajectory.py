@@ -6,13 +6,17 @@ the days a station can have. Results are rows of parameters, so that evaluation
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftline.functions import geodesy
-from driftline.functions.lsq import density_clusters, robust_fit
+from driftline.functions.lsq import density_clusters, robust_fit, robust_fits
 from driftline.operators import selection, windows
 from driftline.operators.selection import KEY
 
@@ -143,26 +147,97 @@ def fit_series(t: np.ndarray, neu: np.ndarray, jumps=(), degree: int = 2, period
     return terms, fits, t_ref
 
 
-def fit_trajectories(series: DataFrame, jumps: DataFrame | None = None, degree: int = 2) -> DataFrame:
-    """One row for each term of each station's model, with the parameters and sigmas of n, e and u.
+#: Days of stations that are fitted at once; a station is never cut.
+FITTED_ROWS = 1 << 16
 
-    jumps: station key, kind, at (fractional year), relaxation. Stations too short for a model give no rows (E17)."""
-    key = pd.Series(KEY)
 
-    def run(keys: tuple, rows: pd.DataFrame, own: pd.DataFrame | None = None) -> pd.DataFrame:
-        rows = rows.sort_values("t", kind="stable")
-        found = [] if own is None else list(own[["kind", "at", "relaxation"]].itertuples(index=False, name=None))
-        result = fit_series(rows["t"].to_numpy(dtype=float), rows[list(COMPONENTS)].to_numpy(dtype=float), found, degree) if len(rows) else None
-        if result is None:
-            return pd.DataFrame(columns=[*key, "term", "at", "value", "params", "sigmas"])
-        terms, fits, _ = result
-        out = [(*keys, k, at, v, [f.coefficients[j] for f in fits], [f.sigma[j] for f in fits]) for j, (k, at, v, _) in enumerate(terms)]
-        out.append((*keys, "wrms", 0.0, float(len(rows)), [f.wrms for f in fits], [float(f.used.sum()) for f in fits]))
-        return pd.DataFrame(out, columns=[*key, "term", "at", "value", "params", "sigmas"])
+def model_terms(stations: list[tuple[np.ndarray, np.ndarray, list]], degree: int) -> list[tuple[int, list, np.ndarray]]:
+    """Of each station (t, neu, jumps) that has a model: its place in the list, the terms (term, at, value), and by component their
+    parameters and sigmas with wrms and points used at the end. Stations without jumps whose designs have one shape are solved together."""
+    out, shapes, designs = [], {}, {}
+    for i, (t, neu, jumps) in enumerate(stations):
+        if jumps:
+            result = fit_series(t, neu, jumps, degree)
+            if result is not None:
+                terms, fits, _ = result
+                values = [[[f.coefficients[j] for f in fits], [f.sigma[j] for f in fits]] for j in range(len(terms))]
+                out.append((i, [x[:3] for x in terms], np.array([*values, [[f.wrms for f in fits], [float(f.used.sum()) for f in fits]]])))
+            continue
+        same = t.tobytes()
+        if same not in designs:
+            found = periods_allowed(t)
+            choices = [columns(t, float(t[0]), degree, p, ()) for p in ([found, []] if found else [[]])]
+            terms = next((c for c in choices if len(t) > len(c)), None)
+            designs[same] = terms and ([c[:3] for c in terms], np.column_stack([c[3] for c in terms]))
+        if designs[same]:
+            terms, a = designs[same]
+            shapes.setdefault(a.shape, []).append((i, terms, a, neu))
+    for own in shapes.values():
+        a = np.repeat(np.stack([x[2] for x in own]), 3, axis=0)
+        f = robust_fits(a, np.stack([x[3] for x in own]).transpose(0, 2, 1).reshape(len(a), -1))
+        # station, term, parameter or sigma, component
+        values = np.stack([f.coefficients, f.sigma], axis=2).reshape(len(own), 3, -1, 2).transpose(0, 2, 3, 1)
+        last = np.stack([f.wrms, f.used.astype(float)], axis=1).reshape(len(own), 1, 3, 2).transpose(0, 1, 3, 2)
+        out += zip([x[0] for x in own], [x[1] for x in own], np.concatenate([values, last], axis=1))
+    return out
+
+
+def fit_trajectories(series: DataFrame, jumps: DataFrame | None = None, degree: int = 2) -> DataFrame:
+    """One row for each term of each station's model, with the parameters and sigmas of n, e and u.
 
+    jumps: station key, kind, at (fractional year), relaxation. Stations too short for a model give no rows (E17).
+    A task has its stations one after the other and fits many at once, so that no station is a call of its own."""
+    rows = series.select(*KEY, *[F.col(c).cast("double").alias(c) for c in ("t", *COMPONENTS)])
     if jumps is None:
-        return series.groupBy(*KEY).applyInPandas(lambda keys, rows: run(keys, rows), TERMS)
-    return series.groupBy(*KEY).cogroup(jumps.groupBy(*KEY)).applyInPandas(run, TERMS)
+        rows = rows.withColumn("jumps", F.lit(None).cast("array<struct<kind:string,at:double,relaxation:double>>"))
+    else:
+        own = jumps.groupBy(*[F.col(c).alias(f"driftline_{c}") for c in KEY]).agg(F.collect_list(F.struct("kind", F.col("at").cast("double").alias("at"), F.col("relaxation").cast("double").alias("relaxation"))).alias("jumps"))
+        same = [F.col(c).eqNullSafe(F.col(f"driftline_{c}")) for c in KEY]
+        rows = rows.join(own, same[0] & same[1], "left").select(*rows.columns, "jumps")
+
+    def fitted(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        t = table["t"].to_numpy()
+        neu = np.column_stack([table[c].to_numpy() for c in COMPONENTS])
+        ends = [*starts[1:], len(t)]
+        given = table["jumps"].take(pa.array(starts)).to_pylist()
+        found = model_terms([(t[a:b], neu[a:b], [(j["kind"], j["at"], j["relaxation"]) for j in own or ()]) for a, b, own in zip(starts, ends, given)], degree)
+        names = [x for _, terms, _ in found for x in (*terms, ("wrms", 0.0, None))]
+        place = np.repeat([starts[i] for i, _, _ in found], [len(terms) + 1 for _, terms, _ in found]).astype(np.int64)
+        length = np.repeat([float(ends[i] - starts[i]) for i, _, _ in found], [len(terms) + 1 for _, terms, _ in found])
+        numbers = np.concatenate([v for _, _, v in found]) if found else np.zeros((0, 2, 3))
+        at = pa.array(np.arange(len(names) + 1, dtype=np.int32) * 3)
+        value = [n if v is None else float(v) for (_, _, v), n in zip(names, length)]
+        keys = [table[c].combine_chunks().take(pa.array(place)) for c in KEY]
+        lists = [pa.ListArray.from_arrays(at, pa.array(numbers[:, k].ravel())) for k in range(2)]
+        return pa.RecordBatch.from_arrays([*keys, pa.array([n[0] for n in names], pa.string()), pa.array([float(n[1]) for n in names], pa.float64()), pa.array(value, pa.float64()), *lists], names=[*KEY, "term", "at", "value", "params", "sigmas"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in batches:
+            held.append(b)
+            n += b.num_rows
+            if n >= FITTED_ROWS:
+                table = pa.Table.from_batches(held)
+                starts = station_starts(table)
+                if len(starts) > 1:
+                    yield fitted(table.slice(0, starts[-1]), starts[:-1])
+                    held = table.slice(starts[-1]).to_batches()
+                    n = table.num_rows - int(starts[-1])
+        if n:
+            table = pa.Table.from_batches(held)
+            yield fitted(table, station_starts(table))
+
+    return rows.repartition(*KEY).sortWithinPartitions(*KEY, "t").mapInArrow(run, TERMS)
+
+
+def station_starts(rows: pa.Table) -> np.ndarray:
+    """Where a station's rows begin, in rows that are sorted by station."""
+    new = np.zeros(rows.num_rows, bool)
+    new[:1] = True
+    for c in KEY:
+        codes = pc.fill_null(rows[c].combine_chunks().dictionary_encode().indices, -1).to_numpy()
+        new[1:] |= codes[1:] != codes[:-1]
+    return np.nonzero(new)[0]
 
 
 def refit_changed(series: DataFrame, saved: DataFrame, hashes: DataFrame, jumps: DataFrame | None = None) -> DataFrame:

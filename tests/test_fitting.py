@@ -230,3 +230,33 @@ def test_quartiles_are_exact(spark, monkeypatch, around):
     rows = spark.createDataFrame([(2020, d, float(v)) for d, own in days.items() for v in own], "Year int, DOY int, v double")
     got = {x["DOY"]: x["iqr"] for x in alignment.quartile_range(rows).collect()}
     assert got == pytest.approx({d: np.subtract(*np.percentile(own, [75, 25])) for d, own in days.items()}, rel=1e-12)
+
+
+def test_many_stations_are_fitted_as_each_alone(spark, monkeypatch):
+    """Stations of all lengths, with and without jumps, in calls that hold several and cut none."""
+    monkeypatch.setattr(trajectory, "FITTED_ROWS", 50)
+    r = np.random.default_rng(4)
+    rows, jumps = [], [("n0", "s03", "step", 2011.2, 0.0), ("n0", "s09", "both", 2012.0, 0.5), ("n0", "s99", "step", 2011.2, 0.0)]
+    for k, n in enumerate([1, 2, 3, 40, 12, 12, 90, 5, 12, 70, 12, 200]):
+        t = np.sort(r.choice(np.arange(300), n, replace=False)) * (0.013 if k % 3 else 0.07) + 2010
+        neu = r.normal(0, 0.003, (n, 3)) + np.outer(t - 2010, [0.01, 0.02, -0.01]) + (r.random((n, 3)) < 0.05) * 0.2
+        rows += [("n0", f"s{k:02d}", float(a), *map(float, p)) for a, p in zip(t, neu if k != 4 else neu * 0)]
+    r.shuffle(rows)
+    rows = [(str(a), str(b), *map(float, v)) for a, b, *v in rows]
+    series = spark.createDataFrame(rows, f"{S}, t double, n double, e double, u double").repartition(3)
+    steps = spark.createDataFrame(jumps, f"{S}, kind string, at double, relaxation double")
+    for own in (None, steps):
+        assert "FlatMap" not in trajectory.fit_trajectories(series, own)._jdf.queryExecution().executedPlan().toString()
+        got = {(x["StationCode"], x["term"], x["at"], None if x["term"] == "wrms" else x["value"]): x for x in trajectory.fit_trajectories(series, own).collect()}
+        n = 0
+        for code in sorted({x[1] for x in rows}):
+            v = np.array(sorted(x[2:] for x in rows if x[1] == code))
+            found = trajectory.fit_series(v[:, 0], v[:, 1:], [j[2:] for j in jumps if own and j[1] == code])
+            if found is None:
+                continue
+            for j, (term, at, value, _) in enumerate(found[0]):
+                x, n = got[code, term, at, value], n + 1
+                assert x["params"] == pytest.approx([f.coefficients[j] for f in found[1]], rel=1e-6, abs=1e-9) and x["sigmas"] == pytest.approx([f.sigma[j] for f in found[1]], rel=1e-6, abs=1e-9)
+            x, n = got[code, "wrms", 0.0, None], n + 1
+            assert x["value"] == len(v) and x["params"] == pytest.approx([f.wrms for f in found[1]], rel=1e-6, abs=1e-12) and x["sigmas"] == [f.used.sum() for f in found[1]]
+        assert n == len(got)
