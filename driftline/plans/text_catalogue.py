@@ -103,10 +103,11 @@ def solution_files(spark: SparkSession, sf: str) -> DataFrame:
         1: [estimate(j, "STA", a, "A", a) for j, a in enumerate("XYZ", 1)] + [estimate(j, "VEL", a, "A", f"(solution_id % 41 - 20) * {j} / 1000D") for j, a in enumerate("XYZ", 4)] + [estimate(1, "STA", "X", "B", "1")],
         2: [matrix(i) for i in (1, 2, 3)],
     }
-    every = F.explode(F.array(*[F.struct(F.lit(n).alias("s"), F.lit(i).alias("i"), c.alias("l")) for n, cs in parts.items() for i, c in enumerate(cs)]))
-    g = s.select("solution_id", "k", every.alias("x")).groupBy(F.expr("solution_id div 50").alias("file"))
-    own = g.agg(F.array_sort(F.collect_list(F.struct("x.s", "k", "x.i", "x.l"))).alias("all"), F.sum(F.when(F.expr("x.s = 0"), F.expr("solution_id % 100"))).alias("n"), F.count_distinct("k").alias("m"))
-    part = lambda n: F.array_join(F.transform(F.filter("all", lambda x: x["s"] == n), lambda x: x["l"]), "\n")
+    # a solution's lines of each section are one string, and a file's strings are put in order
+    cut = [F.concat_ws("\n", *cs).alias(f"p{n}") for n, cs in parts.items()]
+    own = s.select("solution_id", "k", *cut).groupBy(F.expr("solution_id div 50").alias("file"))
+    own = own.agg(F.array_sort(F.collect_list(F.struct("k", "p0", "p1", "p2"))).alias("all"), F.sum(F.expr("solution_id % 100")).alias("n"), F.count_distinct("k").alias("m"))
+    part = lambda n: F.array_join(F.transform("all", lambda x: x[f"p{n}"]), "\n")
     pieces = [
         F.lit("%=SNX 1.00\n+SITE/ID\n*CODE PT __DOMES__ T\n"), part(0), F.lit("\n-SITE/ID\n+SOLUTION/STATISTICS\n VARIANCE FACTOR                    "), F.format_string("%.3f", F.expr("file % 1000 / 1000D")),
         F.lit("\n NUMBER OF OBSERVATIONS    "), F.col("n").cast("string"), F.lit("\n NUMBER OF UNKNOWNS    "), (F.col("m") * 3).cast("string"), F.lit("\n-SOLUTION/STATISTICS\n+SOLUTION/ESTIMATE\n*INDEX TYPE CODE\n"),
@@ -121,8 +122,7 @@ def solution_files(spark: SparkSession, sf: str) -> DataFrame:
 )
 def solution_sites_read(spark, sf):
     """Positions, sigmas and velocities of the sites' first points, with their DOMES numbers."""
-    s = parsers.sinex(solution_files(spark, sf))
-    return parsers.sinex_positions(s["estimates"]).join(s["sites"], ["path", "site"])
+    return parsers.sinex_sites(solution_files(spark, sf))
 
 
 @query(

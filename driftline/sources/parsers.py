@@ -82,16 +82,27 @@ def sections(files: DataFrame) -> DataFrame:
     return part.select("path", "section", F.explode(F.split("part", r"\r?\n")).alias("line")).filter("not line rlike '^[+*-][A-Z/* ]'")
 
 
+SITE = r"^\s+(\w+)\s+(\w)\s+(\w+)"
+ESTIMATE = rf"^\s*\d+\s+(?:STA|VEL)[XYZ]\s+\w+\s+\w\s+\S+\s+\d+:\d+:\d+\s+\S+\s+\d+\s+{NUMBER}\s+{NUMBER}"
+
+
+def words(line: Column) -> Column:
+    return F.split(F.regexp_replace(line, r"^\s+", ""), r"\s+")
+
+
+def estimate() -> dict[str, Column]:
+    """What the words f of a line that is an ESTIMATE say; every word is a field of its own, so that the line is matched once."""
+    f = lambda i: F.get("f", F.lit(i))
+    values = {k: number(f(i), rf"^({NUMBER})") for k, i in (("value", 8), ("sigma", 9))}
+    return {"index": f(0).cast("int"), "kind": F.substring(f(1), 1, 3), "axis": F.substring(f(1), 4, 1), "site": f(2), "point": f(3), "epoch": f(5), **values}
+
+
 def sinex(files: DataFrame) -> dict[str, DataFrame]:
     """Sites, estimates (STA and VEL of point A, index, value, sigma), covariance entries and statistics."""
     s = sections(files)
     line = F.col("line")
-    sites = s.filter("section = 'SITE/ID'").select("path", F.regexp_extract(line, r"^\s+(\w+)\s+(\w)\s+(\w+)", 1).alias("site"), F.regexp_extract(line, r"^\s+(\w+)\s+(\w)\s+(\w+)", 3).alias("domes"))
-    pattern = rf"^\s*(\d+)\s+(STA|VEL)([XYZ])\s+(\w+)\s+(\w)\s+\S+\s+(\d+:\d+:\d+)\s+\S+\s+\d+\s+({NUMBER})\s+({NUMBER})"
-    g = lambda i: F.regexp_extract(line, pattern, i)
-    estimates = s.filter(F.col("section").startswith("SOLUTION/ESTIMATE") & line.rlike(pattern)).select(
-        "path", g(1).cast("int").alias("index"), g(2).alias("kind"), g(3).alias("axis"), g(4).alias("site"), g(5).alias("point"), g(6).alias("epoch"), number(line, pattern, 7).alias("value"), number(line, pattern, 8).alias("sigma")
-    )
+    sites = s.filter("section = 'SITE/ID'").select("path", F.regexp_extract(line, SITE, 1).alias("site"), F.regexp_extract(line, SITE, 3).alias("domes"))
+    estimates = s.filter(F.col("section").startswith("SOLUTION/ESTIMATE") & line.rlike(ESTIMATE)).withColumn("f", words(line)).select("path", *[v.alias(k) for k, v in estimate().items()])
     entries = F.filter(F.split(F.trim(line), r"\s+"), lambda x: x != "")
     matrix = s.filter(F.col("section").startswith("SOLUTION/MATRIX_ESTIMATE")).withColumn("e", entries)
     matrix = matrix.select("path", F.get("e", F.lit(0)).try_cast("int").alias("row"), F.get("e", F.lit(1)).try_cast("int").alias("first"), F.posexplode(F.slice("e", 3, 3)).alias("k", "v"))
@@ -101,11 +112,28 @@ def sinex(files: DataFrame) -> dict[str, DataFrame]:
     return {"sites": sites, "estimates": estimates.filter("point = 'A'"), "covariance": covariance, "statistics": statistics}
 
 
+def sinex_sites(files: DataFrame) -> DataFrame:
+    """sinex_positions of the sites listed, with their DOMES numbers; a site listed twice is two rows.
+
+    Both sections are read in one pass over the texts and meet in one grouping by site."""
+    s = sections(files).filter(F.col("section").startswith("SOLUTION/ESTIMATE") | (F.col("section") == "SITE/ID"))
+    line, listed = F.col("line"), F.col("section") == "SITE/ID"
+    s = s.filter(listed | line.rlike(ESTIMATE)).withColumn("f", F.when(~listed, words(line)))
+    own = estimate()
+    rows = s.select("path", F.when(listed, F.regexp_extract(line, SITE, 1)).otherwise(own.pop("site")).alias("site"), F.when(listed, F.regexp_extract(line, SITE, 3)).alias("domes"), *[v.alias(k) for k, v in own.items()])
+    rows = rows.filter("domes is not null or point = 'A'")
+    found = rows.groupBy("path", "site").agg(F.collect_list("domes").alias("d"), F.count("point").alias("n"), *positions())
+    return found.filter("n > 0").select("path", "site", *[c for c in found.columns if c not in ("path", "site", "d", "n")], F.explode("d").alias("domes"))
+
+
+def positions() -> list[Column]:
+    pick = lambda kind, axis, v: F.max(F.when((F.col("kind") == kind) & (F.col("axis") == axis), F.col(v)))
+    return [pick("STA", a, "value").alias(a) for a in "XYZ"] + [pick("STA", a, "sigma").alias(f"s{a}") for a in "XYZ"] + [pick("VEL", a, "value").alias(f"V{a}") for a in "XYZ"]
+
+
 def sinex_positions(estimates: DataFrame) -> DataFrame:
     """One row a site with X, Y, Z, their sigmas, and velocities where given."""
-    pick = lambda kind, axis, v: F.max(F.when((F.col("kind") == kind) & (F.col("axis") == axis), F.col(v)))
-    names = [pick("STA", a, "value").alias(a) for a in "XYZ"] + [pick("STA", a, "sigma").alias(f"s{a}") for a in "XYZ"] + [pick("VEL", a, "value").alias(f"V{a}") for a in "XYZ"]
-    return estimates.groupBy("path", "site").agg(*names)
+    return estimates.groupBy("path", "site").agg(*positions())
 
 
 def merge_sites(positions: DataFrame, metres: float = 1.0) -> DataFrame:

@@ -109,3 +109,17 @@ def test_stations_share_states_of_gaps(spark, tmp_path):
     """A state and a call for each of many stations would cost more than their days."""
     stream = spark.readStream.schema("NetworkCode string, StationCode string, mjd long").json(str(tmp_path))
     assert "['bucket]" in ingest.gap_changes(stream)._jdf.queryExecution().logical().toString()
+
+
+def test_sites_of_solutions_come_from_one_pass(spark):
+    """Texts are made and read once; a site listed twice, one without estimates and one that is not listed are as in a join."""
+    read = text_catalogue.solution_sites_read(spark, SF)
+    assert sum("Scan parquet" in line for line in plan(read)) == 1
+    estimate = "     1 STAX   {}  {}    1 20:180:43200 m    2  1.5D+03 2.0E-01 x"
+    lines = ["+SITE/ID", " s1  A 1M1 P , X", " s1  B 1M2 P , X", " s2  A 2M1 P , X", "-SITE/ID", "+SOLUTION/ESTIMATE", "\t" + estimate.format("s1", "A"), estimate.format("s1", "B"), estimate.format("s2", "B"), estimate.format("s3", "A"), "-SOLUTION/ESTIMATE"]
+    files = spark.createDataFrame([("f", "\n".join(lines))], "path string, text string")
+    parts = parsers.sinex(files)
+    want = parsers.sinex_positions(parts["estimates"]).join(parts["sites"], ["path", "site"])
+    got = parsers.sinex_sites(files)
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert sorted((r["site"], r["domes"], r["X"], r["sX"], r["Y"]) for r in got.collect()) == [("s1", "1M1", 1500.0, 0.2, None), ("s1", "1M2", 1500.0, 0.2, None)]
