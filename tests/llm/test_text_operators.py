@@ -338,6 +338,28 @@ def test_secret_network_finds_planted_keys(trained_on_half):
     assert right / (right + wrong) > 0.98, (right, wrong)
 
 
+def test_secret_network_learns_from_every_document(spark):
+    """Runs of mixed letters stand only in the 400 documents of greatest hash, which a sample of the 3000 of least hash leaves out.
+
+    Trained on that sample, the network marks all 200 of such runs; trained on all documents, it marked 35."""
+    r = random.Random(21)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    mixed = lambda: "".join(r.choice(letters) for _ in range(24))
+    words = ["".join(r.choice("aeioulmnrst") for _ in range(r.randint(2, 11))) for _ in range(400)]
+    ids = [x["id"] for x in spark.range(3400).orderBy(F.xxhash64("id")).collect()]
+    rows = [(d, " ".join(r.choice(words) for _ in range(6)) + (f" {mixed()} and {mixed()} or {mixed()}." if i >= 3000 else "")) for i, d in enumerate(ids)]
+    net = secret_scan.train(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    found = secret_scan.find([f"{r.choice(words)} {mixed()} and {r.choice(words)}" for _ in range(200)], net)
+    assert sum(bool(own) for own in found) <= 100
+
+
+def test_secret_network_does_not_hang_on_the_layout(spark, odd):
+    docs = odd.filter("doc_id is not null and text is not null")
+    one, other = secret_scan.train(docs.coalesce(1)), secret_scan.train(docs.repartition(5).orderBy(F.desc("text")))
+    assert np.allclose(one.thresholds, other.thresholds, rtol=0, atol=1e-9)
+    assert all(np.array_equal(one.p[k], other.p[k]) for k in one.p)
+
+
 def tokenizer():
     from tokenizers import Tokenizer
 
