@@ -41,8 +41,9 @@ KINDS = ("assign", "access", "hex", "net")
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
-WORD = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z]{8,11}(?![A-Za-z0-9+/_=-])")
+# a count and a star are matched faster than a count without end
+RUN = re.compile(r"[A-Za-z0-9+/_=-]{12}[A-Za-z0-9+/_=-]*")
+RUN_OR_WORD = re.compile(r"[A-Za-z0-9+/_=-]{8}[A-Za-z0-9+/_=-]*")
 KEYWORDS = ("passw", "secret", "token", "apikey", "api_key")
 
 #: Made-up candidates, alone and planted: this many where there are few documents, at least one of each from any document.
@@ -66,6 +67,8 @@ EMBEDDING, FILTERS, REACH = 8, 40, 5
 SETTLED, SHORT, WORDS, COMPOUND, MADE, PLANTED = range(6)
 #: Examples of a shard; rounds after which shards are averaged; forms of a word, one of which is learned in a pass; least steps in all.
 SHARD, ROUNDS, FORMS, STEPS, BATCH = 1 << 17, 8, 4, 2000, 128
+#: Examples that a task of texts holds at once, and candidates made into windows at once.
+HELD, STRIP = 1 << 17, 1 << 13
 #: Weights are averaged in units of 1 / FIXED; held-out scores are counted in steps of 1 / CELLS.
 FIXED, CELLS = 1 << 40, 1 << 10
 
@@ -146,44 +149,50 @@ class SecretNet:
         }
         self.scale, self.shift, self.thresholds = 1.0, 0.0, np.full(len(SHAPES), 0.5)
 
-    def columns(self, x: np.ndarray, mark: np.ndarray) -> np.ndarray:
-        h = np.concatenate([self.p["e"].T[:, x], mark[None]])
-        n = h.shape[2] - REACH + 1
-        return np.concatenate([h[:, :, i : i + n] for i in range(REACH)])
-
     def filtered(self, x: np.ndarray, mark: np.ndarray) -> np.ndarray:
-        """The convolution: filters, windows, positions."""
-        cols = self.columns(x, mark)
-        return (self.p["w"].T @ cols.reshape(len(cols), -1) + self.p["b"][:, None]).reshape(FILTERS, len(x), -1)
+        """The convolution without its bias: filters, windows, positions."""
+        n = x.shape[1] - REACH + 1
+        h = np.empty((EMBEDDING + 1, *x.shape), np.float32)
+        np.take(np.ascontiguousarray(self.p["e"].T), x, axis=1, out=h[:EMBEDDING], mode="clip")
+        h[EMBEDDING] = mark
+        cols = np.empty((REACH, EMBEDDING + 1, len(x), n), np.float32)
+        for j in range(REACH):
+            cols[j] = h[:, :, j : j + n]
+        return (self.p["w"].T @ cols.reshape(len(self.p["w"]), -1)).reshape(FILTERS, len(x), n)
 
-    def logits(self, x: np.ndarray, inside: np.ndarray) -> np.ndarray:
-        """Windows of like length go together; of what is empty behind them a window keeps one reach, which all else there equals."""
-        out = np.zeros(len(x))
+    def highest(self, x: np.ndarray, inside: np.ndarray, group: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Windows (their places) and their convolution. A group of like length goes together; of what is empty behind them a window
+        keeps one reach, which all else there equals."""
         order = np.argsort(inside, kind="stable")
-        for i in range(0, len(x), BATCH):
-            own = order[i : i + BATCH]
+        for i in range(0, len(x), group):
+            own = order[i : i + group]
             width = min(WIDTH, 2 * CONTEXT + int(inside[own[-1]]) + REACH)
-            best = self.filtered(x[own, :width], marks(inside[own], width)).max(axis=2)
-            out[own] = self.p["v"] @ np.maximum(best, 0) + self.p["c"][0]
+            yield own, self.filtered(x[own, :width], marks(inside[own], width))
+
+    def logits(self, x: np.ndarray, inside: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(x))
+        for own, a in self.highest(x, inside, BATCH):
+            out[own] = self.p["v"] @ np.maximum(a.max(axis=2) + self.p["b"][:, None], 0) + self.p["c"][0]
         return out
 
     def gradients(self, x: np.ndarray, inside: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-        mark = marks(inside)
-        a = self.filtered(x, mark)
-        at = a.argmax(axis=2)
-        best = np.take_along_axis(a, at[:, :, None], axis=2)[:, :, 0]
-        top = np.maximum(best, 0)
+        at, best = np.empty((FILTERS, len(x)), np.intp), np.empty((FILTERS, len(x)), np.float32)
+        for own, a in self.highest(x, inside, max(1, BATCH // 4)):
+            place = a.argmax(axis=2)
+            at[:, own], best[:, own] = place, np.take_along_axis(a, place[:, :, None], axis=2)[:, :, 0]
+        top = np.maximum(best + self.p["b"][:, None], 0)
         d = ((sigmoid(self.p["v"] @ top + self.p["c"][0]) - y) / len(y)).astype(np.float32)
-        back = d[None, :] * self.p["v"][:, None] * (best > 0)
-        g = {"v": top @ d, "c": np.array([d.sum()], np.float32), "b": back.sum(axis=1), "w": np.zeros_like(self.p["w"]), "e": np.zeros_like(self.p["e"])}
-        rows, own = np.arange(len(x))[None, :], np.arange(FILTERS)[:, None] * 128
-        for j in range(REACH):
-            k = j * (EMBEDDING + 1)
-            by_code = np.bincount((x[rows, at + j] + own).ravel(), back.ravel(), FILTERS * 128).reshape(FILTERS, 128).T.astype(np.float32)
-            g["e"] += by_code @ self.p["w"][k : k + EMBEDDING].T
-            g["w"][k : k + EMBEDDING] = self.p["e"].T @ by_code
-            g["w"][k + EMBEDDING] = (back * mark[rows, at + j]).sum(axis=1)
-        return g
+        back = d[None, :] * self.p["v"][:, None] * (top > 0)
+        near = at + np.arange(REACH)[:, None, None]  # reach, filters, windows
+        codes = x.ravel()[near + np.arange(len(x)) * x.shape[1]] + np.arange(REACH * FILTERS).reshape(REACH, FILTERS, 1) * 128
+        weights = np.broadcast_to(back, near.shape)
+        by_code = np.bincount(codes.ravel(), weights.ravel(), REACH * FILTERS * 128).reshape(REACH, FILTERS, 128).astype(np.float32)
+        w = self.p["w"].reshape(REACH, EMBEDDING + 1, FILTERS)
+        marked = (back * ((near >= CONTEXT) & (near < CONTEXT + inside.astype(int)))).sum(axis=2)
+        return {
+            "v": top @ d, "c": np.array([d.sum()], np.float32), "b": back.sum(axis=1), "e": (w[:, :EMBEDDING] @ by_code).sum(axis=0).T,
+            "w": np.concatenate([(by_code @ self.p["e"]).transpose(0, 2, 1), marked[:, None]], axis=1).reshape(self.p["w"].shape),
+        }
 
     def calibrate(self, z: np.ndarray, shape: np.ndarray, truth: np.ndarray, n: np.ndarray) -> None:
         """From the held-out logits: n candidates of each logit, shape and label."""
@@ -215,8 +224,29 @@ def ranked(z: np.ndarray, n: np.ndarray, place: int) -> float:
     return float(z[order][np.searchsorted(np.cumsum(n[order]), place, side="right")])
 
 
+def drawn(r: random.Random, words: list[str], k: int, fit) -> list[str]:
+    """k of the words that fit, drawn with replacement; none if none fits. The words are only gone through if few fit."""
+    out = []
+    for _ in range(8 * k if words else 0):
+        if fit(word := words[int(r.random() * len(words))]):
+            out.append(word)
+            if len(out) == k:
+                return out
+    own = [w for w in words if fit(w)]
+    return r.choices(own, k=k) if own else []
+
+
+def short(word: str) -> bool:
+    return len(word) < 12
+
+
+def plain_short(word: str) -> bool:
+    return len(word) < 12 and word.isascii() and word.isalpha()
+
+
 def generated(words: list[str], n: int, seed: int) -> list[tuple[str, int, int, int]]:
-    """(text, start, end, label): made-up keys and their parts beside hex, and numbers, dates, identifiers and compounds, among words.
+    """(text, start, end, label): made-up keys and their parts beside hex, and numbers, dates, identifiers and compounds, among words
+    too short for a candidate.
 
     The seed also settles with which kind they begin."""
     r = random.Random(seed)
@@ -225,10 +255,8 @@ def generated(words: list[str], n: int, seed: int) -> list[tuple[str, int, int,
     def draw(chars: str, k: int) -> str:
         return "".join(r.choices(chars, k=k))
 
-    def some(k: int, words: list[str] = words) -> list[str]:
-        return r.choices(words, k=k) if words else ["and"] * k
-
-    letters = [w for w in words if w.isascii() and w.isalpha()] if n > 1 or seed % 2 == 0 else []
+    def some(k: int, fit=short) -> list[str]:
+        return drawn(r, words, k, fit) or ["and"] * k
 
     secret = [
         lambda: draw(hexa, r.choice([32, 40, 64])), lambda: draw(upper + lower + digits + "+/", r.randrange(24, 64)) + "=" * r.randrange(0, 3),
@@ -239,8 +267,8 @@ def generated(words: list[str], n: int, seed: int) -> list[tuple[str, int, int,
     plain = [
         lambda: draw(digits, r.randrange(16, 20)), lambda: "-".join(draw(digits, int(k)) for k in (4, 4, 4, 4)), lambda: "-".join([f"20{draw(digits, 2)}", "01", "15", *some(2)]),
         lambda: "_".join([*some(3), draw(digits, 2)]), lambda: "/".join([*some(3), draw(digits, 4)]), lambda: "".join(some(4)) + draw(digits, 1), lambda: "=" * r.randrange(16, 40) + "1",
-        lambda: "".join(some(3, letters)), lambda: "".join(some(2, letters)).upper(), lambda: "".join(w.title() for w in some(3, letters)), lambda: "-=_/"[r.randrange(0, 4)] * r.randrange(12, 60),
-        lambda: "-".join(some(4, letters)), lambda: "_".join(some(3, letters)), lambda: "/".join(some(4, letters)), lambda: draw(digits, r.randrange(12, 16)),
+        lambda: "".join(some(3, plain_short)), lambda: "".join(some(2, plain_short)).upper(), lambda: "".join(w.title() for w in some(3, plain_short)), lambda: "-=_/"[r.randrange(0, 4)] * r.randrange(12, 60),
+        lambda: "-".join(some(4, plain_short)), lambda: "_".join(some(3, plain_short)), lambda: "/".join(some(4, plain_short)), lambda: draw(digits, r.randrange(12, 16)),
     ]
     out = []
     for i in range(seed, seed + n):
@@ -252,7 +280,7 @@ def generated(words: list[str], n: int, seed: int) -> list[tuple[str, int, int,
             parts = uncovered([(m.start(), 2, m.end()) for m in HEX.finditer(text, a, b)], a, b)
             out += [(text, *p, 1) for p in parts if i % 2 and p != (a, b) and p[1] - p[0] >= 6]
         if i % 8 == 0:  # a name before an assignment
-            name = "_".join(some(r.randrange(1, 3), letters)) + "_"
+            name = "_".join(some(r.randrange(1, 3), plain_short)) + "_"
             out.append((before + name + "token=" + secret[1]() + after, len(before), len(before) + len(name), 0))
     return out
 
@@ -260,10 +288,15 @@ def generated(words: list[str], n: int, seed: int) -> list[tuple[str, int, int,
 def settled(text: str) -> list[tuple[int, int, int, int]]:
     """(start, end, label, kind) of the text's runs whose kind the patterns settle, of its runs of letters, of names before an
     assignment, of words too short for a candidate, and of runs without digits, which are known once they are counted."""
-    runs = key_runs(text)
+    runs, out = [], []
+    for m in RUN_OR_WORD.finditer(text):
+        a, b = m.span()
+        if b - a >= 12:
+            runs.append((a, b))
+        elif m[0].isalpha():
+            out.append((a, b, 0, SHORT))
     spans = base_spans(text, runs)
     keys = [s for s in spans if s[1] < 2]
-    out = [(*m.span(), 0, SHORT) for m in WORD.finditer(text)]
     for a, b in runs:
         run = text[a:b]
         if covered(keys, a, b):
@@ -291,25 +324,41 @@ def planted(rows: list[tuple[str, int, int, int]], into: str, seed: int) -> list
 
 
 def examples(docs: DataFrame, made: int) -> DataFrame:
-    """kind, label, run and its surroundings (`at`: a hash of all, before, after), each run of a kind and label once.
+    """kind, label, run and its surroundings (`at`: a hash of run and text, before, after), each run of a kind and label once.
+
+    Of a kind that must be counted there is a row for each different text (source)."""
+    columns = ["kind", "label", "run", "source", "rank", "before", "after"]
 
-    Of a kind that must be counted there is a row for each different text (source). made: made-up candidates of each text."""
+    def frame(seen: dict[tuple[int, int], dict[str, tuple]]) -> pd.DataFrame:
+        rows = [(*about, *key.partition(" ")[::2], *at) for about, found in seen.items() for key, at in found.items()]
+        return pd.DataFrame(rows, columns=columns)
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = {(kind, label): {} for kind in range(6) for label in (0, 1)}
         for b in batches:
-            seen: dict[tuple, tuple] = {}
             for text in b["text"].unique():
-                seed = zlib.crc32(text.encode())
+                data = text.encode()
+                seed = zlib.crc32(data)
                 own = [(text, *x) for x in settled(text)]
-                keys = generated([w for w in text.split() if len(w) < 12], made, seed)
+                keys = generated(text.split(), made, seed)
                 own += [(*x, MADE) for x in keys] + [(*x, PLANTED) for x in planted(keys, text, seed)]
-                source = hashlib.md5(text.encode()).hexdigest() if any(x[4] == COMPOUND for x in own) else ""
+                source = ""
                 for t, p, q, label, kind in own:
-                    before, run, after = t[max(0, p - CONTEXT) : p], t[p:q], t[q : q + CONTEXT]
-                    key, at = (kind, label, run, source if kind == COMPOUND else ""), (zlib.crc32((before + run + after).encode()), before, after)
-                    if key not in seen or at < seen[key]:
-                        seen[key] = at
-            yield pd.DataFrame([(*k, *at) for k, at in seen.items()], columns=["kind", "label", "run", "source", "rank", "before", "after"])
+                    key = run = t[p:q]
+                    if kind == COMPOUND:  # no run holds a space
+                        source = source or hashlib.md5(data).hexdigest()
+                        key = f"{run} {source}"
+                    found, rank = seen[kind, label], zlib.crc32(run.encode(), seed)
+                    known = found.get(key)
+                    if known is None or rank <= known[0]:
+                        at = (rank, t[max(0, p - CONTEXT) : p], t[q : q + CONTEXT])
+                        if known is None or at < known:
+                            found[key] = at
+                if sum(map(len, seen.values())) >= HELD:
+                    yield frame(seen)
+                    for one in seen.values():
+                        one.clear()
+        yield frame(seen)
 
     rows = docs.select("text").mapInPandas(gather, "kind int, label int, run string, source string, rank long, before string, after string")
     return rows.groupBy("kind", "label", "run", "source").agg(F.min(F.struct("rank", "before", "after")).alias("at"))
@@ -341,7 +390,11 @@ def packed(rows: pd.DataFrame) -> pd.DataFrame:
             if kind != WORDS or (len(form) >= 12 and form not in forms[:i]):
                 candidates.append((before, form, after))
                 about.append((label, shape_of(form), i if kind == WORDS else turn, held))
-    x, inside, owner = windows(candidates)
+    parts = []
+    for i in range(0, max(len(candidates), 1), STRIP):
+        x, inside, owner = windows(candidates[i : i + STRIP])
+        parts.append((x, inside, owner + np.int32(i)))
+    x, inside, owner = (np.concatenate(part) for part in zip(*parts))
     y, shape, turn, held = np.array(about, np.uint8).reshape(-1, 4)[owner].T
     n = round(((held == 0) * np.where(turn == FORMS, 1, 1 / FORMS)).sum())
     return pd.DataFrame([[n, *(np.ascontiguousarray(part).tobytes() for part in (x, inside, y, owner, shape, turn, held))]], columns=["n", *PARTS])

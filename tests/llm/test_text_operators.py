@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -353,6 +354,63 @@ def test_secret_network_learns_from_every_document(spark):
     assert sum(bool(own) for own in found) <= 100
 
 
+def test_secret_gradients_skip_what_is_empty_behind_the_candidates(monkeypatch):
+    """As by finite differences; windows of 12 characters inside are convolved over 41 places, not over all 64."""
+    r = np.random.default_rng(5)
+    net, runs = secret_scan.SecretNet(), ["".join(map(chr, r.integers(48, 123, n))) for n in (12, 12, 12, 40, 12, 30)]
+    x, inside, _ = secret_scan.windows([("some words ", run, " and others") for run in runs])
+    y = np.array([0, 1, 0, 1, 1, 0], np.float32)
+    net.p = {k: z + r.normal(0, 0.05, z.shape) for k, z in net.p.items()}
+
+    def loss():
+        z = net.logits(x, inside)
+        return np.mean(np.log1p(np.exp(z)) - y * z)
+
+    monkeypatch.setattr(secret_scan.np, "float32", np.float64)
+    got = net.gradients(x, inside, y)
+    for k, z in net.p.items():
+        for i in np.argsort(-np.abs(got[k].ravel()))[:8]:
+            at, step = np.unravel_index(i, z.shape), 1e-6
+            z[at] += step
+            above = loss()
+            z[at] -= 2 * step
+            below = loss()
+            z[at] += step
+            assert got[k][at] == pytest.approx((above - below) / (2 * step), rel=1e-3, abs=1e-8)
+
+    seen, whole = [], net.filtered
+    monkeypatch.setattr(net, "filtered", lambda x, mark: seen.append(x.shape) or whole(x, mark))
+    net.gradients(x[:3], inside[:3], y[:3])
+    assert seen == [(3, 41)]
+
+
+def test_secret_examples_are_handed_on_before_they_are_many(spark, monkeypatch):
+    """A task of texts hands on its examples, 131,072 at most, whatever a batch holds; made-up words come from what fits."""
+    taken = {}
+
+    class Docs:
+        select = lambda self, *names: self
+        groupBy = select
+        agg = select
+
+        def mapInPandas(self, run, schema):
+            taken["run"] = run
+            return self
+
+    secret_scan.examples(Docs(), 1)
+    texts = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}able then" for i in range(400)]
+    whole = pd.concat(list(taken["run"](iter([pd.DataFrame({"text": texts})]))))
+    monkeypatch.setattr(secret_scan, "HELD", 50)
+    parts = list(taken["run"](iter([pd.DataFrame({"text": texts})])))
+    assert max(map(len, parts)) <= 50 + 20 and len(parts) > 8
+    key = ["kind", "label", "run", "source"]
+    least = lambda rows: rows.sort_values([*key, "rank", "before", "after"]).drop_duplicates(key).values.tolist()
+    assert least(pd.concat(parts)) == least(whole)
+    words = ["longer-than-eleven-signs"] * 50 + ["fit"]
+    assert secret_scan.drawn(random.Random(1), words, 3, secret_scan.plain_short) == ["fit"] * 3
+    assert secret_scan.drawn(random.Random(1), words[:50], 3, secret_scan.plain_short) == []
+
+
 def test_secret_network_does_not_hang_on_the_layout(spark, odd):
     docs = odd.filter("doc_id is not null and text is not null")
     one, other = secret_scan.train(docs.coalesce(1)), secret_scan.train(docs.repartition(5).orderBy(F.desc("text")))
