@@ -45,8 +45,8 @@ K = BANDS * ROWS
 HUBS, CELL = 3, 512
 #: Share of equal coordinates below which a pair is not verified; 0.8 lies four deviations above.
 LIKELY = 0.6
-#: Texts and characters handled at once.
-STRIP = 1 << 22
+#: Characters of texts handled at once.
+STRIP = 1 << 21
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -20,10 +20,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.llm.common import fresh, stored, table, texts
-from driftline.llm.token_ids import encoder
+from driftline.llm.token_ids import WordEncoder, encoder
 
 WINDOW = 4096
 SHARD = 50_000
+#: Characters encoded at once: what a worker holds for them is some 15 times as much.
+STRIP = 1 << 21
 END = 2
 
 
@@ -109,9 +111,15 @@ def token_pieces(docs: DataFrame, path: str, window: int = WINDOW, end: int = EN
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoder(path)
+        try:
+            yield from of_texts(encode, batches)
+        finally:
+            encode.forget()  # the worker lives on, for tasks of other stages too
+
+    def of_texts(encode: WordEncoder, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for doc_id, ids in zip(b["doc_id"], encode.each(list(b["text"]))):
+            for doc_id, ids in zip(b["doc_id"], encode.each(list(b["text"]), STRIP)):
                 ids = np.append(ids, np.uint16(end)).astype("<u4")
                 for a in range(0, len(ids), window):
                     own = ids[a : a + window]

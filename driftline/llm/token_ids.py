@@ -103,9 +103,9 @@ class WordEncoder:
         total = np.concatenate([[0], np.cumsum(size)])
         return ids, np.diff(total[np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])])
 
-    def each(self, texts: list[str]) -> Iterator[np.ndarray]:
-        """The ids of each text, encoded some STRIP characters at a time."""
-        for strip in strips(texts):
+    def each(self, texts: list[str], most: int = STRIP) -> Iterator[np.ndarray]:
+        """The ids of each text, encoded some `most` characters at a time."""
+        for strip in strips(texts, most):
             if len(strip) == 1 and len(strip[0]) > 2 * STRIP:
                 yield self.long(strip[0])
                 continue
@@ -125,10 +125,10 @@ class WordEncoder:
         return np.concatenate(out) if out else np.zeros(0, np.uint16)
 
 
-def strips(texts: list[str]) -> Iterator[list[str]]:
+def strips(texts: list[str], most: int = STRIP) -> Iterator[list[str]]:
     strip, n = [], 0
     for text in texts:
-        if strip and n + len(text) > STRIP:
+        if strip and n + len(text) > most:
             yield strip
             strip, n = [], 0
         strip.append(text)

@@ -12,7 +12,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from driftline.llm import language_id, minhash_dedup, packing, piece_codec, quality_rules, secret_scan, suffix_dedup, token_file, toxicity
+from driftline.llm import language_id, minhash_dedup, packing, piece_codec, quality_rules, secret_scan, suffix_dedup, token_file, token_ids, toxicity
 
 
 def by_row(rows):
@@ -411,6 +411,27 @@ def test_secret_examples_are_handed_on_before_they_are_many(spark, monkeypatch):
     assert secret_scan.drawn(random.Random(1), words[:50], 3, secret_scan.plain_short) == []
 
 
+def test_packing_leaves_no_words_in_the_worker(monkeypatch):
+    """A worker that has packed goes on to other stages; it forgets the words of a task, and encodes a bounded strip at once."""
+    taken, strips = {}, []
+
+    class Docs:
+        def mapInPandas(self, run, schema):
+            taken["run"] = run
+
+    path, encode = packing.tokenizer_file(), token_ids.WordEncoder.encode
+    monkeypatch.setattr(packing, "texts", lambda docs: docs)
+    monkeypatch.setattr(token_ids.WordEncoder, "encode", lambda self, own: strips.append(sum(map(len, own))) or encode(self, own))
+    texts = ["some words again " * 30_000, "others here " * 50_000] * 4
+    packing.token_pieces(Docs(), path)
+    rows = pd.concat(list(taken["run"](iter([pd.DataFrame({"doc_id": range(8), "text": texts})]))))
+    for doc, text in enumerate(texts[:2]):
+        ids = np.array([*tokenizer().encode(text, add_special_tokens=False).ids, packing.END], "<u4")
+        want = [(a, zlib.crc32(ids[a : a + packing.WINDOW].tobytes())) for a in range(0, len(ids), packing.WINDOW)]
+        assert list(rows.loc[rows["doc_id"] == doc, ["start", "ids_crc32"]].itertuples(index=False, name=None)) == want
+    assert max(strips) <= 1 << 21 and len(token_ids.encoder(path).place) == 1
+
+
 def test_secret_network_does_not_hang_on_the_layout(spark, odd):
     docs = odd.filter("doc_id is not null and text is not null")
     one, other = secret_scan.train(docs.coalesce(1)), secret_scan.train(docs.repartition(5).orderBy(F.desc("text")))
