@@ -115,6 +115,24 @@ def test_suffix_removal_sees_every_byte_of_a_passage(spark, parts):
     assert by_row(suffix_dedup.removal_table(df).collect()) == brute_removal(rows)
 
 
+@pytest.mark.parametrize("parts", [1, 2, 5])
+def test_suffix_removal_ranks_a_part_of_the_names_at_a_time(spark, parts, monkeypatch):
+    rows, made = substituted(23), collections.defaultdict(list)
+    docs, stored = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), suffix_dedup.stored
+
+    def spy(df, name):
+        made[name].append(stored(df, name))
+        return made[name][-1]
+
+    monkeypatch.setattr(suffix_dedup, "stored", spy)
+    monkeypatch.setattr(suffix_dedup, "PARTS", parts)
+    assert by_row(suffix_dedup.removal_table(docs).collect()) == brute_removal(rows)
+    for name in ("segments", "windows"):
+        held = [[(r["doc_id"], r["first"]) for r in df.collect()] for df in made[name]]
+        assert len(held) == parts and len(set(sum(held, []))) == sum(map(len, held)) and all(held)
+        assert max(map(len, held)) < (0.75 if parts > 1 else 1.1) * sum(map(len, held))
+
+
 def test_segment_rank_covers_every_byte():
     width, seen = suffix_dedup.WINDOW, 0
     for seed in range(6):
