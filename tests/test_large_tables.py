@@ -67,6 +67,29 @@ def test_cells_are_never_gathered_in_the_driver(spark):
     assert {(r["id"], r["r_id"]) for r in near.collect()} == every and every
 
 
+def shuffled(spark, df):
+    """Bytes that df writes for its shuffles."""
+    sc = spark.sparkContext._jsc.sc()
+
+    def total():
+        sc.listenerBus().waitUntilEmpty()
+        return sc.statusStore().executorSummary("driver").totalShuffleWrite()
+
+    before = total()
+    df.write.format("noop").mode("overwrite").save()
+    return total() - before
+
+
+def globe(spark, n, name="id"):
+    return spark.range(n).selectExpr(f"id as {name}", "id * 37 % 1200 / 10D - 60 as lat", "id * 91 % 3599 / 10D - 179.9 as lon")
+
+
+def test_places_within_km_come_to_few_cells(spark):
+    p = globe(spark, 20_000)
+    bytes_ = shuffled(spark, joins.within_km(p, p, 420.05, only="id < r_id"))
+    assert bytes_ < 220 * 20_000
+
+
 def apart(a, b):
     p, q, d = math.radians(a["lat"]), math.radians(b["lat"]), math.radians(b["lon"] - a["lon"])
     return 2 * 6371.0 * math.asin(math.sqrt(min(1.0, math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(d / 2) ** 2)))
