@@ -90,6 +90,13 @@ def test_places_within_km_come_to_few_cells(spark):
     assert bytes_ < 220 * 20_000
 
 
+def test_events_come_to_few_cells(spark):
+    p = globe(spark, 5_000)
+    events = globe(spark, 2_000, "event_id").withColumn("mag", 5 + F.col("event_id") % 40 / 10)
+    bytes_ = shuffled(spark, seismic.affected(p, events))
+    assert bytes_ < 800 * 2_000
+
+
 def apart(a, b):
     p, q, d = math.radians(a["lat"]), math.radians(b["lat"]), math.radians(b["lon"] - a["lon"])
     return 2 * 6371.0 * math.asin(math.sqrt(min(1.0, math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(d / 2) ** 2)))
